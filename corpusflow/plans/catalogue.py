@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from corpusflow.plans import q_feed, q_stats
+
+FAMILIES = (q_feed, q_stats)
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for family in FAMILIES for k, f in family.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: sql for family in FAMILIES for k, sql in family.SQL.items()}
