@@ -41,8 +41,8 @@ def normalize_date(value: Column, offset: Column | str, as_of: Column) -> Column
     v = F.trim(value)
     offset = F.lit(offset) if isinstance(offset, str) else offset
     iso = (
-        F.when(v.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?$"), F.concat(v, offset))
-        .when(v.rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}(:\d{2})?$"), F.concat(F.replace(v, F.lit(" "), F.lit("T")), offset))
+        F.when(v.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}$"), F.concat(F.replace(v, F.lit(" "), F.lit("T")), F.lit(":00"), offset))
+        .when(v.rlike(r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2}(\.\d+)?| \d{2}:\d{2}:\d{2})$"), F.concat(F.replace(v, F.lit(" "), F.lit("T")), offset))
         .when(v.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(v, F.lit("T00:00:00"), offset))
         .when(v.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}"), v)
     )

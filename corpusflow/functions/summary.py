@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.text import strip_markup, tldr_from_summary
 
-_JSON = (
-    "tldr string, summary_short string, summaryShort string, hot_score string, hotScore string, tags array<string>, "
-    "editorial_markdown string, editorialMarkdown string, editorialmarkdown string, translated_title string, translatedTitle string"
-)
 # Converted amounts and time zones whose repetition marks a bad summary.
 AMOUNT = (
     r"(?iu)((?:[$€£¥]\s*)?\d[\d.,]*(?:\s*(?:nghìn|triệu|tỷ|thousand|million|billion))?"
@@ -35,14 +31,14 @@ def parse_output(raw: Column, allowed_tags: list[str]) -> Column:
     text = F.trim(raw)
     fenced = F.regexp_extract(text, r"(?is)```(?:json)?\s*(.*?)```", 1)
     embedded = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    parse = lambda c: F.when(F.trim(c).startswith("{"), F.from_json(F.trim(c), _JSON))
+    parse = lambda c: F.when(F.trim(c).startswith("{"), F.from_json(F.trim(c), "map<string,string>"))
     valid = lambda c: F.try_parse_json(F.nullif(c, F.lit(""))).isNotNull()
     parsed = F.when(valid(fenced), parse(fenced)).when(valid(text), parse(text)).when(valid(embedded), parse(embedded))
     body = _text(parsed["editorial_markdown"], parsed["editorialMarkdown"], parsed["editorialmarkdown"])
     score = F.coalesce(parsed["hot_score"], parsed["hotScore"]).try_cast("double")
     score = F.least(F.lit(10), F.greatest(F.lit(1), F.floor(score + F.lit(0.5)))).cast("int")
     canon = F.create_map(*[F.lit(x) for t in allowed_tags for x in (t.lower(), t)])
-    tags = F.transform(F.coalesce(parsed["tags"], F.array().cast("array<string>")), lambda t: F.try_element_at(canon, F.lower(F.trim(t))))
+    tags = F.transform(F.coalesce(F.from_json(parsed["tags"], "array<string>"), F.array().cast("array<string>")), lambda t: F.try_element_at(canon, F.lower(F.trim(t))))
     tags = F.slice(F.array_distinct(F.filter(tags, lambda t: t.isNotNull())), 1, 3)
     legacy_tldr = F.trim(F.regexp_extract(raw, r"(?is)<tldr>(.*?)</tldr>", 1))
     legacy_body = F.trim(F.regexp_replace(raw, r"(?is)<tldr>.*?</tldr>", ""))

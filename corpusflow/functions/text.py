@@ -147,18 +147,18 @@ def tag_key(c: Column) -> Column:
 
 def visible_tags(tags: Column, most: int = 2) -> Column:
     """The first ``most`` tags without blanks or repeats."""
-    return F.slice(F.array_distinct(F.filter(F.transform(tags, F.trim), lambda t: t != "")), 1, most)
+    return F.slice(F.array_distinct(F.filter(F.transform(tags, lambda t: F.trim(t)), lambda t: t != "")), 1, most)
 
 
 def clean_list(values: Column, default: list[str]) -> Column:
     """Trimmed, without blanks, unique regardless of case with the first spelling kept; ``default`` if nothing is left."""
-    kept = F.filter(F.transform(values, F.trim), lambda t: t != "")
-    keys = F.transform(kept, F.lower)
+    kept = F.filter(F.transform(values, lambda t: F.trim(t)), lambda t: t != "")
+    keys = F.transform(kept, lambda t: F.lower(t))
     first = F.filter(kept, lambda t, i: F.array_position(keys, F.lower(t)) == i + 1)
     return F.when(F.size(first) > 0, first).otherwise(F.array(*[F.lit(d) for d in default]))
 
 
 def bullets(c: Column, most: int = 2) -> Column:
     """The first bullet lines joined by a middle dot."""
-    lines = F.filter(F.transform(F.split(c, "\n"), F.trim), lambda x: x.startswith("- ") | x.startswith("* "))
+    lines = F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x.startswith("- ") | x.startswith("* "))
     return F.array_join(F.slice(F.transform(lines, lambda x: F.trim(x.substr(F.lit(3), F.length(x)))), 1, most), " · ")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.functions.text import MIN_WORDS_FOR_WORD_SETS, bigram_set, jaccard, novelty, similarity_text, top_keywords, word_set
+from corpusflow.functions.text import MIN_WORDS_FOR_WORD_SETS, bigram_set, novelty, similarity_text, top_keywords, word_set
 from corpusflow.runtime import global_rank, materialize
 
 # Thresholds of the similarity rules.
@@ -27,20 +27,29 @@ def features(rows: DataFrame, title: str = "title", excerpt: str = "raw_excerpt"
     )
 
 
-def best_jaccard(aw: Column, bw: Column, ab: Column, bb: Column) -> Column:
-    words = F.when((F.size(aw) >= MIN_WORDS_FOR_WORD_SETS) & (F.size(bw) >= MIN_WORDS_FOR_WORD_SETS), jaccard(aw, bw)).otherwise(F.lit(0.0))
-    return F.greatest(words, jaccard(ab, bb))
+def _score(names: tuple[str, str, str, str]) -> Column:
+    """Best of word and bigram Jaccard from sizes and common counts; words count from four tokens on."""
+    words, grams, n_words, n_grams = (F.col(n) for n in names)
+    part = lambda common, x, y: F.when((x > 0) & (y > 0), common / (x + y - common)).otherwise(F.lit(0.0))
+    enough = (n_words["a"] >= MIN_WORDS_FOR_WORD_SETS) & (n_words["b"] >= MIN_WORDS_FOR_WORD_SETS)
+    return F.greatest(F.when(enough, part(words, n_words["a"], n_words["b"])).otherwise(F.lit(0.0)), part(grams, n_grams["a"], n_grams["b"]))
 
 
-def with_scores(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """``title_score``, ``excerpt_score`` and ``score`` of pairs of feature rows aliased ``a`` and ``b``."""
-    c = F.col
-    title = best_jaccard(c(f"{a}.tw"), c(f"{b}.tw"), c(f"{a}.tb"), c(f"{b}.tb"))
-    excerpt = best_jaccard(c(f"{a}.ew"), c(f"{b}.ew"), c(f"{a}.eb"), c(f"{b}.eb"))
-    image = F.coalesce((c(f"{a}.image_url") == c(f"{b}.image_url")) & (c(f"{a}.image_url") != ""), F.lit(False))
-    pairs = pairs.withColumn("title_score", title).withColumn("excerpt_score", excerpt).withColumn("same_image", image)
+def with_scores(pairs: DataFrame, keep: list[Column]) -> DataFrame:
+    """``keep`` plus ``title_score``, ``excerpt_score`` and ``score`` of pairs of feature rows aliased ``a`` and ``b``.
+
+    Common tokens are counted in a layer of their own, once a pair.
+    """
+    common = [F.size(F.array_intersect(f"a.{s}", f"b.{s}")).alias(f"common_{s}") for s in ("tw", "tb", "ew", "eb")]
+    sizes = [F.struct(F.size(f"a.{s}").alias("a"), F.size(f"b.{s}").alias("b")).alias(f"n_{s}") for s in ("tw", "tb", "ew", "eb")]
+    image = F.coalesce((F.col("a.image_url") == F.col("b.image_url")) & (F.col("a.image_url") != ""), F.lit(False)).alias("same_image")
+    counted = pairs.select(*keep, *common, *sizes, image)
+    names = counted.columns[: len(keep)]
+    scored = counted.select(
+        *names, _score(("common_tw", "common_tb", "n_tw", "n_tb")).alias("title_score"), _score(("common_ew", "common_eb", "n_ew", "n_eb")).alias("excerpt_score"), "same_image"
+    )
     base = F.greatest("title_score", "excerpt_score", F.col("title_score") * 0.6 + F.col("excerpt_score") * 0.4)
-    return pairs.withColumn("score", F.least(F.lit(1.0), base + F.when(F.col("same_image"), IMAGE_BONUS).otherwise(0.0)))
+    return scored.withColumn("score", F.least(F.lit(1.0), base + F.when(F.col("same_image"), IMAGE_BONUS).otherwise(0.0)))
 
 
 def window_pairs(rows: DataFrame, rows_back: int = WINDOW_ROWS, hours: int = WINDOW_HOURS) -> DataFrame:
@@ -78,10 +87,9 @@ def parent_edges(articles: DataFrame, is_forum: Column | None = None, title: str
     forum = F.lit(False) if is_forum is None else F.coalesce(is_forum, F.lit(False))
     base = features(articles.select("id", "created_at", "image_url", title, excerpt, forum.alias("is_forum")), title, excerpt)
     pairs = window_pairs(base).where(~F.col("a.is_forum")).where(_size_bound("a", "b"))
-    scored = with_scores(pairs).where(F.col("score") >= SIMILARITY)
-    new = novelty(F.col("a.kw"), F.col("b.kw"))
-    best = F.max(F.struct(F.col("score"), F.col("b.seq").alias("seq"), F.col("b.id").alias("best_id"), F.col("title_score"), new.alias("novelty")))
-    top = scored.groupBy(F.col("a.id").alias("id")).agg(best.alias("m")).select("id", "m.best_id", "m.title_score", "m.score", "m.novelty")
+    scored = with_scores(pairs, [F.col("a.id").alias("id"), F.col("b.id").alias("best_id"), F.col("b.seq").alias("seq"), F.col("a.kw").alias("own"), F.col("b.kw").alias("theirs")])
+    best = F.max(F.when(F.col("score") >= SIMILARITY, F.struct("score", "seq", "best_id", "title_score", novelty(F.col("own"), F.col("theirs")).alias("novelty"))))
+    top = scored.groupBy("id").agg(best.alias("m")).where("m is not null").select("id", "m.best_id", "m.title_score", "m.score", "m.novelty")
     return top.withColumn("accepted", (F.col("title_score") >= TITLE_LOCK) | (F.col("novelty") < NOVELTY))
 
 

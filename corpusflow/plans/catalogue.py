@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusflow.plans import q_feed, q_stats
+from corpusflow.plans import q_feed, q_stats, q_text
 
-FAMILIES = (q_feed, q_stats)
+FAMILIES = (q_feed, q_stats, q_text)
 
 
 def queries() -> dict:
