@@ -46,18 +46,20 @@ def exact_groups(docs: DataFrame, digest=sha256, salts: int = SALTS) -> DataFram
     table gives no rows.
     """
     found = classes(docs, digest, salts)
-    shared = F.count(F.lit(1)).over(Window.partitionBy("digest")) > 1  # different texts under one digest
-    found = materialize(found.withColumn("clash", shared).withColumn("content", F.when(F.col("clash"), F.col("content"))))
+    whole = found.groupBy("digest").agg(
+        F.count(F.lit(1)).alias("texts"), F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")
+    )  # without the texts: a digest of one text needs no second comparison
+    whole = materialize(whole)
+    clashing = whole.where("texts > 1").select("digest")
+    has_clash = not clashing.isEmpty()
+    keys = ["digest", "content"] if has_clash else ["digest"]
     thin = docs.select("doc_id", normalised().alias("content")).select("doc_id", "content", digest(F.col("content")).alias("digest"))
-    clashing = not found.where("clash").isEmpty()
-    keys = ["digest", "content"] if clashing else ["digest"]
     copies = Window.partitionBy(*keys, "doc_id").orderBy(F.lit(0))
     thin = thin.select("doc_id", *keys).withColumn("copy", F.row_number().over(copies))
-    if clashing:
-        plain = thin.join(found.where("not clash").drop("content"), "digest")
-        marked = plain.drop("content").unionByName(thin.join(found.where("clash"), keys).drop("content"))
-    else:
-        marked = thin.join(found.drop("content"), "digest")
+    marked = thin.join(whole.where("texts = 1").drop("texts"), "digest").drop("content")
+    if has_clash:
+        several = found.join(clashing, "digest", "left_semi")
+        marked = marked.unionByName(thin.join(several, keys).drop("content"))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
     return marked.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "digest")
 
