@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusflow.functions.text import strip_markup, tldr_from_summary
+from corpusflow.functions.text import let, strip_markup, tldr_from_summary
 
 # Converted amounts and time zones whose repetition marks a bad summary.
 AMOUNT = (
@@ -28,30 +28,37 @@ def enough_text(markdown: Column) -> Column:
 
 def parse_output(raw: Column, allowed_tags: list[str]) -> Column:
     """A summary's fields from JSON (fenced, bare or embedded), else from the legacy ``<tldr>`` form."""
-    text = F.trim(raw)
-    fenced = F.regexp_extract(text, r"(?is)```(?:json)?\s*(.*?)```", 1)
-    embedded = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    parse = lambda c: F.when(F.trim(c).startswith("{"), F.from_json(F.trim(c), "map<string,string>"))
-    valid = lambda c: F.try_parse_json(F.nullif(c, F.lit(""))).isNotNull()
-    parsed = F.when(valid(fenced), parse(fenced)).when(valid(text), parse(text)).when(valid(embedded), parse(embedded))
-    body = _text(parsed["editorial_markdown"], parsed["editorialMarkdown"], parsed["editorialmarkdown"])
-    score = F.coalesce(parsed["hot_score"], parsed["hotScore"]).try_cast("double")
-    score = F.least(F.lit(10), F.greatest(F.lit(1), F.floor(score + F.lit(0.5)))).cast("int")
     canon = F.create_map(*[F.lit(x) for t in allowed_tags for x in (t.lower(), t)])
-    tags = F.transform(F.coalesce(F.from_json(parsed["tags"], "array<string>"), F.array().cast("array<string>")), lambda t: F.try_element_at(canon, F.lower(F.trim(t))))
-    tags = F.slice(F.array_distinct(F.filter(tags, lambda t: t.isNotNull())), 1, 3)
-    legacy_tldr = F.trim(F.regexp_extract(raw, r"(?is)<tldr>(.*?)</tldr>", 1))
-    legacy_body = F.trim(F.regexp_replace(raw, r"(?is)<tldr>.*?</tldr>", ""))
-    structured = F.coalesce(body != "", F.lit(False))
-    tldr = F.when(structured, _text(parsed["tldr"])).otherwise(legacy_tldr)
-    markdown = F.when(structured, body).otherwise(legacy_body)
     none = F.array().cast("array<string>")
-    return F.struct(
-        tldr.alias("tldr"), F.when(structured, F.nullif(_text(parsed["summary_short"], parsed["summaryShort"]), F.lit(""))).alias("summary_short"),
-        F.when(structured, score).alias("hot_score"), F.when(structured, tags).otherwise(none).alias("tags"), markdown.alias("editorial_markdown"),
-        structured.alias("structured"), ((tldr != "") & enough_text(markdown)).alias("usable"),
-        F.when(structured, F.nullif(_text(parsed["translated_title"], parsed["translatedTitle"]), F.lit(""))).alias("translated_title"),
-    )
+    is_json = lambda t: t.startswith("{") & F.try_parse_json(F.nullif(t, F.lit(""))).isNotNull()
+
+    def candidates(r: Column) -> Column:
+        text = F.trim(r)
+        forms = F.array(F.trim(F.regexp_extract(text, r"(?is)```(?:json)?\s*(.*?)```", 1)), text, F.regexp_extract(text, r"(?s)(\{.*\})", 1))
+        return F.from_json(F.try_element_at(F.filter(forms, is_json), F.lit(1)), "map<string,string>")
+
+    def fields(v: Column) -> Column:
+        parsed, r = v["parsed"], v["raw"]
+        score = F.coalesce(parsed["hot_score"], parsed["hotScore"]).try_cast("double")
+        score = F.least(F.lit(10), F.greatest(F.lit(1), F.floor(score + F.lit(0.5)))).cast("int")
+        tags = F.transform(F.coalesce(F.from_json(parsed["tags"], "array<string>"), none), lambda t: F.try_element_at(canon, F.lower(F.trim(t))))
+        return F.struct(
+            r.alias("raw"), _text(parsed["editorial_markdown"], parsed["editorialMarkdown"], parsed["editorialmarkdown"]).alias("body"), score.alias("score"),
+            F.slice(F.array_distinct(F.filter(tags, lambda t: t.isNotNull())), 1, 3).alias("tags"), _text(parsed["tldr"]).alias("tldr"),
+            F.nullif(_text(parsed["summary_short"], parsed["summaryShort"]), F.lit("")).alias("short"),
+            F.nullif(_text(parsed["translated_title"], parsed["translatedTitle"]), F.lit("")).alias("title"),
+        )
+
+    def choose(v: Column) -> Column:
+        ok = F.coalesce(v["body"] != "", F.lit(False))
+        tldr = F.when(ok, v["tldr"]).otherwise(F.trim(F.regexp_extract(v["raw"], r"(?is)<tldr>(.*?)</tldr>", 1)))
+        markdown = F.when(ok, v["body"]).otherwise(F.trim(F.regexp_replace(v["raw"], r"(?is)<tldr>.*?</tldr>", "")))
+        return F.struct(
+            tldr.alias("tldr"), F.when(ok, v["short"]).alias("summary_short"), F.when(ok, v["score"]).alias("hot_score"), F.when(ok, v["tags"]).otherwise(none).alias("tags"),
+            markdown.alias("editorial_markdown"), ok.alias("structured"), ((tldr != "") & enough_text(markdown)).alias("usable"), F.when(ok, v["title"]).alias("translated_title"),
+        )
+
+    return let(raw, lambda r: let(let(F.struct(r.alias("raw"), candidates(r).alias("parsed")), fields), choose))
 
 
 def _amount_key(c: Column) -> Column:

@@ -13,6 +13,11 @@ TOP_KEYWORDS = 30
 SIGNATURE_KEYWORDS = 5
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it; keeps nested expressions small."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def squeeze(c: Column) -> Column:
     """White space (no-break space too) squeezed to single spaces and trimmed."""
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), WS, " "))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusflow.functions.text import let
+
 # The tracking parameters that are dropped.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_content", "utm_term", "fbclid", "ref")
 
@@ -27,15 +29,18 @@ def path(url: Column) -> Column:
 
 def normalize_url(url: Column, strip_slash: bool = True) -> Column:
     """Fragment and tracking parameters dropped, trailing slashes too; what is no URL stays."""
-    front = F.regexp_extract(url, r"^([^?#]*)", 1)
-    query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
-    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.regexp_extract(p, r"^([^=]*)", 1).isin(*TRACKING))
-    if strip_slash:
-        front = F.regexp_replace(front, r"/+$", "")
-    is_root = front.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*$")
-    front = F.when(is_root, F.concat(front, F.lit("/"))).otherwise(front)
-    out = F.when(F.size(kept) > 0, F.concat(front, F.lit("?"), F.array_join(kept, "&"))).otherwise(front)
-    return F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+"), out).otherwise(url)
+
+    def made(u: Column) -> Column:
+        front = F.regexp_extract(u, r"^([^?#]*)", 1)
+        query = F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1)
+        kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.regexp_extract(p, r"^([^=]*)", 1).isin(*TRACKING))
+        if strip_slash:
+            front = F.regexp_replace(front, r"/+$", "")
+        front = F.regexp_replace(front, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)$", "$1/")
+        out = let(kept, lambda k: F.concat(front, F.when(F.size(k) > 0, F.concat(F.lit("?"), F.array_join(k, "&"))).otherwise(F.lit(""))))
+        return F.when(u.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+"), out).otherwise(u)
+
+    return let(url, made)
 
 
 def _ipv4(h: Column) -> list[Column]:
@@ -59,19 +64,19 @@ def is_public_host(h: Column) -> Column:
 
 def public_url(url: Column) -> Column:
     """The normalised URL if it is public http or https, else null."""
-    ok = F.lower(url).rlike(r"^https?://") & is_public_host(host(url))
-    return F.when(ok, normalize_url(url))
+    return let(url, lambda u: F.when(F.lower(u).rlike(r"^https?://") & let(host(u), is_public_host), normalize_url(u)))
 
 
 def is_junk(url: Column) -> Column:
     """Media pages, aggregator pages without an article id, and data pages of one publisher."""
-    h, p = host(url), path(url)
-    media = p.rlike(r"/(videos?|audio|podcasts?)/")
-    msn = ((h == "msn.com") | h.endswith(".msn.com")) & ~p.rlike(r"/(ar|gm)-[a-z0-9]+")
-    bloomberg = ((h == "bloomberg.com") | h.endswith(".bloomberg.com")) & (
-        p.rlike(r"^/(quote|markets|professional|profile)\b") | p.rlike("/newsletters/") | p.rlike("^/graphics/")
-    )
-    return media | msn | bloomberg
+
+    def test(h: Column, p: Column) -> Column:
+        media = p.rlike(r"/(videos?|audio|podcasts?)/")
+        msn = ((h == "msn.com") | h.endswith(".msn.com")) & ~p.rlike(r"/(ar|gm)-[a-z0-9]+")
+        data = p.rlike(r"^/(quote|markets|professional|profile)\b") | p.rlike("/newsletters/") | p.rlike("^/graphics/")
+        return media | msn | (((h == "bloomberg.com") | h.endswith(".bloomberg.com")) & data)
+
+    return let(F.struct(host(url).alias("h"), path(url).alias("p")), lambda s: test(s["h"], s["p"]))
 
 
 def is_skipped_page(url: Column) -> Column:
@@ -83,23 +88,27 @@ def is_skipped_page(url: Column) -> Column:
 
 def link_score(url: Column, title: Column, source_url: Column) -> Column:
     """How much a link looks like an article of its source; 0 for other hosts, utility pages and social links."""
-    p = path(url)
-    parts = F.filter(F.split(p, "/"), lambda s: s != "")
-    slug = F.coalesce(F.element_at(parts, -1), F.lit(""))
-    slug = F.when(F.size(parts) > 0, slug).otherwise(F.lit(""))
-    yahoo = F.lower(source_url).rlike(r"^https?://profiles\.yahoo\.com")
-    other = F.when(yahoo, ~host(url).endswith("yahoo.com")).otherwise(host(url) != host(source_url))
-    utility = p.rlike(r"/(tag|tags|author|login|subscribe|search|category|privacy|about|contact)\b")
-    social = F.lower(url).rlike(r"facebook|twitter|x\.com|linkedin|mailto:|javascript:")
-    points = (
-        F.when(p.rlike(r"/20\d{2}[/-]") | p.rlike(r"/\d{4}/\d{2}/"), 5).otherwise(0)
-        + F.when(p.rlike(r"/(news|world|business|technology|tech|article|story|politics|markets)\b"), 4).otherwise(0)
-        + F.when((F.length(slug) >= 24) & slug.rlike("[-_]"), 4).otherwise(0)
-        + F.when(F.length(title) >= 24, 3).otherwise(0)
-        + F.when(F.length(title) >= 50, 2).otherwise(0)
-        + F.when(F.size(parts) >= 2, 1).otherwise(0)
-    )
-    return F.when(other | utility | social, 0).otherwise(points)
+
+    def score(v: Column) -> Column:
+        p, parts, h, sh = v["p"], v["parts"], v["h"], v["sh"]
+        slug = F.when(F.size(parts) > 0, F.element_at(parts, -1)).otherwise(F.lit(""))
+        other = F.when(v["yahoo"], ~h.endswith("yahoo.com")).otherwise(h != sh)
+        utility = p.rlike(r"/(tag|tags|author|login|subscribe|search|category|privacy|about|contact)\b")
+        points = (
+            F.when(p.rlike(r"/20\d{2}[/-]") | p.rlike(r"/\d{4}/\d{2}/"), 5).otherwise(0)
+            + F.when(p.rlike(r"/(news|world|business|technology|tech|article|story|politics|markets)\b"), 4).otherwise(0)
+            + F.when((F.length(slug) >= 24) & slug.rlike("[-_]"), 4).otherwise(0)
+            + F.when(F.size(parts) >= 2, 1).otherwise(0)
+        )
+        return F.when(other | utility | v["social"], 0).otherwise(points + v["title"])
+
+    n = F.length(title)
+    facts = F.struct(
+        path(url).alias("p"), F.filter(F.split(path(url), "/"), lambda s: s != "").alias("parts"), host(url).alias("h"), host(source_url).alias("sh"),
+        F.lower(source_url).rlike(r"^https?://profiles\.yahoo\.com").alias("yahoo"), F.lower(url).rlike(r"facebook|twitter|x\.com|linkedin|mailto:|javascript:").alias("social"),
+        (F.when(n >= 24, 3).otherwise(0) + F.when(n >= 50, 2).otherwise(0)).alias("title"),
+    )
+    return let(facts, score)
 
 
 def fetcher_key(url: Column, kind: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusflow.plans import q_feed, q_sources, q_stats, q_text
+from corpusflow.plans import q_feed, q_sources, q_stats, q_streams, q_text
 
-FAMILIES = (q_feed, q_stats, q_text, q_sources)
+FAMILIES = (q_feed, q_stats, q_text, q_sources, q_streams)
 
 
 def queries() -> dict:

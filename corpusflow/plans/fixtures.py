@@ -114,7 +114,10 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def access_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events")
+    return access_lines_of(read(spark, sf_dir, "events"))
+
+
+def access_lines_of(e: DataFrame) -> DataFrame:
     i = F.col("event_id")
     agent = F.when(i % 5 == 0, "Googlebot/2.1").otherwise("Mozilla/5.0")
     route = F.when(i % 17 == 0, "/wp-login.php").otherwise(F.concat(F.lit("/"), F.col("event_type"), F.lit("/"), (i % 70).cast("string")))

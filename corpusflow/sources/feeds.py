@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusflow.functions.dates import normalize_date
-from corpusflow.functions.text import html_to_text, squeeze
+from corpusflow.functions.text import html_to_text, let, squeeze
 from corpusflow.functions.url import host, is_junk, public_url
 from corpusflow.operators.merge import first_per
 
@@ -63,8 +63,7 @@ def feed_diagnostics(xml: Column) -> Column:
 
 def recovered_url(link: Column, content: Column, source_url: Column) -> Column:
     """The article's own URL out of an aggregator's description."""
-    h = host(source_url)
-    aggregator = (h == "hnrss.org") | h.endswith(".hnrss.org") | link.contains("news.ycombinator.com/item")
+    aggregator = let(host(source_url), lambda h: (h == "hnrss.org") | h.endswith(".hnrss.org")) | link.contains("news.ycombinator.com/item")
     found = F.regexp_extract(html_to_text(content), r"(?i)Article URL:\s*(https?://\S+?)(?=\s+Comments URL:|\s+Points:|\s+# Comments:|$)", 1)
     return F.when(aggregator, F.coalesce(public_url(F.nullif(found, F.lit(""))), link)).otherwise(link)
 
