@@ -28,30 +28,41 @@ SEGMENTS, WIDTH = 16, 4
 BLOCK = 1 << 16
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """Majority vote of the XXH64 values (seed 42) of the word shingles, repeats included; 0 without words.
+def shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """XXH64 values (seed 42) of the word shingles, repeats included, in bounded blocks; nothing without words.
 
-    ASCII letters are lower-cased; words are runs without ASCII white space.
+    ASCII letters are lower-cased; words are runs without ASCII white space; a
+    text of fewer words is one shingle.
     """
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return 0
+        return
     flat = b" ".join(tokens)
     lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths).tolist()
     ends = ends.tolist()
-    k = min(words, len(tokens))
-    n, digest = len(tokens) - k + 1, xxhash.xxh64_intdigest
-    votes = np.zeros(64, np.int64)
-    for at in range(0, n, BLOCK):  # bounded memory for very long texts
+    k, digest = min(words, len(tokens)), xxhash.xxh64_intdigest
+    n = len(tokens) - k + 1
+    for at in range(0, n, BLOCK):
         upto = min(n, at + BLOCK)
-        hashes = [digest(flat[s:e], 42) for s, e in zip(starts[at:upto], ends[at + k - 1 : upto + k - 1], strict=True)]
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        votes += bits.sum(axis=0, dtype=np.int64)
+        yield np.array([digest(flat[s:e], 42) for s, e in zip(starts[at:upto], ends[at + k - 1 : upto + k - 1], strict=True)], "<u8")
+
+
+def majority(blocks: list[np.ndarray]) -> int:
+    """The word whose bits are set in over half of the values; 0 without values."""
+    votes, n = np.zeros(64, np.int64), 0
+    for hashes in blocks:
+        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """Majority vote of the hashes of the word shingles; 0 without words."""
+    return majority(list(shingle_hashes(text, words)))
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """``(doc_id, fp)`` of every row; ``fp`` is the 64-bit fingerprint as a signed long.  Null text counts as empty."""
 
@@ -124,14 +135,80 @@ def hex_fingerprint(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each near-duplicate component, the smallest ``doc_id``.
+BANDS, SAMPLE = 10, 3
+_MIX = np.random.default_rng(6).integers(1, 1 << 63, BANDS, np.uint64) | np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """One key per band: a hash of the ``SAMPLE`` shingles that are smallest under the band's own mixing."""
+    out = []
+    for mix in _MIX:
+        v = (hashes ^ (hashes >> np.uint64(31))) * mix
+        v ^= v >> np.uint64(29)
+        v *= np.uint64(0xBF58476D1CE4E5B9)
+        low = np.sort(np.partition(v, SAMPLE - 1)[:SAMPLE] if len(v) > SAMPLE else v)
+        out.append(xxhash.xxh64_intdigest(low.tobytes()) - (1 << 63))
+    return out
+
+
+def alike(a: str | None, b: str | None, words: int, least: float) -> bool:
+    """Whether the Jaccard similarity of the two sets of shingles is ``least`` or more."""
+    x, y = (set(np.concatenate([np.zeros(0, "<u8"), *shingle_hashes(t, words)]).tolist()) for t in (a, b))
+    common = len(x & y)
+    return common >= least * (len(x) + len(y) - common)
+
+
+def similar_links(rows: DataFrame, sketches: DataFrame, words: int, least: float) -> DataFrame:
+    """Links ``(a, b)`` of similarity ``least`` or more, checked on whole texts.
 
-    Of rows that repeat that ``doc_id`` the one with the smallest text stays; a
-    component without any ``doc_id`` keeps one row.  Columns are unchanged.
+    Documents that share a band key meet the smallest and the largest node of that
+    key; at similarity 0.8 a pair misses all ten bands about once in a thousand.
     """
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    ids = near_duplicates(docs, words).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("__key")).distinct()
-    kept = docs.withColumn("__key", key).join(ids, "__key", "left_semi")
-    one = Window.partitionBy("__key").orderBy(F.col("text").asc_nulls_first())
+    keyed = sketches.select("node", "fp", F.posexplode("keys").alias("band", "key"))
+    ends = keyed.groupBy("band", "key").agg(F.min(F.struct("node", "fp")).alias("lo"), F.max(F.struct("node", "fp")).alias("hi")).where("lo.node <> hi.node")
+    met = keyed.join(ends, ["band", "key"]).select("node", "fp", F.explode(F.array("lo", "hi")).alias("other"))
+    pairs = materialize(met.where("node <> other.node and fp <> other.fp").select(F.greatest("node", "other.node").alias("a"), F.least("node", "other.node").alias("b")).distinct())
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = rows.join(needed, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = pa.array([alike(x.as_py(), y.as_py(), words, least) for x, y in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(keep)
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that stay: one document, the smallest ``doc_id``, of each group of near copies.
+
+    Documents are linked if their fingerprints differ in 2 bits or fewer, and,
+    since texts of similarity 0.8 differ in 4 to 18 bits, also if they share a
+    sample of minimal shingles and their whole texts have similarity ``least``.
+    A null ``doc_id`` loses to any other and stands for its text; of rows that
+    repeat an id the one with the smallest text stays.  Columns are unchanged.
+    """
+    stand_in = F.lit(1 << 62) + F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1))
+    node = F.coalesce(F.col("doc_id").cast("long"), stand_in)
+    rows = docs.select(node.alias("node"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [list(shingle_hashes(t.as_py(), words)) for t in batch.column(1)]
+            fps = np.array([majority(f) for f in found], np.uint64).view(np.int64)
+            keys = [band_keys(np.unique(np.concatenate(f))) if f else [] for f in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array(keys, pa.list_(pa.int64()))], names=["node", "fp", "keys"])
+
+    sketches = materialize(rows.mapInArrow(run, "node long, fp long, keys array<long>"))
+    first = materialize(sketches.groupBy("fp").agg(F.min("node").alias("b")))
+    own = sketches.join(first, "fp").select(F.col("node").alias("a"), "b").where("a <> b")
+    fp_links = links(first.select("fp"))
+    lo, hi = first.select(F.col("fp").alias("a"), F.col("b").alias("na")), first.select(F.col("fp").alias("b"), F.col("b").alias("nb"))
+    near = fp_links.join(lo, "a").join(hi, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    edges = own.unionByName(near).unionByName(similar_links(rows, sketches, words, least))
+    gone = connected_components(edges).where("node <> component").select(F.col("node").alias("__node"))
+    kept = docs.withColumn("__node", node).join(materialize(gone), "__node", "left_anti")
+    one = Window.partitionBy("__node").orderBy(F.col("text").asc_nulls_first())
     return kept.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*[docs[c] for c in docs.columns])

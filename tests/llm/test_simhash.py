@@ -94,7 +94,32 @@ def test_whole_table_matches_brute_force(spark, sf):
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, fp string, component_id int")
     got = sorted(((r.doc_id, r.component_id) for r in S.near_duplicates(df).collect()), key=str)
     assert got == classes([(i, brute(t)) for i, t in rows])
-    kept = S.keep_one(df.select("doc_id", "text", "fp"), 3)
-    ids = [r.doc_id for r in kept.collect()]
-    assert len(ids) == len({c for _, c in got}) and kept.columns == ["doc_id", "text", "fp"]
     assert S.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_one_of_each_group_of_near_copies_stays(spark, sf):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(4000)]
+    base = [rng.choices(words, k=rng.randint(60, 400)) for _ in range(60)]
+    rows, group = [], {}
+    for g, w in enumerate(base):
+        for c in range(rng.randint(1, 5)):
+            t = list(w)
+            if c:
+                t[rng.randrange(len(t))] = f"edit{c}"
+            group[len(rows)] = g
+            rows.append((len(rows), " ".join(t)))
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, fp string, node int")
+    odd = spark.createDataFrame([(None, "alone and without a number", "x", 1), (None, "another one without a number", "x", 1), (9_000, None, "x", 1), (9_001, "", "x", 1), (9_002, "twice", "x", 1), (9_002, "twice", "x", 1)], df.schema)
+    kept = S.keep_one(df.unionByName(odd))
+    assert kept.columns == df.columns
+    ids = [r.doc_id for r in kept.collect()]
+    alike = {}
+    for i, t in rows:
+        leader = next((j for j, u in rows[: i + 1] if group[j] == group[i] and S.alike(t, u, 5, 0.8)), i)
+        alike[i] = leader
+    want = {alike[i] for i, _ in rows if alike[i] == i}
+    got = {i for i in ids if i is not None and i < 9_000}
+    assert got <= {i for i, _ in rows} and len(got ^ want) <= 1 and len({group[i] for i in got}) == len(base)
+    assert sorted(i for i in ids if i is not None and i >= 9_000) == [9_000, 9_002] and ids.count(None) == 2
+    assert S.keep_one(df.limit(0)).count() == 0
