@@ -1,8 +1,8 @@
 import hashlib
 import random
+import unicodedata
 
 import public_tokenizers
-import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -27,8 +27,8 @@ def test_minimal_perfect_hash_finds_every_entry_and_nothing_else():
 @given(st.text(alphabet=st.characters(codec="utf-8", max_codepoint=0x2FFF), max_size=60))
 def test_ids_match_a_known_encoder_and_decode(text):
     ids = CODEC.encode(text).tolist()
-    assert bpe.Codec.decode(CODEC, ids) == text.encode()
-    if all(F is not None and __import__("unicodedata").category(c) != "Cn" for c in text):
+    assert CODEC.decode(ids) == text.encode()
+    if all(unicodedata.category(c) != "Cn" for c in text):  # newer letters than the other library knows
         assert ids == KNOWN.encode_ordinary(text)
 
 
@@ -50,6 +50,5 @@ def test_operator_over_the_whole_table(spark, sf):
         assert list(r.ids) == want and r.sha == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("n", [0])
-def test_empty_table(spark, n):
-    assert bpe.encode_decode(spark.createDataFrame([], "doc_id long, text string"), PATH, public_tokenizers.PATTERN).count() == n
+def test_empty_table(spark):
+    assert bpe.encode_decode(spark.createDataFrame([], "doc_id long, text string"), PATH, public_tokenizers.PATTERN).count() == 0
