@@ -31,10 +31,9 @@ IDENTITY = (
 SWAP = {group[i]: group[(i + 1) % len(group)] for group in IDENTITY for i in range(len(group))}
 _WORD = re.compile(r"[^\W\d_]+")
 #: At most about this many labelled rows are fitted, with so many chosen parts.
-SAMPLE = 12_000
+SAMPLE = 5_000
 FEATURES = 500
 PENALTY = 10.0
-BUCKETS = 1 << 21
 
 
 def words_of(text: str | None) -> set[str]:
@@ -46,7 +45,7 @@ def parts(word: str) -> set[int]:
     raw = word.encode("utf-8", "surrogatepass")
     n = len(raw)
     out = {crc32(raw, 1), *[crc32(raw[:k], 2) for k in range(3, min(n, 9))], *[crc32(raw[-k:], 3) for k in range(3, min(n, 7))]}
-    return {h & (BUCKETS - 1) for h in out}
+    return {h - (1 << 32) if h >> 31 else h for h in out}  # as signed 32-bit numbers
 
 
 def part_sets(texts) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
@@ -112,29 +111,28 @@ def fit(
     n1, n0 = float(y.sum()), float(len(y) - y.sum())
     if not n1 or not n0:
         return Model({}, 4.0 if n1 else -4.0)
-    a, b = (
-        np.bincount(np.concatenate([np.zeros(0, np.int32), *[bag for bag, v in zip(bags, y, strict=True) if v == side]]), minlength=BUCKETS).astype(float)
-        for side in (1, 0)
-    )
+    ids, a = np.unique(np.concatenate([np.zeros(0, np.int32), *[bag for bag, v in zip(bags, y, strict=True) if v]]), return_counts=True)
+    b = np.zeros(len(ids))
+    for bag, v in zip(bags, y, strict=True):
+        if not v:
+            place = np.minimum(np.searchsorted(ids, bag), len(ids) - 1) if len(ids) else np.zeros(0, int)
+            b[place[ids[place] == bag]] += 1
     share = (a + b) / (n1 + n0)
     with np.errstate(divide="ignore", invalid="ignore"):
         cells = ((a, n1 * share), (b, n0 * share), (n1 - a, n1 * (1 - share)), (n0 - b, n0 * (1 - share)))
         gain = 2 * sum(np.where((o > 0) & (e > 0), o * np.log(o / e), 0) for o, e in cells)
     gain[(a + b < 3) | (a / n1 <= b / n0)] = 0
     best = np.argsort(-gain, kind="stable")[:features]
-    best = best[gain[best] > 15]
+    best = ids[best[gain[best] > 15]]
     moved = [i for i, s in enumerate(swaps) if s is not None]
     changed = [np.setxor1d(bags[i], swaps[i]) for i in moved]
-    chosen = np.unique(np.concatenate([best, *changed])).astype(np.int64)
-    at = np.full(BUCKETS, -1)
-    at[chosen] = np.arange(len(chosen))
+    chosen = np.unique(np.concatenate([best, *changed])).astype(np.int32)
 
     def matrix(sets: list[np.ndarray]) -> np.ndarray:
         m = np.zeros((len(sets), len(chosen) + 1))
         m[:, -1] = 1
         for r, bag in enumerate(sets):
-            cols = at[bag]
-            m[r, cols[cols >= 0]] = 1
+            m[r, np.flatnonzero(np.isin(chosen, bag))] = 1
         return m
 
     x = matrix(bags)
@@ -165,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(bags, kind), pa.array(swaps, kind)], names=["toxic", "bag", "swap"])
 
     got = rows.mapInArrow(run, "toxic int, bag array<int>, swap array<int>").sort("toxic", "bag").toArrow()  # a bounded sample
-    bags, swaps = ([None if v.as_py() is None else np.array(v.as_py(), np.int32) for v in got.column(k)] for k in (1, 2))
+    bags, swaps = ([None if v.values is None else v.values.to_numpy() for v in got.column(k)] for k in (1, 2))
     return fit(bags, swaps, [int(v > 0) for v in got.column(0).to_pylist()])
 
 
