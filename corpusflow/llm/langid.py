@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.llm.sampling import bounded
 
-SAMPLE = 4_000
+SAMPLE = 2_500
 BUCKETS = 1 << 16
 DIM = 16
 ORDERS = (1, 2, 3, 4)
@@ -90,7 +90,7 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], langs: list[str], epochs: int
     order = rng.permutation(len(bags))
     held, used = order[: len(bags) // 5], order[len(bags) // 5 :]
 
-    shares = [n / n.sum() for _, n in bags]
+    shares = [(n / n.sum()).astype(np.float32) for _, n in bags]
 
     def hidden(rows: np.ndarray) -> np.ndarray:
         return np.array([shares[i] @ emb[bags[i][0]] for i in rows]).reshape(-1, DIM)
@@ -139,7 +139,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
     got = chosen.select("lang", "text").mapInArrow(run, "lang string, g array<int>, n array<int>").sort("lang", "g").toArrow()  # a bounded sample
     lists = [
-        (np.asarray(g.values, np.int64), np.asarray(n.values, np.float64)) for g, n in zip(got.column("g"), got.column("n"), strict=True)
+        (g.values.to_numpy(), n.values.to_numpy()) for g, n in zip(got.column("g"), got.column("n"), strict=True)
     ]
     return fit(lists, got.column("lang").to_pylist())
 
