@@ -13,7 +13,11 @@ block is then repaired by itself, with the result of repairing it whole.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,6 +47,7 @@ def known_role(role: str | None) -> str | None:
     return name if name in ROLES else ALIASES.get(name)
 
 
+@lru_cache(maxsize=4096)
 def moves(state: int, role: str | None) -> list[tuple[int, int, str, str, tuple[str, ...]]]:
     """``(cost, next state, final role, keep or merge, inserted roles)`` for one turn, in order of preference."""
     own, out = known_role(role), []
@@ -119,37 +124,56 @@ def _cut_states(frame: pd.DataFrame) -> pd.DataFrame:
     return frame[["conv", "block"]].assign(enter=states[:-1], leave=states[1:])
 
 
-def repair_block(frame: pd.DataFrame) -> pd.DataFrame:
-    """Repairs the turns of one block and renders each as a piece; pieces in order give the conversation."""
-    frame = frame.sort_values(["turn", "role", "text"], na_position="last", kind="stable") if frame["at"].isna().any() else frame.sort_values("at")
-    start, leave, last = int(frame["enter"].iloc[0]), frame["leave"].iloc[0], bool(frame["last"].iloc[0])
-    _, chosen = solve(frame["role"].tolist(), start, None if last else int(leave))
-    state, out = start, []
-    for (_, nxt, final, how, extra), text, role in zip(chosen, frame["text"], frame["role"], strict=True):
-        piece = ""
+COLUMNS = ("conv", "block", "place", "turn", "role", "role_out", "action", "inserted_before", "inserted_after", "piece")
+MADE = "conv string, block long, place int, turn long, role string, role_out string, action string, inserted_before string, inserted_after string, piece string"
+
+
+def repair_block(rows: list[dict]) -> Iterator[tuple]:
+    """Repairs the turns of one block, in order, and renders each as a piece; pieces in order give the conversation."""
+    start, leave, last = rows[0]["enter"], rows[0]["leave"], rows[0]["last"]
+    _, chosen = solve([r["role"] for r in rows], start, None if last else leave)
+    state = start
+    for place, (row, (_, nxt, final, how, extra)) in enumerate(zip(rows, chosen, strict=True), 1):
+        text, piece, after = row["text"] or "", "", ""
         if how == "keep":
             open_ = "" if state == START else "<|im_end|>\n"
             for name in extra:
                 piece += f"{open_}<|im_start|>{name}\n"
                 open_ = "<|im_end|>\n"
-            piece += f"{open_}<|im_start|>{final}\n{text or ''}"
+            piece += f"{open_}<|im_start|>{final}\n{text}"
         else:
-            piece = f"\n{text or ''}"
-        action = how if final == known_role(role) else "relabel" if how == "keep" else "relabel+merge"
-        out.append((final, action, ",".join(extra), piece))
+            piece = f"\n{text}"
+        if last and place == len(rows):
+            after = ",".join(AT_END[nxt])
+            piece += "".join(f"<|im_end|>\n<|im_start|>{name}\n" for name in AT_END[nxt]) + "<|im_end|>\n"
+        action = how if final == known_role(row["role"]) else "relabel" if how == "keep" else "relabel+merge"
+        yield row["conv"], row["block"], place, row["turn"], row["role"], final, action, ",".join(extra), after, piece
         state = nxt
-    final, action, extra, piece = (list(c) for c in zip(*out, strict=True))
-    tail = ""
-    if last:
-        for name in AT_END[state]:
-            tail += f"<|im_end|>\n<|im_start|>{name}\n"
-        piece[-1] += tail + "<|im_end|>\n"
-    after = [""] * (len(piece) - 1) + [",".join(AT_END[state]) if last else ""]
-    first = int(frame["block"].iloc[0])
-    return pd.DataFrame({
-        "conv": frame["conv"].to_numpy(), "block": first, "place": range(1, len(piece) + 1), "turn": frame["turn"].to_numpy(), "role": frame["role"].to_numpy(),
-        "role_out": final, "action": action, "inserted_before": extra, "inserted_after": after, "piece": piece,
-    })
+
+
+def repair_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Repairs a stream of turns sorted by conversation and block, one block in memory at a time."""
+    kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), *[pa.string()] * 6)
+    block: list[dict] = []
+    out: list[tuple] = []
+
+    def made() -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) if out else [()] * len(COLUMNS)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=list(COLUMNS))
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if block and (row["conv"], row["block"]) != (block[0]["conv"], block[0]["block"]):
+                out += repair_block(block)
+                block = []
+                if len(out) >= 2000:
+                    yield made()
+                    out = []
+            block.append(row)
+    if block:
+        out += repair_block(block)
+    if out:
+        yield made()
 
 
 def repair(turns: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -167,9 +191,7 @@ def repair(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     base = turns.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("\x00null")).alias("conv"), "conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     sizes = base.groupBy("conv").agg(F.count(F.lit(1)).alias("n"), F.min("conv_id").alias("conv_id"))
     long = materialize(sizes.where(F.col("n") > block))
-    shape = "conv string, turn long, role string, text string, at long, block long, enter int, leave int, last boolean"
     blank = [F.lit(None).cast("long").alias("at"), F.lit(0).cast("long").alias("block"), F.lit(START).alias("enter"), F.lit(None).cast("int").alias("leave"), F.lit(True).alias("last")]
-    made = "conv string, block long, place int, turn long, role string, role_out string, action string, inserted_before string, inserted_after string, piece string"
     if long.isEmpty():
         ready = base.select("conv", "turn", "role", "text", *blank)
     else:
@@ -187,8 +209,9 @@ def repair(turns: DataFrame, block: int = BLOCK) -> DataFrame:
         states = states.withColumn("last", final)
         long_ready = cut.join(states, ["conv", "block"]).select("conv", "turn", "role", "text", "at", "block", "enter", "leave", "last")
         ready = short.unionByName(long_ready)
-    assert [f.name for f in ready.schema.fields] == [c.split()[0] for c in shape.split(", ")]
-    done = ready.groupBy("conv", "block").applyInPandas(repair_block, made)
+    # Blocks are dealt by a hash and come sorted, so a task streams through them.
+    dealt = ready.repartition("conv", "block").sortWithinPartitions("conv", "block", F.col("at").asc_nulls_last(), *order)
+    done = dealt.mapInArrow(repair_sorted, MADE)
     kind = turns.schema["conv_id"].dataType
     conv_id = F.when(F.col("conv") != "\x00null", F.col("conv")).cast(kind)
     position = (F.col("block") * block + F.col("place")).alias("position")
