@@ -158,16 +158,8 @@ def alike(a: str | None, b: str | None, words: int, least: float) -> bool:
     return common >= least * (len(x) + len(y) - common)
 
 
-def similar_links(rows: DataFrame, sketches: DataFrame, words: int, least: float) -> DataFrame:
-    """Links ``(a, b)`` of similarity ``least`` or more, checked on whole texts.
-
-    Documents that share a band key meet the smallest and the largest node of that
-    key; at similarity 0.8 a pair misses all ten bands about once in a thousand.
-    """
-    keyed = sketches.select("node", "fp", F.posexplode("keys").alias("band", "key"))
-    ends = keyed.groupBy("band", "key").agg(F.min(F.struct("node", "fp")).alias("lo"), F.max(F.struct("node", "fp")).alias("hi")).where("lo.node <> hi.node")
-    met = keyed.join(ends, ["band", "key"]).select("node", "fp", F.explode(F.array("lo", "hi")).alias("other"))
-    pairs = materialize(met.where("node <> other.node and fp <> other.fp").select(F.greatest("node", "other.node").alias("a"), F.least("node", "other.node").alias("b")).distinct())
+def verified(rows: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
+    """Those of the pairs ``(a, b)`` whose whole texts have similarity ``least`` or more."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = rows.join(needed, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
     left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
@@ -181,12 +173,94 @@ def similar_links(rows: DataFrame, sketches: DataFrame, words: int, least: float
     return both.mapInArrow(run, "a long, b long")
 
 
+def similar_links(rows: DataFrame, sketches: DataFrame, words: int, least: float) -> DataFrame:
+    """Links ``(a, b)`` of similarity ``least`` or more between a document and the ends of its band keys.
+
+    They join most near copies cheaply; ``prefix_links`` finds the pairs that are left.
+    """
+    keyed = sketches.select("node", "fp", F.posexplode("keys").alias("band", "key"))
+    ends = keyed.groupBy("band", "key").agg(F.min(F.struct("node", "fp")).alias("lo"), F.max(F.struct("node", "fp")).alias("hi")).where("lo.node <> hi.node")
+    met = keyed.join(ends, ["band", "key"]).select("node", "fp", F.explode(F.array("lo", "hi")).alias("other"))
+    pairs = materialize(met.where("node <> other.node and fp <> other.fp").select(F.greatest("node", "other.node").alias("a"), F.least("node", "other.node").alias("b")).distinct())
+    return verified(rows, pairs, words, least)
+
+
+HOT_DOCS, HOT_SEEN = 20_000, 20
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, "<u8"), *shingle_hashes(text, words)]))
+
+
+def hot_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, sorted, that ``HOT_SEEN`` or more of about ``HOT_DOCS`` documents hold, and how many hold them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), words).view(np.int64))], names=["key"])
+
+    step = max(1, -(-rows.count() // HOT_DOCS))
+    some = rows.where(F.pmod(F.xxhash64("node", "text"), F.lit(step)) == 0).select("text")
+    found = some.mapInArrow(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_SEEN).toArrow()
+    keys = found.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], found.column("n").to_numpy()[order]
+
+
+def rare_prefix(hashes: np.ndarray, hot: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The first shingles of a set, rare ones first, of which a set of similarity ``least`` must hold one in its own prefix."""
+    n = len(hashes)
+    size = n - int(np.ceil(least * n - 1e-9)) + 1
+    keys, seen = hot
+    count = np.zeros(n, np.int64)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        count = np.where(keys[at] == hashes, seen[at], 0)
+    return hashes[np.lexsort((hashes, count))[:size]]
+
+
+def prefix_links(rows: DataFrame, parts: DataFrame, words: int, least: float) -> DataFrame:
+    """All links ``(a, b)`` of similarity ``least`` or more between documents of different parts; ``parts(node, component)`` lacks single ones.
+
+    Exact: with shingles in any one order, sets of that similarity share a shingle
+    of both prefixes (``rare_prefix``), and the first one they share leaves room
+    for the overlap they need.  The counts behind the order only make keys rare.
+    Only keys that two parts hold are joined, and a key's largest part is not
+    joined with itself.
+    """
+    hot = rows.sparkSession.sparkContext.broadcast(hot_shingles(rows, words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t.as_py(), words) for t in batch.column(1)]
+            firsts = [rare_prefix(f, hot.value, least).view(np.int64) if len(f) else np.zeros(0, np.int64) for f in found]
+            sizes = pa.array([len(f) for f in found], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(firsts, pa.list_(pa.int64()))], names=["node", "n", "prefix"])
+
+    sized = parts.join(parts.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component")
+    known = sized.select("node", "component", "members")
+    firsts = rows.mapInArrow(run, "node long, n int, prefix array<long>").join(known, "node", "left")
+    placed = materialize(firsts.select("node", "n", "prefix", F.coalesce("members", F.lit(1)).cast("int").alias("members"), F.coalesce("component", "node").alias("part")))
+    keyed = placed.select("node", "n", "members", "part", F.posexplode("prefix").alias("at", "key"))
+    shared = keyed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
+    held = materialize(keyed.join(materialize(shared), "key"))
+    largest = held.groupBy("key").agg(F.max(F.struct("members", "part"))["part"].alias("largest"))
+    x, y = held.join(materialize(largest), "key").where("part <> largest").alias("x"), held.alias("y")
+    need = (F.col("x.n") + F.col("y.n")) * F.lit(least / (1 + least)) - 1e-6
+    room = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & (room >= need))
+    pairs = materialize(met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct())
+    return verified(rows, pairs, words, least)
+
+
 def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that stay: one document, the smallest ``doc_id``, of each group of near copies.
 
     Documents are linked if their fingerprints differ in 2 bits or fewer, and,
-    since texts of similarity 0.8 differ in 4 to 18 bits, also if they share a
-    sample of minimal shingles and their whole texts have similarity ``least``.
+    since texts of similarity 0.8 differ in 4 to 18 bits, also if their whole texts
+    have similarity ``least``; every such pair that is not yet linked through
+    others is found by an exact prefix join.
     A null ``doc_id`` loses to any other and stands for its text; of rows that
     repeat an id the one with the smallest text stays.  Columns are unchanged.
     """
@@ -207,7 +281,9 @@ def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     fp_links = links(first.select("fp"))
     lo, hi = first.select(F.col("fp").alias("a"), F.col("b").alias("na")), first.select(F.col("fp").alias("b"), F.col("b").alias("nb"))
     near = fp_links.join(lo, "a").join(hi, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    edges = own.unionByName(near).unionByName(similar_links(rows, sketches, words, least))
+    edges = materialize(own.unionByName(near).unionByName(similar_links(rows, sketches, words, least)))
+    parts = materialize(connected_components(edges))
+    edges = edges.unionByName(prefix_links(rows, parts, words, least))
     gone = connected_components(edges).where("node <> component").select(F.col("node").alias("__node"))
     kept = docs.withColumn("__node", node).join(materialize(gone), "__node", "left_anti")
     one = Window.partitionBy("__node").orderBy(F.col("text").asc_nulls_first())

@@ -123,3 +123,34 @@ def test_one_of_each_group_of_near_copies_stays(spark, sf):
     assert got <= {i for i, _ in rows} and len(got ^ want) <= 1 and len({group[i] for i in got}) == len(base)
     assert sorted(i for i in ids if i is not None and i >= 9_000) == [9_000, 9_002] and ids.count(None) == 2
     assert S.keep_one(df.limit(0)).count() == 0
+
+
+def test_pairs_behind_a_hub_passage_are_found(spark):
+    rng = random.Random(11)
+    fresh = lambda n: [f"f{rng.getrandbits(60)}" for _ in range(n)]
+    hub = fresh(240)
+    texts = [hub + fresh(60) for _ in range(100)] + [fresh(60) + hub for _ in range(2)]
+    for at in range(50):  # pairs of similarity 0.8 or a little more, in the middle of the ids
+        tail = fresh(60)
+        texts[25 + at] = hub + tail
+        texts.append(hub[:33] + hub[66:] + tail) if at % 2 else texts.append(hub + tail[:30] + fresh(8))
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: set(S.shingle_set(t, 5).tolist()) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    fp = {i: S.fingerprint(t, 5) for i, t in rows}
+    for i in sets:
+        for j in sets:
+            common = len(sets[i] & sets[j])
+            if j < i and (common >= 0.8 * (len(sets[i]) + len(sets[j]) - common) or bin(fp[i] ^ fp[j]).count("1") <= 2):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    want = sorted(i for i in sets if find(i) == i)
+    assert sorted(r.doc_id for r in S.keep_one(df).collect()) == want and len(want) < len(rows)
