@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusflow.llm.components import connected_components
-from corpusflow.runtime import materialize
+from corpusflow.runtime import global_rank, materialize
 
 SEGMENTS, WIDTH = 16, 4
 BLOCK = 1 << 16
@@ -158,10 +158,10 @@ def alike(a: str | None, b: str | None, words: int, least: float) -> bool:
     return common >= least * (len(x) + len(y) - common)
 
 
-def verified(rows: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
+def verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
     """Those of the pairs ``(a, b)`` whose whole texts have similarity ``least`` or more."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = rows.join(needed, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    texts = rows.join(nodes.join(needed, "node"), ["id", "digest"]).groupBy("node").agg(F.min("text").alias("text"))
     left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
@@ -173,7 +173,7 @@ def verified(rows: DataFrame, pairs: DataFrame, words: int, least: float) -> Dat
     return both.mapInArrow(run, "a long, b long")
 
 
-def similar_links(rows: DataFrame, sketches: DataFrame, words: int, least: float) -> DataFrame:
+def similar_links(rows: DataFrame, nodes: DataFrame, sketches: DataFrame, words: int, least: float) -> DataFrame:
     """Links ``(a, b)`` of similarity ``least`` or more between a document and the ends of its band keys.
 
     They join most near copies cheaply; ``prefix_links`` finds the pairs that are left.
@@ -182,7 +182,7 @@ def similar_links(rows: DataFrame, sketches: DataFrame, words: int, least: float
     ends = keyed.groupBy("band", "key").agg(F.min(F.struct("node", "fp")).alias("lo"), F.max(F.struct("node", "fp")).alias("hi")).where("lo.node <> hi.node")
     met = keyed.join(ends, ["band", "key"]).select("node", "fp", F.explode(F.array("lo", "hi")).alias("other"))
     pairs = materialize(met.where("node <> other.node and fp <> other.fp").select(F.greatest("node", "other.node").alias("a"), F.least("node", "other.node").alias("b")).distinct())
-    return verified(rows, pairs, words, least)
+    return verified(rows, nodes, pairs, words, least)
 
 
 HOT_DOCS, HOT_SEEN = 20_000, 20
@@ -201,7 +201,7 @@ def hot_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), words).view(np.int64))], names=["key"])
 
     step = max(1, -(-rows.count() // HOT_DOCS))
-    some = rows.where(F.pmod(F.xxhash64("node", "text"), F.lit(step)) == 0).select("text")
+    some = rows.where(F.pmod(F.xxhash64("id", "digest"), F.lit(step)) == 0).select("text")
     found = some.mapInArrow(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_SEEN).toArrow()
     keys = found.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
@@ -220,7 +220,7 @@ def rare_prefix(hashes: np.ndarray, hot: tuple[np.ndarray, np.ndarray], least: f
     return hashes[np.lexsort((hashes, count))[:size]]
 
 
-def prefix_links(rows: DataFrame, parts: DataFrame, words: int, least: float) -> DataFrame:
+def prefix_links(rows: DataFrame, nodes: DataFrame, parts: DataFrame, words: int, least: float) -> DataFrame:
     """All links ``(a, b)`` of similarity ``least`` or more between documents of different parts; ``parts(node, component)`` lacks single ones.
 
     Exact: with shingles in any one order, sets of that similarity share a shingle
@@ -233,14 +233,14 @@ def prefix_links(rows: DataFrame, parts: DataFrame, words: int, least: float) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(t.as_py(), words) for t in batch.column(1)]
+            found = [shingle_set(t.as_py(), words) for t in batch.column(2)]
             firsts = [rare_prefix(f, hot.value, least).view(np.int64) if len(f) else np.zeros(0, np.int64) for f in found]
             sizes = pa.array([len(f) for f in found], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(firsts, pa.list_(pa.int64()))], names=["node", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, pa.array(firsts, pa.list_(pa.int64()))], names=["id", "digest", "n", "prefix"])
 
     sized = parts.join(parts.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component")
-    known = sized.select("node", "component", "members")
-    firsts = rows.mapInArrow(run, "node long, n int, prefix array<long>").join(known, "node", "left")
+    known = nodes.join(sized, "node", "left")
+    firsts = rows.mapInArrow(run, "id long, digest string, n int, prefix array<long>").join(known, ["id", "digest"])
     placed = materialize(firsts.select("node", "n", "prefix", F.coalesce("members", F.lit(1)).cast("int").alias("members"), F.coalesce("component", "node").alias("part")))
     keyed = placed.select("node", "n", "members", "part", F.posexplode("prefix").alias("at", "key"))
     shared = keyed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
@@ -251,7 +251,7 @@ def prefix_links(rows: DataFrame, parts: DataFrame, words: int, least: float) ->
     room = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & (room >= need))
     pairs = materialize(met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct())
-    return verified(rows, pairs, words, least)
+    return verified(rows, nodes, pairs, words, least)
 
 
 def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
@@ -261,30 +261,34 @@ def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     since texts of similarity 0.8 differ in 4 to 18 bits, also if their whole texts
     have similarity ``least``; every such pair that is not yet linked through
     others is found by an exact prefix join.
-    A null ``doc_id`` loses to any other and stands for its text; of rows that
-    repeat an id the one with the smallest text stays.  Columns are unchanged.
+    A row is told apart by its ``doc_id`` and the digest of its text, and of rows
+    equal in both one stays; ``doc_id`` and then the digest decide which of a group
+    is the smallest.  A null ``doc_id`` loses to any other.  Columns are unchanged.
     """
-    stand_in = F.lit(1 << 62) + F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1))
-    node = F.coalesce(F.col("doc_id").cast("long"), stand_in)
-    rows = docs.select(node.alias("node"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    ident = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    digest = F.sha2(text.cast("binary"), 256)
+    rows = docs.select(ident.alias("id"), digest.alias("digest"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [list(shingle_hashes(t.as_py(), words)) for t in batch.column(1)]
+            found = [list(shingle_hashes(t.as_py(), words)) for t in batch.column(2)]
             fps = np.array([majority(f) for f in found], np.uint64).view(np.int64)
             keys = [band_keys(np.unique(np.concatenate(f))) if f else [] for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array(keys, pa.list_(pa.int64()))], names=["node", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps), pa.array(keys, pa.list_(pa.int64()))], names=["id", "digest", "fp", "keys"])
 
-    sketches = materialize(rows.mapInArrow(run, "node long, fp long, keys array<long>"))
+    sketched = materialize(rows.mapInArrow(run, "id long, digest string, fp long, keys array<long>"))
+    nodes = materialize(global_rank(sketched.select("id", "digest").distinct(), [F.col("id"), F.col("digest")], "node"))
+    sketches = materialize(sketched.join(nodes, ["id", "digest"]).select("node", "fp", "keys"))
     first = materialize(sketches.groupBy("fp").agg(F.min("node").alias("b")))
     own = sketches.join(first, "fp").select(F.col("node").alias("a"), "b").where("a <> b")
     fp_links = links(first.select("fp"))
     lo, hi = first.select(F.col("fp").alias("a"), F.col("b").alias("na")), first.select(F.col("fp").alias("b"), F.col("b").alias("nb"))
     near = fp_links.join(lo, "a").join(hi, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    edges = materialize(own.unionByName(near).unionByName(similar_links(rows, sketches, words, least)))
+    edges = materialize(own.unionByName(near).unionByName(similar_links(rows, nodes, sketches, words, least)))
     parts = materialize(connected_components(edges))
-    edges = edges.unionByName(prefix_links(rows, parts, words, least))
-    gone = connected_components(edges).where("node <> component").select(F.col("node").alias("__node"))
-    kept = docs.withColumn("__node", node).join(materialize(gone), "__node", "left_anti")
-    one = Window.partitionBy("__node").orderBy(F.col("text").asc_nulls_first())
+    edges = edges.unionByName(prefix_links(rows, nodes, parts, words, least))
+    gone = nodes.join(connected_components(edges).where("node <> component"), "node").select(F.col("id").alias("__id"), F.col("digest").alias("__digest"))
+    kept = docs.withColumn("__id", ident).withColumn("__digest", digest).join(materialize(gone), ["__id", "__digest"], "left_anti")
+    one = Window.partitionBy("__id", "__digest").orderBy(F.col("text").asc_nulls_first(), F.col("doc_id").asc_nulls_last())
     return kept.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*[docs[c] for c in docs.columns])

@@ -154,3 +154,11 @@ def test_pairs_behind_a_hub_passage_are_found(spark):
                 parent[b] = a
     want = sorted(i for i in sets if find(i) == i)
     assert sorted(r.doc_id for r in S.keep_one(df).collect()) == want and len(want) < len(rows)
+
+
+def test_repeated_ids_with_different_texts_stay(spark):
+    rng = random.Random(12)
+    a, b, c = (" ".join(f"v{rng.getrandbits(60)}" for _ in range(80)) for _ in range(3))
+    rows = [(1, a), (2, a + " end"), (2, b), (3, b + " end"), (3, c), (3, c), (4, c + " end"), (None, a), (None, "alone")]
+    got = sorted(map(tuple, S.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(1, a), (2, b), (3, c), (None, "alone")], key=str)
