@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.functions.text import let
 from corpusflow.llm.components import connected_components
 from corpusflow.runtime import materialize
 
@@ -20,6 +21,9 @@ _LINK = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
 _META = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 _HREF = r"(?is)\bhref\s*=\s*[\"']?([^\s\"'>]+)"
 _TO = r"(?is)\burl\s*=\s*[\"']?([^\s\"'>]+)"
+_BASE = r"(?is)<base\b[^>]*>"
+_PARTS = r"(?s)^(.*?://[^/?#]*)([^?#]*)(.*)$"
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -46,16 +50,47 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def alias_edges(pages: DataFrame) -> DataFrame:
-    """``(src, dst)`` from each page's canonical link and its meta refresh; relative paths are resolved on the page's host."""
-    found = F.array(
-        F.regexp_extract(F.regexp_extract("html", _LINK, 0), _HREF, 1), F.regexp_extract(F.regexp_extract("html", _META, 0), _TO, 1)
+def without_dots(url: Column) -> Column:
+    """``.`` and ``..`` segments of the path are resolved."""
+    path = F.regexp_extract(url, _PARTS, 2)
+    kept = F.aggregate(
+        F.slice(F.split(path, "/"), 2, F.length(path) + 1),
+        F.array().cast("array<string>"),
+        lambda out, x: F.when(x == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).when(x == ".", out).otherwise(F.concat(out, F.array(x))),
+    )
+    ends = F.when(path.rlike(r"/\.\.?$"), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    made = F.concat(F.regexp_extract(url, _PARTS, 1), F.lit("/"), F.array_join(ends, "/"), F.regexp_extract(url, _PARTS, 3))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), made).otherwise(url)
+
+
+def resolved(to: Column, base: Column) -> Column:
+    """``to`` as a URL without fragment, seen from the page ``base``; null for an empty one, other schemes, or a base without ``://``."""
+    whole = F.regexp_replace(F.replace(to, F.lit("&amp;"), F.lit("&")), r"(?s)#.*$", "")
+    return let(base, lambda b: let(let(whole, lambda t: _joined(t, b)), without_dots))
+
+
+def _joined(to: Column, base: Column) -> Column:
+    origin, path = F.regexp_extract(base, _PARTS, 1), F.regexp_extract(base, _PARTS, 2)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, r"[^/]*$", ""))
+    return (
+        F.when(to.rlike(_SCHEME + "//"), to)
+        .when(to.rlike(_SCHEME) | (to == "") | (origin == ""), None)
+        .when(to.startswith("//"), F.concat(F.regexp_extract(origin, r"^(.*?)//", 1), to))
+        .when(to.startswith("/"), F.concat(origin, to))
+        .when(to.startswith("?"), F.concat(origin, path, to))
+        .otherwise(F.concat(origin, folder, to))
     )
-    out = pages.where("url is not null and html is not null").select("url", F.explode(found).alias("to")).where("`to` <> ''")
-    origin = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
-    target = F.when(F.col("to").contains("://"), F.col("to")).when(F.col("to").startswith("/"), F.concat(origin, F.col("to")))
-    bare = lambda c: F.regexp_replace(c, r"(?s)#.*$", "")
-    return out.select(bare(F.col("url")).alias("src"), bare(target).alias("dst")).where("dst is not null and src <> dst").distinct()
+
+
+def alias_edges(pages: DataFrame) -> DataFrame:
+    """``(src, dst)`` from every canonical link and meta refresh of a page; relative targets are resolved on its ``<base>`` or URL."""
+    tags = lambda tag, part: F.transform(F.regexp_extract_all("html", F.lit(tag), F.lit(0)), lambda t: F.regexp_extract(t, part, 1))
+    base = F.regexp_extract(F.regexp_extract("html", _BASE, 0), _HREF, 1)
+    found = F.concat(tags(_LINK, _HREF), tags(_META, _TO))
+    out = pages.where("url is not null and html is not null").select("url", base.alias("base"), F.explode(found).alias("to")).where("`to` <> ''")
+    out = out.select("url", "to", F.coalesce(resolved(F.col("base"), F.col("url")), "url").alias("base"))
+    target = resolved(F.col("to"), F.col("base"))
+    return out.select(F.regexp_replace("url", r"(?s)#.*$", "").alias("src"), target.alias("dst")).where("dst is not null and src <> dst").distinct()
 
 
 def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:

@@ -111,3 +111,19 @@ def test_url_rules_and_aliases(spark):
     redirects = spark.createDataFrame([("http://notcom/en/", "http://q.org/es/")], "src string, dst string")
     assert {r.page_id: r.verdict for r in urlfilter.judge(df, redirects=redirects).collect()}[12] == "block"
     assert urlfilter.judge(df.limit(0)).count() == 0
+
+
+def test_blocks_reach_every_form_of_link(spark):
+    link, base = '<link rel="canonical" href="{}">'.format, "http://h.org/d/e/p"
+    forms = [
+        ("page2.html", "http://h.org/d/e/page2.html"), ("../x", "http://h.org/d/x"), ("./y/../z?a=../b", "http://h.org/d/e/z?a=../b"), ("?id=3&amp;k=1#f", "http://h.org/d/e/p?id=3&k=1"),
+        ("//o.org/q", "http://o.org/q"), ("/r/..", "http://h.org/"), ("../../../../s", "http://h.org/s"), ("HTTPS://o.org/t", "HTTPS://o.org/t"), ("n?u=http://o.org/", "http://h.org/d/e/n?u=http://o.org/"),
+    ]
+    df = spark.createDataFrame([(1, base, link(to)) for to, _ in forms], "page_id long, url string, html string")
+    assert sorted(map(tuple, urlfilter.alias_edges(df).collect())) == sorted((base, want) for _, want in forms)
+    several = link("a") + link("b") + '<meta http-equiv="refresh" content="0; url=c"><META http-equiv=refresh content="1;URL=\'/d\'">' + link("mailto:x@y.org") + link("#f")
+    rows = [(1, "http://h.org", several), (2, base, '<base href="/k/">' + link("m")), (3, "no scheme", link("x"))]
+    got = {tuple(r) for r in urlfilter.alias_edges(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {("http://h.org", f"http://h.org/{x}") for x in "abcd"} | {(base, "http://h.org/k/m")}
+    blocked = spark.createDataFrame([(i, want, link("http://b.com/en/1")) for i, (_, want) in enumerate(forms)] + [(99, base, "".join(link(to) for to, _ in forms))], "page_id long, url string, html string")
+    assert [r.verdict for r in urlfilter.judge(blocked).collect()] == ["block"] * (len(forms) + 1)
