@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusflow.operators import cluster as K
 from corpusflow.plans import fixtures as X
 from corpusflow.plans.q_text import _edges
-from corpusflow.runtime import read
+from corpusflow.runtime import read, shared_folder
 from corpusflow.streaming import jobs as ST
 
 QUERIES: dict = {}
@@ -29,8 +28,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _folder(spark: SparkSession) -> str:
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusflow-")
-    return f"{shared}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
