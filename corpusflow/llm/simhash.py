@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusflow.llm.components import connected_components
-from corpusflow.runtime import global_rank, materialize
+from corpusflow.runtime import materialize, stored
 
 SEGMENTS, WIDTH = 16, 4
 BLOCK = 1 << 16
@@ -158,11 +158,58 @@ def alike(a: str | None, b: str | None, words: int, least: float) -> bool:
     return common >= least * (len(x) + len(y) - common)
 
 
-def verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
-    """Those of the pairs ``(a, b)`` whose whole texts have similarity ``least`` or more."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = rows.join(nodes.join(needed, "node"), ["id", "digest"]).groupBy("node").agg(F.min("text").alias("text"))
-    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, "<u8"), *shingle_hashes(text, words)]))
+
+
+def parity(hashes: np.ndarray) -> bytes:
+    """Bits, two to four a shingle: each says whether an odd number of the shingles falls on it."""
+    bits = 1 << max(6, (2 * len(hashes) - 1).bit_length()) if len(hashes) else 64
+    return np.packbits((np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of the number of shingles that only one of two sets holds, from their parities; the longer one is folded."""
+    short, long = sorted((a, b), key=len)
+    folded = np.bitwise_xor.reduce(np.frombuffer(long, np.uint8).reshape(-1, len(short)), axis=0)
+    return int(np.bitwise_count(folded ^ np.frombuffer(short, np.uint8)).sum())
+
+
+def limited(rows: DataFrame, keys: DataFrame, on: list[str], most: int) -> DataFrame:
+    """``rows`` whose ``on`` columns hash like those of some row of ``keys``: a filter before a join.
+
+    Only up to ``most`` keys are broadcast, as 8 bytes each; with more of them all rows pass.
+    """
+    hashed = keys.select(F.xxhash64(*on).alias("__h")).distinct()
+    if hashed.count() > most:
+        return rows
+    return rows.withColumn("__h", F.xxhash64(*on)).join(F.broadcast(hashed), "__h", "left_semi").drop("__h")  # at most ``most`` longs
+
+
+BROADCAST_KEYS, BROADCAST_ROWS = 1_000_000, 100_000
+
+
+def verified(rows: DataFrame, sketches: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
+    """Those of the pairs ``(a, b)`` whose whole texts have similarity ``least`` or more.
+
+    Pairs whose parities already differ in too many bits are dropped first, so few texts are moved.
+    """
+    thin = lambda side: sketches.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("parity").alias(f"p_{side}"))
+    sized = pairs.join(thin("a"), "a").join(thin("b"), "b").where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(least - 1e-9))
+    most = (1 - least) / (1 + least)
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            differ = [least_difference(x.as_py(), y.as_py()) for x, y in zip(batch.column(4), batch.column(5), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(np.array(differ, float) <= most * n + 1e-6))
+
+    near = materialize(sized.select("a", "b", "n_a", "n_b", "p_a", "p_b").mapInArrow(close, "a long, b long"))
+    needed = sketches.select("node", "id", "digest").join(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
+    needed = materialize(needed)
+    some = limited(rows, needed, ["id", "digest"], BROADCAST_KEYS).select(F.col("id").alias("id_"), F.col("digest").alias("digest_"), "text")
+    texts = some.join(needed, F.col("id").eqNullSafe(F.col("id_")) & (F.col("digest") == F.col("digest_"))).groupBy("node").agg(F.min("text").alias("text"))
+    left = near.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +220,7 @@ def verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, le
     return both.mapInArrow(run, "a long, b long")
 
 
-def similar_links(rows: DataFrame, nodes: DataFrame, sketches: DataFrame, words: int, least: float) -> DataFrame:
+def similar_links(rows: DataFrame, sketches: DataFrame, words: int, least: float) -> DataFrame:
     """Links ``(a, b)`` of similarity ``least`` or more between a document and the ends of its band keys.
 
     They join most near copies cheaply; ``prefix_links`` finds the pairs that are left.
@@ -182,18 +229,17 @@ def similar_links(rows: DataFrame, nodes: DataFrame, sketches: DataFrame, words:
     ends = keyed.groupBy("band", "key").agg(F.min(F.struct("node", "fp")).alias("lo"), F.max(F.struct("node", "fp")).alias("hi")).where("lo.node <> hi.node")
     met = keyed.join(ends, ["band", "key"]).select("node", "fp", F.explode(F.array("lo", "hi")).alias("other"))
     pairs = materialize(met.where("node <> other.node and fp <> other.fp").select(F.greatest("node", "other.node").alias("a"), F.least("node", "other.node").alias("b")).distinct())
-    return verified(rows, nodes, pairs, words, least)
+    return verified(rows, sketches, pairs, words, least)
 
 
 HOT_DOCS, HOT_SEEN = 20_000, 20
 
 
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    return np.unique(np.concatenate([np.zeros(0, "<u8"), *shingle_hashes(text, words)]))
-
-
 def hot_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles, sorted, that ``HOT_SEEN`` or more of about ``HOT_DOCS`` documents hold, and how many hold them."""
+    """Shingles, sorted, that ``HOT_SEEN`` or more of about ``HOT_DOCS`` documents hold, and how many hold them.
+
+    They only order the shingles of a set; any order finds the same pairs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,38 +266,52 @@ def rare_prefix(hashes: np.ndarray, hot: tuple[np.ndarray, np.ndarray], least: f
     return hashes[np.lexsort((hashes, count))[:size]]
 
 
-def prefix_links(rows: DataFrame, nodes: DataFrame, parts: DataFrame, words: int, least: float) -> DataFrame:
+def prefix_links(rows: DataFrame, sketches: DataFrame, parts: DataFrame, words: int, least: float) -> DataFrame:
     """All links ``(a, b)`` of similarity ``least`` or more between documents of different parts; ``parts(node, component)`` lacks single ones.
 
     Exact: with shingles in any one order, sets of that similarity share a shingle
     of both prefixes (``rare_prefix``), and the first one they share leaves room
-    for the overlap they need.  The counts behind the order only make keys rare.
-    Only keys that two parts hold are joined, and a key's largest part is not
-    joined with itself.
+    for the overlap they need.  Keys that one document holds are dropped by a
+    count; the others meet the parts, and only keys of two parts are joined, a
+    key's largest part not with itself.
     """
+    keyed = sketches.select("node", F.posexplode("prefix").alias("at", "key"))
+    shared = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1").select("key"))
+    met = materialize(keyed.join(shared, "key"))
+    sized = parts.join(parts.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component")
+    known = sketches.select("node", "n").join(sized, "node", "left")
+    held = materialize(met.join(known, "node").select("key", "node", "at", "n", F.coalesce("members", F.lit(1)).alias("members"), F.coalesce("component", "node").alias("part")))
+    largest = held.groupBy("key").agg(F.max(F.struct("members", "part"))["part"].alias("largest"), F.min("part").alias("lo"), F.max("part").alias("hi"))
+    x, y = held.join(materialize(largest.where("lo <> hi").select("key", "largest")), "key").where("part <> largest").alias("x"), held.alias("y")
+    need = (F.col("x.n") + F.col("y.n")) * F.lit(least / (1 + least)) - 1e-6
+    room = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    found = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & (room >= need))
+    pairs = materialize(found.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct())
+    return verified(rows, sketches, pairs, words, least)
+
+
+def sketch(rows: DataFrame, words: int, least: float) -> DataFrame:
+    """``node, id, digest, fp, n, keys, parity, prefix`` of every row, written to the shared folder; the texts are read once."""
     hot = rows.sparkSession.sparkContext.broadcast(hot_shingles(rows, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longs = pa.list_(pa.int64())
         for batch in batches:
-            found = [shingle_set(t.as_py(), words) for t in batch.column(2)]
-            firsts = [rare_prefix(f, hot.value, least).view(np.int64) if len(f) else np.zeros(0, np.int64) for f in found]
-            sizes = pa.array([len(f) for f in found], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, pa.array(firsts, pa.list_(pa.int64()))], names=["id", "digest", "n", "prefix"])
-
-    sized = parts.join(parts.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component")
-    known = nodes.join(sized, "node", "left")
-    firsts = rows.mapInArrow(run, "id long, digest string, n int, prefix array<long>").join(known, ["id", "digest"])
-    placed = materialize(firsts.select("node", "n", "prefix", F.coalesce("members", F.lit(1)).cast("int").alias("members"), F.coalesce("component", "node").alias("part")))
-    keyed = placed.select("node", "n", "members", "part", F.posexplode("prefix").alias("at", "key"))
-    shared = keyed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
-    held = materialize(keyed.join(materialize(shared), "key"))
-    largest = held.groupBy("key").agg(F.max(F.struct("members", "part"))["part"].alias("largest"))
-    x, y = held.join(materialize(largest), "key").where("part <> largest").alias("x"), held.alias("y")
-    need = (F.col("x.n") + F.col("y.n")) * F.lit(least / (1 + least)) - 1e-6
-    room = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & (room >= need))
-    pairs = materialize(met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct())
-    return verified(rows, nodes, pairs, words, least)
+            for part in (batch.slice(at, 1000) for at in range(0, batch.num_rows, 1000)):
+                out = []
+                for t in part.column(2):
+                    blocks = list(shingle_hashes(t.as_py(), words))
+                    own = np.unique(np.concatenate([np.zeros(0, "<u8"), *blocks]))
+                    full = len(own) > 0
+                    out.append((majority(blocks), len(own), band_keys(own) if full else [], parity(own), rare_prefix(own, hot.value, least).view(np.int64) if full else []))
+                fp, n, keys, odd, prefix = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(keys, longs), pa.array(odd, pa.binary()), pa.array(prefix, longs)],
+                    names=["id", "digest", "fp", "n", "keys", "parity", "prefix"],
+                )
+
+    made = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, digest binary, fp long, n int, keys array<long>, parity binary, prefix array<long>")
+    return stored(made.withColumn("node", F.monotonically_increasing_id()))
 
 
 def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
@@ -263,32 +323,32 @@ def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     others is found by an exact prefix join.
     A row is told apart by its ``doc_id`` and the digest of its text, and of rows
     equal in both one stays; ``doc_id`` and then the digest decide which of a group
-    is the smallest.  A null ``doc_id`` loses to any other.  Columns are unchanged.
+    is the smallest.  A null ``doc_id`` loses to any other; ids may be of any type
+    that has an order.  Null and blank texts are near copies of each other; an empty
+    table gives no rows.  Columns are unchanged.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    ident = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    digest = F.sha2(text.cast("binary"), 256)
-    rows = docs.select(ident.alias("id"), digest.alias("digest"), text.alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [list(shingle_hashes(t.as_py(), words)) for t in batch.column(2)]
-            fps = np.array([majority(f) for f in found], np.uint64).view(np.int64)
-            keys = [band_keys(np.unique(np.concatenate(f))) if f else [] for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps), pa.array(keys, pa.list_(pa.int64()))], names=["id", "digest", "fp", "keys"])
-
-    sketched = materialize(rows.mapInArrow(run, "id long, digest string, fp long, keys array<long>"))
-    nodes = materialize(global_rank(sketched.select("id", "digest").distinct(), [F.col("id"), F.col("digest")], "node"))
-    sketches = materialize(sketched.join(nodes, ["id", "digest"]).select("node", "fp", "keys"))
+    digest = F.unhex(F.sha2(text.cast("binary"), 256))
+    rows = docs.select(F.col("doc_id").alias("id"), digest.alias("digest"), text.alias("text"))
+    sketches = sketch(rows, words, least)
     first = materialize(sketches.groupBy("fp").agg(F.min("node").alias("b")))
     own = sketches.join(first, "fp").select(F.col("node").alias("a"), "b").where("a <> b")
     fp_links = links(first.select("fp"))
     lo, hi = first.select(F.col("fp").alias("a"), F.col("b").alias("na")), first.select(F.col("fp").alias("b"), F.col("b").alias("nb"))
     near = fp_links.join(lo, "a").join(hi, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    edges = materialize(own.unionByName(near).unionByName(similar_links(rows, nodes, sketches, words, least)))
+    edges = materialize(own.unionByName(near).unionByName(similar_links(rows, sketches, words, least)))
     parts = materialize(connected_components(edges))
-    edges = edges.unionByName(prefix_links(rows, nodes, parts, words, least))
-    gone = nodes.join(connected_components(edges).where("node <> component"), "node").select(F.col("id").alias("__id"), F.col("digest").alias("__digest"))
-    kept = docs.withColumn("__id", ident).withColumn("__digest", digest).join(materialize(gone), ["__id", "__digest"], "left_anti")
-    one = Window.partitionBy("__id", "__digest").orderBy(F.col("text").asc_nulls_first(), F.col("doc_id").asc_nulls_last())
-    return kept.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*[docs[c] for c in docs.columns])
+    edges = edges.unionByName(prefix_links(rows, sketches, parts, words, least))
+    groups = sketches.select("node", "id", "digest").join(materialize(connected_components(edges)), "node")
+    smallest = groups.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("stays"))
+    other = ~(F.col("id").eqNullSafe(F.col("stays.id")) & (F.col("digest") == F.col("stays.digest")))
+    gone = materialize(groups.join(smallest, "component").where(other).select(F.col("id").alias("__id"), F.col("digest").alias("__digest")).distinct())
+    kept = docs.withColumn("__own", digest)
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest"))
+    kept = kept.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, same, "left_anti")
+    twice = materialize(sketches.groupBy("id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("__id"), F.col("digest").alias("__digest")))
+    if not twice.isEmpty():
+        one = Window.partitionBy("doc_id", "__own").orderBy(F.col("text").asc_nulls_first())
+        some = kept.join(twice, same, "left_semi").withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n")
+        kept = kept.join(twice, same, "left_anti").unionByName(some)
+    return kept.select(*docs.columns)
