@@ -64,15 +64,24 @@ def exact_groups(docs: DataFrame, digest=sha256, salts: int = SALTS) -> DataFram
     return marked.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "digest")
 
 
+BROADCAST_ROWS = 100_000
+
+
 def distinct_documents(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """The rows that stay, with their own columns: of equal texts the one with the smallest ``doc_id``.
 
     Of rows that repeat that id with equal texts, the one with the smallest
-    unnormalised text stays.  A null ``doc_id`` loses to any other.
+    unnormalised text stays.  A null ``doc_id`` loses to any other; null and empty
+    texts are equal; an empty table gives no rows.
     """
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    stay = exact_groups(docs, salts=salts).where("kept").select(key.alias("__key"), F.col("digest").alias("__digest"))
-    marked = docs.withColumn("__key", key).withColumn("__digest", sha256(normalised()))
-    one = Window.partitionBy("__key", "__digest").orderBy(F.col("text").asc_nulls_first())
-    kept = marked.join(stay, ["__key", "__digest"], "left_semi")
-    return kept.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*[docs[c] for c in docs.columns])
+    found = exact_groups(docs, salts=salts).groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
+    found = materialize(found.agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n")))
+    gone, twice = found.where("not stays").select("__id", "__digest"), found.where("stays and n > 1").select("__id", "__digest")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest"))
+    small = gone.count() <= BROADCAST_ROWS  # ids and digests only; a longer list meets the documents in a shuffle
+    kept = docs.withColumn("__own", sha256(normalised())).join(F.broadcast(gone) if small else gone, same, "left_anti")
+    if not twice.isEmpty():
+        one = Window.partitionBy("doc_id", "__own").orderBy(F.col("text").asc_nulls_first())
+        some = kept.join(twice, same, "left_semi").withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n")
+        kept = kept.join(twice, same, "left_anti").unionByName(some)
+    return kept.select(*docs.columns)

@@ -52,9 +52,16 @@ def uniform(seed: str = SEED, key: str = "doc_id") -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
+BROADCAST_SOURCES = 50_000
+
+
 def with_copies(docs: DataFrame, planned: DataFrame, seed: str = SEED) -> DataFrame:
-    """``docs`` with ``source_size``, ``target`` and ``copies``: floor(rate) plus a Bernoulli copy of the fraction."""
+    """``docs`` with ``source_size``, ``target`` and ``copies``: floor(rate) plus a Bernoulli copy of the fraction.
+
+    ``planned``, one row per source, is broadcast up to ``BROADCAST_SOURCES`` rows, so a hot source moves no texts.
+    """
     plan = planned.select(F.col("source").alias("__source"), "source_size", "target")
+    plan = F.broadcast(plan) if planned.count() <= BROADCAST_SOURCES else plan
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     copies = F.floor(rate) + F.when(uniform(seed) < rate - F.floor(rate), 1).otherwise(0)
     joined = docs.join(plan, docs["source"].eqNullSafe(plan["__source"]), "left").drop("__source")
