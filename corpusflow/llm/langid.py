@@ -118,26 +118,29 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], langs: list[str], epochs: int
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most about ``sample`` rows with a language; their whole texts are turned into bags on the executors."""
-    chosen = bounded(docs.where("lang is not null and text is not null").select("doc_id", "lang", F.col("text").cast("string").alias("text")), sample)
+    """Fit on at most ``sample`` distinct rows with a language; their whole texts are turned into bags of at most ``BUCKETS`` counts on the executors."""
+    known = docs.where("lang is not null and text is not null")
+    chosen = bounded(known.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")), sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = _letters()
         for rows in batches:
             grams, counts, kept = [], [], []
             for i, text in enumerate(rows.column("text")):
-                blocks = list(ngram_blocks(text.as_py(), letters))
-                if blocks:
-                    found, n = np.unique(np.concatenate(blocks), return_counts=True)
+                total = np.zeros(BUCKETS, np.int32)
+                for block in ngram_blocks(text.as_py(), letters):
+                    total += np.bincount(block, minlength=BUCKETS).astype(np.int32)
+                found = np.flatnonzero(total)
+                if len(found):
                     grams.append(found.astype(np.int32))
-                    counts.append(n.astype(np.int32))
+                    counts.append(total[found])
                     kept.append(i)
-            kind = pa.list_(pa.int32())
+            kind, at = pa.list_(pa.int32()), pa.array(kept, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [rows.column("lang").take(pa.array(kept, pa.int64())), pa.array(grams, kind), pa.array(counts, kind)], names=["lang", "g", "n"]
+                [rows.column("hash").take(at), rows.column("lang").take(at), pa.array(grams, kind), pa.array(counts, kind)], names=["hash", "lang", "g", "n"]
             )
 
-    got = chosen.select("lang", "text").mapInArrow(run, "lang string, g array<int>, n array<int>").sort("lang", "g").toArrow()  # a bounded sample
+    got = chosen.select("hash", "lang", "text").mapInArrow(run, "hash long, lang string, g array<int>, n array<int>").toArrow().sort_by("hash")  # a bounded sample
     lists = [
         (g.values.to_numpy(), n.values.to_numpy()) for g, n in zip(got.column("g"), got.column("n"), strict=True)
     ]

@@ -124,19 +124,18 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, bins: int
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
-    """Fit on the statistics of at most about ``sample`` rows with a label in ``labels.quality``; null labels are left out."""
-    marked = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
-    chosen = bounded(docs.select("doc_id").join(marked, "doc_id").distinct(), sample)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
+    """Fit on the statistics of at most ``sample`` distinct rows with a label in ``labels.quality``; null labels are left out."""
+    marked = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
+    rows = bounded(docs.select("doc_id", F.col("text").cast("string").alias("text")), sample, marked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = pa.array([statistics(t.as_py()) for t in batch.column("text")], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column("quality"), values], names=["quality", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("hash"), batch.column("label"), values], names=["hash", "label", "x"])
 
-    got = rows.mapInArrow(run, "quality int, x array<double>").sort("quality", "x").toArrow()  # a bounded sample
-    x = np.array(got.column(1).to_pylist(), float).reshape(-1, len(FEATURES))
-    return fit(x, (np.array(got.column(0).to_pylist()) > 0).astype(float))
+    got = rows.select("hash", "label", "text").mapInArrow(run, "hash long, label int, x array<double>").toArrow().sort_by("hash")  # a bounded sample
+    x = np.array(got.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
+    return fit(x, (np.array(got.column("label").to_pylist()) > 0).astype(float))
 
 
 def score(docs: DataFrame, forest: Forest) -> DataFrame:
