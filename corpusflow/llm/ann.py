@@ -4,8 +4,15 @@ Vectors are dealt to shards of a bounded number of rows by a hash.  In a shard,
 maximum inner product becomes nearest neighbour by one added coordinate.  Greedy
 searches from the medoid propose neighbours for each vector; pruning keeps a
 candidate only if no kept neighbour is closer to it by the factor ``alpha``, so
-edges stay few and diverse.  Queries stream past the finished graph in blocks,
-each with its own beam; scores are exact inner products of the original vectors.
+edges stay few and diverse.  Vectors that no path reaches get an edge from their
+nearest reachable one.  The finished graphs are written to the shared folder;
+queries then stream past every shard's graph in blocks, each query with its own
+beam, and the queries of a shard are dealt to several tasks.  Scores are exact
+inner products of the original vectors.
+
+Every query meets every shard, so the work grows with the product of queries and
+shards; one in twenty rows as queries is meant for tables of up to about 10^8
+vectors.
 """
 
 from __future__ import annotations
@@ -18,25 +25,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusflow.runtime import materialize
+from corpusflow.runtime import materialize, stored
 
 SHARD_ROWS = 16_384
 DEGREE, BEAM, ALPHA, BLOCK = 28, 80, 1.15, 512
+#: Places for edges to vectors that pruning left unreachable, beside ``DEGREE``.
+SPARE = 4
+#: Tasks that share the queries of one shard.
+SPLITS = 4
 
 
 class Graph:
-    """A robust-pruned graph over distinct vectors of one length, held by one task."""
+    """A robust-pruned graph over distinct vectors of one length, held by one task; ``near`` and ``entry`` are given for a finished one."""
 
-    def __init__(self, vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA):
+    def __init__(self, vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, near: np.ndarray | None = None, entry: int | None = None):
         norms = (vectors.astype(np.float64) ** 2).sum(axis=1)
         extra = np.sqrt(np.maximum(norms.max() - norms, 0))[:, None]
         self.x = np.hstack([vectors, extra]).astype(np.float32)
         self.sq = (self.x**2).sum(axis=1)
         self.degree, self.beam, self.alpha = degree, beam, alpha
-        n = len(self.x)
-        self.near = np.full((n, degree), -1, np.int32)
+        if near is not None:
+            self.near, self.entry = near, entry
+            return
+        self.near = np.full((len(self.x), degree + SPARE), -1, np.int32)
         self.entry = int(((self.x - self.x.mean(axis=0)) ** 2).sum(axis=1).argmin())
         self._build()
+        self._reach_all()
 
     def _build(self) -> None:
         n = len(self.x)
@@ -54,11 +68,14 @@ class Graph:
             self._connect(block, np.hstack([ids, self.near[block]]))
 
     def _connect(self, block: np.ndarray, candidates: np.ndarray) -> None:
-        self.near[block] = self.prune(block, candidates)
+        """New neighbours for the block, and edges back to it: of those, the nearest ``4 x degree`` are candidates beside the old ones."""
+        own = self.near[:, : self.degree]
+        own[block] = self.prune(block, candidates)
         src = np.repeat(block, self.degree)
-        dst = self.near[block].ravel()
+        dst = own[block].ravel()
         src, dst = src[dst >= 0], dst[dst >= 0]
-        by = np.argsort(dst, kind="stable")
+        far = self.sq[src] + self.sq[dst] - 2 * np.einsum("rd,rd->r", self.x[src], self.x[dst])
+        by = np.lexsort((src, far, dst))
         src, dst = src[by], dst[by]
         nodes, first, counts = np.unique(dst, return_index=True, return_counts=True)
         for at in range(0, len(nodes), 1024):
@@ -66,7 +83,33 @@ class Graph:
             width = int(min(n_new.max(), 4 * self.degree))
             cols = np.arange(width)
             new = np.where(cols < n_new[:, None], src[np.minimum(lo[:, None] + cols, len(src) - 1)], -1)
-            self.near[part] = self.prune(part, np.hstack([self.near[part], new]))
+            own[part] = self.prune(part, np.hstack([own[part], new]))
+
+    def reachable(self) -> np.ndarray:
+        seen = np.zeros(len(self.x), bool)
+        seen[self.entry] = True
+        edge = np.array([self.entry])
+        while len(edge):
+            edge = np.unique(self.near[edge])
+            edge = edge[edge >= 0]
+            edge = edge[~seen[edge]]
+            seen[edge] = True
+        return seen
+
+    def _reach_all(self) -> None:
+        """An edge to each vector that no path reaches, from the nearest found one that has a spare place."""
+        while len(lost := np.flatnonzero(~self.reachable())):
+            for at in range(0, len(lost), 1024):
+                block = lost[at : at + 1024]
+                ids, _ = self.search(self.x[block], self.beam)
+                for node, found in zip(block, ids, strict=True):
+                    free = self.near[found[found >= 0], self.degree :] < 0
+                    rows = np.flatnonzero(free.any(axis=1))
+                    if len(rows):
+                        self.near[found[rows[0]], self.degree + int(free[rows[0]].argmax())] = node
+                    else:  # all found ones are full: a chain by way of the last vector that got such a place
+                        self.near = np.hstack([self.near, np.full((len(self.x), 1), -1, np.int32)])
+                        self.near[found[0], -1] = node
 
     def prune(self, nodes: np.ndarray, candidates: np.ndarray) -> np.ndarray:
         """Up to ``degree`` diverse neighbours of each node out of its candidates (-1: none)."""
@@ -138,6 +181,38 @@ def usable(rows: DataFrame, vector: str = "embedding") -> DataFrame:
     return rows.where(v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda c: c != 0))
 
 
+GRAPH = "dim int, shard int, n int, entry int, vectors binary, near binary, counts binary, ids binary"
+
+
+def build(placed: DataFrame, shards: int, beam: int = BEAM) -> DataFrame:
+    """One row per shard of ``placed(dim, shard, v, ids)``: its graph, vectors and ids as bytes, written to the shared folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, base, ids = None, [], []
+
+        def made() -> pa.RecordBatch:
+            original = np.concatenate(base).reshape(-1, at[0])
+            graph = Graph(original, beam=beam)
+            counts = np.array([len(x) for x in ids], np.int32)
+            values = (at[0], at[1], len(original), graph.entry, original.tobytes(), graph.near.tobytes(), counts.tobytes(), np.concatenate(ids).tobytes())
+            kinds = (*[pa.int32()] * 4, *[pa.binary()] * 4)
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=[c.split()[0] for c in GRAPH.split(", ")])
+
+        for batch in batches:
+            for dim, shard, v, own in zip(*(batch.column(c) for c in ("dim", "shard", "v", "ids")), strict=True):
+                if at != (dim.as_py(), shard.as_py()):
+                    if base:
+                        yield made()
+                    at, base, ids = (dim.as_py(), shard.as_py()), [], []
+                base.append(v.values.to_numpy())
+                ids.append(own.values.to_numpy())
+        if base:
+            yield made()
+
+    dealt = placed.repartition(max(8, 4 * shards), "dim", "shard").sortWithinPartitions("dim", "shard", "v")
+    return stored(dealt.select("dim", "shard", "v", "ids").mapInArrow(run, GRAPH))
+
+
 def nearest(
     queries: DataFrame, rows: DataFrame, k: int = 20, shard_rows: int = SHARD_ROWS, beam: int = BEAM, id_col: str = "vec_id", vector: str = "embedding"
 ) -> DataFrame:
@@ -146,8 +221,9 @@ def nearest(
     Equal vectors are one graph node that carries its ``k + 1`` smallest ids, which
     is exact because ties go to the smaller id.  Vectors are compared with those of
     their own length only.  Null ids take no part; a repeated id counts once, with
-    its smallest vector; shards of up to four beams are searched exhaustively, so
-    short tables give exact results; empty tables give no rows.
+    its smallest vector.  A shard of up to ``beam`` vectors is searched through its
+    graph as any other and gives exact results, since every vector is reachable;
+    empty tables give no rows.
     """
     base = usable(rows, vector).where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(F.col(vector).cast("array<double>")).alias("v"))
     smallest = Window.partitionBy("v").orderBy("id")
@@ -158,57 +234,51 @@ def nearest(
         return queries.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shards = {d: -(-n // shard_rows) for d, n in dims.items()}
     count = F.element_at(F.create_map(*[F.lit(x) for d in shards for x in (d, shards[d])]), F.col("dim"))
-    none = F.lit(None)
-    placed = nodes.select("dim", F.pmod(F.xxhash64("v"), count).cast("int").alias("shard"), F.lit(0).alias("kind"), none.cast("long").alias("query_id"), "v", "ids")
+    placed = nodes.select("dim", F.pmod(F.xxhash64("v"), count).cast("int").alias("shard"), "v", "ids")
+    graphs = build(placed, sum(shards.values()), beam)
     asked = usable(queries, vector).where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("query_id")).agg(F.min(F.col(vector).cast("array<double>")).alias("v"))
     asked = asked.withColumn("dim", F.size("v")).where(F.col("dim").isin(list(dims)))
-    dealt = asked.select("dim", F.explode(F.sequence(F.lit(0), count.cast("int") - 1)).alias("shard"), F.lit(1).alias("kind"), "query_id", "v", none.cast("array<long>").alias("ids"))
-    tasks = max(8, 4 * sum(shards.values()))
-    streams = placed.unionByName(dealt).repartition(tasks, "dim", "shard").sortWithinPartitions("dim", "shard", "kind")
+    whole = [F.lit(None).cast(t).alias(c) for c, t in (("n", "int"), ("entry", "int"), ("vectors", "binary"), ("near", "binary"), ("counts", "binary"), ("ids", "binary"))]
+    dealt = asked.select("dim", F.explode(F.sequence(F.lit(0), count.cast("int") - 1)).alias("shard"), F.pmod(F.xxhash64("query_id"), F.lit(SPLITS)).cast("int").alias("split"), F.lit(1).alias("kind"), "query_id", "v", *whole)
+    copies = graphs.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))).alias("split"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("array<double>").alias("v"), "n", "entry", "vectors", "near", "counts", "ids")
+    tasks = max(8, 2 * SPLITS * sum(shards.values()))
+    streams = copies.unionByName(dealt).repartition(tasks, "dim", "shard", "split").sortWithinPartitions("dim", "shard", "split", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, graph, base, ids, waiting = None, None, [], [], []
-
-        def answer():
-            nonlocal graph, waiting
-            if not waiting or not base:
-                waiting = []
-                return None
-            original = np.array(base)
-            if graph is None and len(base) > 4 * beam:
-                graph = Graph(original)
-            asked_ids = [w[0] for w in waiting]
+        at, graph, original, ids, waiting = None, None, None, [], []
+
+        def answer() -> pa.RecordBatch:
             q = np.array([w[1] for w in waiting])
-            waiting = []
-            if graph is None:
-                found = np.broadcast_to(np.arange(len(base)), (len(q), len(base)))
-            else:
-                found, _ = graph.search(np.hstack([q, np.zeros((len(q), 1))]).astype(np.float32), beam)
+            found, _ = graph.search(np.hstack([q, np.zeros((len(q), 1))]).astype(np.float32), beam)
             out = ([], [], [])
-            for own, vec, got in zip(asked_ids, q, found, strict=True):
+            for (own, vec), got in zip(waiting, found, strict=True):
                 got = got[got >= 0]
                 scores = (original[got] * vec).sum(axis=1)
-                best = sorted(((-s, i) for s, g in zip(scores.tolist(), got, strict=True) for i in ids[g] if i != own))[:k]
+                best = sorted(((-s, i) for s, g in zip(scores.tolist(), got, strict=True) for i in ids[g].tolist() if i != own))[:k]
                 out[0].extend([own] * len(best))
                 out[1].extend(i for _, i in best)
                 out[2].extend(-s for s, _ in best)
+            waiting.clear()
             return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
         for batch in batches:
-            for dim, shard, kind, query, vec, own in zip(*[batch.column(c).to_pylist() for c in ("dim", "shard", "kind", "query_id", "v", "ids")], strict=True):
-                if at != (dim, shard):
-                    if (done := answer()) is not None:
-                        yield done
-                    at, graph, base, ids = (dim, shard), None, [], []
-                if kind == 0:
-                    base.append(np.array(vec))
-                    ids.append(own)
-                else:
-                    waiting.append((query, vec))
-                    if len(waiting) >= BLOCK and (done := answer()) is not None:
-                        yield done
-        if (done := answer()) is not None:
-            yield done
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                get = lambda c: row.column(c)[0].as_py()  # noqa: E731, B023
+                if at != (get("dim"), get("shard"), get("split")):
+                    if waiting:
+                        yield answer()
+                    at, graph = (get("dim"), get("shard"), get("split")), None
+                if get("kind") == 0:
+                    original = np.frombuffer(get("vectors"), np.float64).reshape(get("n"), -1)
+                    graph = Graph(original, beam=beam, near=np.frombuffer(get("near"), np.int32).reshape(get("n"), -1), entry=get("entry"))
+                    ids = np.split(np.frombuffer(get("ids"), np.int64), np.cumsum(np.frombuffer(get("counts"), np.int32))[:-1])
+                elif graph is not None:
+                    waiting.append((get("query_id"), np.array(get("v"))))
+                    if len(waiting) >= BLOCK:
+                        yield answer()
+        if waiting:
+            yield answer()
 
     found = streams.mapInArrow(run, "query_id long, vec_id long, score double")
     place = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))

@@ -32,11 +32,28 @@ def test_short_tables_are_exact_with_odd_vectors(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_hub_of_equal_vectors_in_a_graph(spark):
+    """More equal vectors than results, among more vectors than the beam: the smallest ids win, and all vectors are reachable."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 6))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, [9.0] * 6) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = ann.nearest(df.where("vec_id in (0, 1040)"), df, k=20)
+    got = {q: [r.vec_id for r in found.where(f"query_id = {q}").orderBy("rank").collect()] for q in (0, 1040)}
+    want = {q: [i for i, _ in exact(rows, [(q, dict(rows)[q])], 20)[q]] for q in (0, 1040)}
+    assert got[1040] == want[1040] == [1000 + i for i in range(20)] and len(set(got[0]) & set(want[0])) >= 18
+    assert ann.Graph(x).reachable().all() and ann.Graph(x[:1]).reachable().all()
+    far = np.vstack([x, 1000 + rng.normal(size=(3, 6)), -1000 + rng.normal(size=(3, 6))])
+    assert ann.Graph(far, degree=2).reachable().all()
+
+
 def test_recall_over_several_shards(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     pdf = rows.select("vec_id", "embedding").toPandas()
     x = np.stack(pdf.embedding.map(np.asarray)).astype(float)
-    found = ann.nearest(rows.where("vec_id % 50 = 0"), rows, k=20, shard_rows=2000).toPandas()
+    assert len(pdf) >= 2000
+    found = ann.nearest(rows.where("vec_id % 20 = 0"), rows, k=20, shard_rows=500).toPandas()  # four shards
+    assert found.query_id.nunique() == (pdf.vec_id % 20 == 0).sum()
     hits = n = 0
     for q, part in found.groupby("query_id"):
         s = x @ x[pdf.index[pdf.vec_id == q][0]]
