@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions.text import MIN_WORDS_FOR_WORD_SETS, bigram_set, novelty, similarity_text, top_keywords, word_set
+from corpusflow.operators.components import connected_components
 from corpusflow.runtime import global_rank, materialize
 
 # Thresholds of the similarity rules.
@@ -18,13 +20,11 @@ WINDOW_ROWS = 200
 
 
 def features(rows: DataFrame, title: str = "title", excerpt: str = "raw_excerpt") -> DataFrame:
-    """Token sets of title and excerpt and the keywords of both, each made once."""
+    """Token sets of title and excerpt and the keywords of both, each made once; 64-bit hashes stand for the tokens."""
     norm = rows.withColumn("nt", similarity_text(F.col(title))).withColumn("ne", similarity_text(F.col(excerpt)))
     both = F.trim(F.concat_ws(" ", "nt", "ne"))
-    return norm.select(
-        *rows.columns, word_set(F.col("nt")).alias("tw"), bigram_set(F.col("nt")).alias("tb"), word_set(F.col("ne")).alias("ew"),
-        bigram_set(F.col("ne")).alias("eb"), top_keywords(both).alias("kw"),
-    )
+    made = {"tw": word_set(F.col("nt")), "tb": bigram_set(F.col("nt")), "ew": word_set(F.col("ne")), "eb": bigram_set(F.col("ne")), "kw": top_keywords(both)}
+    return norm.select(*rows.columns, *[F.transform(c, lambda t: F.xxhash64(t)).alias(k) for k, c in made.items()])
 
 
 def _score(names: tuple[str, str, str, str]) -> Column:
@@ -112,11 +112,92 @@ def cluster(articles: DataFrame, is_forum: Column | None = None) -> DataFrame:
     return out.withColumn("parent_article_id", F.col("__parent")).withColumn("summary_status", F.when(F.col("__parent").isNotNull(), "skipped").otherwise(F.col("summary_status"))).select(*articles.columns)
 
 
-def second_pass(articles: DataFrame, is_forum: Column, as_of: Column) -> DataFrame:
-    """After the summaries: finished leaders are compared on translated title and short summary; a new follower's followers move along."""
-    leaders = articles.where((F.col("summary_status") == "done") & F.col("parent_article_id").isNull() & ~F.coalesce(is_forum, F.lit(False)) & F.col("translated_title").isNotNull())
-    edges = parent_edges(leaders, None, "translated_title", "summary_short").where("accepted")
-    moved = roots(edges.select("id", F.col("best_id").alias("parent"))).withColumnRenamed("parent_article_id", "__new")
+def settled_parents(edges: DataFrame, most: int = 100_000) -> DataFrame:
+    """``(id, parent)`` by the sequential rule, from ``edges(id, at, other, score, created, accepted)`` to rows earlier by ``(at, id)``.
+
+    A row meets only rows that are still leaders at its turn; of those the best
+    score wins, the newest of equals, and if that one is not accepted, no other is
+    tried.  Rows of different components do not meet, so each component of up to
+    ``most`` edges is gone through in order by one task; larger ones are settled
+    in rounds of joins (``settled_in_rounds``), with the same result.
+    """
+    edges = materialize(edges)
+    parts = connected_components(edges, "id", "other").withColumnRenamed("node", "id")
+    marked = materialize(edges.join(parts, "id"))
+    large = materialize(marked.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("component"))
+
+    def in_order(frame: pd.DataFrame) -> pd.DataFrame:
+        followers: dict = {}
+        for (_, own), rows in frame.groupby(["at", "id"], sort=True):
+            left = rows[~rows["other"].isin(followers.keys())]
+            if len(left):
+                best = left.sort_values(["score", "created", "other"]).iloc[-1]
+                if best["accepted"]:
+                    followers[own] = best["other"]
+        return pd.DataFrame({"id": list(followers), "parent": list(followers.values())})
+
+    kind = edges.schema["id"].dataType.simpleString()
+    small = marked.join(large, "component", "left_anti").groupBy("component").applyInPandas(in_order, f"id {kind}, parent {kind}")
+    if large.isEmpty():
+        return small
+    return small.unionByName(settled_in_rounds(marked.join(large, "component", "left_semi")))
+
+
+def settled_in_rounds(edges: DataFrame) -> DataFrame:
+    """``settled_parents`` by joins: every round decides the rows whose best remaining candidate is decided itself.
+
+    Candidates that became followers are dropped.  The earliest open row can always
+    be decided, so the rounds end; there are as many as the longest chain of rows
+    that wait for each other.
+    """
+    live = materialize(edges.select("id", "other", "score", "created", "accepted"))
+    found = live.select("id", F.col("other").alias("parent")).limit(0)
+    while not live.isEmpty():
+        waiting = live.select(F.col("id").alias("other"), F.lit(True).alias("waits")).distinct()
+        best = F.max(F.struct("score", "created", "other", "accepted", "waits")).alias("m")
+        top = live.join(waiting, "other", "left").groupBy("id").agg(best)
+        ready = materialize(top.where("m.waits is null").select("id", "m.other", "m.accepted"))
+        followers = ready.where("accepted")
+        found = found.unionByName(followers.select("id", F.col("other").alias("parent")))
+        live = materialize(live.join(ready, "id", "left_anti").join(followers.select(F.col("id").alias("other")), "other", "left_anti"))
+    return found
+
+
+def time_pairs(rows: DataFrame, at: str, created: str, hours: int = WINDOW_HOURS) -> DataFrame:
+    """Rows ``a`` with each row ``b`` that came before by ``(at, id)`` and was made in the ``hours`` before ``a``'s time ``at``."""
+    width = hours * 3600
+    a = rows.withColumn("bucket", F.floor(F.unix_timestamp(at) / width)).alias("a")
+    bucket = F.floor(F.unix_timestamp(created) / width)
+    b = rows.withColumn("bucket", F.explode(F.array(bucket, bucket + 1))).alias("b")
+    before = F.struct(F.col(f"b.{at}"), F.col("b.id")) < F.struct(F.col(f"a.{at}"), F.col("a.id"))
+    age = F.unix_timestamp(f"a.{at}") - F.unix_timestamp(f"b.{created}")
+    return a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & before & age.between(0, width))
+
+
+def second_pass(articles: DataFrame, is_forum: Column, as_of: Column, finished: str = "created_at", rows_back: int | None = None) -> DataFrame:
+    """After the summaries: leaders are compared on translated title and short summary, in the order of ``finished``.
+
+    Rows take part that are done by ``as_of``, lead, have a translated title and are
+    no forum rows.  Each attaches at its turn to the best row that was finished
+    before, was created in the six hours before and still leads (``settled_parents``).
+    Followers of a row that attaches move along; the status stays and
+    ``last_summary_error`` notes the leader.  ``rows_back`` limits the candidates to
+    so many rows finished last; it is off by default, since a limit that counts
+    leaders only would depend on decisions still open.
+    """
+    done = (F.col("summary_status") == "done") & F.col("parent_article_id").isNull() & F.col("translated_title").isNotNull()
+    leaders = articles.where(done & ~F.coalesce(is_forum, F.lit(False)) & (F.col(finished) <= as_of))
+    columns = ["id", "created_at", "image_url", "translated_title", "summary_short", *([finished] if finished != "created_at" else [])]
+    base = features(leaders.select(*columns), "translated_title", "summary_short")
+    if rows_back is not None:
+        base = global_rank(base, [F.col(finished), F.col("id")], "seq")
+    pairs = time_pairs(materialize(base), finished, "created_at").where(_size_bound("a", "b"))
+    if rows_back is not None:
+        pairs = pairs.where(F.col("a.seq") - F.col("b.seq") <= rows_back)
+    scored = with_scores(pairs, [F.col("a.id").alias("id"), F.col(f"a.{finished}").alias("at"), F.col("b.id").alias("other"), F.col("b.created_at").alias("created"), F.col("a.kw").alias("own"), F.col("b.kw").alias("theirs")])
+    accepted = (F.col("title_score") >= TITLE_LOCK) | (novelty(F.col("own"), F.col("theirs")) < NOVELTY)
+    edges = scored.where(F.col("score") >= SIMILARITY).select("id", "at", "other", "score", "created", accepted.alias("accepted"))
+    moved = settled_parents(edges).select("id", F.col("parent").alias("__new"))
     out = articles.join(moved, "id", "left").withColumn("parent_article_id", F.coalesce("__new", "parent_article_id"))
     note = F.concat(F.lit("Clustered after summary into "), F.col("__new").cast("string"))
     out = out.withColumn("last_summary_error", F.when(F.col("__new").isNotNull(), note).otherwise(F.col("last_summary_error"))).drop("__new")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corpusflow.functions.classify import error_category
 from corpusflow.functions.dates import local_date, local_date_text
 from corpusflow.functions.url import domain
+from corpusflow.runtime import global_rank, materialize
 
 UNKNOWN_DOMAIN = "(không rõ)"
 QUALITY_STATUSES = ("healthy", "low_yield", "failing", "stale", "disabled")
@@ -199,9 +199,18 @@ def failure_streaks(logs: DataFrame) -> DataFrame:
 
 
 def quota_admissions(calls: DataFrame, cap: int, key: str = "provider", ts: str = "ts", id_col: str = "id") -> DataFrame:
-    """Calls of a key and day in order; the k-th is allowed if k < cap (the count is raised before the test)."""
-    w = Window.partitionBy(key, F.to_date(ts)).orderBy(ts, id_col)
-    return calls.withColumn("k", F.row_number().over(w)).withColumn("allowed", F.col("k") < cap)
+    """Calls of a key and day in order; the k-th is allowed if k < cap (the count is raised before the test).
+
+    ``k`` is the rank over all calls, slice by slice, less the first rank of its key
+    and day, so a key of many calls is not ordered in one task.
+    """
+    day = F.to_date(ts)
+    ranked = global_rank(calls.withColumn("__day", day), [F.col(key), F.col("__day"), F.col(ts), F.col(id_col)], "__rank")
+    ranked = materialize(ranked)
+    first = ranked.groupBy(F.col(key).alias("__key"), F.col("__day").alias("__on")).agg(F.min("__rank").alias("__first"))
+    out = ranked.join(first, F.col(key).eqNullSafe(F.col("__key")) & F.col("__day").eqNullSafe(F.col("__on")))
+    out = out.withColumn("k", F.col("__rank") - F.col("__first") + 1).withColumn("allowed", F.col("k") < cap)
+    return out.select(*calls.columns, "k", "allowed")
 
 
 def work_board(metrics: DataFrame, severities: dict[str, int]) -> DataFrame:

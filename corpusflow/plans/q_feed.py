@@ -210,8 +210,8 @@ query("jn12_profile_lookup", f"SELECT p.page_id, t.min_text_length FROM (SELECT
     lambda s, d: _pages(s, d).select("page_id", U.host(F.col("url")).alias("domain")).join(s.createDataFrame([("cheap-pills.example.com", "article", 300), ("spam-farm.example.org", "article", 800)], "domain string, mode string, min_text_length int").where("mode = 'article'"), "domain", "left").select("page_id", "min_text_length")
 )
 query("jn13_unnest_tags", "SELECT id, unnest(tags) AS tag FROM articles")(lambda s, d: A(s, d).select("id", F.explode("tags").alias("tag")))
-query("jn14_batch_ids", "SELECT id, title FROM articles WHERE id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id % 3 = 0)")(
-    lambda s, d: A(s, d).join(X.read(s, d, "labels").where("quality = 1 and doc_id % 3 = 0").select(F.col("doc_id").alias("id")), "id", "left_semi").select("id", "title")
+query("jn14_batch_ids", "SELECT id, title FROM articles WHERE id IN (SELECT doc_id FROM labels WHERE quality = 1)")(
+    lambda s, d: A(s, d).join(X.read(s, d, "labels").where("quality = 1").select(F.col("doc_id").alias("id")), "id", "left_semi").select("id", "title")
 )
 
 # Tags, days, digests
@@ -262,9 +262,9 @@ query("set03_domain_difference", f"SELECT DISTINCT {DOM} AS domain FROM pages WH
 )
 WORDS = "list_distinct(list_filter(string_split({}, ' '), lambda t: length(t) >= 2))"
 NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce({}, '')), '<[^>]+>', ' ', 'g'), '[\p{{P}}\p{{S}}]', ' ', 'g'), '[\s\x{{00A0}}]+', ' ', 'g'))"
-query("set04_token_sets", f"""WITH t AS (SELECT id, {WORDS.format(NORM.format('title'))} AS a, {WORDS.format(NORM.format('substr(raw_excerpt, 1, 120)'))} AS b FROM articles)
+query("set04_token_sets", f"""WITH t AS (SELECT id, {WORDS.format(NORM.format('title'))} AS a, {WORDS.format(NORM.format('raw_excerpt'))} AS b FROM articles)
 SELECT id, len(list_intersect(a, b)) AS common, len(list_distinct(list_concat(a, b))) AS united, len(list_filter(a, lambda x: NOT list_contains(b, x))) AS only_a FROM t""")(
-    lambda s, d: A(s, d).select("id", T.word_set(T.similarity_text(F.col("title"))).alias("a"), T.word_set(T.similarity_text(F.substring("raw_excerpt", 1, 120))).alias("b")).select(
+    lambda s, d: A(s, d).select("id", T.word_set(T.similarity_text(F.col("title"))).alias("a"), T.word_set(T.similarity_text(F.col("raw_excerpt"))).alias("b")).select(
         "id", F.size(F.array_intersect("a", "b")).cast("long").alias("common"), F.size(F.array_union("a", "b")).cast("long").alias("united"), F.size(F.array_except("a", "b")).cast("long").alias("only_a")
     )
 )

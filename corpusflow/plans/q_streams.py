@@ -7,9 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.operators import cluster as K
 from corpusflow.plans import fixtures as X
-from corpusflow.plans.q_text import _edges
+from corpusflow.plans.q_text import _edges, near
 from corpusflow.runtime import read, shared_folder
 from corpusflow.streaming import jobs as ST
 
@@ -37,30 +36,59 @@ def stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return ST.stream_table(spark, f"{sf_dir}/{table[:-1]}[{table[-1]}].parquet", schema)
 
 
-def finished(df: DataFrame, mode: str = "append") -> DataFrame:
-    """The stream run to its end; in complete mode the last result, else all batches."""
+def finished(df: DataFrame, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
+    """The stream run to its end; in complete mode the last result, in update mode the last row of each of the ``keys``, else all batches."""
     folder = _folder(df.sparkSession)
     out, spark, schema = f"{folder}/out", df.sparkSession, df.schema
+    spark.createDataFrame([], schema).write.parquet(out if mode == "complete" else f"{out}/batch=-1")  # for streams without rows
 
     def sink(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
 
     ST.run_available(df, sink, f"{folder}/state", mode)
-    try:
-        return spark.read.schema(schema).parquet(out)
-    except Exception:  # no batch had rows
-        return spark.createDataFrame([], schema)
+    found = spark.read.parquet(out)
+    if mode != "update":
+        return found.select(*df.columns)
+    rest = [c for c in df.columns if c not in keys]
+    return found.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("__last")).select(*keys, "__last.*")
+
+
+def batches(df: DataFrame, step) -> DataFrame:
+    """All results of ``step(batch, number, folder)`` over the batches of a stream that is run to its end."""
+    folder = _folder(df.sparkSession)
+
+    def sink(batch: DataFrame, number: int) -> None:
+        step(batch, number, folder).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    ST.run_available(df, sink, f"{folder}/progress")
+    return df.sparkSession.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out")
+
+
+def parts_in_order(df: DataFrame, by: str, parts: int = 4) -> DataFrame:
+    """A table written as ``parts`` files, one after the other, of rising values of ``by``, and read as a stream of one file a batch."""
+    spark, folder = df.sparkSession, _folder(df.sparkSession)
+    low, high = df.agg(F.min(by), F.max(by)).first()
+    part = F.least(F.floor((F.col(by) - F.lit(low)) * parts / F.lit(max(1, (high or 0) - (low or 0) + 1))), F.lit(parts - 1))
+    for i in range(parts):
+        df.where((part == i) if i else (part == i) | F.col(by).isNull()).coalesce(1).write.mode("append").parquet(f"{folder}/parts")
+    return ST.stream_table(spark, f"{folder}/parts", df.schema)
 
 
 def events(s, d) -> DataFrame:
     return stream(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def log_stream(s, d) -> DataFrame:
-    e = events(s, d)
+def log_rows(e: DataFrame) -> DataFrame:
     return e.select(F.col("event_id").alias("id"), F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("source_id"), F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("status"), F.date_trunc("second", "ts").alias("started_at"))
 
 
+def in_order(s, d, rows_of) -> DataFrame:
+    """Rows of the events as a stream of several batches in order of time."""
+    e = read(s, d, "events").withColumn("at", F.unix_seconds(F.col("ts").cast("timestamp")))
+    rows = rows_of(e.withColumn("ts", F.col("ts").cast("timestamp")))
+    return parts_in_order(rows.withColumn("at", F.unix_seconds("started_at")), "at")
+
+
 @query("str01_store_new", "SELECT min(doc_id) AS id, count(*) AS n FROM documents GROUP BY lower(trim(text)) HAVING true")
 def store_new(s, d):
     folder = _folder(s)
@@ -82,42 +110,26 @@ query("str02_first_seen", "SELECT DISTINCT user_id FROM events")(lambda s, d: fi
 query("str03_bounds", "SELECT event_id, strftime(least(date_trunc('second', ts), CASE WHEN ts > TIMESTAMP '2024-01-20 02:00:00' THEN TIMESTAMP '2024-01-20' ELSE date_trunc('second', ts) END), '%Y-%m-%d %H:%M:%S') AS ts FROM events WHERE least(ts, CASE WHEN ts > TIMESTAMP '2024-01-20 02:00:00' THEN TIMESTAMP '2024-01-20' ELSE ts END) >= TIMESTAMP '2024-01-20' - INTERVAL 72 HOUR")(
     lambda s, d: finished(ST.within_bounds(events(s, d).select("event_id", "ts"), "ts", F.lit("2024-01-20 00:00:00").cast("timestamp"), 72)).select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
 )
-query("str04_daily_counts", "SELECT strftime(ts + INTERVAL 7 HOUR, '%Y-%m-%d') AS date, event_type, count(*) AS n FROM events GROUP BY 1, 2")(lambda s, d: finished(ST.daily_counts(events(s, d), "ts", ["event_type"], None), "complete"))
+query("str04_daily_counts", "SELECT strftime(ts + INTERVAL 7 HOUR, '%Y-%m-%d') AS date, event_type, count(*) AS n FROM events GROUP BY 1, 2")(lambda s, d: finished(ST.daily_counts(events(s, d), "ts", ["event_type"]), "update", ("date", "event_type")))
 query("str04_rolling_counts", "SELECT strftime(h, '%Y-%m-%d %H:%M:%S') AS until, count(*) AS n FROM (SELECT unnest(generate_series(date_trunc('hour', ts) + INTERVAL 1 HOUR, date_trunc('hour', ts) + INTERVAL 24 HOUR, INTERVAL 1 HOUR)) AS h FROM events) GROUP BY 1")(
-    lambda s, d: finished(ST.rolling_counts(events(s, d), "ts", None), "complete").select(F.date_format("until", "yyyy-MM-dd HH:mm:ss").alias("until"), "n")
+    lambda s, d: finished(ST.rolling_counts(events(s, d), "ts"), "update", ("until",)).select(F.date_format("until", "yyyy-MM-dd HH:mm:ss").alias("until"), "n")
 )
 @query("str05_source_state", "WITH l AS (SELECT 'src' || (user_id % 20) AS source_id, event_id AS id, event_type = 'error' AS failed, date_trunc('second', ts) AS t FROM events), m AS (SELECT *, max(CASE WHEN NOT failed THEN (t, id) END) OVER (PARTITION BY source_id) AS last FROM l) SELECT source_id, count(*) FILTER (failed AND (last IS NULL OR (t, id) > last))::INT AS failures FROM m GROUP BY 1")
 def last_state(s, d):
-    folder = _folder(s)
-
-    def sink(batch: DataFrame, number: int) -> None:
-        batch.withColumn("number", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
-
-    ST.run_available(ST.source_state(log_stream(s, d)), sink, f"{folder}/state", "update")
-    return s.read.parquet(f"{folder}/out").groupBy("source_id").agg(F.max_by("failures", "number").alias("failures"))
+    out = batches(in_order(s, d, log_rows), ST.source_state)
+    return out.groupBy("source_id").agg(F.max_by("failures", "batch").cast("int").alias("failures"))
 
 
 @query("str06_arrivals_clustered", _edges)
 def arrivals(s, d):
-    """Arrivals are clustered within their batch and against the stored rows before them; one trigger takes all files here."""
-    folder = _folder(s)
-    schema = read(s, d, "documents").schema
-    docs = ST.stream_table(s, f"{d}/document[s].parquet", schema, 1_000_000)
-
-    def sink(batch: DataFrame, number: int) -> None:
-        i = F.col("doc_id")
-        rows = batch.select(
-            i.alias("id"), F.timestamp_seconds(F.lit(X.START) + i * 180).alias("created_at"), F.when(i % 3 != 0, F.concat(F.lit("https://img.example.com/"), (i % 200).cast("string"))).alias("image_url"),
-            F.substring(F.substring_index("text", ".", 1), 1, 120).alias("title"), F.substring("text", 1, 160).alias("raw_excerpt"),
-        )
-        K.parent_edges(rows).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
-
-    ST.run_available(docs, sink, f"{folder}/state")
-    return s.read.parquet(f"{folder}/out").select("id", "best_id", *[F.round(x, 6).alias(x) for x in ("title_score", "score", "novelty")], "accepted")
+    """Articles arrive in four batches; each is clustered within itself and with the stored six hours before it."""
+    rows = near(s, d).select("id", "created_at", "image_url", "title", "raw_excerpt")
+    out = batches(parts_in_order(rows, "id"), ST.cluster_arrivals)
+    return out.select("id", "best_id", *[F.round(x, 6).alias(x) for x in ("title_score", "score", "novelty")], "accepted")
 
 
 query("str07_admissions", "SELECT id, k::INT AS k, k < 4 AS allowed FROM (SELECT event_id AS id, row_number() OVER (PARTITION BY user_id % 20, ts::DATE ORDER BY date_trunc('second', ts), event_id) AS k FROM events)")(
-    lambda s, d: finished(ST.admissions(log_stream(s, d).select("id", F.col("source_id").alias("provider"), F.col("started_at").alias("ts")), 4)).select("id", "k", "allowed")
+    lambda s, d: batches(in_order(s, d, log_rows).select("id", F.col("source_id").alias("provider"), F.col("started_at").alias("ts")), lambda b, n, f: ST.admissions(b, n, f, 4)).select("id", "k", "allowed")
 )
 query("str08_visits", "SELECT strftime(date, '%Y-%m-%d') AS date, count(*) FILTER (NOT is_bot) AS humans, count(*) FILTER (is_bot) AS bots FROM visits GROUP BY 1")(
     lambda s, d: finished(ST.visits_by_day(X.access_lines_of(events(s, d))), "complete").select(F.date_format("date", "yyyy-MM-dd").alias("date"), "humans", "bots")

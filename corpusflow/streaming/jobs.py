@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import DateType, IntegerType, StructField, StructType
 
 from corpusflow.functions.dates import LOCAL_ZONE
+from corpusflow.operators.cluster import WINDOW_HOURS, parent_edges
+from corpusflow.operators.stats import quota_admissions
+from corpusflow.runtime import materialize
 from corpusflow.sources.logs import parse_access_log
 
 
@@ -55,53 +60,136 @@ def visits_by_day(lines: DataFrame) -> DataFrame:
     return v.groupBy("date").agg(F.count_if(~F.col("is_bot")).alias("humans"), F.count_if("is_bot").alias("bots"), F.approx_count_distinct(F.when(~F.col("is_bot"), F.col("ip"))).alias("unique_ips"))
 
 
-def source_state(stream: DataFrame, interval_minutes: int = 60) -> DataFrame:
-    """Running failures and back-off of each source over its log rows, as grouped state."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+def cluster_arrivals(batch: DataFrame, number: int, folder: str, is_forum: Column | None = None) -> DataFrame:
+    """Parent edges of the rows of one batch, to rows of the batch and to stored rows of the six hours before it.
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failures, last = state.get if state.exists else (0, "")
-        for row in pd.concat(list(frames)).sort_values(["started_at", "id"]).itertuples():
-            failures = failures + 1 if row.status == "failed" else 0
-            last = str(row.started_at)
-        state.update((failures, last))
-        backoff = min(interval_minutes * 2 ** max(0, failures - 1), 1440) if failures else interval_minutes
-        yield pd.DataFrame({"source_id": [key[0]], "failures": [failures], "next_minutes": [int(backoff)]})
-
-    rows = stream.select("source_id", "id", "status", "started_at")
-    return rows.groupBy("source_id").applyInPandasWithState(step, "source_id string, failures int, next_minutes int", "failures int, last string", "update", GroupStateTimeout.NoTimeout)
-
-
-def admissions(stream: DataFrame, cap: int, key: str = "provider", ts: str = "ts") -> DataFrame:
-    """Admission of calls per key and day, counted across batches in grouped state."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        used = state.get[0] if state.exists else 0
-        rows = pd.concat(list(frames)).sort_values(["ts", "id"])
-        k = range(used + 1, used + len(rows) + 1)
-        state.update((used + len(rows),))
-        yield pd.DataFrame({"id": rows["id"].to_numpy(), "k": list(k), "allowed": [n < cap for n in k]})
-
-    rows = stream.select("id", F.col(key).alias("provider"), F.to_date(ts).alias("day"), F.col(ts).alias("ts"))
-    return rows.groupBy("provider", "day").applyInPandasWithState(step, "id long, k int, allowed boolean", "used int", "append", GroupStateTimeout.NoTimeout)
-
-
-def fixed_windows(rows: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
-    """Batch admission of requests in windows that start at a key's first hit: ``limit`` a window.
-
-    A window's start depends on the one before, so each key and day is folded in
-    time order; days bound the group.
+    The batch is stored first, by day and under its number, so a repeated run of a
+    batch changes nothing; only days that the window touches are read back.  Rows
+    come in order of time from batch to batch, within a batch in any order; then
+    the edges of all batches are those of the whole table.
     """
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["ts", "id"])
-        start, n, out = None, 0, []
-        for t in frame["ts"]:
-            if start is None or (t - start).total_seconds() >= seconds:
-                start, n = t, 0
-            n += 1
-            out.append(n <= limit)
-        return frame[["id"]].assign(allowed=out)
-
-    return rows.select("id", "key", "ts", F.to_date("ts").alias("day")).groupBy("key", "day").applyInPandas(fold, "id long, allowed boolean")
+    kept = batch.select("id", "created_at", "image_url", "title", "raw_excerpt", (F.lit(False) if is_forum is None else is_forum).alias("is_forum"))
+    kept.withColumn("day", F.to_date("created_at")).write.mode("overwrite").partitionBy("day").parquet(f"{folder}/stored/batch={number}")
+    schema = StructType([*kept.schema.fields, StructField("day", DateType()), StructField("batch", IntegerType())])
+    stored = batch.sparkSession.read.schema(schema).option("basePath", f"{folder}/stored").parquet(f"{folder}/stored")
+    first = stored.where(F.col("batch") == number).agg(F.min("created_at").alias("t")).first()["t"]
+    since = F.lit(first).cast("timestamp") - F.expr(f"INTERVAL {WINDOW_HOURS} HOURS")  # null for an empty batch, which has no edges
+    near = stored.where((F.col("batch") <= number) & (F.col("day") >= F.to_date(since)) & (F.col("created_at") >= since))
+    own = stored.where(F.col("batch") == number).select("id")
+    return parent_edges(near.select(*kept.columns), F.col("is_forum")).join(own, "id", "left_semi")
+
+
+def _before(spark: SparkSession, path: str, number: int) -> DataFrame | None:
+    """The stored batches below ``number`` of a folder, or None for the first."""
+    if number == 0:
+        return None
+    return spark.read.option("basePath", path).parquet(path).where(F.col("batch") < number)
+
+
+def source_state(batch: DataFrame, number: int, folder: str, interval_minutes: int = 60) -> DataFrame:
+    """``source_id, failures, next_minutes`` of every source after a batch of its log rows: the failures since its last success.
+
+    A batch is summed by partial aggregates (its last success and the failures
+    after it) and joined with the state before, one row a source, which is written
+    as the next state; so no source's rows meet in one place.  Rows come in order
+    of time from batch to batch, within a batch in any order.
+    """
+    failed, at = F.col("status") == "failed", F.struct("started_at", "id")
+    rows = batch.select("source_id", "id", "status", "started_at")
+    success = rows.where(~failed).groupBy("source_id").agg(F.max(at).alias("success"))
+    after = F.col("success").isNull() | (at > F.col("success"))
+    sums = rows.join(success, "source_id", "left").groupBy("source_id").agg(F.count_if(failed & after).alias("new"), F.max(F.col("success").isNotNull()).alias("reset"))
+    state = f"{folder}/state"
+    before = _before(batch.sparkSession, state, number)
+    if before is None:
+        out = sums.select("source_id", F.col("new").alias("failures"))
+    else:
+        last = before.where(F.col("batch") == number - 1).select("source_id", F.col("failures").alias("old"))
+        kept = F.when(F.coalesce("reset", F.lit(False)), 0).otherwise(F.coalesce("old", F.lit(0)))
+        out = last.join(sums, "source_id", "full_outer").select("source_id", (kept + F.coalesce("new", F.lit(0))).alias("failures"))
+    out.select("source_id", F.col("failures").cast("long").alias("failures")).write.mode("overwrite").parquet(f"{state}/batch={number}")
+    stored = batch.sparkSession.read.parquet(f"{state}/batch={number}")
+    backoff = F.least(F.lit(interval_minutes) * F.pow(F.lit(2), F.col("failures") - 1), F.lit(1440))
+    return stored.withColumn("next_minutes", F.when(F.col("failures") > 0, backoff).otherwise(interval_minutes).cast("int"))
+
+
+def admissions(batch: DataFrame, number: int, folder: str, cap: int, key: str = "provider", ts: str = "ts") -> DataFrame:
+    """``id, k, allowed`` of a batch of calls: the k-th of a key and day is allowed if k < cap, counted over all batches.
+
+    A call's place is its rank in the batch (``quota_admissions``, no group meets
+    in one place) plus the calls of its key and day in the batches before, which
+    are stored as one row per key, day and batch.
+    """
+    rows = batch.select("id", F.col(key).alias("key"), F.col(ts).alias("ts"))
+    ranked = materialize(quota_admissions(rows, cap, "key").withColumn("day", F.to_date("ts")))
+    counts = f"{folder}/counts"
+    before = _before(batch.sparkSession, counts, number)
+    if before is not None:
+        used = before.groupBy(F.col("key").alias("__key"), F.col("day").alias("__day")).agg(F.sum("n").alias("used"))
+        ranked = ranked.join(used, F.col("key").eqNullSafe(F.col("__key")) & F.col("day").eqNullSafe(F.col("__day")), "left")
+        ranked = ranked.withColumn("k", F.col("k") + F.coalesce("used", F.lit(0)))
+    rows.groupBy("key", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{counts}/batch={number}")
+    return ranked.select("id", F.col("k").cast("int").alias("k"), (F.col("k") < cap).alias("allowed"))
+
+
+def _steps(times: np.ndarray, width: int) -> np.ndarray:
+    """For each row the first row ``width`` or more after it (the number of rows, if none)."""
+    return np.searchsorted(times, times + width, side="left")
+
+
+def fixed_windows(rows: DataFrame, limit: int, seconds: int = 60, slice_seconds: int = 3600) -> DataFrame:
+    """``id, allowed``: requests in windows that start at a key's first hit, ``limit`` a window.
+
+    A window's start depends on the one before.  Each key is cut into time slices:
+    a slice first tells, for every row that could start its first window, where its
+    last window would start and how many rows that would hold; these few facts are
+    chained over the slices of a key; then each slice is counted from the window it
+    is entered with.  So a task holds the rows of one key and slice only.  Rows of
+    equal time are ordered by id; a null key is a key of its own; rows with a null
+    time are refused.
+    """
+    width = seconds * 1_000_000
+    timed = rows.where("ts is not null").select("id", "key", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    timed = timed.withColumn("slice", F.floor(F.col("t") / (slice_seconds * 1_000_000)).cast("long"))
+
+    def facts(frame: pd.DataFrame) -> pd.DataFrame:
+        times = np.sort(frame["t"].to_numpy())
+        step, n = _steps(times, width), len(times)
+        last = np.arange(n)
+        for i in range(n - 1, -1, -1):
+            if step[i] < n:
+                last[i] = last[step[i]]
+        first = int(np.searchsorted(times, frame["slice"].iloc[0] * slice_seconds * 1_000_000 + width, side="left"))
+        heads = np.arange(min(n, first + 1))  # one of these starts the first window, unless all rows belong to the one before
+        return pd.DataFrame({"key": [frame["key"].iloc[0]], "slice": [frame["slice"].iloc[0]], "n": [n], "heads": [times[heads]], "starts": [times[last[heads]]], "counts": [n - last[heads]]})
+
+    def chain(frame: pd.DataFrame) -> pd.DataFrame:
+        frame, start, held, out = frame.sort_values("slice"), None, 0, []
+        for n, heads, starts, counts in zip(frame["n"], frame["heads"], frame["starts"], frame["counts"], strict=True):
+            out.append((start, held))
+            at = 0 if start is None else int(np.searchsorted(heads, start + width, side="left"))
+            if at < len(heads):
+                start, held = int(starts[at]), int(counts[at])
+            else:
+                held += int(n)
+        return frame[["key", "slice"]].assign(start=pd.array([s for s, _ in out], "Int64"), held=[h for _, h in out])
+
+    def count(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["t", "id"])
+        times = frame["t"].to_numpy()
+        step, n, start = _steps(times, width), len(times), frame["start"].iloc[0]
+        at = 0 if pd.isna(start) else int(np.searchsorted(times, int(start) + width, side="left"))
+        place = np.arange(n) + 1 + int(frame["held"].iloc[0])
+        while at < n:
+            upto = int(step[at])
+            place[at:upto] = np.arange(upto - at) + 1
+            at = upto
+        return frame[["id"]].assign(allowed=place <= limit)
+
+    kind, id_kind = rows.schema["key"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()
+    told = timed.groupBy("key", "slice").applyInPandas(facts, f"key {kind}, slice long, n long, heads array<long>, starts array<long>, counts array<long>")
+    entered = materialize(told.groupBy("key").applyInPandas(chain, f"key {kind}, slice long, start long, held long"))
+    entered = entered.select(F.col("key").alias("__key"), F.col("slice").alias("__slice"), "start", "held")
+    both = timed.join(entered, F.col("key").eqNullSafe(F.col("__key")) & (F.col("slice") == F.col("__slice"))).drop("__key", "__slice")
+    done = both.groupBy("key", "slice").applyInPandas(count, f"id {id_kind}, allowed boolean")
+    return done.unionByName(rows.where("ts is null").select("id", F.lit(False).alias("allowed")))
