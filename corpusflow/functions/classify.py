@@ -18,8 +18,8 @@ PROMO_PHRASES = (
     r"\b(lowest price|all[- ]time low|price drop|price cut)\b",
     r"\bsave \$\d+",
     r"\bsave up to \d+",
-    r"\b(best|top|daily|today'?s|this week'?s)\s+[a-z0-9][a-z0-9 -]{0,40}\s+deals?\b",
-    r"\bdeals?\s+(of the day|under \$\d+|for less|on sale)\b",
+    r"\b(best|top|daily|today'?s|this week'?s)\s+[a-z0-9][a-z0-9 -]{0,40}\s+deal[s]?\b",
+    r"\bdeal[s]?\s+(of the day|under \$\d+|for less|on sale)\b",
     r"\b(coupons?|promo codes?|discount codes?|coupon codes?|vouchers?)\b",
     r"\b(clearance|doorbuster)\b",
     r"\b(buy now|shop now|grab this|order now|get it now)\b",
@@ -30,7 +30,7 @@ PROMO_PHRASES = (
     r"\bflash sale\b",
 )
 PROMO_HINTS = (
-    r"\b(deals?|sale|discount|coupon|voucher|promo code|price drop|price cut|lowest price|all[- ]time low)\b",
+    r"\b(deal[s]?|sale|discount|coupon|voucher|promo code|price drop|price cut|lowest price|all[- ]time low)\b",
     r"\b(save|off)\b.*(?:\$|\d+%|\d+ percent)",
     r"(?:^|\s)(giảm\s*giá|khuyến\s*m[ãạ]i|mua ngay|giá rẻ|ưu đãi)(?:\s|$)",
 )
@@ -131,19 +131,28 @@ def error_category(error: Column) -> Column:
     return out.when(error.isNull() | (F.trim(error) == ""), UNKNOWN_CATEGORY).otherwise(OTHER_CATEGORY)
 
 
+# Types of fetch errors, first match wins: parts of the text, HTTP statuses, type.
+FETCH_ERRORS = (
+    (("url must be a public http", "invalid url"), (), "invalid_url"),
+    ((), (404, 410), "not_found"),
+    ((), (429,), "rate_limited"),
+    ((), (408,), "timeout"),
+    ((), (500, 502, 503, 504, 524), "server_error"),
+    (("timeout", "timed out", "aborted"), (), "timeout"),
+    (("econnreset", "etimedout", "socket hang up"), (), "connection"),
+    (("blocked", "cloudflare", "datadome", "challenge"), (), "blocked"),
+)
+FINAL_ERRORS = ("invalid_url", "not_found")
+
+
 def fetch_error(error: Column) -> Column:
     """``struct(type, retryable, http_status)`` of a fetch error."""
     m = F.lower(F.coalesce(error, F.lit("")))
     status = F.regexp_extract(m, _B + f"({HTTP_STATUSES})" + _E, 1).try_cast("int")
-    kind = (
-        F.when(m.contains("url must be a public http") | m.contains("invalid url"), "invalid_url")
-        .when(status.isin(404, 410), "not_found").when(status == 429, "rate_limited").when(status == 408, "timeout")
-        .when(status.isin(500, 502, 503, 504, 524), "server_error")
-        .when(_any(m, ("timeout", "timed out", "aborted")), "timeout")
-        .when(_any(m, ("econnreset", "etimedout", "socket hang up")), "connection")
-        .when(_any(m, ("blocked", "cloudflare", "datadome", "challenge")), "blocked").otherwise("unknown")
-    )
-    return F.struct(kind.alias("type"), (~kind.isin("invalid_url", "not_found")).alias("retryable"), status.alias("http_status"))
+    kind = F.lit("unknown")
+    for words, statuses, name in reversed(FETCH_ERRORS):
+        kind = F.when(_any(m, words) if words else status.isin(*statuses), name).otherwise(kind)
+    return F.struct(kind.alias("type"), (~kind.isin(*FINAL_ERRORS)).alias("retryable"), status.alias("http_status"))
 
 
 def is_retryable_ai_error(error: Column) -> Column:

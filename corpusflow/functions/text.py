@@ -94,7 +94,7 @@ def html_to_text(c: Column) -> Column:
 
 
 def strip_controls(c: Column) -> Column:
-    return F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
+    return F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]", "")
 
 
 def strip_markup(c: Column) -> Column:

@@ -146,3 +146,38 @@ def block_pattern(c: Column) -> Column:
     """A block-list pattern in its stored form: lower case, without scheme, ``www.`` and trailing slashes."""
     out = F.regexp_replace(F.lower(F.trim(c)), r"^https?://", "")
     return F.regexp_replace(F.regexp_replace(out, r"^www\.", ""), r"/+$", "")
+
+
+_PARTS = r"(?s)^(.*?://[^/?#]*)([^?#]*)(.*)$"
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
+
+
+def without_dots(url: Column) -> Column:
+    """``.`` and ``..`` segments of the path are resolved."""
+    path = F.regexp_extract(url, _PARTS, 2)
+    kept = F.aggregate(
+        F.slice(F.split(path, "/"), 2, F.length(path) + 1),
+        F.array().cast("array<string>"),
+        lambda out, x: F.when(x == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).when(x == ".", out).otherwise(F.concat(out, F.array(x))),
+    )
+    ends = F.when(path.rlike(r"/\.\.?$"), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    made = F.concat(F.regexp_extract(url, _PARTS, 1), F.lit("/"), F.array_join(ends, "/"), F.regexp_extract(url, _PARTS, 3))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), made).otherwise(url)
+
+
+def resolved(to: Column, base: Column) -> Column:
+    """``to`` as a URL without fragment, seen from the page ``base``; null for an empty one, other schemes, or a base without ``://``."""
+    return let(base, lambda b: let(let(F.regexp_replace(to, r"(?s)#.*$", ""), lambda t: _joined(t, b)), without_dots))
+
+
+def _joined(to: Column, base: Column) -> Column:
+    origin, path = F.regexp_extract(base, _PARTS, 1), F.regexp_extract(base, _PARTS, 2)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, r"[^/]*$", ""))
+    return (
+        F.when(to.rlike(_SCHEME + "//"), to)
+        .when(to.rlike(_SCHEME) | (to == "") | (origin == ""), None)
+        .when(to.startswith("//"), F.concat(F.regexp_extract(origin, r"^(.*?)//", 1), to))
+        .when(to.startswith("/"), F.concat(origin, to))
+        .when(to.startswith("?"), F.concat(origin, path, to))
+        .otherwise(F.concat(origin, folder, to))
+    )

@@ -23,18 +23,27 @@ def wildcard(pattern: Column) -> Column:
 def match(urls: DataFrame, rules: DataFrame, key: str = "url") -> DataFrame:
     """Each distinct URL that a rule hits, with the first rule: domains before paths, then by pattern.
 
-    Domain rules meet the exploded host suffixes in an equi-join.  Path rules are
-    compared with each distinct URL; their list is checked to be short first.
+    Domain rules meet the exploded host suffixes in an equi-join.  Path rules begin
+    at a segment of the URL, so they meet its suffixes by their first characters, as
+    many as the shortest rule has, and are then compared in full; rules may be as
+    many as one likes.  Rules that start with ``*`` have no first characters and meet
+    all URLs.
     """
-    if rules.where("type = 'path'").limit(10_001).count() > 10_000:
-        raise ValueError("more than 10,000 path rules: split them by domain")
     base = urls.select(F.col(key).alias("url")).where("url is not null").distinct()
     domains = rules.where("type = 'domain'").select(F.col("pattern").alias("suffix"), "id", "pattern")
     by_host = base.select("url", F.explode(F.array_distinct(host_suffixes(F.col("url")))).alias("suffix")).join(domains, "suffix").select("url", F.lit(0).alias("kind"), "pattern", "id")
-    paths = F.broadcast(rules.where("type = 'path'").select("id", "pattern"))  # the size is checked above
+    wild = F.contains("pattern", F.lit("*"))
+    paths = rules.where("type = 'path' and pattern <> ''").select("id", "pattern", F.regexp_extract("pattern", r"^([^*]*)", 1).alias("front"), wild.alias("wild"))
+    width = min(paths.where("front <> ''").agg(F.min(F.length("front"))).first()[0] or 1, 16)
     bare = F.regexp_replace(F.lower("url"), r"^https?://(www\.)?", "")
-    plain = F.col("bare").startswith(F.col("pattern")) | F.contains("bare", F.concat(F.lit("/"), F.col("pattern")))
-    hit = F.when(F.contains("pattern", F.lit("*")), F.regexp_like("bare", wildcard(F.col("pattern")))).otherwise(plain)
-    by_path = base.withColumn("bare", bare).join(paths, hit).select("url", F.lit(1).alias("kind"), "pattern", "id")
-    first = by_host.unionByName(by_path).groupBy("url").agg(F.min(F.struct("kind", "pattern", "id")).alias("m"))
+    whole = base.withColumn("bare", bare)
+    parts = F.split("bare", "/")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    at = whole.select("url", F.posexplode(suffixes).alias("place", "rest")).withColumn("start", F.substring("rest", 1, width))
+    indexed = paths.where("front <> ''").withColumn("start", F.substring("front", 1, width))
+    hit = F.when(F.col("wild"), (F.col("place") == 0) & F.regexp_like("rest", wildcard(F.col("pattern")))).otherwise(F.col("rest").startswith(F.col("pattern")))
+    by_path = at.join(indexed, "start").where(hit).select("url", F.lit(1).alias("kind"), "pattern", "id")
+    open_ended = paths.where("front = ''")
+    by_any = whole.join(open_ended, F.regexp_like("bare", wildcard(F.col("pattern")))).select("url", F.lit(1).alias("kind"), "pattern", "id")
+    first = by_host.unionByName(by_path).unionByName(by_any).groupBy("url").agg(F.min(F.struct("kind", "pattern", "id")).alias("m"))
     return first.select("url", "m.id", "m.pattern")

@@ -43,8 +43,10 @@ def with_scores(pairs: DataFrame, keep: list[Column]) -> DataFrame:
     common = [F.size(F.array_intersect(f"a.{s}", f"b.{s}")).alias(f"common_{s}") for s in ("tw", "tb", "ew", "eb")]
     sizes = [F.struct(F.size(f"a.{s}").alias("a"), F.size(f"b.{s}").alias("b")).alias(f"n_{s}") for s in ("tw", "tb", "ew", "eb")]
     image = F.coalesce((F.col("a.image_url") == F.col("b.image_url")) & (F.col("a.image_url") != ""), F.lit(False)).alias("same_image")
-    counted = pairs.select(*keep, *common, *sizes, image)
+    counts = F.explode(F.array(F.struct(*common, *sizes, image))).alias("__c")  # a filter on the score does not repeat the counting
+    counted = pairs.select(*keep, counts)
     names = counted.columns[: len(keep)]
+    counted = counted.select(*names, "__c.*")
     scored = counted.select(
         *names, _score(("common_tw", "common_tb", "n_tw", "n_tb")).alias("title_score"), _score(("common_ew", "common_eb", "n_ew", "n_eb")).alias("excerpt_score"), "same_image"
     )
@@ -78,6 +80,12 @@ def _size_bound(a: str, b: str) -> Column:
     return F.greatest(*bounds) >= F.when(same, SIMILARITY - IMAGE_BONUS).otherwise(SIMILARITY)
 
 
+def similar_pairs(base: DataFrame) -> DataFrame:
+    """``(id, other_id, score)`` of all pairs of feature rows in the window whose score reaches the threshold."""
+    pairs = window_pairs(base).where(_size_bound("a", "b"))
+    return with_scores(pairs, [F.col("a.id").alias("id"), F.col("b.id").alias("other_id")]).where(F.col("score") >= SIMILARITY).select("id", "other_id", "score")
+
+
 def parent_edges(articles: DataFrame, is_forum: Column | None = None, title: str = "title", excerpt: str = "raw_excerpt") -> DataFrame:
     """``(id, best_id, title_score, score, novelty, accepted)``: the best earlier row of each similar row.
 

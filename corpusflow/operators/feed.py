@@ -175,11 +175,18 @@ def day_steps(articles: DataFrame, as_of: Column) -> DataFrame:
 
 
 def cluster_view(articles: DataFrame) -> DataFrame:
-    """Each article of a cluster with its leader and its other members' ids."""
-    rows = articles.select("id", F.coalesce("parent_article_id", "id").alias("leader"), "title")
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col("a.leader") == F.col("b.leader")) & (F.col("a.id") != F.col("b.id")))
-    return pairs.groupBy(F.col("a.id").alias("id"), F.col("a.leader").alias("leader_id")).agg(F.sort_array(F.collect_list("b.id")).alias("siblings"))
+    """Each article with its cluster: ``id, leader_id, members``, members counting the leader where it is there; one row an article."""
+    rows = articles.select("id", F.coalesce("parent_article_id", "id").alias("leader_id"))
+    sizes = rows.groupBy("leader_id").agg(F.count(F.lit(1)).alias("members"))
+    return rows.join(sizes, "leader_id").select("id", "leader_id", "members")
+
+
+def siblings(articles: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id, sibling``: the other members of the cluster of each of the asked ``ids``."""
+    rows = articles.select("id", F.coalesce("parent_article_id", "id").alias("leader"))
+    asked = rows.join(ids.select("id").distinct(), "id", "left_semi")
+    members = rows.select(F.col("id").alias("sibling"), "leader")
+    return asked.join(members, "leader").where("id <> sibling").select("id", "sibling")
 
 
 def personal(articles: DataFrame, muted: list[str], bookmarks: DataFrame | None = None) -> DataFrame:

@@ -18,13 +18,19 @@ def first_per(rows: DataFrame, key: str, order: list[Column], n: int) -> DataFra
     return rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")
 
 
-def merge(target: DataFrame, changes: DataFrame, keys: list[str], matched: dict[str, Column] | None = None, insert: bool = True, when: Column | None = None) -> DataFrame:
-    """Upsert ``changes`` (unique on ``keys``) into ``target``: its next snapshot.
+def merge(
+    target: DataFrame, changes: DataFrame, keys: list[str], matched: dict[str, Column] | None = None, insert: bool = True, when: Column | None = None, order: list[Column] | None = None
+) -> DataFrame:
+    """Upsert ``changes`` into ``target``: its next snapshot.
 
+    Of changes with the same keys the first by ``order`` counts (default: by their
+    other columns), so no row of ``target`` is multiplied.
     ``matched`` gives the new value of columns on a conflict, over ``t.`` and
     ``c.`` columns (default: every column of ``changes``); ``when`` limits updates;
     ``insert=False`` leaves unmatched changes out.
     """
+    others = [F.col(x) for x in changes.columns if x not in keys]
+    changes = keep_first(changes, keys, order or others or [F.lit(0)])
     t, c = target.withColumn("__t", F.lit(True)).alias("t"), changes.withColumn("__c", F.lit(True)).alias("c")
     cond = None
     for k in keys:

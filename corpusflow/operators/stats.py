@@ -39,6 +39,18 @@ def domain_table(articles: DataFrame, jobs: DataFrame, start: str, end: str) ->
     return out.withColumn("success_rate", F.try_divide("articles", F.col("articles") + F.col("fetch_failed")))
 
 
+def success_rates(jobs: DataFrame, start: str, end: str) -> DataFrame:
+    """Share of finished fetches that succeeded, per source; null where none is finished."""
+    done, failed = F.count_if(F.col("status") == "done"), F.count_if(F.col("status") == "failed")
+    return jobs.where(in_days("updated_at", start, end)).groupBy("source_id").agg(F.try_divide(done, done + failed).alias("success_rate"))
+
+
+def with_runs(sources: DataFrame, logs: DataFrame) -> DataFrame:
+    """Sources with the number of their runs and the last one; logs are summed before the join."""
+    sums = logs.groupBy(F.col("source_id").alias("id")).agg(F.count(F.lit(1)).alias("runs"), F.max("started_at").alias("last_run"))
+    return sources.join(sums, "id", "left").withColumn("runs", F.coalesce("runs", F.lit(0)))
+
+
 def daily_table(articles: DataFrame, jobs: DataFrame, start: str, end: str) -> DataFrame:
     a = by_day(articles.where(in_days("created_at", start, end)), "created_at", "articles")
     j = by_day(jobs.where((F.col("status") == "failed") & in_days("updated_at", start, end)), "updated_at", "fetch_failed")

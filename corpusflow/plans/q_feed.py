@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corpusflow.functions import classify as C
 from corpusflow.functions import dates as D
@@ -14,6 +13,7 @@ from corpusflow.operators import feed as O
 from corpusflow.operators.feed import FeedQuery
 from corpusflow.plans import fixtures as X
 from corpusflow.plans.fixtures import AS_OF_SQL, as_of
+from corpusflow.runtime import global_rank
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -79,7 +79,7 @@ FEEDS = {
     "feed_latest": FeedQuery(tab="all"),
     "flt01_freshness": FeedQuery(limit=100),
     "flt02_local_day": FeedQuery(date="2024-01-15", limit=100),
-    "flt03_source_status_score": FeedQuery(source_id="src3", status="done", min_score=5),
+    "flt03_source_status_score": FeedQuery(source_id="src5", status="done", min_score=1),
     "flt04_tag": FeedQuery(tag="policy"),
     **{f"flt05_tab_{t}": FeedQuery(tab=t) for t in O.TABS},
     **{f"flt06_{i}": FeedQuery(issue=i) for i in O.ISSUES},
@@ -193,10 +193,10 @@ query("jn02_digest_items", f"WITH {_items_sql} SELECT i.digest_id, i.article_id,
 query("jn06_follower_counts", "SELECT a.id, (SELECT count(*) FROM articles f WHERE f.parent_article_id = a.id) AS n FROM articles a WHERE a.parent_article_id IS NULL")(
     lambda s, d: A(s, d).where("parent_article_id is null").select("id").join(O.follower_counts(A(s, d)), "id", "left").select("id", F.coalesce("follower_count", F.lit(0)).alias("n"))
 )
-query("jn07_siblings", "SELECT a.id, b.id AS sibling FROM articles a JOIN articles b ON coalesce(a.parent_article_id, a.id) = coalesce(b.parent_article_id, b.id) AND a.id <> b.id")(
-    lambda s, d: O.cluster_view(A(s, d)).select("id", F.explode("siblings").alias("sibling"))
+query("jn07_siblings", "SELECT a.id, b.id AS sibling FROM articles a JOIN articles b ON coalesce(a.parent_article_id, a.id) = coalesce(b.parent_article_id, b.id) AND a.id <> b.id WHERE a.id IN (SELECT doc_id FROM labels WHERE quality = 1)")(
+    lambda s, d: O.siblings(A(s, d), X.read(s, d, "labels").where("quality = 1").select(F.col("doc_id").alias("id")))
 )
-query("clu08_cluster_view", "SELECT a.id, coalesce(a.parent_article_id, a.id) AS leader_id, list(b.id ORDER BY b.id) AS siblings FROM articles a JOIN articles b ON coalesce(a.parent_article_id, a.id) = coalesce(b.parent_article_id, b.id) AND a.id <> b.id GROUP BY ALL")(
+query("clu08_cluster_view", "SELECT id, coalesce(parent_article_id, id) AS leader_id, count(*) OVER (PARTITION BY coalesce(parent_article_id, id)) AS members FROM articles")(
     lambda s, d: O.cluster_view(A(s, d))
 )
 _block = f"""WITH u AS (SELECT DISTINCT url, {H} AS h, regexp_replace(lower(url), '^https?://(www\\.)?', '') AS bare FROM pages WHERE url IS NOT NULL),
@@ -246,13 +246,13 @@ query("srt03_status_rank", "SELECT id, status FROM jobs ORDER BY CASE status WHE
     lambda s, d: X.jobs(s, d).orderBy(F.when(F.col("status") == "fetching", 0).when(F.col("status") == "discovered", 1).when(F.col("status") == "failed", 2).otherwise(3), F.col("updated_at").desc(), "id").limit(50).select("id", "status")
 )
 query("srt05_due_order", f"SELECT id, row_number() OVER (ORDER BY coalesce(next_run_at, created_at), name) AS place FROM sources WHERE is_enabled AND (next_run_at IS NULL OR next_run_at <= {AS_OF_SQL})")(
-    lambda s, d: S(s, d).where(F.col("is_enabled") & (F.col("next_run_at").isNull() | (F.col("next_run_at") <= as_of()))).select("id", F.row_number().over(Window.orderBy(F.coalesce("next_run_at", "created_at"), "name")).alias("place"))
+    lambda s, d: S(s, d).where(F.col("is_enabled") & (F.col("next_run_at").isNull() | (F.col("next_run_at") <= as_of()))).transform(lambda r: global_rank(r, [F.coalesce("next_run_at", "created_at"), F.col("name")], "place")).select("id", "place")
 )
 query("srt06_newest_batch", "SELECT id FROM jobs WHERE status = 'discovered' ORDER BY created_at DESC, id DESC LIMIT 30")(
     lambda s, d: X.jobs(s, d).where("status = 'discovered'").orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(30).select("id")
 )
 query("srt07_source_order", "SELECT id, name, row_number() OVER (ORDER BY is_enabled DESC, created_at DESC, id) AS place FROM sources")(
-    lambda s, d: S(s, d).select("id", "name", F.row_number().over(Window.orderBy(F.col("is_enabled").desc(), F.col("created_at").desc(), "id")).alias("place"))
+    lambda s, d: global_rank(S(s, d), [F.col("is_enabled").desc(), F.col("created_at").desc(), F.col("id")], "place").select("id", "name", "place")
 )
 DOM = "regexp_replace(regexp_replace(lower(url), '^https?://(www\\.)?', ''), '[/?#].*$', '')"
 query("set01_union", "SELECT url FROM articles UNION ALL SELECT url FROM pages WHERE url IS NOT NULL")(lambda s, d: A(s, d).select("url").unionByName(_pages(s, d).select("url").where("url is not null")))

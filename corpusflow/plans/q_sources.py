@@ -134,7 +134,7 @@ query("src13_thread_pages", "SELECT DISTINCT thread, '/t/page-' || (page + 1) AS
 
 
 def comment_trees(s, d):
-    """A tree per thread: turns 0, 3, 6.. are roots, each with the next turn as reply, which has the one after."""
+    """A tree per block of 50 pages of a thread: turns 0, 3, 6.. are roots, each with the next turn as reply, which has the one after."""
     cm = X.comments(s, d).select("thread", "page", "order", "author", F.when(c("thread") % 7 == 3, F.when(c("order") == 1, "[deleted]").otherwise(c("body"))).otherwise(c("body")).alias("body"), "reactions")
     by = cm.groupBy("thread", "page").agg(*[F.max(F.when(c("order") == k, F.struct("author", "body", "reactions"))).alias(f"c{k}") for k in range(3)])
 
@@ -143,30 +143,47 @@ def comment_trees(s, d):
         return F.when(c(f"c{k}").isNotNull(), F.struct(F.lit("t1").alias("kind"), F.struct(c(f"c{k}.author").alias("author"), c(f"c{k}.body").alias("body"), c(f"c{k}.reactions").alias("score"), r.alias("replies")).alias("data")))
 
     nested = by.select("thread", "page", node(0, node(1, node(2, None))).alias("n"))
-    return nested.groupBy("thread").agg(F.sort_array(F.collect_list(F.struct("page", F.to_json("n").alias("j")))).alias("l")).select("thread", F.concat(F.lit("["), F.array_join(F.transform("l", lambda x: x["j"]), ","), F.lit("]")).alias("children"))
+    docs = nested.groupBy("thread", F.floor((c("page") - 1) / 50).alias("block")).agg(F.sort_array(F.collect_list(F.struct("page", F.to_json("n").alias("j")))).alias("l"))
+    return docs.select(F.concat_ws("/", "thread", "block").alias("thread"), F.concat(F.lit("["), F.array_join(F.transform("l", lambda x: x["j"]), ","), F.lit("]")).alias("children"))
 
 
-query("src14_comment_tree", f"""WITH k AS (SELECT thread, author, CASE WHEN thread % 7 = 3 AND "order" = 1 THEN '[deleted]' ELSE body END AS b, reactions, page, "order" AS o FROM comments),
-v AS (SELECT * FROM k WHERE {SQZ.format('b')} NOT IN ('', '[deleted]') AND NOT (thread % 7 = 3 AND o = 2)) SELECT thread, author, substr({SQZ.format('b')}, 1, 900) AS body, reactions, o + 1 AS depth, (row_number() OVER (PARTITION BY thread ORDER BY page, o) - 1)::INT AS "order" FROM v""")(
+query("src14_comment_tree", f"""WITH k AS (SELECT thread, thread || '/' || (page - 1) // 50 AS block, author, CASE WHEN thread % 7 = 3 AND "order" = 1 THEN '[deleted]' ELSE body END AS b, reactions, page, "order" AS o FROM comments),
+v AS (SELECT * FROM k WHERE {SQZ.format('b')} NOT IN ('', '[deleted]') AND NOT (thread % 7 = 3 AND o = 2)) SELECT block AS thread, author, substr({SQZ.format('b')}, 1, 900) AS body, reactions, o + 1 AS depth, (row_number() OVER (PARTITION BY block ORDER BY page, o) - 1)::INT AS "order" FROM v""")(
     lambda s, d: JS.comment_tree(comment_trees(s, d)).select("thread", "author", "body", "reactions", "depth", "order")
 )
 
 
 def listing_pages(s, d):
-    return A(s, d).select(c("id").alias("page_id"), F.concat(F.lit('<div class="thing"><a class="title" href="/r/'), c("id").cast("string"), F.lit('">T '), c("id").cast("string"), F.lit('</a><a class="author">ann</a><time datetime="2024-01-02"></time></div><div class="comment"><a class="author">bob</a><div class="md">'), _xml(c("raw_excerpt")), F.lit('</div><span class="score" title="7">7</span><div class="comment"><a class="author">eve</a><div class="md">'), _xml(c("title")), F.lit('</div></div></div>')).alias("html"))
+    """A listing row and a comment with a reply per article, made of its title, excerpt, source and time."""
+    entry = lambda body, points: (F.lit('<div class="entry"><div class="usertext-body"><div class="md">'), _xml(c(body)), F.lit(f'</div></div><span class="score unvoted" title="'), points, F.lit('"></span></div>'))  # noqa: E731, F541
+    thing = lambda author: (F.lit('<div class="thing" data-type="comment" data-author="'), author, F.lit('">'))
+    return A(s, d).select(
+        c("id").alias("page_id"),
+        F.concat(
+            F.lit('<div class="thing" data-type="link"><a class="title" href="'), c("url"), F.lit('">'), _xml(c("title")), F.lit('</a><a class="author">'), c("source_id"), F.lit('</a><time datetime="'),
+            F.date_format("created_at", "yyyy-MM-dd"), F.lit('"></time></div>'), *thing(c("source_id")), *entry("raw_excerpt", (c("id") % 60).cast("string")), F.lit('<div class="child">'),
+            *thing(F.when(c("id") % 5 == 0, "[deleted]").otherwise(c("language"))), *entry("title", F.lit("x")), F.lit("</div></div></div>"),
+        ).alias("html"),
+    )
 
 
-query("src15_listing_rows", "SELECT id AS page_id, 0 AS pos, 'T ' || id AS title, '/r/' || id AS href, 'ann' AS author, '2024-01-02' AS published FROM articles")(lambda s, d: HT.listing_rows(listing_pages(s, d)).select("page_id", "pos", "title", "href", "author", "published"))
-query("src16_comment_rows")(lambda s, d: HT.comment_rows(listing_pages(s, d)))
-_jsonl = lambda s, d: X.comments(s, d).groupBy("thread").agg(F.to_json(F.struct(F.transform(F.sort_array(F.collect_list(F.struct("page", "order", "author", "body", c("reactions").alias("score")))), lambda x: F.struct(x["author"].alias("author"), x["body"].alias("body"), x["score"].alias("score"))).alias("data"))).alias("json"))
-query("src17_comment_list", f"""SELECT thread, pos, author, body, score FROM (SELECT thread, (row_number() OVER (PARTITION BY thread ORDER BY page, "order", author) - 1)::INT AS pos, author, {SQZ.format('body')} AS body, reactions AS score FROM comments) WHERE pos > 0 AND length(body) > 20""")(
+query("src15_listing_rows", f"SELECT id AS page_id, 0 AS pos, {SQZ.format('title')} AS title, url AS href, source_id AS author, strftime(created_at, '%Y-%m-%d') AS published FROM articles")(
+    lambda s, d: HT.listing_rows(listing_pages(s, d)).select("page_id", "pos", "title", "href", "author", "published")
+)
+_two_comments = f"""SELECT id AS page_id, 1 AS depth, source_id AS author, {SQZ.format('raw_excerpt')} AS body, (id % 60)::INT AS reactions FROM articles UNION ALL
+SELECT id, 2, language, {SQZ.format('title')}, 0 FROM articles WHERE id % 5 <> 0"""
+query("src16_comment_rows", f"""SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY depth) - 1)::INT AS "order", depth, author, substr(body, 1, 900) AS body, reactions FROM ({_two_comments}) WHERE length(body) >= 20""")(
+    lambda s, d: HT.comment_rows(listing_pages(s, d)).drop("score")
+)
+_jsonl = lambda s, d: X.comments(s, d).groupBy(F.concat_ws("/", "thread", F.floor((c("page") - 1) / 50)).alias("thread")).agg(F.to_json(F.struct(F.transform(F.sort_array(F.collect_list(F.struct("page", "order", "author", "body", c("reactions").alias("score")))), lambda x: F.struct(x["author"].alias("author"), x["body"].alias("body"), x["score"].alias("score"))).alias("data"))).alias("json"))
+query("src17_comment_list", f"""SELECT thread, pos, author, body, score FROM (SELECT thread || '/' || (page - 1) // 50 AS thread, (row_number() OVER (PARTITION BY thread, (page - 1) // 50 ORDER BY page, "order", author) - 1)::INT AS pos, author, {SQZ.format('body')} AS body, reactions AS score FROM comments) WHERE pos > 0 AND length(body) > 20""")(
     lambda s, d: JS.comment_list(_jsonl(s, d))
 )
 
 
 def state_pages(s, d):
     obj = F.to_json(F.struct(F.array(F.struct(F.struct(F.concat(F.lit("//m.example.com/a/"), c("id").cast("string")).alias("url"), F.concat(F.lit("A headline no "), c("id").cast("string")).alias("title")).alias("x"))).alias("list"), F.struct(c("raw_excerpt").alias("articleBody")).alias("story")))
-    ld = F.to_json(F.struct(F.array(F.struct(F.lit("NewsArticle").alias("@type"), c("title").alias("headline"), c("raw_excerpt").alias("articleBody"), F.date_format("created_at", "yyyy-MM-dd").alias("datePublished")), F.struct(F.lit("VideoObject").alias("@type"), F.lit("v").alias("headline"), F.lit(None).cast("string").alias("articleBody"), F.lit(None).cast("string").alias("datePublished"))).alias("@graph")))
+    ld = F.to_json(F.struct(F.array(F.struct(F.lit("NewsArticle").alias("@type"), c("title").alias("headline"), c("raw_excerpt").alias("articleBody"), F.date_format("created_at", "yyyy-MM-dd").alias("datePublished"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("description"), F.lit(None).cast("struct<contentUrl:string>").alias("caption")), F.struct(F.lit("VideoObject").alias("@type"), F.lit("v").alias("headline"), F.lit(None).cast("string").alias("articleBody"), F.lit(None).cast("string").alias("datePublished"), c("source_id").alias("name"), c("title").alias("description"), F.when(c("image_url").isNotNull(), F.struct(c("image_url").alias("contentUrl"))).alias("caption"))).alias("@graph")))
     return A(s, d).select(c("id").alias("page_id"), F.concat(F.lit("<html><script>window.blockRenderData = "), obj, F.lit('; f({"a":1});</script><script type="application/ld+json">'), ld, F.lit('</script><script>window.__INITIAL_STATE__ = '), obj, F.lit(";</script></html>")).alias("html"))
 
 
@@ -174,18 +191,18 @@ query("src18_embedded_list", "SELECT id AS page_id, '//m.example.com/a/' || id A
 query("fn26_json_ld", f"SELECT id AS page_id, {SQZ.format(_ent.format(chr(39).join(['regexp_replace(raw_excerpt, ', '<[^>]+>', ', ', ' ', ', ', 'g', ')'])))} AS body, nullif(trim(title), '') AS title, strftime(created_at, '%Y-%m-%d') AS published FROM articles")(
     lambda s, d: JS.json_ld_articles(state_pages(s, d)).select("page_id", "body", "title", "published")
 )
-query("fn27_state_body")(lambda s, d: JS.state_bodies(state_pages(s, d)))
-query("fn28_json_ld_video", "SELECT id AS page_id FROM articles")(lambda s, d: JS.json_ld_video(state_pages(s, d)).select("page_id"))
+query("fn27_state_body", f"SELECT id AS page_id, {_snip} AS body FROM articles WHERE trim(raw_excerpt) <> ''")(lambda s, d: JS.state_bodies(state_pages(s, d)))
+query("fn28_json_ld_video", "SELECT id AS page_id, source_id AS title, CASE WHEN id % 3 <> 0 THEN 'https://img.example.com/' || (id % 200) END AS caption_url, title AS description FROM articles")(lambda s, d: JS.json_ld_video(state_pages(s, d)))
 _hot = lambda s, d: A(s, d).groupBy(F.floor(c("id") / 20).alias("feed")).agg(F.to_json(F.struct(F.transform(F.sort_array(F.collect_list(F.struct("id", "title", "url"))), lambda x: F.struct(x["id"].cast("string").alias("id"), x["title"].alias("title"), x["url"].alias("url"), F.struct(F.when(x["id"] % 2 == 0, F.concat(x["url"], F.lit("?l"))).alias("url")).alias("link_info"))).alias("data"))).alias("json"))
 query("src19_hot_list", "SELECT id::VARCHAR AS id, title, CASE WHEN id % 2 = 0 THEN url || '?l' ELSE url END AS url FROM articles WHERE title <> ''")(lambda s, d: JS.hot_list(_hot(s, d)).select("id", "title", "url"))
 _cards = lambda s, d: A(s, d).groupBy(F.floor(c("id") / 20).alias("feed")).agg(F.to_json(F.struct(F.array(F.struct(F.transform(F.sort_array(F.collect_list(F.struct("id", "title", "url"))), lambda x: F.struct(F.when(x["id"] % 5 == 0, "ad").otherwise("article").alias("type"), x["id"].cast("string").alias("id"), x["title"].alias("title"), x["url"].alias("url"))).alias("cards"))).alias("sections"))).alias("json"))
 query("src20_channel_cards", "SELECT id // 20 AS feed, id::VARCHAR AS id, url, title FROM articles WHERE id % 5 <> 0")(lambda s, d: JS.channel_cards(_cards(s, d)).select("feed", "id", "url", "title"))
-_tree = lambda s, d: A(s, d).select("id", F.concat(F.lit('{"sections":[{"subSections":[{"cards":[{"type":"Gem","id":"x"},{"subCards":[{"type":"Gem","gemElementMetadata":{"isSeedElement":true},"id":"A'), c("id").cast("string"), F.lit(', B"}]}]}]}]}')).alias("json"))
-query("src21_card_tree", "SELECT id, unnest(['A' || id, 'B']) AS article_id FROM articles")(lambda s, d: JS.card_ids(_tree(s, d), "Gem").select("id", "article_id"))
+_tree = lambda s, d: A(s, d).select("id", F.concat(F.lit('{"sections":[{"subSections":[{"cards":[{"type":"Gem","id":"x"},{"subCards":[{"type":"Gem","gemElementMetadata":{"isSeedElement":true},"id":"'), c("source_id"), c("id").cast("string"), F.lit(', '), c("language"), F.lit('"}]}]}]}]}')).alias("json"))
+query("src21_card_tree", "SELECT id, unnest([source_id || id, language]) AS article_id FROM articles")(lambda s, d: JS.card_ids(_tree(s, d), "Gem").select("id", "article_id"))
 _detail = lambda s, d: A(s, d).select("id", F.to_json(F.struct("title", F.concat(F.lit("<p>"), _xml(c("raw_excerpt")), F.lit("</p>")).alias("body"), F.array(F.struct(c("source_id").alias("name"))).alias("authors"), F.array(F.struct(c("image_url").alias("url"))).alias("imageResources"))).alias("json"))
 query("src22_detail", f"SELECT id, title, {_snip} AS raw_content, source_id AS author, image_url FROM articles")(lambda s, d: JS.detail_article(_detail(s, d)).select("id", "title", "raw_content", "author", "image_url"))
-_repos = lambda s, d: A(s, d).select(c("id").alias("page_id"), F.concat(F.lit('<article class="Box-row"><h2><a href="/o/r'), c("id").cast("string"), F.lit('">o / r'), c("id").cast("string"), F.lit('</a></h2><p>About</p><span itemprop="programmingLanguage">Scala</span><a href="/o/r/stargazers">1,2</a><span>30 stars today</span></article>')).alias("html"))
-query("src23_repositories", "SELECT id AS page_id, 'o/r' || id AS name, '/o/r' || id AS href, 'About' || chr(10) || 'Language: Scala' || chr(10) || 'Stars: 1,2' || chr(10) || 'Today: 30' AS raw_content FROM articles")(
+_repos = lambda s, d: A(s, d).select(c("id").alias("page_id"), F.concat(F.lit('<article class="Box-row"><h2><a href="/o/r'), c("id").cast("string"), F.lit('">o / r'), c("id").cast("string"), F.lit('</a></h2><p>'), _xml(c("title")), F.lit('</p><span itemprop="programmingLanguage">'), c("language"), F.lit('</span><a href="/o/r/stargazers">1,2</a><span>30 stars today</span></article>')).alias("html"))
+query("src23_repositories", f"SELECT id AS page_id, 'o/r' || id AS name, '/o/r' || id AS href, {SQZ.format('title')} || chr(10) || 'Language: ' || language || chr(10) || 'Stars: 1,2' || chr(10) || 'Today: 30' AS raw_content FROM articles")(
     lambda s, d: HT.repository_rows(_repos(s, d)).select("page_id", "name", "href", "raw_content")
 )
 query("src25_captions", f"SELECT id, {SQZ.format('title')} || ' end' AS vtt, trim({SQZ.format('title')} || ' & it''s') AS timed FROM articles WHERE title <> ''")(
@@ -200,6 +217,12 @@ query("fn31_profile_body")(
 query("fn33_site_detect", r"SELECT page_id, nullif(regexp_extract(regexp_extract(html, '(?i)<html\b[^>]*>', 0), '(?i)\blang\s*=\s*[" + '"' + r"''](.*?)[" + '"' + r"'']', 1), '') AS lang, nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), '') AS title, url AS canonical, false AS is_feed FROM pages")(
     lambda s, d: P(s, d).select("page_id", *[v.alias(k) for k, v in HT.site_facts(c("html"), c("url")).items() if k in ("lang", "title", "canonical", "is_feed")])
 )
-query("fn14_repair_text", "SELECT id, raw_excerpt AS t FROM articles WHERE NOT contains(raw_excerpt, '&')")(
-    lambda s, d: HT.with_repaired(A(s, d).where("not contains(raw_excerpt, '&')").select("id", F.decode(F.encode("raw_excerpt", "UTF-8"), "ISO-8859-1").alias("t")), ["t"])
-)
+
+
+def garbled(s, d):
+    """Articles whose texts were escaped and whose UTF-8 was read as Latin-1, every third each."""
+    bad = lambda x: F.when(c("id") % 3 == 0, F.decode(F.encode(x, "UTF-8"), "ISO-8859-1")).when(c("id") % 3 == 1, _xml(x)).otherwise(x)
+    return A(s, d).select("id", *[bad(c(f)).alias(f) for f in HT.TEXT_FIELDS])
+
+
+query("fn14_repair_text")(lambda s, d: HT.with_repaired(garbled(s, d)))

@@ -72,8 +72,9 @@ query("agg10_totals", f"SELECT (SELECT count(*) FROM articles WHERE {IN_A}) AS a
 )
 _dom = f"""WITH u AS (SELECT {DOM} AS domain, 1 AS a, 0 AS f, (summary_status = 'skipped')::INT AS k FROM articles WHERE {IN_A} UNION ALL SELECT {DOM}, 0, 1, 0 FROM jobs WHERE {IN_J})
 SELECT coalesce(nullif(domain, ''), '{G.UNKNOWN_DOMAIN}') AS domain, sum(a)::BIGINT AS articles, sum(f)::BIGINT AS fetch_failed, sum(k)::BIGINT AS skipped, sum(a) / nullif(sum(a) + sum(f), 0) AS success_rate FROM u GROUP BY 1"""
-for _name in ("jn10_domain_merge", "agg11_success_rate"):
-    query(_name, _dom)(lambda s, d: G.domain_table(A(s, d), J(s, d), *R))
+query("jn10_domain_merge", _dom)(lambda s, d: G.domain_table(A(s, d), J(s, d), *R))
+_worst = f"SELECT source_id, count(*) FILTER (status = 'done') / nullif(count(*) FILTER (status IN ('done', 'failed')), 0) AS success_rate FROM jobs WHERE {LOCAL.format('updated_at')} BETWEEN DATE '{R[0]}' AND DATE '{R[1]}' GROUP BY 1"
+query("agg11_success_rate", _worst)(lambda s, d: G.success_rates(J(s, d), *R))
 query("jn11_daily_merge", f"""SELECT coalesce(a.date, j.date) AS date, coalesce(a.n, 0) AS articles, coalesce(j.n, 0) AS fetch_failed FROM (SELECT {DAY.format('created_at')} AS date, count(*) AS n FROM articles WHERE {IN_A} GROUP BY 1) a
 FULL JOIN (SELECT {DAY.format('updated_at')} AS date, count(*) AS n FROM jobs WHERE {IN_J} GROUP BY 1) j ON a.date = j.date""")(lambda s, d: G.daily_table(A(s, d), J(s, d), *R))
 
@@ -97,8 +98,10 @@ coalesce(failed_24h, 0) AS failed_24h, coalesce(runs_7d, 0) AS runs_7d, coalesce
 CASE WHEN found_24h > 0 THEN inserted_24h / found_24h END AS insert_rate_24h, CASE WHEN found_7d > 0 THEN inserted_7d / found_7d END AS insert_rate_7d
 FROM sources s LEFT JOIN (SELECT source_id, count(*) FILTER ({_d}) AS runs_24h, (sum(items_found) FILTER ({_d}))::BIGINT AS found_24h, (sum(items_inserted) FILTER ({_d}))::BIGINT AS inserted_24h, count(*) FILTER ({_d} AND status = 'failed') AS failed_24h,
 count(*) AS runs_7d, sum(items_found)::BIGINT AS found_7d, sum(items_inserted)::BIGINT AS inserted_7d, count(*) FILTER (status = 'failed') AS failed_7d FROM logs WHERE {_w} GROUP BY 1) l ON l.source_id = s.id"""
-for _name in ("agg16_source_quality", "jn16_sources_logs"):
-    query(_name, _quality)(lambda s, d: G.source_quality(S(s, d), L(s, d), as_of()))
+query("agg16_source_quality", _quality)(lambda s, d: G.source_quality(S(s, d), L(s, d), as_of()))
+query("jn16_sources_logs", "SELECT s.id, s.name, count(l.id) AS runs, strftime(max(l.started_at), '%Y-%m-%d %H:%M:%S') AS last_run FROM sources s LEFT JOIN logs l ON l.source_id = s.id GROUP BY 1, 2")(
+    lambda s, d: G.with_runs(S(s, d), L(s, d)).select("id", "name", "runs", ts("last_run"))
+)
 query("agg16_quality_summary", f"SELECT k.status, count(q.id) AS n FROM (VALUES ('healthy'), ('low_yield'), ('failing'), ('stale'), ('disabled')) k(status) LEFT JOIN ({_quality}) q ON q.status = k.status GROUP BY 1")(
     lambda s, d: G.quality_summary(G.source_quality(S(s, d), L(s, d), as_of()))
 )
@@ -153,8 +156,11 @@ def changed(where: str, values: dict[str, str], table: str = "jobs") -> str:
 
 CLEAR = {"error_type": "NULL", "last_http_status": "NULL"}
 _pick = "id IN (SELECT id FROM jobs WHERE status = 'discovered' ORDER BY created_at DESC, id DESC LIMIT 30)"
-for _name in ("st01_claim_jobs", "jn15_update_from"):
-    query(_name, jobs_sql(changed(_pick, {"status": "'fetching'", "last_error": "NULL"})))(lambda s, d: jobs_out(ST.claim_jobs(J(s, d), as_of())))
+query("st01_claim_jobs", jobs_sql(changed(_pick, {"status": "'fetching'", "last_error": "NULL"})))(lambda s, d: jobs_out(ST.claim_jobs(J(s, d), as_of())))
+_from = lambda s, d: L(s, d).groupBy("source_id").agg(F.max_by("error_message", F.struct("started_at", "id")).alias("seen")).where("seen is not null")
+query("jn15_update_from", "SELECT j.id, CASE WHEN e.seen IS NOT NULL AND j.status = 'failed' THEN e.seen ELSE j.last_error END AS last_error, j.status FROM jobs j LEFT JOIN (SELECT source_id, arg_max_null(error_message, (started_at, id)) AS seen FROM logs GROUP BY 1) e ON e.source_id = j.source_id")(
+    lambda s, d: M.merge(J(s, d).select("source_id", "id", "status", "last_error"), _from(s, d), ["source_id"], {"last_error": F.col("c.seen")}, insert=False, when=F.col("t.status") == "failed").select("id", "last_error", "status")
+)
 query("jn03_claimed_sources", f"SELECT j.id, j.source_id, s.name AS source_name, s.type AS source_type FROM (SELECT * FROM jobs WHERE {_pick}) j JOIN sources s ON s.id = j.source_id")(
     lambda s, d: ST.claimed_with_sources(J(s, d), S(s, d)).select("id", "source_id", "source_name", "source_type")
 )
@@ -198,11 +204,11 @@ query("st05_job_outcomes", jobs_sql(f"""SELECT j.* REPLACE (CASE WHEN h THEN o E
 CASE WHEN h THEN CASE WHEN o = 'failed' THEN CASE id % 3 WHEN 0 THEN 'server_error' WHEN 1 THEN 'not_found' ELSE 'blocked' END END ELSE error_type END AS error_type,
 CASE WHEN h THEN CASE WHEN o = 'failed' THEN CASE id % 3 WHEN 0 THEN 503 WHEN 1 THEN 404 END END ELSE last_http_status END AS last_http_status, CASE WHEN h THEN CASE WHEN o = 'skipped' THEN e END ELSE skip_reason END AS skip_reason, CASE WHEN h THEN {AS_OF_SQL} ELSE updated_at END AS updated_at)
 FROM (SELECT *, status = 'fetching' AND id % 2 = 0 AS h, CASE id % 6 WHEN 0 THEN 'done' WHEN 2 THEN 'failed' ELSE 'skipped' END AS o, {_err} AS e FROM jobs) j"""))(lambda s, d: jobs_out(ST.job_outcomes(J(s, d), _outcomes(s, d), as_of())))
-for _name in ("st06_short_content", "jn05_not_exists"):
-    query(_name, """SELECT a.id, a.source_id, a.url, a.title FROM articles a JOIN sources s ON s.id = a.source_id WHERE a.summary_status = 'skipped' AND a.last_summary_error ILIKE '%source content too short%' AND greatest(length(a.raw_content), length(a.raw_excerpt)) < 500
-    AND NOT EXISTS (SELECT 1 FROM jobs j WHERE j.source_id = a.source_id AND j.url = a.url AND coalesce(j.payload_json->>'$.rescueArticleId', '') = a.id::VARCHAR) AND s.type IN ('rss', 'web') ORDER BY a.created_at DESC, a.id DESC LIMIT 30""")(
-        lambda s, d: ST.short_content(A(s, d), J(s, d), S(s, d))
-    )
+query("jn05_not_exists", "SELECT s.id FROM sources s WHERE NOT EXISTS (SELECT 1 FROM jobs j WHERE j.source_id = s.id AND j.status = 'failed' AND j.error_type = 'not_found')")(
+    lambda s, d: S(s, d).join(J(s, d).where("status = 'failed' and error_type = 'not_found'").select(F.col("source_id").alias("id")), "id", "left_anti").select("id")
+)
+query("st06_short_content", """SELECT a.id, a.source_id, a.url, a.title FROM articles a JOIN sources s ON s.id = a.source_id WHERE a.summary_status = 'skipped' AND a.last_summary_error ILIKE '%source content too short%' AND greatest(length(a.raw_content), length(a.raw_excerpt)) < 500
+    AND NOT EXISTS (SELECT 1 FROM jobs j WHERE j.source_id = a.source_id AND j.url = a.url AND coalesce(j.payload_json->>'$.rescueArticleId', '') = a.id::VARCHAR) AND s.type IN ('rss', 'web') ORDER BY a.created_at DESC, a.id DESC LIMIT 30""")(lambda s, d: ST.short_content(A(s, d), J(s, d), S(s, d)))
 _again = lambda s, d: J(s, d).where("id % 4 = 0").select("source_id", "url", "title", F.lit('{"isManualSave": true}').alias("payload_json"))
 query("snk03_requeue", f"SELECT id, CASE WHEN h THEN 'discovered' ELSE status END AS status, CASE WHEN h THEN 0 ELSE retry_count END AS retry_count, CASE WHEN h THEN NULL ELSE last_error END AS last_error, {TS.format(f'CASE WHEN h THEN {AS_OF_SQL} ELSE updated_at END')} AS updated_at FROM (SELECT *, id % 4 = 0 AND status IN ('done', 'skipped') AS h FROM jobs)")(
     lambda s, d: ST.requeue(J(s, d), _again(s, d), as_of()).select("id", "status", "retry_count", "last_error", ts("updated_at"))
@@ -226,8 +232,8 @@ query("st10_due_sources", f"SELECT id, name, consecutive_failures FROM sources W
 query("st11_retention", f"SELECT 'log' AS kind, id FROM logs WHERE started_at >= {AS_OF_SQL} - INTERVAL 14 DAY UNION ALL SELECT 'text', id FROM articles WHERE created_at >= {AS_OF_SQL} - INTERVAL 20 DAY")(
     lambda s, d: ST.retain_logs(L(s, d), as_of()).select(F.lit("log").alias("kind"), "id").unionByName(ST.retain_content(A(s, d), as_of(), 20).where("raw_content is not null").select(F.lit("text").alias("kind"), "id"))
 )
-_forum = lambda s, d: O.with_sources(A(s, d), S(s, d))
-query("st12_refresh", f"SELECT a.id FROM articles a LEFT JOIN sources s ON s.id = a.source_id WHERE regexp_matches(a.url || ' ' || coalesce(s.name, ''), '(?i)voz|reddit') AND a.created_at BETWEEN {AS_OF_SQL} - INTERVAL 4 HOUR AND {AS_OF_SQL} AND a.rescraped_count < 2 ORDER BY a.created_at DESC, a.id DESC LIMIT 30")(
+_forum = lambda s, d: O.with_sources(A(s, d).withColumn("created_at", F.timestamp_seconds(F.unix_timestamp(as_of()) - F.col("id") * 7 % 600 * 60)), S(s, d))
+query("st12_refresh", f"SELECT a.id FROM (SELECT * REPLACE ({AS_OF_SQL} - to_minutes(id * 7 % 600) AS created_at) FROM articles) a LEFT JOIN sources s ON s.id = a.source_id WHERE regexp_matches(a.url || ' ' || coalesce(s.name, ''), '(?i)voz|reddit') AND a.created_at BETWEEN {AS_OF_SQL} - INTERVAL 4 HOUR AND {AS_OF_SQL} AND a.rescraped_count < 2 ORDER BY a.created_at DESC, a.id DESC LIMIT 30")(
     lambda s, d: ST.refresh_candidates(_forum(s, d), C.is_forum_article(F.col("url"), F.col("source_name"), F.col("title")), as_of()).select("id")
 )
 query("st13_empty_threads", f"SELECT id FROM articles WHERE contains(raw_content, 'the') AND created_at >= {AS_OF_SQL} - INTERVAL 48 HOUR ORDER BY created_at DESC, id DESC LIMIT 10")(lambda s, d: ST.empty_threads(A(s, d), as_of(), "the").select("id"))
@@ -237,10 +243,12 @@ query("st14_save", "SELECT id, CASE WHEN id % 8 = 0 THEN NOT is_saved ELSE is_sa
 
 # Sinks
 _new = lambda s, d: A(s, d).where("id % 2 = 0").select("id", "url", F.sha2(F.lower(F.trim("raw_content")).cast("binary"), 256).alias("hash"), "created_at")
-for _name in ("agg20_dedupe", "snk01_insert_absent"):
-    query(_name, "WITH h AS (SELECT id, url, sha256(lower(trim(raw_content))) AS hash, created_at FROM articles) SELECT id FROM h QUALIFY row_number() OVER (PARTITION BY hash ORDER BY created_at, id) = 1")(
-        lambda s, d: M.keep_first(M.keep_first(A(s, d).select("id", "url", F.sha2(F.lower(F.trim("raw_content")).cast("binary"), 256).alias("hash"), "created_at"), ["url"], [F.col("created_at"), F.col("id")]), ["hash"], [F.col("created_at"), F.col("id")]).select("id")
-    )
+query("snk01_insert_absent", "WITH h AS (SELECT id, url, sha256(lower(trim(raw_content))) AS hash FROM articles) SELECT id FROM h WHERE id % 3 = 0 UNION ALL SELECT min(id) FROM h WHERE hash NOT IN (SELECT hash FROM h WHERE id % 3 = 0) GROUP BY hash")(
+    lambda s, d: (lambda h: M.insert_absent(h.where("id % 3 = 0"), h.where("id % 3 <> 0"), ["hash"], [F.col("id")]).select("id"))(A(s, d).select("id", F.sha2(F.lower(F.trim("raw_content")).cast("binary"), 256).alias("hash")))
+)
+query("agg20_dedupe", "WITH h AS (SELECT id, url, sha256(lower(trim(raw_content))) AS hash, created_at FROM articles) SELECT id FROM h QUALIFY row_number() OVER (PARTITION BY hash ORDER BY created_at, id) = 1")(
+    lambda s, d: M.keep_first(M.keep_first(A(s, d).select("id", "url", F.sha2(F.lower(F.trim("raw_content")).cast("binary"), 256).alias("hash"), "created_at"), ["url"], [F.col("created_at"), F.col("id")]), ["hash"], [F.col("created_at"), F.col("id")]).select("id")
+)
 query("snk02_enqueue_absent", "SELECT source_id, url FROM jobs UNION SELECT source_id, url FROM articles WHERE id % 5 = 0")(
     lambda s, d: M.insert_absent(J(s, d).select("source_id", "url"), A(s, d).where("id % 5 = 0").select("source_id", "url", "id"), ["source_id", "url"], [F.col("id")]).distinct()
 )

@@ -81,8 +81,8 @@ for _a, _b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), (
     _ent = f"replace({_ent}, '{_a}', '{_b}')"
 _plain = _ent.format(r"regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g')")
 query("fn13_html_to_text", f"SELECT page_id, {SQZ.format(_plain)} AS t FROM pages")(lambda s, d: P(s, d).select("page_id", T.html_to_text(c("html")).alias("t")))
-query("fn14_strip_controls", r"SELECT id, regexp_replace(raw_excerpt || chr(7) || chr(127), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g') AS t FROM articles")(
-    lambda s, d: A(s, d).select("id", T.strip_controls(F.concat("raw_excerpt", F.lit("\x07\x7f"))).alias("t"))
+query("fn14_strip_controls", r"SELECT id, regexp_replace(raw_excerpt || chr(7) || chr(127) || chr(144), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]', '', 'g') AS t FROM articles")(
+    lambda s, d: A(s, d).select("id", T.strip_controls(F.concat("raw_excerpt", F.lit("\x07\x7f\x90"))).alias("t"))
 )
 MARK = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '<[^>]+>', ' ', 'g'), '(?m)^\\s*[-*+]\\s+', '', 'g'), '(?m)^#+\\s+', '', 'g'), '\\*\\*(.*?)\\*\\*', '\\1', 'g'), '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '[*_`>#]', '', 'g'), '[\\s\\x{{00A0}}]+', ' ', 'g'))"
 _raw_tldr = "'## **Note** [x](y) ' || raw_excerpt"
@@ -181,8 +181,13 @@ FROM f a JOIN f b ON a.seq > b.seq AND a.seq - b.seq <= 200 AND a.created_at - b
 q AS (SELECT *, least(1.0, greatest(t, e, t * 0.6::DOUBLE + e * 0.4::DOUBLE) + CASE WHEN img THEN 0.15::DOUBLE ELSE 0.0 END) AS score FROM p),
 best AS (SELECT id, arg_max(best_id, (score, seq)) AS best_id, arg_max(t, (score, seq)) AS title_score, max(score) AS score, arg_max(nov, (score, seq)) AS novelty FROM q WHERE score >= 0.6 GROUP BY id)"""
 _edges = f"WITH {_feat}, {_pairs} SELECT id, best_id, round(title_score, 6) AS title_score, round(score, 6) AS score, round(novelty, 6) AS novelty, title_score >= 0.85 OR novelty < 0.3 AS accepted FROM best"
-for _name in ("clu02_parent_edges", "jn09_window_similarity", "win04_prior_window"):
-    query(_name, _edges)(lambda s, d: K.parent_edges(near(s, d)).select("id", "best_id", *[F.round(x, 6).alias(x) for x in ("title_score", "score", "novelty")], "accepted"))
+query("clu02_parent_edges", _edges)(lambda s, d: K.parent_edges(near(s, d)).select("id", "best_id", *[F.round(x, 6).alias(x) for x in ("title_score", "score", "novelty")], "accepted"))
+query("jn09_window_similarity", f"WITH {_feat}, {_pairs} SELECT id, best_id AS other_id, round(score, 6) AS score FROM q WHERE score >= 0.6")(
+    lambda s, d: K.similar_pairs(K.features(near(s, d).select("id", "created_at", "image_url", "title", "raw_excerpt"))).select("id", "other_id", F.round("score", 6).alias("score"))
+)
+query("win04_prior_window", "SELECT id, least(count(*) OVER (ORDER BY created_at, id ROWS BETWEEN 200 PRECEDING AND 1 PRECEDING), count(*) OVER (ORDER BY created_at RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) - 1) AS prior FROM (" + _near + ")")(
+    lambda s, d: (lambda r: r.join(K.window_pairs(r).groupBy(F.col("a.id").alias("id")).agg(F.count(F.lit(1)).alias("prior")), "id", "left").select("id", F.coalesce("prior", F.lit(0)).alias("prior")))(near(s, d).select("id", "created_at"))
+)
 query("clu02_cluster_roots", f"""WITH RECURSIVE {_feat}, {_pairs}, ed AS (SELECT id, best_id FROM best WHERE title_score >= 0.85 OR novelty < 0.3),
 up(id, anc) AS (SELECT id, best_id FROM ed UNION ALL SELECT up.id, ed.best_id FROM up JOIN ed ON ed.id = up.anc) SELECT id, min(anc) AS parent_article_id FROM up GROUP BY 1""")(
     lambda s, d: K.cluster(near(s, d).withColumn("parent_article_id", F.lit(None).cast("long"))).where("parent_article_id is not null").select("id", "parent_article_id")

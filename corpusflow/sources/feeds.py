@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from corpusflow.functions.dates import normalize_date
 from corpusflow.functions.text import html_to_text, let, squeeze
-from corpusflow.functions.url import host, is_junk, public_url
+from corpusflow.functions.url import host, is_junk, public_url, resolved
 from corpusflow.operators.merge import first_per
 
 # Places where sites keep their sitemaps.
@@ -21,10 +21,14 @@ SITEMAP_PATHS = (
 def element(xml: Column, name: str) -> Column:
     """Text of the first element of that name, CDATA opened and entities decoded; empty if absent."""
     raw = F.regexp_extract(xml, rf"(?s)<{name}(?:\s[^>]*)?>(.*?)</{name}>", 1)
-    out = F.regexp_replace(raw, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+
+    def decoded(t: Column) -> Column:
+        for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
+            t = F.replace(t, F.lit(entity), F.lit(char))
+        return t
+
+    opened = lambda t: F.when(t.contains("<![CDATA["), F.regexp_replace(t, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")).otherwise(t)
+    return let(let(raw, opened), lambda t: F.when(t.contains("&"), decoded(t)).otherwise(t))  # most parts need neither pass
 
 
 def first_text(*cols: Column) -> Column:
@@ -84,8 +88,8 @@ def title_from_url(url: Column) -> Column:
 
 
 def absolute(url: Column, base: Column) -> Column:
-    origin = F.regexp_extract(base, r"^([A-Za-z]+://[^/?#]*)", 1)
-    return F.when(url.rlike("^[A-Za-z]+://"), url).when(url.startswith("/"), F.concat(origin, url)).otherwise(F.concat(F.regexp_replace(base, r"[^/]*$", ""), url))
+    """A link seen from its page: relative, rooted and scheme-less ones resolved, ``.`` and ``..`` removed, the fragment dropped; null for an empty one or another scheme."""
+    return resolved(F.nullif(F.trim(url), F.lit("")), base)
 
 
 def sitemap_urls(sitemaps: DataFrame, as_of: Column, max_age_hours: int | None = 72, xml: str = "xml", base: str = "url") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusflow.functions.classify import comment_score
 from corpusflow.functions.text import squeeze
 from corpusflow.functions.url import is_skipped_page, link_score, public_url
 from corpusflow.sources.feeds import absolute
@@ -42,6 +44,7 @@ class Node:
             stack += [c for c in reversed(node.children) if isinstance(c, Node)]
 
     def text(self) -> str:
+        """The text below, white space squeezed."""
         out, stack = [], [self]
         while stack:
             node = stack.pop()
@@ -51,41 +54,66 @@ class Node:
                 stack += reversed(node.children)
         return " ".join(" ".join(out).split())
 
-    def matches(self, simple: str) -> bool:
-        """One compound selector: tag, .class, #id, [attr], [attr="value"], [attr*="value"]."""
-        for part in re.findall(r"^[\w-]+|\.[\w-]+|#[\w-]+|\[[^\]]+\]", simple):
-            if part[0] == ".":
-                ok = part[1:] in (self.attrs.get("class") or "").split()
-            elif part[0] == "#":
-                ok = self.attrs.get("id") == part[1:]
-            elif part[0] == "[":
-                name, op, value = re.match(r"\[([\w:-]+)(\*?=)?[\"']?([^\"'\]]*)", part).groups()
-                have = self.attrs.get(name)
-                ok = have is not None and (not op or (have == value if op == "=" else value in have))
-            else:
-                ok = self.tag == part
-            if not ok:
-                return False
-        return True
-
     def select(self, selector: str) -> list[Node]:
         """Elements that match a comma list of descendant selectors, in document order."""
-        chains = [c.split() for c in re.split(r",\s*", selector)]
-        return [n for n in self.walk() if n is not self and any(n._ends(c) for c in chains)]
+        chains = compiled(selector)
+        return [n for n in self.walk() if n is not self and any(_ends(n, c) for c in chains)]
 
-    def _ends(self, chain: list[str]) -> bool:
-        if not self.matches(chain[-1]):
+    def remove(self, selector: str) -> None:
+        gone = self.select(selector)
+        if gone:
+            ids = {id(n) for n in gone}
+            for parent in {id(n.parent): n.parent for n in gone}.values():
+                parent.children = [c for c in parent.children if id(c) not in ids]
+
+
+@lru_cache(maxsize=1024)
+def compiled(selector: str) -> tuple[tuple[tuple, ...], ...]:
+    """The chains of a comma list; each step is ``(tag, classes, id, attributes)`` of a compound selector.
+
+    Compound selectors hold a tag, .class, #id, [attr], [attr="value"] and [attr*="value"].
+    """
+    chains = []
+    for chain in re.split(r",\s*", selector):
+        steps = []
+        for simple in chain.split():
+            tag, classes, own, attrs = None, [], None, []
+            for part in re.findall(r"^[\w-]+|\.[\w-]+|#[\w-]+|\[[^\]]+\]", simple):
+                if part[0] == ".":
+                    classes.append(part[1:])
+                elif part[0] == "#":
+                    own = part[1:]
+                elif part[0] == "[":
+                    attrs.append(re.match(r"\[([\w:-]+)(\*?=)?[\"']?([^\"'\]]*)", part).groups())
+                else:
+                    tag = part
+            steps.append((tag, frozenset(classes), own, tuple(attrs)))
+        chains.append(tuple(steps))
+    return tuple(chains)
+
+
+def _matches(node: Node, step: tuple) -> bool:
+    tag, classes, own, attrs = step
+    if tag is not None and node.tag != tag or own is not None and node.attrs.get("id") != own:
+        return False
+    if classes and not classes.issubset((node.attrs.get("class") or "").split()):
+        return False
+    for name, op, value in attrs:
+        have = node.attrs.get(name)
+        if have is None and name not in node.attrs or op and (have is None or (have != value if op == "=" else value not in have)):
             return False
-        node, rest = self.parent, chain[:-1]
-        while rest and node is not None:
-            if node.matches(rest[-1]):
-                rest = rest[:-1]
-            node = node.parent
-        return not rest
+    return True
 
-    def remove(self, selector: str) -> None:
-        for node in self.select(selector):
-            node.parent.children = [c for c in node.parent.children if c is not node]
+
+def _ends(node: Node, chain: tuple) -> bool:
+    if not _matches(node, chain[-1]):
+        return False
+    up, left = node.parent, len(chain) - 1
+    while left and up is not None:
+        if _matches(up, chain[left - 1]):
+            left -= 1
+        up = up.parent
+    return not left
 
 
 class _Builder(HTMLParser):
@@ -129,7 +157,7 @@ def _scan(pages: DataFrame, key: str, column: str, schema: str, rows_of, extra:
             out = []
             for values in zip(frame["key"], frame["html"], *[frame[c] for c in extra], strict=True):
                 out += [(values[0], *row) for row in rows_of(tree(values[1]), *values[2:])]
-            yield pd.DataFrame(out, columns=["key", *names])
+            yield pd.DataFrame(out, columns=["key", *names], dtype=object)
 
     kind = pages.schema[key].dataType.simpleString()
     return pages.select(F.col(key).alias("key"), F.col(column).alias("html"), *extra).mapInPandas(run, f"key {kind}, {schema}").withColumnRenamed("key", key)
@@ -163,9 +191,10 @@ def discovered_links(configured: DataFrame, heuristic: DataFrame, least: int = 3
 
 
 def thread_posts(pages: DataFrame, key: str = "thread", page: str = "page") -> DataFrame:
-    """Posts of forum pages without quotes and media; ``order`` counts every post element of the page."""
+    """Posts of forum pages without quotes and media; ``order`` counts every post element of the page; a null page number stays null."""
 
-    def rows(root: Node, number: int):
+    def rows(root: Node, number):
+        number = None if number is None or number != number else int(number)  # a column with nulls comes as floats
         for order, post in enumerate(root.select("article.message--post")):
             author = post.select(".message-name .username, .message-name a")
             body = post.select(".message-body .bbWrapper")
@@ -176,7 +205,7 @@ def thread_posts(pages: DataFrame, key: str = "thread", page: str = "page") -> D
             text = body[0].text()
             count = re.search(r"\d+", likes[0].text()) if likes else None
             if len(text) > 10:
-                yield (author[0].text() or "unknown" if author else "unknown", text[:1200], int(count[0]) if count else 0, order == 0 and number == 1, int(number), order)
+                yield (author[0].text() or "unknown" if author else "unknown", text[:1200], int(count[0]) if count else 0, order == 0 and number == 1, number, order)
 
     return _scan(pages, key, "html", "author string, body string, reactions int, is_op boolean, page int, order int", rows, (page,))
 
@@ -198,23 +227,35 @@ def listing_rows(pages: DataFrame, key: str = "page_id") -> DataFrame:
     return _scan(pages, key, "html", "pos int, title string, href string, author string, published string, body string", rows)
 
 
-def comment_rows(pages: DataFrame, key: str = "page_id", least: int = 20) -> DataFrame:
-    """Comments of a comment page: depth by nesting, score from the attribute, short ones dropped."""
+def comment_rows(pages: DataFrame, key: str = "page_id", least: int = 20, most_depth: int = 3) -> DataFrame:
+    """Comments of a comment page: depth by nesting, body and points of the comment's own entry, never of its replies.
+
+    Deleted and removed ones, short ones and those below ``most_depth`` are dropped;
+    ``order`` counts those that stay.
+    """
+    (comment,) = compiled('div.thing[data-type="comment"]')[0]
+    (own,) = compiled(".entry")[0]
 
     def rows(root: Node):
         order = 0
-        for node in root.select("div.comment"):
+        for node in root.select('div.thing[data-type="comment"]'):
             depth, up = 1, node.parent
             while up is not None:
-                depth, up = depth + up.matches("div.comment"), up.parent
-            author, body, score = (node.select(s) for s in ("a.author", ".md", ".score"))
-            text = body[0].text() if body else ""
-            if len(text) >= least:
-                value = score[0].attrs.get("title") if score else None
-                yield (order, depth, author[0].text() if author else "unknown", text, int(value) if value and value.lstrip("-").isdigit() else 0)
-                order += 1
+                depth, up = depth + _matches(up, comment), up.parent
+            author = node.attrs.get("data-author") or "unknown"
+            entries = [c for c in node.children if isinstance(c, Node) and _matches(c, own)]
+            bodies = [b for e in entries for b in e.select(".usertext-body .md")]
+            text = bodies[0].text() if bodies else ""
+            if depth > most_depth or author == "[deleted]" or text in ("[deleted]", "[removed]") or len(text) < least:
+                continue
+            points = next((p.attrs.get("title") for e in entries for p in e.select(".score.unvoted")), None)
+            number = re.match(r"\s*[+-]?\d+", points or "")
+            yield (order, depth, author, text[:900], int(number[0]) if number else 0)
+            order += 1
 
-    return _scan(pages, key, "html", "order int, depth int, author string, body string, score int", rows)
+    out = _scan(pages, key, "html", "order int, depth int, author string, body string, reactions int", rows)
+    bonus = F.when(F.col("depth") == 1, 0.8).otherwise(0.2)
+    return out.withColumn("score", comment_score(F.col("body"), F.col("reactions"), F.col("depth"), F.col("order") + 1) + bonus)
 
 
 def repository_rows(pages: DataFrame, key: str = "page_id") -> DataFrame:
@@ -251,12 +292,21 @@ def page_metadata(pages: DataFrame, key: str = "page_id") -> DataFrame:
 def page_bodies(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """The longest text of the known body places after the noise is removed; the first place wins ties."""
 
+    places = [(selector, compiled(selector)) for selector in BODIES]
+
     def rows(root: Node):
         root.remove(NOISE)
+        first: dict[str, Node] = {}
+        for node in root.walk():  # one walk for all places
+            for selector, chains in places:
+                if selector not in first and node is not root and any(_ends(node, c) for c in chains):
+                    first[selector] = node
+        texts: dict[int, str] = {}
         best, place = "", None
         for selector in BODIES:
-            for node in root.select(selector)[:1]:
-                text = node.text()
+            if selector in first:
+                node = first[selector]
+                text = texts[id(node)] = texts.get(id(node)) or node.text()
                 if len(text) > len(best):
                     best, place = text, selector
         yield (best, place)
@@ -295,26 +345,27 @@ def site_facts(html: Column, url: Column) -> dict[str, Column]:
     }
 
 
-MOJIBAKE = re.compile(r"Ã|Â|Ä|á»|áº|â€")
+# Marks of UTF-8 that was read as Latin-1, and control characters that are dropped.
+MOJIBAKE = re.compile("[\u00c3\u00c2\u00e2][\u0080-\u00bf]")
+CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"
+TEXT_FIELDS = ("title", "raw_excerpt", "raw_content", "summary_text", "summary_short", "tldr")
 
 
 def repair_text(values: pd.Series) -> pd.Series:
-    """Entities decoded, UTF-8 read as Latin-1 put right where that lowers the number of its marks."""
+    """UTF-8 that was read as Latin-1 put right where that lowers the number of its marks, then entities decoded; null stays null."""
 
-    def one(v):
-        if v is None:
-            return None
-        v = entities.unescape(v)
+    def one(v: str) -> str:
         marks = len(MOJIBAKE.findall(v))
         if marks:
-            fixed = bytes(ord(ch) & 0xFF for ch in v).decode("utf-8", "replace")
-            if len(MOJIBAKE.findall(fixed)) < marks and fixed.count("�") < marks:
-                v = fixed
-        return v
+            low = v.encode("utf-16-le", "surrogatepass")[::2]  # the low byte of every code unit
+            fixed = low.decode("utf-8", "replace")
+            v = fixed if len(MOJIBAKE.findall(fixed)) < marks else v
+        return entities.unescape(v)
 
     return values.map(one, na_action="ignore")
 
 
-def with_repaired(rows: DataFrame, columns: list[str]) -> DataFrame:
+def with_repaired(rows: DataFrame, columns: tuple[str, ...] = TEXT_FIELDS) -> DataFrame:
+    """The text columns repaired, entities decoded and control characters dropped."""
     fix = F.pandas_udf(repair_text, "string")
-    return rows.withColumns({c: F.regexp_replace(fix(c), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "") for c in columns})
+    return rows.withColumns({c: F.regexp_replace(fix(c), CONTROLS, "") for c in columns})

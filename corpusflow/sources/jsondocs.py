@@ -86,7 +86,15 @@ def balanced_object(text: str, marker: str) -> str | None:
         return None
     try:
         return text[at : at + json.JSONDecoder().raw_decode(text[at:])[1]]
-    except ValueError:
+    except (ValueError, RecursionError):
+        return None
+
+
+def parsed_json(text: str | None):
+    """The parsed document, or None where it is absent, malformed or nested too deep to parse."""
+    try:
+        return json.loads(text) if text else None
+    except (ValueError, RecursionError):
         return None
 
 
@@ -124,7 +132,7 @@ def embedded_articles(pages: DataFrame, marker: str = "window.blockRenderData",
                         out.append((url, title))
 
                 if found:
-                    _walk(json.loads(found), 0, 15, visit)
+                    _walk(parsed_json(found), 0, 15, visit)
                 rows += [(page, i, u, t) for i, (u, t) in enumerate(dict.fromkeys(out))]
             yield pd.DataFrame(rows, columns=["key", "pos", "url", "title"])
 
@@ -133,26 +141,24 @@ def embedded_articles(pages: DataFrame, marker: str = "window.blockRenderData",
 
 
 def card_ids(docs: DataFrame, card_type: str, column: str = "json", key: str = "id") -> DataFrame:
-    """Ids of the seed card of a type in a card tree of any depth, split at commas."""
+    """Ids of the seed card of a type in a card tree of any depth, split at commas; malformed documents have none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             rows = []
             for doc, text in zip(frame["key"], frame["json"], strict=True):
                 cards: list[dict] = []
-
-                def visit(node, cards=cards):
-                    if not isinstance(node, dict):
-                        return
-                    if node.get("type") == card_type:
-                        cards.append(node)
-                    for name in ("sections", "subSections", "cards", "subCards"):
-                        for child in node.get(name) or []:
-                            visit(child)
-
-                visit(json.loads(text or "{}"))
+                stack = [parsed_json(text)]
+                while stack:  # in document order, to any depth
+                    node = stack.pop()
+                    if isinstance(node, list):
+                        stack += reversed(node)
+                    elif isinstance(node, dict):
+                        if node.get("type") == card_type:
+                            cards.append(node)
+                        stack += [node[name] for name in reversed(("sections", "subSections", "cards", "subCards")) if isinstance(node.get(name), list)]
                 if cards:
-                    seed = next((c for c in cards if (c.get("gemElementMetadata") or {}).get("isSeedElement")), cards[0])
+                    seed = next((c for c in cards if isinstance(c.get("gemElementMetadata"), dict) and c["gemElementMetadata"].get("isSeedElement")), cards[0])
                     rows += [(doc, i, x.strip()) for i, x in enumerate(str(seed.get("id") or "").split(",")) if x.strip()]
             yield pd.DataFrame(rows, columns=["key", "pos", "article_id"])
 
@@ -224,10 +230,7 @@ def state_bodies(pages: DataFrame, column: str = "html", key: str = "page_id") -
                         if isinstance(value, str) and value.strip():
                             bodies.append(value)
 
-                try:
-                    _walk(json.loads(text), 0, 12, visit)
-                except ValueError:
-                    continue
+                _walk(parsed_json(text), 0, 12, visit)
                 if bodies:
                     out.append((page, max(bodies, key=len)))
             yield pd.DataFrame(out, columns=["key", "body"])

@@ -11,6 +11,8 @@ from corpusflow.functions.text import squeeze
 # Fixed value: the combined log form.
 COMBINED = r'^(\S+) \S+ \S+ \[(\d{2})/([A-Za-z]{3})/(\d{4}):[^\]]+\] "([A-Z]+) ([^"]*?) [^"]*" (\d{3}) \S+ "[^"]*" "([^"]*)"'
 INTERNAL_IPS = ("127.0.0.1", "::1")
+#: Stands between the parts of a line; a control character that log lines do not hold.
+CUT = "\x01"
 
 
 def read_access_log(spark: SparkSession, glob: str) -> DataFrame:
@@ -20,9 +22,11 @@ def read_access_log(spark: SparkSession, glob: str) -> DataFrame:
 
 def parse_access_log(lines: DataFrame, internal: tuple[str, ...] = INTERNAL_IPS) -> DataFrame:
     """``ip, date, method, path, status, is_bot, is_internal``; other lines are dropped, dates are as written."""
-    part = lambda i: F.regexp_extract("value", COMBINED, i)
+    cut = F.split(F.regexp_replace(F.replace("value", F.lit(CUT), F.lit("")), rf"(?s){COMBINED}.*$", CUT.join(f"${i}" for i in range(1, 9))), CUT, -1)
+    rows = lines.select(F.explode(F.array(cut)).alias("p")).where(F.size("p") == 8)  # the line is matched once, for all parts
+    part = lambda i: F.col("p")[i - 1]
     date = F.try_to_date(F.concat_ws("/", part(2), part(3), part(4)), "dd/MMM/yyyy")
-    return lines.where(F.col("value").rlike(COMBINED)).select(
+    return rows.select(
         part(1).alias("ip"), date.alias("date"), part(5).alias("method"), part(6).alias("path"), part(7).cast("int").alias("status"),
         is_bot(part(8), part(6)).alias("is_bot"), part(1).isin(*internal).alias("is_internal"),
     ).where("date is not null")
