@@ -72,22 +72,45 @@ QUERIES = {
 
 _CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"'']?canonical\b[^>]*>"
 _REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"'']?refresh\b[^>]*>"
+_ATTR = r"(?is)\b{}\s*=\s*[\"'']?([^\s\"''>]+)"
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _front(u: str) -> str:
+    return f"regexp_extract({u}, '(?s)^(.*?://[^/?#]*)', 1)"
+
+
+def _page(u: str) -> str:
+    return f"regexp_replace(translate({_front(u)}, {_AZ}) || substr({u}, length({_front(u)}) + 1), '(?s)#.*$', '')"
+
+
+def _seen_from(name: str, rows: str, to: str, base: str) -> str:
+    """Tables ``name``: the ``rows`` with column ``u``, the URL that ``to`` means on the page ``base``."""
+    scheme = "^[A-Za-z][A-Za-z0-9+.-]*:"
+    return rf"""{name}_1 AS (SELECT *, regexp_replace(replace({to}, '&amp;', '&'), '(?s)#.*$', '') AS t, {_front(base)} AS o, regexp_extract({base}, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS p FROM {rows}),
+{name}_2 AS (SELECT * EXCLUDE (t, o, p), CASE WHEN regexp_matches(t, '{scheme}//') THEN t WHEN regexp_matches(t, '{scheme}') OR t = '' OR o = '' THEN NULL WHEN starts_with(t, '//') THEN split_part(o, '//', 1) || t
+    WHEN starts_with(t, '/') THEN o || t WHEN starts_with(t, '?') THEN o || p || t ELSE o || CASE WHEN p = '' THEN '/' ELSE regexp_replace(p, '[^/]*$', '') END || t END AS j FROM {name}_1),
+{name}_3 AS (SELECT *, {_front('j')} AS o, regexp_extract(j, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS p, regexp_extract(j, '(?s)^.*?://[^/?#]*[^?#]*(.*)$', 1) AS q FROM {name}_2),
+{name} AS (SELECT * EXCLUDE (j, o, p, q), CASE WHEN regexp_matches(p, '/\.\.?(/|$)') THEN o || '/' || array_to_string(list_concat(list_reduce(list_concat([[]::VARCHAR[]], list_transform(string_split(p, '/')[2:], lambda x: [x])),
+    lambda a, x: CASE x[1] WHEN '..' THEN a[1:len(a) - 1] WHEN '.' THEN a ELSE list_concat(a, x) END), CASE WHEN regexp_matches(p, '/\.\.?$') THEN [''] ELSE [] END), '/') || q ELSE j END AS u FROM {name}_3)"""
+
 
 ORACLE_SQL = {
     "op3_urlfilter": rf"""
 WITH RECURSIVE rules(verdict, rh, rp) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'),
     ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
-raw AS (SELECT page_id, url, regexp_replace(url, '(?s)#.*$', '') AS bare,
-    regexp_extract(url, '(?s)^.*?://[^/?#]*', 0) AS origin,
-    regexp_extract(regexp_extract(html, '{_CANONICAL}', 0), '(?is)\bhref\s*=\s*["'']?([^\s"''>]+)', 1) AS canonical,
-    regexp_extract(regexp_extract(html, '{_REFRESH}', 0), '(?is)\burl\s*=\s*["'']?([^\s"''>]+)', 1) AS refresh FROM pages),
-links AS (SELECT bare AS src, origin, unnest([canonical, refresh]) AS dst FROM raw WHERE url IS NOT NULL),
-edges AS (SELECT DISTINCT src, regexp_replace(CASE WHEN dst LIKE '%://%' THEN dst WHEN dst LIKE '/%' THEN origin || dst END, '(?s)#.*$', '') AS dst
-    FROM links WHERE dst <> ''),
-both_ways AS (SELECT src AS a, dst AS b FROM edges WHERE dst IS NOT NULL UNION SELECT dst, src FROM edges WHERE dst IS NOT NULL),
+raw AS (SELECT page_id, url, {_page('url')} AS bare, html FROM pages),
+tags AS (SELECT url, regexp_extract(regexp_extract(html, '(?is)<base\b[^>]*>', 0), '{_ATTR.format("href")}', 1) AS based, unnest(list_concat(
+    list_transform(regexp_extract_all(html, '{_CANONICAL}'), lambda x: regexp_extract(x, '{_ATTR.format("href")}', 1)),
+    list_transform(regexp_extract_all(html, '{_REFRESH}'), lambda x: regexp_extract(x, '{_ATTR.format("url")}', 1)))) AS dest FROM raw WHERE url IS NOT NULL AND html IS NOT NULL),
+{_seen_from('bases', 'tags', 'based', 'url')},
+aimed AS (SELECT url, dest, coalesce(u, url) AS base FROM bases WHERE dest <> ''),
+{_seen_from('aims', 'aimed', 'dest', 'base')},
+edges AS (SELECT DISTINCT {_page('url')} AS src, {_page('u')} AS dst FROM aims WHERE u IS NOT NULL),
+both_ways AS (SELECT src AS a, dst AS b FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst),
 reach(a, b) AS (SELECT a, a FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
 urls AS (SELECT DISTINCT u FROM (SELECT url AS u FROM raw UNION ALL SELECT b FROM reach)),
-parts AS (SELECT u, coalesce(translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+parts AS (SELECT u, coalesce(translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), {_AZ}), '') AS host,
     coalesce(regexp_extract(u, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM urls),
 ruled AS (SELECT u, host, path, max_by(rh || rp, length(rh || rp)) AS rule, max_by(verdict, length(rh || rp)) AS verdict
     FROM parts LEFT JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY u, host, path),

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.functions.text import let
-from corpusflow.llm.components import connected_components
+from corpusflow.functions.url import resolved
+from corpusflow.operators.components import connected_components
 from corpusflow.runtime import materialize
 
 RULES = (
@@ -22,8 +22,6 @@ _META = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 _HREF = r"(?is)\bhref\s*=\s*[\"']?([^\s\"'>]+)"
 _TO = r"(?is)\burl\s*=\s*[\"']?([^\s\"'>]+)"
 _BASE = r"(?is)<base\b[^>]*>"
-_PARTS = r"(?s)^(.*?://[^/?#]*)([^?#]*)(.*)$"
-_SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,36 +48,10 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def without_dots(url: Column) -> Column:
-    """``.`` and ``..`` segments of the path are resolved."""
-    path = F.regexp_extract(url, _PARTS, 2)
-    kept = F.aggregate(
-        F.slice(F.split(path, "/"), 2, F.length(path) + 1),
-        F.array().cast("array<string>"),
-        lambda out, x: F.when(x == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).when(x == ".", out).otherwise(F.concat(out, F.array(x))),
-    )
-    ends = F.when(path.rlike(r"/\.\.?$"), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
-    made = F.concat(F.regexp_extract(url, _PARTS, 1), F.lit("/"), F.array_join(ends, "/"), F.regexp_extract(url, _PARTS, 3))
-    return F.when(path.rlike(r"/\.\.?(/|$)"), made).otherwise(url)
-
-
-def resolved(to: Column, base: Column) -> Column:
-    """``to`` as a URL without fragment, seen from the page ``base``; null for an empty one, other schemes, or a base without ``://``."""
-    whole = F.regexp_replace(F.replace(to, F.lit("&amp;"), F.lit("&")), r"(?s)#.*$", "")
-    return let(base, lambda b: let(let(whole, lambda t: _joined(t, b)), without_dots))
-
-
-def _joined(to: Column, base: Column) -> Column:
-    origin, path = F.regexp_extract(base, _PARTS, 1), F.regexp_extract(base, _PARTS, 2)
-    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, r"[^/]*$", ""))
-    return (
-        F.when(to.rlike(_SCHEME + "//"), to)
-        .when(to.rlike(_SCHEME) | (to == "") | (origin == ""), None)
-        .when(to.startswith("//"), F.concat(F.regexp_extract(origin, r"^(.*?)//", 1), to))
-        .when(to.startswith("/"), F.concat(origin, to))
-        .when(to.startswith("?"), F.concat(origin, path, to))
-        .otherwise(F.concat(origin, folder, to))
-    )
+def page_of(url: Column) -> Column:
+    """The name of a page among its aliases: no fragment, scheme and host in lower case."""
+    front = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    return F.regexp_replace(F.concat(F.translate(front, UPPER, LOWER), F.substr(url, F.length(front) + 1)), r"(?s)#.*$", "")
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
@@ -88,9 +60,10 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     base = F.regexp_extract(F.regexp_extract("html", _BASE, 0), _HREF, 1)
     found = F.concat(tags(_LINK, _HREF), tags(_META, _TO))
     out = pages.where("url is not null and html is not null").select("url", base.alias("base"), F.explode(found).alias("to")).where("`to` <> ''")
-    out = out.select("url", "to", F.coalesce(resolved(F.col("base"), F.col("url")), "url").alias("base"))
-    target = resolved(F.col("to"), F.col("base"))
-    return out.select(F.regexp_replace("url", r"(?s)#.*$", "").alias("src"), target.alias("dst")).where("dst is not null and src <> dst").distinct()
+    plain = lambda c: F.replace(F.col(c), F.lit("&amp;"), F.lit("&"))
+    out = out.select("url", "to", F.coalesce(resolved(plain("base"), F.col("url")), "url").alias("base"))
+    out = out.select(page_of(F.col("url")).alias("src"), page_of(resolved(plain("to"), F.col("base"))).alias("dst"))
+    return out.where("dst is not null and src <> dst").distinct()
 
 
 def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
@@ -99,14 +72,14 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) ->
     A page's own rule decides.  Without one, the page takes ``block`` if a URL of
     its redirect-equivalence class is blocked and none is explicitly allowed, else
     ``allow``.  Classes are connected components over canonical links, meta
-    refreshes and the rows of ``redirects(src, dst)``, fragments dropped.  Null
-    URLs, and those without ``://``, have empty host and path, fit no rule and
+    refreshes and the rows of ``redirects(src, dst)``; fragments and the case of
+    scheme and host make no difference.  Null URLs, and those without ``://``, have empty host and path, fit no rule and
     have no aliases; repeated rows stay; null HTML gives no edges; an empty table
     gives no rows; columns besides ``page_id``, ``url`` and ``html`` are ignored.
     """
     edges = alias_edges(pages)
     if redirects is not None:
-        edges = edges.unionByName(redirects.select("src", "dst")).distinct()
+        edges = edges.unionByName(redirects.select(page_of(F.col("src")).alias("src"), page_of(F.col("dst")).alias("dst"))).distinct()
     parts = materialize(connected_components(materialize(edges), "src", "dst"))
     rule = longest_rule(host_of("node"), path_of("node"), rules)
     decided = parts.select("component", rule["verdict"].alias("own")).groupBy("component").agg(
@@ -114,7 +87,7 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) ->
     )
     spread = decided.where("blocked and not coalesce(allowed, false)").select("component")
     aliases = materialize(parts.join(spread, "component", "left_semi").select(F.col("node").alias("bare"), F.lit("block").alias("by_alias")))
-    own = pages.select("page_id", F.regexp_replace("url", r"(?s)#.*$", "").alias("bare"), host_of("url").alias("host"), path_of("url").alias("path"))
+    own = pages.select("page_id", page_of(F.col("url")).alias("bare"), host_of("url").alias("host"), path_of("url").alias("path"))
     own = own.withColumn("r", longest_rule(F.col("host"), F.col("path"), rules))
     out = own.join(aliases, "bare", "left")
     return out.select("page_id", "host", "path", "r.rule", F.coalesce("r.verdict", "by_alias", F.lit("allow")).alias("verdict"))
