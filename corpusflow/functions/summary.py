@@ -62,6 +62,7 @@ def parse_output(raw: Column, allowed_tags: list[str]) -> Column:
 
 
 def _amount_key(c: Column) -> Column:
+    """One spelling of an amount; ``AMOUNT`` matches composed letters only, so its matches are in normal form already."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"\s+", " "), r"[.,](?=\d{3}\b)", ""))
 
 

@@ -9,6 +9,7 @@ from corpusflow.functions import dates as D
 from corpusflow.functions import summary as SM
 from corpusflow.functions import text as T
 from corpusflow.functions import url as U
+from corpusflow.functions.register import register
 from corpusflow.operators import cluster as K
 from corpusflow.operators import forum as FO
 from corpusflow.plans import fixtures as X
@@ -90,6 +91,16 @@ TLDR = "CASE WHEN length(m) <= 200 THEN m WHEN regexp_extract(m, '^(.{{70,200}}?
 query("fn15_tldr", f"SELECT id, {TLDR} AS t FROM (SELECT id, {MARK.format(_raw_tldr)} AS m FROM articles)")(
     lambda s, d: A(s, d).select("id", T.normalize_tldr(F.concat(F.lit("## **Note** [x](y) "), "raw_excerpt")).alias("t"))
 )
+
+
+def sql_functions(s, d):
+    """The registered functions in a query that is written in SQL."""
+    register(s)
+    rows = A(s, d).select("id", "url", "title", "raw_excerpt", "raw_content")
+    return s.sql("SELECT id, url_domain(url) AS domain, content_hash(raw_content) AS hash, similarity_text(raw_excerpt) AS words, normalize_tldr(concat('## **Note** [x](y) ', raw_excerpt)) AS tldr FROM {rows}", rows=rows)
+
+
+query("fn43_sql_functions", f"SELECT id, {DOM} AS domain, substr(sha256(lower(trim(raw_content))), 1, 32) AS hash, {NORM.format('raw_excerpt')} AS words, {TLDR} AS tldr FROM (SELECT *, {MARK.format(_raw_tldr)} AS m FROM articles)")(sql_functions)
 _first = "CASE WHEN regexp_extract(f, '^(.{40,180}?[.!?])\\s', 1) <> '' THEN regexp_extract(f, '^(.{40,180}?[.!?])\\s', 1) ELSE f END"
 query("fn16_tldr_from_summary", f"SELECT id, {TLDR} AS t FROM (SELECT id, {_first} AS m FROM (SELECT id, {MARK.format('summary_text')} AS f FROM articles))")(lambda s, d: A(s, d).select("id", T.tldr_from_summary(c("summary_text")).alias("t")))
 _pv = lambda col: SQZ.format(f"regexp_replace(coalesce({col}, ''), '<[^>]+>', ' ', 'g')")
