@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: How many distinct pre-tokens a worker remembers before it starts anew.
-MEMO = 1 << 19
+MEMO = 1 << 18
 
 
 class MinimalPerfectHash:
@@ -106,6 +106,34 @@ def merge(piece: bytes, rank: dict[bytes, int]) -> list[int]:
     return out
 
 
+#: Letters and numbers that the pattern library's Unicode tables have and the encoder's (Unicode 16) lack.
+NEWER_LETTERS = (
+    (0x0558, 0x0558), (0x058B, 0x058C), (0x088F, 0x088F), (0x0C5C, 0x0C5C), (0x0CDC, 0x0CDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF),
+    (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF),
+    (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DF1, 0x11DF1), (0x16EA0, 0x16EB8),
+    (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF3), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191),
+    (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96),
+    (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF),
+    (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+NEWER_NUMBERS = (
+    (0x11DE0, 0x11DE9), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16FF4, 0x16FF6),
+)
+
+
+def _set(ranges) -> str:
+    return "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in ranges)
+
+
+def pinned(pattern: str) -> str:
+    """The pattern with the letters and numbers of the encoder's Unicode version; newer ones are other characters."""
+    letters, numbers = _set(NEWER_LETTERS), _set(NEWER_NUMBERS)
+    others = r"[^\s\p{L}\p{N}]"
+    parts = pattern.split(others)
+    parts = [x.replace(r"\p{L}", rf"[^\P{{L}}{letters}]").replace(r"\p{N}", rf"[^\P{{N}}{numbers}]") for x in parts]
+    return f"(?:{others}|[{letters}{numbers}])".join(parts)
+
+
 class Codec:
     """Encodes and decodes whole texts; special tokens are ordinary text."""
 
@@ -132,6 +160,8 @@ class Codec:
     def encoder(self):
         """A function from text to an int32 array, with a bounded memory of pre-tokens."""
         split, pieces = regex.compile(self.pattern).findall, self.pieces
+        exact, newer = regex.compile(pinned(self.pattern)).findall, regex.compile(f"[{_set(NEWER_LETTERS)}{_set(NEWER_NUMBERS)}]").search
+        first = chr(min(a for a, _ in NEWER_LETTERS + NEWER_NUMBERS))
 
         class Memo(dict):
             def __missing__(self, piece):
@@ -141,7 +171,12 @@ class Codec:
                 return found
 
         memo = Memo()
-        return lambda text: np.fromiter(chain.from_iterable(map(memo.__getitem__, split(text))), np.int32)
+
+        def encode(text: str) -> np.ndarray:
+            plain = text.isascii() or max(text) < first or not newer(text)  # both patterns split these alike
+            return np.fromiter(chain.from_iterable(map(memo.__getitem__, (split if plain else exact)(text))), np.int32)
+
+        return encode
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
