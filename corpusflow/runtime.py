@@ -53,6 +53,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+TEXT_ROWS = 1_000
+
+
+def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
+    """Hand texts to Python in batches of at most ``rows`` rows from now on, so that long texts do not fill a worker; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back: for wide tables of which later steps read a few columns each."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
