@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusflow.operators.components import connected_components
-from corpusflow.runtime import materialize, stored
+from corpusflow.runtime import materialize, stored, text_batches
 
 SEGMENTS, WIDTH = 16, 4
 BLOCK = 1 << 16
@@ -71,6 +71,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             values = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], names=["doc_id", "fp"])
 
+    text_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
@@ -220,15 +221,31 @@ def verified(rows: DataFrame, sketches: DataFrame, pairs: DataFrame, words: int,
     return both.mapInArrow(run, "a long, b long")
 
 
+#: Hubs of a band key, and hubs of its band keys that a document is compared with.
+HUBS, NEAREST_HUBS = 3, 6
+
+
 def similar_links(rows: DataFrame, sketches: DataFrame, words: int, least: float) -> DataFrame:
-    """Links ``(a, b)`` of similarity ``least`` or more between a document and the ends of its band keys.
+    """Links ``(a, b)`` of similarity ``least`` or more between a document and hubs of its band keys.
 
-    They join most near copies cheaply; ``prefix_links`` finds the pairs that are left.
+    The hubs of a key are the documents that share their keys with the most others,
+    as the original of a group of edited copies does.  A document meets the
+    ``NEAREST_HUBS`` that it shares most keys with.  That joins most near copies at
+    a cost in proportion to the documents; ``prefix_links`` finds every pair that
+    is left.
     """
     keyed = sketches.select("node", "fp", F.posexplode("keys").alias("band", "key"))
-    ends = keyed.groupBy("band", "key").agg(F.min(F.struct("node", "fp")).alias("lo"), F.max(F.struct("node", "fp")).alias("hi")).where("lo.node <> hi.node")
-    met = keyed.join(ends, ["band", "key"]).select("node", "fp", F.explode(F.array("lo", "hi")).alias("other"))
-    pairs = materialize(met.where("node <> other.node and fp <> other.fp").select(F.greatest("node", "other.node").alias("a"), F.least("node", "other.node").alias("b")).distinct())
+    held = materialize(keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    shared = materialize(keyed.join(held, ["band", "key"]))
+    weights = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    top = Window.partitionBy("band", "key").orderBy(F.col("weight").desc(), "node")
+    ranked = shared.join(weights, "node").withColumn("place", F.row_number().over(top)).where(F.col("place") <= HUBS)
+    hubs = ranked.select("band", "key", F.col("node").alias("other"), F.col("fp").alias("other_fp"))
+    met = shared.join(hubs, ["band", "key"]).where("node <> other and fp <> other_fp")
+    common = met.groupBy("node", "other").agg(F.count(F.lit(1)).alias("keys"))
+    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("keys")).alias("by"), "other"))), 1, NEAREST_HUBS)  # of HUBS a band at most
+    near = common.groupBy("node").agg(best.alias("best")).select("node", F.explode("best.other").alias("other"))
+    pairs = materialize(near.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct())
     return verified(rows, sketches, pairs, words, least)
 
 
@@ -292,23 +309,25 @@ def prefix_links(rows: DataFrame, sketches: DataFrame, parts: DataFrame, words:
 
 def sketch(rows: DataFrame, words: int, least: float) -> DataFrame:
     """``node, id, digest, fp, n, keys, parity, prefix`` of every row, written to the shared folder; the texts are read once."""
+    text_batches(rows.sparkSession)
     hot = rows.sparkSession.sparkContext.broadcast(hot_shingles(rows, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longs = pa.list_(pa.int64())
         for batch in batches:
-            for part in (batch.slice(at, 1000) for at in range(0, batch.num_rows, 1000)):
-                out = []
-                for t in part.column(2):
-                    blocks = list(shingle_hashes(t.as_py(), words))
-                    own = np.unique(np.concatenate([np.zeros(0, "<u8"), *blocks]))
-                    full = len(own) > 0
-                    out.append((majority(blocks), len(own), band_keys(own) if full else [], parity(own), rare_prefix(own, hot.value, least).view(np.int64) if full else []))
-                fp, n, keys, odd, prefix = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(keys, longs), pa.array(odd, pa.binary()), pa.array(prefix, longs)],
-                    names=["id", "digest", "fp", "n", "keys", "parity", "prefix"],
-                )
+            if not batch.num_rows:
+                continue
+            out = []
+            for t in batch.column(2):
+                blocks = list(shingle_hashes(t.as_py(), words))
+                own = np.unique(np.concatenate([np.zeros(0, "<u8"), *blocks]))
+                full = len(own) > 0
+                out.append((majority(blocks), len(own), band_keys(own) if full else [], parity(own), rare_prefix(own, hot.value, least).view(np.int64) if full else []))
+            fp, n, keys, odd, prefix = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(keys, longs), pa.array(odd, pa.binary()), pa.array(prefix, longs)],
+                names=["id", "digest", "fp", "n", "keys", "parity", "prefix"],
+            )
 
     made = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, digest binary, fp long, n int, keys array<long>, parity binary, prefix array<long>")
     return stored(made.withColumn("node", F.monotonically_increasing_id()))
