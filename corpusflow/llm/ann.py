@@ -29,6 +29,8 @@ from corpusflow.runtime import materialize, stored
 
 SHARD_ROWS = 16_384
 DEGREE, BEAM, ALPHA, BLOCK = 28, 80, 1.15, 512
+#: The beam of a query: wider than that of building, because a query from another shard is no node of the graph.
+SEARCH = 240
 #: Places for edges to vectors that pruning left unreachable, beside ``DEGREE``.
 SPARE = 4
 #: Tasks that share the queries of one shard.
@@ -214,14 +216,14 @@ def build(placed: DataFrame, shards: int, beam: int = BEAM) -> DataFrame:
 
 
 def nearest(
-    queries: DataFrame, rows: DataFrame, k: int = 20, shard_rows: int = SHARD_ROWS, beam: int = BEAM, id_col: str = "vec_id", vector: str = "embedding"
+    queries: DataFrame, rows: DataFrame, k: int = 20, shard_rows: int = SHARD_ROWS, beam: int = BEAM, search: int = SEARCH, id_col: str = "vec_id", vector: str = "embedding"
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` rows of largest inner product found for each query, its own id left out.
 
     Equal vectors are one graph node that carries its ``k + 1`` smallest ids, which
     is exact because ties go to the smaller id.  Vectors are compared with those of
     their own length only.  Null ids take no part; a repeated id counts once, with
-    its smallest vector.  A shard of up to ``beam`` vectors is searched through its
+    its smallest vector.  A shard of up to ``search`` vectors is searched through its
     graph as any other and gives exact results, since every vector is reachable;
     empty tables give no rows.
     """
@@ -249,7 +251,7 @@ def nearest(
 
         def answer() -> pa.RecordBatch:
             q = np.array([w[1] for w in waiting])
-            found, _ = graph.search(np.hstack([q, np.zeros((len(q), 1))]).astype(np.float32), beam)
+            found, _ = graph.search(np.hstack([q, np.zeros((len(q), 1))]).astype(np.float32), search)
             out = ([], [], [])
             for (own, vec), got in zip(waiting, found, strict=True):
                 got = got[got >= 0]
