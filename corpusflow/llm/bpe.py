@@ -20,6 +20,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.runtime import text_batches
+
 #: How many distinct pre-tokens a worker remembers before it starts anew.
 MEMO = 1 << 18
 
@@ -205,6 +207,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     [part.column(0), pa.ListArray.from_arrays(pa.array(offsets), values), decoded], names=["doc_id", "ids", "decoded"]
                 )
 
+    text_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded binary")

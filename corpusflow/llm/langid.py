@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm.sampling import bounded
+from corpusflow.runtime import text_batches
 
 SAMPLE = 2_500
 BUCKETS = 1 << 16
@@ -154,6 +155,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     marks scores under the calibrated threshold; the language is named all the
     same.  Repeated rows repeat; other columns are ignored.
     """
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

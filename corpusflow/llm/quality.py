@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm.sampling import bounded
+from corpusflow.runtime import text_batches
 
 SAMPLE = 20_000
 FEATURES = (
@@ -143,6 +144,7 @@ def score(docs: DataFrame, forest: Forest) -> DataFrame:
 
     An existing ``score`` column is replaced; rows and other columns are unchanged.
     """
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm.sampling import bounded
-from corpusflow.runtime import stored
+from corpusflow.runtime import stored, text_batches
 
 #: Given identity terms; within a group each is swapped for the next.
 IDENTITY = (
@@ -255,6 +255,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     An existing ``score`` column is replaced; rows and other columns are unchanged.
     """
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
