@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from corpusflow.runtime import text_batches
 
 #: How many distinct pre-tokens a worker remembers before it starts anew.
-MEMO = 1 << 18
+MEMO = 1 << 19
 
 
 class MinimalPerfectHash:
