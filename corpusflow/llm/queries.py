@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import ann, bpe, chat, dedup, langid, mixing, quality, simhash, toxicity, urlfilter
+from corpusflow.llm import ann, bpe, chat, dedup, langid, lexical, linededup, mixing, quality, simhash, toxicity, trie, urlfilter
 from corpusflow.llm.sampling import fold
 from corpusflow.runtime import read
 
@@ -65,10 +65,26 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_digest().alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.drop_shared_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.rebuilt(read(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_quality, op3_urlfilter, op4_mixing, op5_ann, op6_simhash, op7_chat, op8_langid, op9_exact_dedup, op10_bpe)
-}
+    for f in (
+        op1_toxicity, op2_quality, op3_urlfilter, op4_mixing, op5_ann, op6_simhash, op7_chat, op8_langid, op9_exact_dedup, op10_bpe,
+        op11_linededup, op12_lexical, op13_trie,
+    )
+}
 
 _CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"'']?canonical\b[^>]*>"
 _REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"'']?refresh\b[^>]*>"
@@ -136,5 +152,38 @@ SELECT doc_id, size, source_size, target, (size * (floor(rate)::BIGINT + CASE WH
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS content FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY content) AS keep_id, count(*) OVER (PARTITION BY content) AS group_size,
     row_number() OVER (PARTITION BY content ORDER BY doc_id ASC NULLS LAST) = 1 AS kept, sha256(content) AS text_sha256 FROM n
+""",
+    "op11_linededup": r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+s AS (SELECT key, max(doc_id) AS keep FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT doc_id, pos, line, keep IS NOT NULL AND doc_id IS DISTINCT FROM keep AS gone FROM k LEFT JOIN s USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id
+""",
+    "op12_lexical": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+c AS (SELECT count(*) FILTER (WHERE len(t) > 0) AS nn, sum(len(t))::BIGINT AS ll FROM d),
+q AS (SELECT item_id, term, count(*) AS qn FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(t)::BIGINT AS n, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, c GROUP BY term, nn),
+s AS (SELECT item_id, doc_id, sum(qn * w.w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // ll))))::BIGINT AS score FROM q JOIN p USING (term) JOIN w USING (term), c GROUP BY item_id, doc_id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10
+""",
+    "op13_trie": r"""
+WITH o AS (SELECT conv_id AS c, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, octet_length(encode(coalesce(text, ''))) AS bytes, turn FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT c, k, bytes, row_number() OVER (PARTITION BY c ORDER BY turn ASC NULLS FIRST, k) AS pos FROM o),
+h AS (SELECT c, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: xor(x >> 1, (x & 1) * 3988292384::BIGINT))), 4294967295::BIGINT) % 9 AS h FROM (SELECT DISTINCT c FROM o)),
+u AS (SELECT h.c, 0 AS part, t.pos, k, bytes FROM h JOIN t ON t.c = h.c - h.c % 5 AND t.pos <= h.h UNION ALL SELECT h.c, 1, t.pos, k, bytes FROM h JOIN t ON t.c = h.c AND t.pos > h.h),
+r AS (SELECT c, bytes, list(k) OVER w AS path FROM u WINDOW w AS (PARTITION BY c ORDER BY part, pos ROWS UNBOUNDED PRECEDING) UNION ALL SELECT c, 0, [] FROM h),
+len AS (SELECT c, max(len(path)) AS d FROM r GROUP BY c),
+n AS (SELECT path, len(path) AS depth, min(r.c) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+    coalesce(string_agg(r.c::VARCHAR, ',' ORDER BY r.c) FILTER (WHERE len(path) = len.d), '') AS ends FROM r JOIN len USING (c) GROUP BY path),
+ch AS (SELECT path[1:len(path) - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+a AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN ch USING (path)),
+sub AS (SELECT path[1:up] AS path, sum((n_children = 0)::BIGINT) AS n_leaves, sum((n_convs - 1) * bytes) AS saved FROM (SELECT *, unnest(range(depth + 1)) AS up FROM a) GROUP BY ALL)
+SELECT a.conv_id, a.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, a.n_convs, a.n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(a.ends) AS ends_sha256
+FROM a JOIN sub USING (path) LEFT JOIN a p ON a.depth > 0 AND p.path = a.path[1:a.depth - 1]
 """,
 }
