@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by inner product: a robust-pruned directed graph per shard.
 
-Vectors are dealt to shards of a bounded number of rows by a hash.  In a shard,
-maximum inner product becomes nearest neighbour by one added coordinate.  Greedy
+Vectors are dealt to bands of like norms and, by a hash, to shards of a bounded
+number of rows.  In a shard, maximum inner product becomes nearest neighbour by one
+added coordinate, which no longer vector of another band can swamp.  Greedy
 searches from the medoid propose neighbours for each vector; pruning keeps a
 candidate only if no kept neighbour is closer to it by the factor ``alpha``, so
 edges stay few and diverse.  Vectors that no path reaches get an edge from their
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -41,9 +42,10 @@ class Graph:
     """A robust-pruned graph over distinct vectors of one length, held by one task; ``near`` and ``entry`` are given for a finished one."""
 
     def __init__(self, vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, near: np.ndarray | None = None, entry: int | None = None):
-        norms = (vectors.astype(np.float64) ** 2).sum(axis=1)
-        extra = np.sqrt(np.maximum(norms.max() - norms, 0))[:, None]
-        self.x = np.hstack([vectors, extra]).astype(np.float32)
+        scaled = vectors / np.abs(vectors).max()  # in double precision, so that no square overflows or vanishes
+        norms = (scaled**2).sum(axis=1)
+        scaled, norms = scaled / np.sqrt(norms.max()), norms / norms.max()
+        self.x = np.hstack([scaled, np.sqrt(np.maximum(1 - norms, 0))[:, None]]).astype(np.float32)
         self.sq = (self.x**2).sum(axis=1)
         self.degree, self.beam, self.alpha = degree, beam, alpha
         if near is not None:
@@ -99,19 +101,22 @@ class Graph:
         return seen
 
     def _reach_all(self) -> None:
-        """An edge to each vector that no path reaches, from the nearest found one that has a spare place."""
-        while len(lost := np.flatnonzero(~self.reachable())):
-            for at in range(0, len(lost), 1024):
-                block = lost[at : at + 1024]
-                ids, _ = self.search(self.x[block], self.beam)
-                for node, found in zip(block, ids, strict=True):
-                    free = self.near[found[found >= 0], self.degree :] < 0
-                    rows = np.flatnonzero(free.any(axis=1))
-                    if len(rows):
-                        self.near[found[rows[0]], self.degree + int(free[rows[0]].argmax())] = node
-                    else:  # all found ones are full: a chain by way of the last vector that got such a place
-                        self.near = np.hstack([self.near, np.full((len(self.x), 1), -1, np.int32)])
-                        self.near[found[0], -1] = node
+        """An edge to each vector that no path reaches, from the nearest found one that has a spare place.
+
+        Found vectors are reachable, and places that hold an edge keep it: one pass reaches all.
+        """
+        lost = np.flatnonzero(~self.reachable())
+        for at in range(0, len(lost), 1024):
+            block = lost[at : at + 1024]
+            ids, _ = self.search(self.x[block], self.beam)
+            for node, found in zip(block, ids, strict=True):
+                free = self.near[found[found >= 0], self.degree :] < 0
+                rows = np.flatnonzero(free.any(axis=1))
+                if len(rows):
+                    self.near[found[rows[0]], self.degree + int(free[rows[0]].argmax())] = node
+                else:  # all found ones are full: one more place for every vector
+                    self.near = np.hstack([self.near, np.full((len(self.x), 1), -1, np.int32)])
+                    self.near[found[0], -1] = node
 
     def prune(self, nodes: np.ndarray, candidates: np.ndarray) -> np.ndarray:
         """Up to ``degree`` diverse neighbours of each node out of its candidates (-1: none)."""
@@ -125,7 +130,7 @@ class Graph:
             own = self.x[nodes[at : at + 128]]
             far = self.sq[c] - 2 * np.einsum("bcd,bd->bc", v, own) + (own**2).sum(axis=1)[:, None]
             far[c < 0] = np.inf
-            by = np.argsort(far, axis=1, kind="stable")[:, : 3 * self.degree]
+            by = np.argsort(far, axis=1, kind="stable")[:, : max(1, int((c >= 0).sum(axis=1).max()))]  # all candidates
             c, far = np.take_along_axis(c, by, 1), np.take_along_axis(far, by, 1)
             v = self.x[c]
             between = self.sq[c][:, :, None] + self.sq[c][:, None, :] - 2 * np.matmul(v, v.transpose(0, 2, 1))
@@ -147,7 +152,7 @@ class Graph:
         ids = np.full((b, beam), -1, np.int64)
         far = np.full((b, beam), np.inf, np.float32)
         opened = np.zeros((b, beam), bool)
-        seen = np.zeros((b, n), bool)
+        seen = np.zeros((b, n + 1), bool)  # the last column is for empty places
         q2 = (queries**2).sum(axis=1)
         ids[:, 0] = self.entry
         far[:, 0] = self.sq[self.entry] - 2 * queries @ self.x[self.entry] + q2
@@ -166,7 +171,7 @@ class Graph:
             safe = np.where(nb >= 0, nb, 0)
             d = self.sq[safe] - 2 * np.einsum("brd,bd->br", self.x[safe], queries[live]) + q2[live][:, None]
             d = np.where(fresh, d, np.inf).astype(np.float32)
-            seen[live[:, None], safe] |= fresh
+            seen[live[:, None], nb] = True
             all_far = np.hstack([far[live], d])
             by = np.argsort(all_far, axis=1, kind="stable")[:, :beam]
             far[live] = np.take_along_axis(all_far, by, 1)
@@ -176,6 +181,19 @@ class Graph:
         return ids, far
 
 
+def unit(vector: np.ndarray) -> np.ndarray:
+    """The vector at length 1, whatever the size of its components."""
+    scaled = vector / np.abs(vector).max()
+    return scaled / np.sqrt((scaled**2).sum())
+
+
+def norm_band(vector: str) -> Column:
+    """Number of the band of norms: the longest vector of a band is up to four times as long as the shortest, and 1 is near the middle of one."""
+    most = F.array_max(F.transform(vector, lambda c: F.abs(c)))
+    squares = F.aggregate(F.col(vector), F.lit(0.0), lambda a, c: a + F.pow(c / most, F.lit(2.0)))
+    return F.floor((F.log2(most) + F.log2(squares) / 2) / 2 + F.lit(0.25)).cast("int")
+
+
 def usable(rows: DataFrame, vector: str = "embedding") -> DataFrame:
     """Rows whose vector is not null, not all zero and has finite components only."""
     v = F.col(vector)
@@ -223,25 +241,32 @@ def nearest(
     Equal vectors are one graph node that carries its ``k + 1`` smallest ids, which
     is exact because ties go to the smaller id.  Vectors are compared with those of
     their own length only.  Null ids take no part; a repeated id counts once, with
-    its smallest vector.  A shard of up to ``search`` vectors is searched through its
+    its smallest vector.  Components may be of any size: graphs hold scaled vectors,
+    and inner products beyond the largest double are infinite.  A shard of
+ up to ``search`` vectors is searched through its
     graph as any other and gives exact results, since every vector is reachable;
     empty tables give no rows.
     """
     base = usable(rows, vector).where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(F.col(vector).cast("array<double>")).alias("v"))
     smallest = Window.partitionBy("v").orderBy("id")
     nodes = base.withColumn("n", F.row_number().over(smallest)).where(F.col("n") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    nodes = materialize(nodes.withColumn("dim", F.size("v")))
-    dims = {r["dim"]: r["n"] for r in nodes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a vector length
-    if not dims:
-        return queries.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shards = {d: -(-n // shard_rows) for d, n in dims.items()}
-    count = F.element_at(F.create_map(*[F.lit(x) for d in shards for x in (d, shards[d])]), F.col("dim"))
-    placed = nodes.select("dim", F.pmod(F.xxhash64("v"), count).cast("int").alias("shard"), "v", "ids")
+    nodes = materialize(nodes.withColumn("dim", F.size("v")).withColumn("band", norm_band("v")))
+    sizes = nodes.groupBy("dim", "band").agg(F.count(F.lit(1)).alias("n")).orderBy("dim", "band").collect()  # up to 1,100 bands a vector length
+    spark, shards, plan = queries.sparkSession, {}, []
+    if not sizes:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for dim, band, n in sizes:
+        plan.append((dim, band, shards.get(dim, 0), -(-n // shard_rows)))
+        shards[dim] = sum(plan[-1][2:])
+    bands = spark.createDataFrame(plan, "dim int, band int, first int, count int")
+    shard = F.col("first") + F.pmod(F.xxhash64("v"), F.col("count")).cast("int")
+    placed = nodes.join(F.broadcast(bands), ["dim", "band"]).select("dim", shard.alias("shard"), "v", "ids")
     graphs = build(placed, sum(shards.values()), beam)
     asked = usable(queries, vector).where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("query_id")).agg(F.min(F.col(vector).cast("array<double>")).alias("v"))
-    asked = asked.withColumn("dim", F.size("v")).where(F.col("dim").isin(list(dims)))
+    lengths = spark.createDataFrame(list(shards.items()), "dim int, shards int")
+    asked = asked.withColumn("dim", F.size("v")).join(F.broadcast(lengths), "dim")  # a row a vector length
     whole = [F.lit(None).cast(t).alias(c) for c, t in (("n", "int"), ("entry", "int"), ("vectors", "binary"), ("near", "binary"), ("counts", "binary"), ("ids", "binary"))]
-    dealt = asked.select("dim", F.explode(F.sequence(F.lit(0), count.cast("int") - 1)).alias("shard"), F.pmod(F.xxhash64("query_id"), F.lit(SPLITS)).cast("int").alias("split"), F.lit(1).alias("kind"), "query_id", "v", *whole)
+    dealt = asked.select("dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.pmod(F.xxhash64("query_id"), F.lit(SPLITS)).cast("int").alias("split"), F.lit(1).alias("kind"), "query_id", "v", *whole)
     copies = graphs.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))).alias("split"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("array<double>").alias("v"), "n", "entry", "vectors", "near", "counts", "ids")
     tasks = max(8, 2 * SPLITS * sum(shards.values()))
     streams = copies.unionByName(dealt).repartition(tasks, "dim", "shard", "split").sortWithinPartitions("dim", "shard", "split", "kind")
@@ -250,7 +275,7 @@ def nearest(
         at, graph, original, ids, waiting = None, None, None, [], []
 
         def answer() -> pa.RecordBatch:
-            q = np.array([w[1] for w in waiting])
+            q = np.array([unit(w[1]) for w in waiting])  # the order of inner products stays
             found, _ = graph.search(np.hstack([q, np.zeros((len(q), 1))]).astype(np.float32), search)
             out = ([], [], [])
             for (own, vec), got in zip(waiting, found, strict=True):

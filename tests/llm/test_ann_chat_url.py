@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 
 from corpusflow.llm import ann, chat, urlfilter
 
@@ -47,6 +48,32 @@ def test_hub_of_equal_vectors_in_a_graph(spark):
     assert ann.Graph(far, degree=2).reachable().all()
 
 
+@pytest.mark.parametrize("outliers", [[1e2], [1e4, 1e-4], [1e20, 1e-20], [1e140, 3.0, 1e-150]])
+def test_recall_beside_vectors_of_other_lengths(spark, outliers):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 32))
+    for i, factor in enumerate(outliers):
+        x[rng.choice(1500, 1 + 20 * i, replace=False)] *= factor
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = ann.nearest(df.where("vec_id % 20 = 0"), df, k=20)
+    want = exact(rows, [r for r in rows if r[0] % 20 == 0], 20)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(got) == set(want)
+    assert sum(len(got[q] & {i for i, _ in best}) for q, best in want.items()) >= 0.9 * sum(map(len, want.values()))
+
+
+def test_graphs_of_long_and_short_vectors_end():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 8))
+    for factor in (1e20, 1e200, 1e-200):
+        mixed = x.copy()
+        mixed[::20] *= factor
+        assert ann.Graph(mixed).reachable().all() and ann.Graph(x * factor).reachable().all()
+
+
 def test_recall_over_several_shards(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     pdf = rows.select("vec_id", "embedding").toPandas()
