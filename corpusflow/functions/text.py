@@ -63,13 +63,22 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def top_keywords(norm: Column, n: int = TOP_KEYWORDS) -> Column:
-    """The ``n`` most frequent tokens of three letters or more; ties by first place."""
+    """The ``n`` most frequent tokens of three letters or more; ties by first place.
+
+    The tokens are made and sorted once; a word's count is the length of its run.
+    """
     words = F.filter(F.split(norm, " "), lambda t: F.length(t) >= 3)
-    counted = F.transform(
-        F.array_distinct(words),
-        lambda w: F.struct((-F.size(F.filter(words, lambda x: x == w))).alias("n"), F.array_position(words, w).alias("at"), w.alias("word")),
-    )
-    return F.transform(F.slice(F.array_sort(counted), 1, n), lambda s: s["word"])
+    placed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at"))))
+
+    def runs(s: Column) -> Column:
+        first = lambda x, i: (i == 0) | (F.get(s, i - 1)["word"] != x["word"])
+        return F.filter(F.transform(s, lambda x, i: F.when(first(x, i), F.struct(i.alias("from"), x["word"].alias("word"), x["at"].alias("at")))), lambda x: x.isNotNull())
+
+    def counted(s: Column) -> Column:
+        ends = lambda r, i: F.coalesce(F.get(r, i + 1)["from"], F.size(s))
+        return let(runs(s), lambda r: F.transform(r, lambda x, i: F.struct((x["from"] - ends(r, i)).alias("n"), x["at"].alias("at"), x["word"].alias("word"))))
+
+    return F.transform(F.slice(F.array_sort(let(placed, counted)), 1, n), lambda s: s["word"])
 
 
 def novelty(candidate_keywords: Column, leader_keywords: Column) -> Column:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import insort
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions.text import MIN_WORDS_FOR_WORD_SETS, bigram_set, novelty, similarity_text, top_keywords, word_set
-from corpusflow.operators.components import connected_components
-from corpusflow.runtime import global_rank, materialize
+from corpusflow.runtime import global_rank, materialize, stored
 
 # Thresholds of the similarity rules.
 SIMILARITY = 0.60
@@ -17,6 +20,16 @@ IMAGE_BONUS = 0.15
 TITLE_LOCK = 0.85
 WINDOW_HOURS = 6
 WINDOW_ROWS = 200
+WINDOW_LEADERS = 200
+SETS = ("tw", "tb", "ew", "eb")
+WORD_SETS = ("tw", "ew")
+#: 64-bit words in the sketch of each set, by the sizes that such sets have.
+WORDS = {"tw": 2, "tb": 4, "ew": 4, "eb": 8}
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt evenly by id, since making token sets costs far more than moving titles and excerpts."""
+    return rows.repartition("id")
 
 
 def features(rows: DataFrame, title: str = "title", excerpt: str = "raw_excerpt") -> DataFrame:
@@ -63,27 +76,70 @@ def window_pairs(rows: DataFrame, rows_back: int = WINDOW_ROWS, hours: int = WIN
     """
     ranked = materialize(global_rank(rows, [F.col("created_at"), F.col("id")], "seq"))
     bucket = F.floor(F.col("seq") / rows_back)
-    a = ranked.withColumn("bucket", bucket).alias("a")
-    b = ranked.withColumn("bucket", F.explode(F.array(bucket, bucket + 1))).alias("b")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: pairs cost far more than the bytes that adaptive execution counts
+    a = ranked.withColumn("bucket", bucket).repartition(tasks, "bucket").alias("a")
+    b = ranked.withColumn("bucket", F.explode(F.array(bucket, bucket + 1))).repartition(tasks, "bucket").alias("b")
     near = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.seq") > F.col("b.seq")) & (F.col("a.seq") - F.col("b.seq") <= rows_back)
     recent = F.unix_timestamp("a.created_at") - F.unix_timestamp("b.created_at") <= hours * 3600
     return a.join(b, near & recent)
 
 
-def _size_bound(a: str, b: str) -> Column:
-    """The score cannot reach the threshold where no pair of sets is alike enough in size."""
-    bounds = []
-    for s in ("tw", "tb", "ew", "eb"):
-        x, y = F.size(f"{a}.{s}"), F.size(f"{b}.{s}")
-        bounds.append(F.when(F.greatest(x, y) > 0, F.least(x, y) / F.greatest(x, y)).otherwise(F.lit(0.0)))
+def odd_bits(tokens: Column, words: int) -> Column:
+    """A sketch of a set of hashes in 64-bit words: a bit is set where an odd number of tokens falls on it."""
+    word = lambda t: F.pmod(F.shiftright(t, 6), F.lit(words))
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
+    fold = lambda w: F.aggregate(F.filter(tokens, lambda t: word(t) == w), F.lit(0).cast("long"), lambda x, t: x.bitwiseXOR(bit(t)))
+    return F.transform(F.sequence(F.lit(0), F.lit(words - 1)), fold)
+
+
+def sketches(base: DataFrame, keep: list[str]) -> DataFrame:
+    """Sizes and sketches of the token sets of feature rows, beside the columns ``keep``."""
+    return stored(base.select(*keep, *[c for s in SETS for c in (F.size(s).alias(f"n_{s}"), odd_bits(F.col(s), WORDS[s]).alias(f"bits_{s}"))]))
+
+
+def may_be_similar(a: str, b: str) -> Column:
+    """Whether two sketched rows can reach the threshold: false only if no pair of their sets can.
+
+    Sets of Jaccard similarity s differ in at most (1 - s) / (1 + s) of their summed
+    sizes, and two sketches in no more bits than their sets in tokens.
+    """
     same = F.coalesce(F.col(f"{a}.image_url") == F.col(f"{b}.image_url"), F.lit(False))
-    return F.greatest(*bounds) >= F.when(same, SIMILARITY - IMAGE_BONUS).otherwise(SIMILARITY)
+    reach = lambda t: (1 - t) / (1 + t) + 1e-9
+    share = F.when(same, reach(SIMILARITY - IMAGE_BONUS)).otherwise(reach(SIMILARITY))
+    out = F.lit(False)
+    for s in SETS:
+        x, y = F.col(f"{a}.n_{s}"), F.col(f"{b}.n_{s}")
+        least = MIN_WORDS_FOR_WORD_SETS if s in WORD_SETS else 1
+        bits = F.zip_with(f"{a}.bits_{s}", f"{b}.bits_{s}", lambda u, v: F.bit_count(u.bitwiseXOR(v)))
+        odd = F.aggregate(bits, F.lit(0), lambda n, w: n + w)  # lambdas keep the generated method small enough for the JIT compiler
+        out = out | ((x >= least) & (y >= least) & (F.abs(x - y) <= share * (x + y)) & (odd <= share * (x + y)))
+    return out
+
+
+def candidate_pairs(base: DataFrame, among: Column | None = None) -> DataFrame:
+    """``(id, other_id, seq)``: of the pairs in the window those whose sketches leave room for the threshold; ``seq`` numbers the other row.
+
+    Only sizes and sketches meet in the window join; the token sets stay where they are.
+    """
+    keep = ["id", "created_at", "image_url", *(["is_forum"] if "is_forum" in base.columns else [])]
+    pairs = window_pairs(sketches(base, keep))
+    pairs = pairs if among is None else pairs.where(among)
+    return materialize(pairs.where(may_be_similar("a", "b")).select(F.col("a.id").alias("id"), F.col("b.id").alias("other_id"), F.col("b.seq").alias("seq")))
+
+
+def _scored(base: DataFrame, pairs: DataFrame, keep: list[Column]) -> DataFrame:
+    """Scores of candidate pairs, for which the token sets of both rows are fetched by id."""
+    tasks = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a, b, p = base.alias("a"), base.repartition(tasks, "id").alias("b"), pairs.alias("p")
+    both = p.join(a, F.col("p.id") == F.col("a.id")).repartition(tasks, F.col("p.other_id"))  # a fixed number, as for the pairs
+    return with_scores(both.join(b, F.col("p.other_id") == F.col("b.id")), keep)
 
 
 def similar_pairs(base: DataFrame) -> DataFrame:
     """``(id, other_id, score)`` of all pairs of feature rows in the window whose score reaches the threshold."""
-    pairs = window_pairs(base).where(_size_bound("a", "b"))
-    return with_scores(pairs, [F.col("a.id").alias("id"), F.col("b.id").alias("other_id")]).where(F.col("score") >= SIMILARITY).select("id", "other_id", "score")
+    base = stored(base)
+    scored = _scored(base, candidate_pairs(base), [F.col("p.id").alias("id"), F.col("p.other_id").alias("other_id")])
+    return scored.where(F.col("score") >= SIMILARITY).select("id", "other_id", "score")
 
 
 def parent_edges(articles: DataFrame, is_forum: Column | None = None, title: str = "title", excerpt: str = "raw_excerpt") -> DataFrame:
@@ -93,9 +149,10 @@ def parent_edges(articles: DataFrame, is_forum: Column | None = None, title: str
     accepted if the titles nearly agree or little is new, else none is tried again.
     """
     forum = F.lit(False) if is_forum is None else F.coalesce(is_forum, F.lit(False))
-    base = features(articles.select("id", "created_at", "image_url", title, excerpt, forum.alias("is_forum")), title, excerpt)
-    pairs = window_pairs(base).where(~F.col("a.is_forum")).where(_size_bound("a", "b"))
-    scored = with_scores(pairs, [F.col("a.id").alias("id"), F.col("b.id").alias("best_id"), F.col("b.seq").alias("seq"), F.col("a.kw").alias("own"), F.col("b.kw").alias("theirs")])
+    rows = articles.select("id", "created_at", "image_url", title, excerpt, forum.alias("is_forum"))
+    base = stored(features(spread(rows), title, excerpt).drop(title, excerpt))
+    keep = [F.col("p.id").alias("id"), F.col("p.other_id").alias("best_id"), F.col("p.seq").alias("seq"), F.col("a.kw").alias("own"), F.col("b.kw").alias("theirs")]
+    scored = _scored(base, candidate_pairs(base, ~F.col("a.is_forum")), keep)
     best = F.max(F.when(F.col("score") >= SIMILARITY, F.struct("score", "seq", "best_id", "title_score", novelty(F.col("own"), F.col("theirs")).alias("novelty"))))
     top = scored.groupBy("id").agg(best.alias("m")).where("m is not null").select("id", "m.best_id", "m.title_score", "m.score", "m.novelty")
     return top.withColumn("accepted", (F.col("title_score") >= TITLE_LOCK) | (F.col("novelty") < NOVELTY))
@@ -120,92 +177,129 @@ def cluster(articles: DataFrame, is_forum: Column | None = None) -> DataFrame:
     return out.withColumn("parent_article_id", F.col("__parent")).withColumn("summary_status", F.when(F.col("__parent").isNotNull(), "skipped").otherwise(F.col("summary_status"))).select(*articles.columns)
 
 
-def settled_parents(edges: DataFrame, most: int = 100_000) -> DataFrame:
-    """``(id, parent)`` by the sequential rule, from ``edges(id, at, other, score, created, accepted)`` to rows earlier by ``(at, id)``.
-
-    A row meets only rows that are still leaders at its turn; of those the best
-    score wins, the newest of equals, and if that one is not accepted, no other is
-    tried.  Rows of different components do not meet, so each component of up to
-    ``most`` edges is gone through in order by one task; larger ones are settled
-    in rounds of joins (``settled_in_rounds``), with the same result.
+class _Article:
+    """Token sets of one row with their sketches, for the sweep of the second pass."""
+
+    def __init__(self, row):
+        self.place = (row.created, row.id)
+        self.image, self.forum = row.image_url, row.forum
+        self.sets = [frozenset(getattr(row, s).tolist()) for s in SETS]
+        self.sketch = [int.from_bytes(np.packbits(np.bincount(getattr(row, s) & (64 * WORDS[s] - 1), minlength=64 * WORDS[s]) & 1).tobytes()) for s in SETS]
+        self.keywords = frozenset(row.kw.tolist())
+
+    def __lt__(self, other: _Article) -> bool:
+        return self.place < other.place
+
+    def scores(self, other: _Article) -> tuple[float, float] | None:
+        """Score and title score of two rows as ``with_scores`` gives them, or None where the sketches leave no room for the threshold."""
+        same = bool(self.image) and self.image == other.image
+        least = SIMILARITY - (IMAGE_BONUS if same else 0)
+        share = (1 - least) / (1 + least) + 1e-9
+        if not any((x ^ y).bit_count() <= share * (len(a) + len(b)) for x, y, a, b in zip(self.sketch, other.sketch, self.sets, other.sets, strict=True)):
+            return None
+        part = []
+        for name, a, b in zip(SETS, self.sets, other.sets, strict=True):
+            common = len(a & b) if len(a) >= (floor := MIN_WORDS_FOR_WORD_SETS if name in WORD_SETS else 1) and len(b) >= floor else 0
+            part.append(common / (len(a) + len(b) - common) if common else 0.0)
+        title, excerpt = max(part[:2]), max(part[2:])
+        return min(1.0, max(title, excerpt, title * 0.6 + excerpt * 0.4) + (IMAGE_BONUS if same else 0.0)), title
+
+
+def _swept(rows: Iterator, start: Iterator, most: int, hours: int) -> tuple[dict, list[_Article]]:
+    """Parents of ``rows``, taken in order from the leaders ``start``, and the ``most`` newest leaders after them."""
+    leads = sorted(_Article(r) for r in start)
+    parents = {}
+    for row in rows:
+        own, best = _Article(row), None
+        if not own.forum:
+            since = row.at - hours * 3_600_000_000
+            for other in reversed(leads):  # the newest first: of equal scores it wins
+                if other.place[0] < since:
+                    break
+                if not other.forum and (found := own.scores(other)) and found[0] >= SIMILARITY and (best is None or found[0] > best[0][0]):
+                    best = found, other
+        if best:
+            new = len(own.keywords - best[1].keywords) / len(own.keywords) if own.keywords else 0.0
+            if best[0][1] >= TITLE_LOCK or new < NOVELTY:
+                parents[row.id] = best[1].place[1]
+                continue
+        if not pd.isna(row.created):
+            insort(leads, own)
+            del leads[:-most]
+    return parents, leads
+
+
+def settled_parents(rows: DataFrame, most: int = WINDOW_LEADERS, hours: int = WINDOW_HOURS, slice_rows: int = 20_000, warm_rows: int = 2_000) -> DataFrame:
+    """``(id, parent)`` by the sequential rule over feature rows with ``at``, ``created`` (microseconds) and ``forum``.
+
+    Each row meets, at its turn by ``(at, id)``, the ``most`` newest rows that are
+    still leaders, and attaches to the best; forum rows count among the newest but
+    neither attach nor lead.  What a row may meet depends on all decisions before
+    it, but only through the ``most`` newest leaders: no leader ceases to be one, so
+    the others never come back.  Slices of ``slice_rows`` rows are hence swept side by
+    side, each from the leaders that the last ``warm_rows`` rows of the slice before
+    leave alone; slices whose predecessor ends with other leaders are swept again
+    until all agree.  The first slice is right from the start and each round makes
+    another one right, so the rows are those of one sweep.
     """
-    edges = materialize(edges)
-    parts = connected_components(edges, "id", "other").withColumnRenamed("node", "id")
-    marked = materialize(edges.join(parts, "id"))
-    large = materialize(marked.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("component"))
-
-    def in_order(frame: pd.DataFrame) -> pd.DataFrame:
-        followers: dict = {}
-        for (_, own), rows in frame.groupby(["at", "id"], sort=True):
-            left = rows[~rows["other"].isin(followers.keys())]
-            if len(left):
-                best = left.sort_values(["score", "created", "other"]).iloc[-1]
-                if best["accepted"]:
-                    followers[own] = best["other"]
-        return pd.DataFrame({"id": list(followers), "parent": list(followers.values())})
-
-    kind = edges.schema["id"].dataType.simpleString()
-    small = marked.join(large, "component", "left_anti").groupBy("component").applyInPandas(in_order, f"id {kind}, parent {kind}")
-    if large.isEmpty():
-        return small
-    return small.unionByName(settled_in_rounds(marked.join(large, "component", "left_semi")))
-
-
-def settled_in_rounds(edges: DataFrame) -> DataFrame:
-    """``settled_parents`` by joins: every round decides the rows whose best remaining candidate is decided itself.
-
-    Candidates that became followers are dropped.  The earliest open row can always
-    be decided, so the rounds end; there are as many as the longest chain of rows
-    that wait for each other.
-    """
-    live = materialize(edges.select("id", "other", "score", "created", "accepted"))
-    found = live.select("id", F.col("other").alias("parent")).limit(0)
-    while not live.isEmpty():
-        waiting = live.select(F.col("id").alias("other"), F.lit(True).alias("waits")).distinct()
-        best = F.max(F.struct("score", "created", "other", "accepted", "waits")).alias("m")
-        top = live.join(waiting, "other", "left").groupBy("id").agg(best)
-        ready = materialize(top.where("m.waits is null").select("id", "m.other", "m.accepted"))
-        followers = ready.where("accepted")
-        found = found.unionByName(followers.select("id", F.col("other").alias("parent")))
-        live = materialize(live.join(ready, "id", "left_anti").join(followers.select(F.col("id").alias("other")), "other", "left_anti"))
-    return found
-
-
-def time_pairs(rows: DataFrame, at: str, created: str, hours: int = WINDOW_HOURS) -> DataFrame:
-    """Rows ``a`` with each row ``b`` that came before by ``(at, id)`` and was made in the ``hours`` before ``a``'s time ``at``."""
-    width = hours * 3600
-    a = rows.withColumn("bucket", F.floor(F.unix_timestamp(at) / width)).alias("a")
-    bucket = F.floor(F.unix_timestamp(created) / width)
-    b = rows.withColumn("bucket", F.explode(F.array(bucket, bucket + 1))).alias("b")
-    before = F.struct(F.col(f"b.{at}"), F.col("b.id")) < F.struct(F.col(f"a.{at}"), F.col("a.id"))
-    age = F.unix_timestamp(f"a.{at}") - F.unix_timestamp(f"b.{created}")
-    return a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & before & age.between(0, width))
-
-
-def second_pass(articles: DataFrame, is_forum: Column, as_of: Column, finished: str = "created_at", rows_back: int | None = None) -> DataFrame:
+    order = global_rank(rows.select("id", "at"), [F.col("at"), F.col("id")], "seq")
+    order = order.select("id", "seq", F.floor((F.col("seq") - 1) / slice_rows).alias("slice"))
+    table = stored(rows.join(order, "id"))
+    n_slices = (table.agg(F.max("slice")).first()[0] or 0) + 1
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(own: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        if not len(own):
+            return pd.DataFrame({"slice": [], "leads": [], "id": [], "parent": []})
+        own = own.sort_values("seq")
+        parents, leads = _swept(own.itertuples(), start.itertuples(), most, hours)
+        ids = [a.place[1] for a in leads]
+        return pd.DataFrame({"slice": own["slice"].iloc[0], "leads": [False] * len(parents) + [True] * len(ids), "id": [*parents, *ids], "parent": [*parents.values(), *[None] * len(ids)]}).astype({"parent": object})
+
+    def sweep(own: DataFrame, leads: DataFrame) -> DataFrame:
+        start = table.drop("slice").join(leads.select("slice", "id"), "id")  # at most ``most`` rows a slice
+        start = start.toDF(*start.columns)  # columns of their own beside those of ``own``
+        return materialize(own.groupBy("slice").cogroup(start.groupBy("slice")).applyInPandas(run, f"slice long, leads boolean, id {kind}, parent {kind}"))
+
+    def left_by(swept: DataFrame) -> DataFrame:
+        return swept.where("leads").select((F.col("slice") + 1).alias("slice"), "id").where(F.col("slice") < n_slices)
+
+    def of(leads: DataFrame, name: str) -> DataFrame:
+        return leads.groupBy("slice").agg(F.sort_array(F.collect_list("id")).alias(name))
+
+    none = table.select("slice", "id").limit(0)
+    tail = table.where((F.col("slice") < n_slices - 1) & (F.col("seq") > (F.col("slice") + 1) * slice_rows - warm_rows))
+    used = left_by(sweep(tail, none)) if n_slices > 1 else none
+    done = sweep(table, used)
+    while n_slices > 1:
+        now = left_by(done)
+        both = of(now, "now").join(of(used, "used"), "slice", "full_outer")
+        wrong = materialize(both.where(~F.col("now").eqNullSafe(F.col("used"))).select("slice"))
+        if wrong.isEmpty():
+            break
+        used = materialize(used.join(wrong, "slice", "left_anti").unionByName(now.join(wrong, "slice", "left_semi")))
+        again = sweep(table.join(wrong, "slice", "left_semi"), used.join(wrong, "slice", "left_semi"))
+        done = materialize(done.join(wrong, "slice", "left_anti").unionByName(again))
+    return done.where("not leads").select("id", "parent")
+
+
+def second_pass(articles: DataFrame, is_forum: Column, as_of: Column, finished: str = "created_at", leaders: int = WINDOW_LEADERS, slice_rows: int = 20_000) -> DataFrame:
     """After the summaries: leaders are compared on translated title and short summary, in the order of ``finished``.
 
-    Rows take part that are done by ``as_of``, lead, have a translated title and are
-    no forum rows.  Each attaches at its turn to the best row that was finished
-    before, was created in the six hours before and still leads (``settled_parents``).
-    Followers of a row that attaches move along; the status stays and
-    ``last_summary_error`` notes the leader.  ``rows_back`` limits the candidates to
-    so many rows finished last; it is off by default, since a limit that counts
-    leaders only would depend on decisions still open.
+    Rows take part that are done by ``as_of``, lead and have a translated title.  At
+    its turn a row meets, of the rows that were finished before and still lead, the
+    ``leaders`` newest, as far as they were created in the six hours before; the best
+    score wins, the newest of equals, and if that one is not accepted, no other is
+    tried (``settled_parents``).  Forum rows attach to nothing and nothing to them,
+    but they count among the newest.  Followers of a row that attaches move along;
+    the status stays and ``last_summary_error`` notes the leader.
     """
     done = (F.col("summary_status") == "done") & F.col("parent_article_id").isNull() & F.col("translated_title").isNotNull()
-    leaders = articles.where(done & ~F.coalesce(is_forum, F.lit(False)) & (F.col(finished) <= as_of))
     columns = ["id", "created_at", "image_url", "translated_title", "summary_short", *([finished] if finished != "created_at" else [])]
-    base = features(leaders.select(*columns), "translated_title", "summary_short")
-    if rows_back is not None:
-        base = global_rank(base, [F.col(finished), F.col("id")], "seq")
-    pairs = time_pairs(materialize(base), finished, "created_at").where(_size_bound("a", "b"))
-    if rows_back is not None:
-        pairs = pairs.where(F.col("a.seq") - F.col("b.seq") <= rows_back)
-    scored = with_scores(pairs, [F.col("a.id").alias("id"), F.col(f"a.{finished}").alias("at"), F.col("b.id").alias("other"), F.col("b.created_at").alias("created"), F.col("a.kw").alias("own"), F.col("b.kw").alias("theirs")])
-    accepted = (F.col("title_score") >= TITLE_LOCK) | (novelty(F.col("own"), F.col("theirs")) < NOVELTY)
-    edges = scored.where(F.col("score") >= SIMILARITY).select("id", "at", "other", "score", "created", accepted.alias("accepted"))
-    moved = settled_parents(edges).select("id", F.col("parent").alias("__new"))
+    rows = articles.where(done & (F.col(finished) <= as_of)).select(*columns, F.coalesce(is_forum, F.lit(False)).alias("forum"))
+    base = features(spread(rows), "translated_title", "summary_short")
+    base = base.select("id", F.unix_micros(F.col(finished).cast("timestamp")).alias("at"), F.unix_micros(F.col("created_at").cast("timestamp")).alias("created"), "image_url", "forum", *SETS, "kw")
+    moved = settled_parents(base, leaders, WINDOW_HOURS, slice_rows).select("id", F.col("parent").alias("__new"))
     out = articles.join(moved, "id", "left").withColumn("parent_article_id", F.coalesce("__new", "parent_article_id"))
     note = F.concat(F.lit("Clustered after summary into "), F.col("__new").cast("string"))
     out = out.withColumn("last_summary_error", F.when(F.col("__new").isNotNull(), note).otherwise(F.col("last_summary_error"))).drop("__new")

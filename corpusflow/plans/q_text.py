@@ -194,7 +194,7 @@ best AS (SELECT id, arg_max(best_id, (score, seq)) AS best_id, arg_max(t, (score
 _edges = f"WITH {_feat}, {_pairs} SELECT id, best_id, round(title_score, 6) AS title_score, round(score, 6) AS score, round(novelty, 6) AS novelty, title_score >= 0.85 OR novelty < 0.3 AS accepted FROM best"
 query("clu02_parent_edges", _edges)(lambda s, d: K.parent_edges(near(s, d)).select("id", "best_id", *[F.round(x, 6).alias(x) for x in ("title_score", "score", "novelty")], "accepted"))
 query("jn09_window_similarity", f"WITH {_feat}, {_pairs} SELECT id, best_id AS other_id, round(score, 6) AS score FROM q WHERE score >= 0.6")(
-    lambda s, d: K.similar_pairs(K.features(near(s, d).select("id", "created_at", "image_url", "title", "raw_excerpt"))).select("id", "other_id", F.round("score", 6).alias("score"))
+    lambda s, d: K.similar_pairs(K.features(K.spread(near(s, d).select("id", "created_at", "image_url", "title", "raw_excerpt")))).select("id", "other_id", F.round("score", 6).alias("score"))
 )
 query("win04_prior_window", "SELECT id, least(count(*) OVER (ORDER BY created_at, id ROWS BETWEEN 200 PRECEDING AND 1 PRECEDING), count(*) OVER (ORDER BY created_at RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) - 1) AS prior FROM (" + _near + ")")(
     lambda s, d: (lambda r: r.join(K.window_pairs(r).groupBy(F.col("a.id").alias("id")).agg(F.count(F.lit(1)).alias("prior")), "id", "left").select("id", F.coalesce("prior", F.lit(0)).alias("prior")))(near(s, d).select("id", "created_at"))

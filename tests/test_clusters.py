@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from corpusflow.functions.text import top_keywords
 from corpusflow.operators import cluster as K
 from corpusflow.operators import stats as G
 from corpusflow.plans import q_streams as Q
@@ -12,54 +13,97 @@ from corpusflow.plans.q_text import near, summarised
 from corpusflow.streaming import jobs as ST
 
 
-def one_by_one(rows, scored, hours=6):
-    """``rows`` of (id, created, finished) in seconds; ``scored`` gives (score, title_score, novelty) of a pair, newer first."""
+def one_by_one(rows, scored, most=200, hours=6):
+    """``rows`` of (id, created, finished, forum) in seconds; ``scored`` gives (score, title_score, novelty) of a pair, the later one first."""
     leads, parent = [], {}
-    for i, created, finished in sorted(rows, key=lambda r: (r[2], r[0])):
-        best = None
-        for j, c in leads:
-            if 0 <= finished - c <= hours * 3600 and (i, j) in scored:
-                key = (scored[i, j][0], c, j)
-                best = max(best, (key, j)) if best else (key, j)
-        if best and (scored[i, best[1]][1] >= 0.85 or scored[i, best[1]][2] < 0.3):
-            parent[i] = best[1]
+    for i, created, finished, forum in sorted(rows, key=lambda r: (r[2], r[0])):
+        met = sorted((c, j, f) for j, c, f in leads if finished - c <= hours * 3600)[-most:]
+        own = [(scored[i, j][0], c, j) for c, j, f in met if not f and (i, j) in scored and not forum]
+        best = max(own)[2] if own else None
+        if best is not None and (scored[i, best][1] >= 0.85 or scored[i, best][2] < 0.3):
+            parent[i] = best
         else:
-            leads.append((i, created))
+            leads.append((i, created, forum))
     return parent
 
 
-def test_second_pass_follows_the_sequential_rule(spark, sf):
-    rows = summarised(spark, sf).where("id < 160")
-    got = {r.id: r.parent_article_id for r in K.second_pass(rows, F.lit(False), F.lit("2100-01-01").cast("timestamp"), "finished_at").collect() if r.parent_article_id is not None}
+def scores_of(rows):
     f = K.features(rows.select("id", "created_at", "image_url", "translated_title", "summary_short"), "translated_title", "summary_short").cache()
     a, b = f.alias("a"), f.alias("b")
-    pairs = a.join(b, F.col("a.id") != F.col("b.id"))  # 160 rows
+    pairs = a.join(b, F.col("a.id") != F.col("b.id"))  # a small table
     keep = [F.col("a.id").alias("i"), F.col("b.id").alias("j"), F.col("a.kw").alias("x"), F.col("b.kw").alias("y")]
     scored = K.with_scores(pairs, keep).where("score >= 0.6").select("i", "j", "score", "title_score", K.novelty(F.col("x"), F.col("y")).alias("n")).collect()
-    times = [(r.id, r.c, r.f) for r in rows.select("id", F.unix_timestamp("created_at").alias("c"), F.unix_timestamp("finished_at").alias("f")).collect()]
-    want = one_by_one(times, {(r.i, r.j): (r.score, r.title_score, r.n) for r in scored})
-    assert got == want and want
-
-
-def test_rounds_and_components_settle_alike(spark):
-    rng = random.Random(3)
-    rows = [(i, i, j, round(rng.random(), 2), j, rng.random() < 0.7) for i in range(1, 120) for j in rng.sample(range(i), min(i, 3))]
-    edges = spark.createDataFrame(rows, "id long, at long, other long, score double, created long, accepted boolean")
-    parent = {}
-    for i in range(1, 120):
-        left = [r for r in rows if r[0] == i and r[2] not in parent]
-        if left and (best := max(left, key=lambda r: (r[3], r[4], r[2])))[5]:
-            parent[i] = best[2]
-    assert dict(map(tuple, K.settled_in_rounds(edges).collect())) == parent
-    assert dict(map(tuple, K.settled_parents(edges).collect())) == parent
-    assert dict(map(tuple, K.settled_parents(edges, 10).collect())) == parent
-    assert K.settled_parents(edges.limit(0)).count() == 0
+    return {(r.i, r.j): (r.score, r.title_score, r.n) for r in scored}
+
+
+def parents_of(rows, forum=None, **how):
+    out = K.second_pass(rows, F.lit(False) if forum is None else forum, F.lit("2100-01-01").cast("timestamp"), "finished_at", **how)
+    return {r.id: r.parent_article_id for r in out.collect() if r.parent_article_id is not None}
+
+
+def test_second_pass_follows_the_sequential_rule(spark, sf):
+    rows = summarised(spark, sf).where("id < 160")
+    scored = scores_of(rows)
+    forum = F.pmod(F.col("id"), F.lit(9)) == 4
+    times = [(r.id, r.c, r.f, r.id % 9 == 4) for r in rows.select("id", F.unix_timestamp("created_at").alias("c"), F.unix_timestamp("finished_at").alias("f")).collect()]
+    plain = [(*t[:3], False) for t in times]
+    results = set()
+    for most, size in ((200, 1_000), (200, 13), (5, 20)):
+        want = one_by_one(plain, scored, most)
+        assert parents_of(rows, leaders=most, slice_rows=size) == want and want
+        results.add(tuple(want.items()))
+    assert len(results) == 2  # the cap tells
+    assert parents_of(rows, forum, leaders=30, slice_rows=25) == one_by_one(times, scored, 30)
+    assert parents_of(rows.limit(0)) == {}
+
+
+def test_second_pass_with_more_leaders_than_the_cap(spark):
+    """Over 200 leaders in six hours: stories come back before and after they are pushed out."""
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(900)]
+    stories = [" ".join(rng.choices(words, k=9)) for _ in range(420)]
+    rows = []
+    for i in range(700):
+        text = stories[rng.randrange(420)].split()
+        if rng.random() < 0.5:
+            text[rng.randrange(9)] = rng.choice(words)
+        rows.append((i, 1_700_000_000 + i * 25, 1_700_000_000 + i * 25 + rng.randrange(900), " ".join(text), None if i % 7 else f"img{i % 21}", "done", None, None))
+    df = spark.createDataFrame(rows, "id long, c long, f long, translated_title string, image_url string, summary_status string, parent_article_id long, last_summary_error string")
+    df = df.select("*", F.timestamp_seconds("c").alias("created_at"), F.timestamp_seconds("f").alias("finished_at"), F.lit("").alias("summary_short"))
+    scored = scores_of(df)
+    times = [(r[0], r[1], r[2], False) for r in rows]
+    want = one_by_one(times, scored)
+    assert want != one_by_one(times, scored, 10_000) and len(rows) - len(want) > 400
+    for size in (10_000, 90):
+        assert parents_of(df, slice_rows=size) == want
 
 
 def test_a_follower_is_no_candidate_any_more(spark):
     """B attaches to A; C is like B only, so C stays a leader though B lies near."""
-    edges = spark.createDataFrame([(2, 2, 1, 0.9, 1, True), (3, 3, 2, 0.9, 2, True)], "id long, at long, other long, score double, created long, accepted boolean")
-    assert [tuple(r) for r in K.settled_parents(edges).collect()] == [(2, 1)]
+    words = ["abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx", "yzba", "dcfe", "hgji", "lknm", "porq"]
+    titles = [" ".join(words[:8]), " ".join(words[:7] + words[8:9]), " ".join(words[2:7] + words[8:])]
+    rows = [(i, t, None, "", "done", None, None) for i, t in enumerate(titles)]
+    df = spark.createDataFrame(rows, "id long, translated_title string, image_url string, summary_short string, summary_status string, parent_article_id long, last_summary_error string")
+    df = df.withColumn("created_at", F.timestamp_seconds(F.col("id") * 60)).withColumn("finished_at", F.col("created_at"))
+    scored = scores_of(df)
+    assert (2, 1) in scored and (2, 0) not in scored
+    assert parents_of(df) == one_by_one([(i, i * 60, i * 60, False) for i in range(3)], scored)
+
+
+def test_sketches_drop_no_similar_pair_and_most_others(spark, sf):
+    rows = near(spark, sf)
+    base = K.features(rows.select("id", "created_at", "image_url", "title", "raw_excerpt")).cache()
+    all_pairs = K.with_scores(K.window_pairs(base), [F.col("a.id").alias("id"), F.col("b.id").alias("other_id")]).cache()
+    want = {(r.id, r.other_id) for r in all_pairs.where(F.col("score") >= K.SIMILARITY).collect()}
+    found = {(r.id, r.other_id) for r in K.candidate_pairs(base).collect()}
+    assert want and want <= found and len(found) * 10 < all_pairs.count()
+
+
+@pytest.mark.parametrize("text", ["", "a bb ccc ccc dd ddd ddd ddd ccc eee", "zzz yyy xxx zzz", "x" * 50, "aaa " * 3000 + "bbb " * 2000])
+def test_keywords(spark, text):
+    words = [w for w in text.split(" ") if len(w) >= 3]
+    want = sorted(set(words), key=lambda w: (-words.count(w), words.index(w)))[:30]
+    assert spark.createDataFrame([(text,)], "t string").select(top_keywords(F.col("t")).alias("k")).first().k == want
 
 
 @pytest.mark.parametrize("parts", [1, 3, 7])
