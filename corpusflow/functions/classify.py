@@ -93,8 +93,8 @@ def ascii_bounds(pattern: str) -> str:
 
 
 def promo_phrase(title: Column) -> Column:
-    """The first promotional phrase of a title, or null."""
-    hits = [F.nullif(F.regexp_extract(title, "(?i)" + ascii_bounds(p), 0), F.lit("")) for p in PROMO_PHRASES]
+    """The first promotional phrase of a title in letters of any case, or null."""
+    hits = [F.nullif(F.regexp_extract(title, "(?iu)" + ascii_bounds(p), 0), F.lit("")) for p in PROMO_PHRASES]
     return F.coalesce(*hits)
 
 
@@ -102,7 +102,7 @@ def has_promo_hint(title: Column, excerpt: Column) -> Column:
     text = F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.substring(F.coalesce(excerpt, F.lit("")), 1, 400))
     out = F.lit(False)
     for p in PROMO_HINTS:
-        out = out | text.rlike("(?i)" + ascii_bounds(p))
+        out = out | text.rlike("(?iu)" + ascii_bounds(p))
     return out
 
 

@@ -102,6 +102,22 @@ def html_to_text(c: Column) -> Column:
     return squeeze(out)
 
 
+def snippet_fallback(content: Column, excerpt: Column, least: int) -> Column:
+    """What stands in for an article that could not be fetched: the content, else the excerpt, that squeezed has ``least`` characters; else null."""
+    enough = lambda c: F.length(squeeze(c)) >= least
+    return F.when(enough(content), content).when(enough(excerpt), excerpt)
+
+
+def longest_text(full: Column, content: Column, excerpt: Column, least: int) -> Column:
+    """The fetched text if it is longer than the content, else the content.
+
+    Where nothing was fetched (``full`` is null), the ``snippet_fallback`` comes
+    before the content.
+    """
+    own = F.coalesce(content, F.lit(""))
+    return F.when(F.length(full) > F.length(own), full).when(full.isNull(), F.coalesce(snippet_fallback(content, excerpt, least), own)).otherwise(own)
+
+
 def strip_controls(c: Column) -> Column:
     return F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]", "")
 

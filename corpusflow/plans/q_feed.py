@@ -122,12 +122,12 @@ query("flt09_date_range", f"SELECT id FROM articles a WHERE {LOCAL.format('a.cre
 )
 
 # Titles get promotional endings here, so that the filter has something to find.
-_promo = "title || CASE WHEN id % 25 = 0 THEN ' - 20% off' WHEN id % 40 = 1 THEN ' promo codes' ELSE '' END"
+_promo = "title || CASE WHEN id % 25 = 0 THEN ' - 20% off' WHEN id % 40 = 1 THEN ' promo codes' WHEN id % 30 = 2 THEN ' GIẢM  GIÁ SỐC' WHEN id % 30 = 3 THEN ' KHUYẾN MÃI lớn' WHEN id % 30 = 4 THEN ' Ưu Đãi' ELSE '' END"
 _bounded = [p.replace(r"\b", r"(?:\b)").replace("'", "''") for p in C.PROMO_PHRASES]
 
 
 def _promo_title():
-    return F.concat("title", F.when(F.col("id") % 25 == 0, " - 20% off").when(F.col("id") % 40 == 1, " promo codes").otherwise(""))
+    return F.concat("title", F.when(F.col("id") % 25 == 0, " - 20% off").when(F.col("id") % 40 == 1, " promo codes").when(F.col("id") % 30 == 2, " GIẢM  GIÁ SỐC").when(F.col("id") % 30 == 3, " KHUYẾN MÃI lớn").when(F.col("id") % 30 == 4, " Ưu Đãi").otherwise(""))
 
 
 query("flt10_promo", f"SELECT id, coalesce({', '.join(f'''nullif(regexp_extract(t, '(?i){p}', 0), '')''' for p in _bounded)}) AS phrase FROM (SELECT id, {_promo} AS t FROM articles) WHERE phrase IS NOT NULL")(

@@ -183,7 +183,7 @@ query("src17_comment_list", f"""SELECT thread, pos, author, body, score FROM (SE
 
 def state_pages(s, d):
     obj = F.to_json(F.struct(F.array(F.struct(F.struct(F.concat(F.lit("//m.example.com/a/"), c("id").cast("string")).alias("url"), F.concat(F.lit("A headline no "), c("id").cast("string")).alias("title")).alias("x"))).alias("list"), F.struct(c("raw_excerpt").alias("articleBody")).alias("story")))
-    ld = F.to_json(F.struct(F.array(F.struct(F.lit("NewsArticle").alias("@type"), c("title").alias("headline"), c("raw_excerpt").alias("articleBody"), F.date_format("created_at", "yyyy-MM-dd").alias("datePublished"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("description"), F.lit(None).cast("struct<contentUrl:string>").alias("caption")), F.struct(F.lit("VideoObject").alias("@type"), F.lit("v").alias("headline"), F.lit(None).cast("string").alias("articleBody"), F.lit(None).cast("string").alias("datePublished"), c("source_id").alias("name"), c("title").alias("description"), F.when(c("image_url").isNotNull(), F.struct(c("image_url").alias("contentUrl"))).alias("caption"))).alias("@graph")))
+    ld = F.to_json(F.struct(F.array(F.struct(F.lit("NewsArticle").alias("@type"), c("title").alias("headline"), c("raw_excerpt").alias("articleBody"), F.date_format("created_at", "yyyy-MM-dd").alias("datePublished"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("description"), F.lit(None).cast("struct<contentUrl:string>").alias("caption")), F.struct(F.lit("VideoObject").alias("@type"), F.lit(None).cast("string").alias("headline"), F.lit(None).cast("string").alias("articleBody"), F.lit(None).cast("string").alias("datePublished"), c("source_id").alias("name"), c("title").alias("description"), F.when(c("image_url").isNotNull(), F.struct(c("image_url").alias("contentUrl"))).alias("caption"))).alias("@graph")))
     return A(s, d).select(c("id").alias("page_id"), F.concat(F.lit("<html><script>window.blockRenderData = "), obj, F.lit('; f({"a":1});</script><script type="application/ld+json">'), ld, F.lit('</script><script>window.__INITIAL_STATE__ = '), obj, F.lit(";</script></html>")).alias("html"))
 
 
@@ -192,7 +192,7 @@ query("fn26_json_ld", f"SELECT id AS page_id, {SQZ.format(_ent.format(chr(39).jo
     lambda s, d: JS.json_ld_articles(state_pages(s, d)).select("page_id", "body", "title", "published")
 )
 query("fn27_state_body", f"SELECT id AS page_id, {_snip} AS body FROM articles WHERE trim(raw_excerpt) <> ''")(lambda s, d: JS.state_bodies(state_pages(s, d)))
-query("fn28_json_ld_video", "SELECT id AS page_id, source_id AS title, CASE WHEN id % 3 <> 0 THEN 'https://img.example.com/' || (id % 200) END AS caption_url, title AS description FROM articles")(lambda s, d: JS.json_ld_video(state_pages(s, d)))
+query("fn28_json_ld_video", "SELECT id AS page_id, source_id AS title, CASE WHEN id % 3 <> 0 THEN 'https://img.example.com/' || (id % 200) END AS caption_url, nullif(trim(title), '') AS description FROM articles")(lambda s, d: JS.json_ld_video(state_pages(s, d)).drop("published"))
 _hot = lambda s, d: A(s, d).groupBy(F.floor(c("id") / 20).alias("feed")).agg(F.to_json(F.struct(F.transform(F.sort_array(F.collect_list(F.struct("id", "title", "url"))), lambda x: F.struct(x["id"].cast("string").alias("id"), x["title"].alias("title"), x["url"].alias("url"), F.struct(F.when(x["id"] % 2 == 0, F.concat(x["url"], F.lit("?l"))).alias("url")).alias("link_info"))).alias("data"))).alias("json"))
 query("src19_hot_list", "SELECT id::VARCHAR AS id, title, CASE WHEN id % 2 = 0 THEN url || '?l' ELSE url END AS url FROM articles WHERE title <> ''")(lambda s, d: JS.hot_list(_hot(s, d)).select("id", "title", "url"))
 _cards = lambda s, d: A(s, d).groupBy(F.floor(c("id") / 20).alias("feed")).agg(F.to_json(F.struct(F.array(F.struct(F.transform(F.sort_array(F.collect_list(F.struct("id", "title", "url"))), lambda x: F.struct(F.when(x["id"] % 5 == 0, "ad").otherwise("article").alias("type"), x["id"].cast("string").alias("id"), x["title"].alias("title"), x["url"].alias("url"))).alias("cards"))).alias("sections"))).alias("json"))

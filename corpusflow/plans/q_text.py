@@ -145,11 +145,11 @@ CASE WHEN id % 4 = 2 THEN [] ELSE ['AI', 'Sports'] END AS tags, trim({_w}) AS ma
 query("flt19_usable_summary", f"SELECT id, length(regexp_replace(trim({_w}), '[#*_`\\s-]', '', 'g')) >= 120 AND id % 4 <> 3 AS usable FROM articles")(
     lambda s, d: A(s, d).select("id", SM.parse_output(F.when(c("id") % 4 == 3, F.concat(F.lit("<tldr>x</tldr>"), F.repeat(F.lit("10 USD (khoảng 250 nghìn đồng) "), 3), "raw_excerpt")).otherwise(_raw_output()), X.ALLOWED_TAGS).alias("p")).select("id", SM.is_usable(c("p")).alias("usable"))
 )
-query("fn32_snippet_fallback", "SELECT id, CASE WHEN length(summary_text) > 0 THEN summary_text WHEN length(raw_excerpt) >= 800 THEN raw_excerpt END AS t FROM articles")(
-    lambda s, d: A(s, d).select("id", F.when(F.length("summary_text") > 0, c("summary_text")).when(F.length("raw_excerpt") >= 800, c("raw_excerpt")).alias("t"))
-)
-query("win08_longest_text", "SELECT id, CASE WHEN length(summary_text) >= length(raw_excerpt) THEN 'summary' ELSE 'excerpt' END AS pick FROM articles")(
-    lambda s, d: A(s, d).select("id", F.array_sort(F.array(F.struct((-F.length("summary_text")).alias("n"), F.lit(0).alias("at"), F.lit("summary").alias("pick")), F.struct((-F.length("raw_excerpt")).alias("n"), F.lit(1).alias("at"), F.lit("excerpt").alias("pick"))))[0]["pick"].alias("pick"))
+_fb = f"CASE WHEN length({SQZ.format('summary_text')}) >= 250 THEN summary_text WHEN length({SQZ.format('raw_content')}) >= 250 THEN raw_content END"
+query("fn32_snippet_fallback", f"SELECT id, {_fb} AS t FROM articles")(lambda s, d: A(s, d).select("id", T.snippet_fallback(c("summary_text"), c("raw_content"), 250).alias("t")))
+query("win08_longest_text", f"""SELECT id, raw, CASE WHEN raw = '' THEN raw_excerpt WHEN length(raw) > 500 THEN substr(raw, 1, 500) || '...' ELSE raw END AS shown FROM (SELECT id, raw_excerpt,
+CASE WHEN id % 3 = 0 THEN CASE WHEN length(raw_content) > length(coalesce(summary_text, '')) THEN raw_content ELSE coalesce(summary_text, '') END ELSE coalesce({_fb}, summary_text, '') END AS raw FROM articles)""")(
+    lambda s, d: A(s, d).withColumn("raw", T.longest_text(F.when(c("id") % 3 == 0, F.coalesce("raw_content", F.lit(""))), c("summary_text"), c("raw_content"), 250)).select("id", "raw", F.when(c("raw") == "", c("raw_excerpt")).otherwise(T.truncate(c("raw"), 500)).alias("shown"))
 )
 _hosts = ("https://www.reddit.com/r/data/", "https://voz.vn/f/", "https://github.com/trending", "https://www.msn.com/en-us/", "https://news.qq.com/", "https://www.sohu.com/")
 query("fn34_router", "SELECT id, CASE WHEN length(id) = 4 THEN ['reddit', 'voz', 'github_trending', 'msn', 'qq', 'sohu'][try_cast(substr(id, 4) AS INT) % 6 + 1] ELSE CASE type WHEN 'youtube' THEN 'youtube' WHEN 'web' THEN 'web' ELSE 'rss' END END AS key FROM sources")(

@@ -166,38 +166,77 @@ def card_ids(docs: DataFrame, card_type: str, column: str = "json", key: str = "
     return docs.select(F.col(key).alias("key"), F.col(column).alias("json")).mapInPandas(run, f"key {kind}, pos int, article_id string").withColumnRenamed("key", key)
 
 
-def json_ld_articles(pages: DataFrame, column: str = "html", key: str = "page_id") -> DataFrame:
-    """The best JSON-LD article of each page: the longest body, a known type counting one more."""
+def _ld_nodes(doc, wanted) -> list[dict]:
+    """Objects of a JSON-LD document that are ``wanted``: those of lists and ``@graph`` lists, nested as they may be, before the object that holds them."""
+    out, left = [], [(doc, False)]
+    while left:
+        node, opened = left.pop()
+        if isinstance(node, list):
+            left += [(x, False) for x in reversed(node)]
+        elif isinstance(node, dict):
+            if not opened and isinstance(node.get("@graph"), list):
+                left += [(node, True), (node["@graph"], False)]
+            elif wanted(node):
+                out.append(node)
+    return out
+
+
+def ld_nodes(pages: DataFrame, wanted, column: str, key: str) -> DataFrame:
+    """``key, s, p, v``: the ``wanted`` objects of a page's JSON-LD as variants, in order of scripts and places."""
     scripts = F.regexp_extract_all(F.col(column), F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
     rows = pages.select(F.col(key).alias("key"), F.posexplode(scripts).alias("s", "text"))
-    doc = F.try_parse_json(F.trim("text"))
-    rows = rows.select("key", "s", doc.alias("doc")).where("doc is not null")
-    graph = F.coalesce(F.try_variant_get("doc", "$['@graph']", "array<variant>"), F.try_variant_get("doc", "$", "array<variant>"), F.array("doc"))
-    nodes = rows.select("key", "s", F.posexplode(graph).alias("p", "v"))
-    get = lambda *names: F.coalesce(*[F.nullif(F.trim(F.try_variant_get("v", f"$.{n}", "string")), F.lit("")) for n in names])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            found = [(k, s, p, json.dumps(node)) for k, s, text in frame.itertuples(index=False) for p, node in enumerate(_ld_nodes(parsed_json(text.strip()), wanted))]
+            yield pd.DataFrame(found, columns=["key", "s", "p", "node"])
+
+    kind = pages.schema[key].dataType.simpleString()
+    found = rows.mapInPandas(run, f"key {kind}, s int, p int, node string")
+    return found.select("key", "s", "p", F.try_parse_json("node").alias("v")).where("v is not null")
+
+
+def _text_at(value: str | Column, path: str) -> Column:
+    """The trimmed string at a path of a variant; null if it is blank or no string."""
+    there = F.try_variant_get(value, path, "variant")
+    return F.when(F.schema_of_variant(there) == "STRING", F.nullif(F.trim(F.try_variant_get(value, path, "string")), F.lit("")))
+
+
+def _named(types: tuple[str, ...]) -> Column:
+    """Whether ``@type`` of the variant ``v``, a string or a list, names one of ``types``."""
+    given = F.coalesce(F.try_variant_get("v", "$['@type']", "array<variant>"), F.array(F.try_variant_get("v", "$['@type']", "variant")))
+    return F.coalesce(F.exists(given, lambda t: F.lower(F.try_variant_get(t, "$", "string")).isin(*types)), F.lit(False))
+
+
+# The article types.
+ARTICLE_TYPES = (
+    "article", "newsarticle", "reportagenewsarticle", "report", "blogposting", "liveblogposting", "techarticle", "scholarlyarticle",
+    "backgroundnewsarticle", "opinionnewsarticle", "analysisnewsarticle", "reviewnewsarticle",
+)
+VIDEO_TYPES = ("videoobject",)
+
+
+def json_ld_articles(pages: DataFrame, column: str = "html", key: str = "page_id") -> DataFrame:
+    """The best JSON-LD article of each page: the longest body, a known type counting one more, the first of equals."""
+    nodes = ld_nodes(pages, lambda node: isinstance(node.get("articleBody"), str | list), column, key)
+    get = lambda *names: F.coalesce(*[_text_at("v", f"$.{n}") for n in names])
     paragraphs = F.try_variant_get("v", "$.articleBody", "array<string>")
     body = F.coalesce(F.array_join(F.transform(paragraphs, lambda x: html_to_text(x)), "\n\n"), html_to_text(F.try_variant_get("v", "$.articleBody", "string")))
-    types = F.coalesce(F.try_variant_get("v", "$['@type']", "array<string>"), F.array(F.try_variant_get("v", "$['@type']", "string")))
-    # The article types.
-    known = F.exists(types, lambda t: F.lower(t).isin(
-        "article", "newsarticle", "reportagenewsarticle", "report", "blogposting", "liveblogposting", "techarticle", "scholarlyarticle",
-        "backgroundnewsarticle", "opinionnewsarticle", "analysisnewsarticle", "reviewnewsarticle",
-    ))
-    image = F.coalesce(F.try_variant_get("v", "$.image.url", "string"), F.try_variant_get("v", "$.image[0].url", "string"), F.try_variant_get("v", "$.image[0]", "string"), F.try_variant_get("v", "$.image", "string"))
-    found = nodes.select("key", "s", "p", body.alias("body"), F.coalesce(known, F.lit(False)).alias("known"), get("headline", "name").alias("title"), get("datePublished", "dateCreated", "dateModified").alias("published"), image.alias("image_url"))
+    image = F.coalesce(*[_text_at("v", p) for p in ("$.image", "$.image[0]", "$.image.url", "$.image.contentUrl", "$.image[0].url", "$.image[0].contentUrl")])
+    found = nodes.select("key", "s", "p", body.alias("body"), _named(ARTICLE_TYPES).alias("known"), get("headline", "name").alias("title"), get("datePublished", "dateCreated", "dateModified").alias("published"), image.alias("image_url"))
     found = found.where("body <> ''")
     best = F.max_by(F.struct("body", "title", "published", "image_url"), F.struct(F.length("body") + F.col("known").cast("int"), -F.col("s"), -F.col("p")))
     return found.groupBy(F.col("key").alias(key)).agg(best.alias("b")).select(key, "b.*")
 
 
 def json_ld_video(pages: DataFrame, column: str = "html", key: str = "page_id") -> DataFrame:
-    """Video objects of a page's JSON-LD with their caption URL."""
-    scripts = F.regexp_extract_all(F.col(column), F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
-    rows = pages.select(F.col(key).alias(key), F.explode(scripts).alias("text")).select(key, F.try_parse_json(F.trim("text")).alias("doc")).where("doc is not null")
-    graph = F.coalesce(F.try_variant_get("doc", "$['@graph']", "array<variant>"), F.try_variant_get("doc", "$", "array<variant>"), F.array("doc"))
-    nodes = rows.select(key, F.explode(graph).alias("v")).where(F.lower(F.try_variant_get("v", "$['@type']", "string")) == "videoobject")
-    caption = F.coalesce(F.try_variant_get("v", "$.caption.contentUrl", "string"), F.try_variant_get("v", "$.caption[0].contentUrl", "string"), F.try_variant_get("v", "$.caption", "string"))
-    return nodes.select(key, F.try_variant_get("v", "$.name", "string").alias("title"), F.try_variant_get("v", "$.description", "string").alias("description"), caption.alias("caption_url"))
+    """Video objects of a page's JSON-LD with the URL of their first caption that has one: a string, or its ``url``, then ``contentUrl``."""
+    nodes = ld_nodes(pages, lambda node: "@type" in node, column, key).where(_named(VIDEO_TYPES))
+    captions = F.coalesce(F.try_variant_get("v", "$.caption", "array<variant>"), F.array(F.try_variant_get("v", "$.caption", "variant")))
+    urls = F.transform(captions, lambda x: F.coalesce(_text_at(x, "$"), _text_at(x, "$.url"), _text_at(x, "$.contentUrl")))
+    first = lambda *names: F.coalesce(*[_text_at("v", f"$.{n}") for n in names])
+    title, published = first("headline", "name", "alternativeHeadline"), first("uploadDate", "datePublished", "dateCreated", "dateModified")
+    return nodes.select(F.col("key").alias(key), title.alias("title"), first("description").alias("description"), published.alias("published"), F.get(F.filter(urls, lambda u: u.isNotNull()), F.lit(0)).alias("caption_url"))
 
 
 # Where pages keep their state.
@@ -209,18 +248,20 @@ STATE_FORMS = (
 )
 
 
-def state_blob(html: Column) -> Column:
-    """The first embedded state of a page as JSON text."""
-    return F.coalesce(*[F.nullif(F.trim(F.regexp_extract(html, p, 1)), F.lit("")) for p in STATE_FORMS])
+def state_blobs(html: Column) -> Column:
+    """The embedded states of a page as JSON texts, in the order of the forms."""
+    return F.filter(F.array(*[F.trim(F.regexp_extract(html, p, 1)) for p in STATE_FORMS]), lambda t: t != "")
 
 
 def state_bodies(pages: DataFrame, column: str = "html", key: str = "page_id") -> DataFrame:
-    """The longest ``articleBody`` or ``bodyText`` in each page's state, to depth 12."""
+    """The longest ``articleBody`` or ``bodyText``, to depth 12, in the first of each page's states that holds one; malformed states are passed over."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             out = []
-            for page, text in zip(frame["key"], frame["state"], strict=True):
+            for page, text in ((page, text) for page, texts in zip(frame["key"], frame["state"], strict=True) for text in texts):
+                if out and out[-1][0] == page:
+                    continue
                 bodies: list[str] = []
 
                 def visit(node, bodies=bodies):
@@ -236,5 +277,5 @@ def state_bodies(pages: DataFrame, column: str = "html", key: str = "page_id") -
             yield pd.DataFrame(out, columns=["key", "body"])
 
     kind = pages.schema[key].dataType.simpleString()
-    rows = pages.select(F.col(key).alias("key"), state_blob(F.col(column)).alias("state")).where("state is not null")
+    rows = pages.select(F.col(key).alias("key"), state_blobs(F.col(column)).alias("state")).where("size(state) > 0")
     return rows.mapInPandas(run, f"key {kind}, body string").select(F.col("key").alias(key), html_to_text(F.col("body")).alias("body"))
