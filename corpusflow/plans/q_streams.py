@@ -124,12 +124,12 @@ def last_state(s, d):
 def arrivals(s, d):
     """Articles arrive in four batches; each is clustered within itself and with the stored six hours before it."""
     rows = near(s, d).select("id", "created_at", "image_url", "title", "raw_excerpt")
-    out = batches(parts_in_order(rows, "id"), ST.cluster_arrivals)
+    out = ST.latest(batches(parts_in_order(rows, "id"), ST.cluster_arrivals)).where("best_id is not null")
     return out.select("id", "best_id", *[F.round(x, 6).alias(x) for x in ("title_score", "score", "novelty")], "accepted")
 
 
 query("str07_admissions", "SELECT id, k::INT AS k, k < 4 AS allowed FROM (SELECT event_id AS id, row_number() OVER (PARTITION BY user_id % 20, ts::DATE ORDER BY date_trunc('second', ts), event_id) AS k FROM events)")(
-    lambda s, d: batches(in_order(s, d, log_rows).select("id", F.col("source_id").alias("provider"), F.col("started_at").alias("ts")), lambda b, n, f: ST.admissions(b, n, f, 4)).select("id", "k", "allowed")
+    lambda s, d: batches(in_order(s, d, log_rows).select("id", F.col("source_id").alias("provider"), F.col("started_at").alias("ts")), lambda b, n, f: ST.admissions(b, n, f, 4)).transform(ST.latest)
 )
 query("str08_visits", "SELECT strftime(date, '%Y-%m-%d') AS date, count(*) FILTER (NOT is_bot) AS humans, count(*) FILTER (is_bot) AS bots FROM visits GROUP BY 1")(
     lambda s, d: finished(ST.visits_by_day(X.access_lines_of(events(s, d))), "complete").select(F.date_format("date", "yyyy-MM-dd").alias("date"), "humans", "bots")

@@ -60,76 +60,111 @@ def visits_by_day(lines: DataFrame) -> DataFrame:
     return v.groupBy("date").agg(F.count_if(~F.col("is_bot")).alias("humans"), F.count_if("is_bot").alias("bots"), F.approx_count_distinct(F.when(~F.col("is_bot"), F.col("ip"))).alias("unique_ips"))
 
 
-def cluster_arrivals(batch: DataFrame, number: int, folder: str, is_forum: Column | None = None) -> DataFrame:
-    """Parent edges of the rows of one batch, to rows of the batch and to stored rows of the six hours before it.
+def _stored_days(batch: DataFrame, day: Column, number: int, folder: str) -> DataFrame:
+    """Store a batch by day under its number and give the rows of all batches so far, with ``day`` and ``batch``.
 
-    The batch is stored first, by day and under its number, so a repeated run of a
-    batch changes nothing; only days that the window touches are read back.  Rows
-    come in order of time from batch to batch, within a batch in any order; then
-    the edges of all batches are those of the whole table.
+    A repeated run of a batch replaces it; readers that bound ``day`` read those folders only.
     """
-    kept = batch.select("id", "created_at", "image_url", "title", "raw_excerpt", (F.lit(False) if is_forum is None else is_forum).alias("is_forum"))
-    kept.withColumn("day", F.to_date("created_at")).write.mode("overwrite").partitionBy("day").parquet(f"{folder}/stored/batch={number}")
-    schema = StructType([*kept.schema.fields, StructField("day", DateType()), StructField("batch", IntegerType())])
+    batch.withColumn("day", day).write.mode("overwrite").partitionBy("day").parquet(f"{folder}/stored/batch={number}")
+    schema = StructType([*batch.schema.fields, StructField("day", DateType()), StructField("batch", IntegerType())])
     stored = batch.sparkSession.read.schema(schema).option("basePath", f"{folder}/stored").parquet(f"{folder}/stored")
-    first = stored.where(F.col("batch") == number).agg(F.min("created_at").alias("t")).first()["t"]
-    since = F.lit(first).cast("timestamp") - F.expr(f"INTERVAL {WINDOW_HOURS} HOURS")  # null for an empty batch, which has no edges
-    near = stored.where((F.col("batch") <= number) & (F.col("day") >= F.to_date(since)) & (F.col("created_at") >= since))
-    own = stored.where(F.col("batch") == number).select("id")
-    return parent_edges(near.select(*kept.columns), F.col("is_forum")).join(own, "id", "left_semi")
+    return stored.where(F.col("batch") <= number)
 
 
-def _before(spark: SparkSession, path: str, number: int) -> DataFrame | None:
-    """The stored batches below ``number`` of a folder, or None for the first."""
-    if number == 0:
-        return None
-    return spark.read.option("basePath", path).parquet(path).where(F.col("batch") < number)
+def latest(rows: DataFrame, key: str = "id") -> DataFrame:
+    """Of what the batches gave for each key, the rows of its last batch: corrections replace what came before."""
+    columns = [c for c in rows.columns if c not in (key, "batch")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*columns), "batch").alias("m")).select(key, "m.*")
 
 
-def source_state(batch: DataFrame, number: int, folder: str, interval_minutes: int = 60) -> DataFrame:
-    """``source_id, failures, next_minutes`` of every source after a batch of its log rows: the failures since its last success.
+def cluster_arrivals(batch: DataFrame, number: int, folder: str, is_forum: Column | None = None) -> DataFrame:
+    """Parent edges of the rows of one batch, and those of stored rows that the batch changes; a null ``best_id`` takes an edge back.
 
-    A batch is summed by partial aggregates (its last success and the failures
-    after it) and joined with the state before, one row a source, which is written
-    as the next state; so no source's rows meet in one place.  Rows come in order
-    of time from batch to batch, within a batch in any order.
+    Rows may come late and mixed up.  A new row can only change the edges of rows of
+    the six hours after it, so those are found anew, from the rows of the six hours
+    before the first new one on; for rows in order of time that is the batch alone.
+    Only days that these hours touch are read.  The ``latest`` edge of each row that
+    has one is that of the whole table, whatever the order of the batches.
     """
+    kept = batch.select("id", "created_at", "image_url", "title", "raw_excerpt", (F.lit(False) if is_forum is None else is_forum).alias("is_forum"))
+    stored = _stored_days(kept, F.to_date("created_at"), number, folder)
+    first, last = stored.where(F.col("batch") == number).agg(F.min("created_at"), F.max("created_at")).first()
+    first, last = F.lit(first).cast("timestamp"), F.lit(last).cast("timestamp")  # null for an empty batch, which changes nothing
+    since, upto = (t.cast("timestamp") for t in (first - F.expr(f"INTERVAL {WINDOW_HOURS} HOURS"), last + F.expr(f"INTERVAL {WINDOW_HOURS} HOURS")))
+    near = stored.where(F.col("day").between(F.to_date(since), F.to_date(upto)) & F.col("created_at").between(since, upto))
+    edges = parent_edges(near.select(*kept.columns), F.col("is_forum"))
+    return near.where(F.col("created_at") >= first).select("id").join(edges, "id", "left")
+
+
+def _since_success(rows: DataFrame) -> DataFrame:
+    """``source_id, new, reset``: failures after the last success, and whether there is one; partial aggregates, so no source's rows meet in one place."""
     failed, at = F.col("status") == "failed", F.struct("started_at", "id")
-    rows = batch.select("source_id", "id", "status", "started_at")
     success = rows.where(~failed).groupBy("source_id").agg(F.max(at).alias("success"))
     after = F.col("success").isNull() | (at > F.col("success"))
-    sums = rows.join(success, "source_id", "left").groupBy("source_id").agg(F.count_if(failed & after).alias("new"), F.max(F.col("success").isNotNull()).alias("reset"))
-    state = f"{folder}/state"
-    before = _before(batch.sparkSession, state, number)
-    if before is None:
-        out = sums.select("source_id", F.col("new").alias("failures"))
+    return rows.join(success, "source_id", "left").groupBy("source_id").agg(F.count_if(failed & after).alias("new"), F.max(F.col("success").isNotNull()).alias("reset"))
+
+
+def _carried_on(before: DataFrame, sums: DataFrame) -> DataFrame:
+    """``source_id, failures`` of a state followed by rows summed up by ``_since_success``."""
+    kept = F.when(F.coalesce("reset", F.lit(False)), 0).otherwise(F.coalesce("failures", F.lit(0)))
+    return before.join(sums, "source_id", "full_outer").select("source_id", (kept + F.coalesce("new", F.lit(0))).cast("long").alias("failures"))
+
+
+def source_state(batch: DataFrame, number: int, folder: str, interval_minutes: int = 60, late_minutes: int = 60) -> DataFrame:
+    """``source_id, failures, next_minutes`` of every source after a batch of its log rows: the failures since its last success.
+
+    Rows may come up to ``late_minutes`` behind the latest one seen, in any order.
+    The state is one row a source, for all rows older than that, plus the rows that
+    are not: those that grow too old are folded into the former, the rest is summed
+    up anew with each batch, so a late success takes failures back.  Rows that come
+    later than allowed are left out.  A repeated run of a batch changes nothing.
+    """
+    spark = batch.sparkSession
+    kept = batch.select("source_id", "id", "status", "started_at")
+    mark = None  # rows before this time are settled
+    if number:
+        old = spark.read.parquet(f"{folder}/recent/batch={number - 1}")
+        settled = spark.read.parquet(f"{folder}/settled/batch={number - 1}")
+        mark = spark.read.parquet(f"{folder}/mark/batch={number - 1}").first()["t"]
+        rows = old.unionByName(kept if mark is None else kept.where(F.col("started_at") >= F.lit(mark)))
     else:
-        last = before.where(F.col("batch") == number - 1).select("source_id", F.col("failures").alias("old"))
-        kept = F.when(F.coalesce("reset", F.lit(False)), 0).otherwise(F.coalesce("old", F.lit(0)))
-        out = last.join(sums, "source_id", "full_outer").select("source_id", (kept + F.coalesce("new", F.lit(0))).alias("failures"))
-    out.select("source_id", F.col("failures").cast("long").alias("failures")).write.mode("overwrite").parquet(f"{state}/batch={number}")
-    stored = batch.sparkSession.read.parquet(f"{state}/batch={number}")
+        rows, settled = kept, spark.createDataFrame([], f"source_id {kept.schema['source_id'].dataType.simpleString()}, failures long")
+    rows = materialize(rows)
+    newest = rows.agg(F.max("started_at").alias("t") - F.expr(f"INTERVAL {late_minutes} MINUTES")).first()[0]
+    mark = max((t for t in (mark, newest) if t is not None), default=None)
+    past = F.lit(False) if mark is None else F.col("started_at") < F.lit(mark)
+    _carried_on(settled, _since_success(rows.where(past))).write.mode("overwrite").parquet(f"{folder}/settled/batch={number}")
+    rows.where(~past | F.col("started_at").isNull()).write.mode("overwrite").parquet(f"{folder}/recent/batch={number}")
+    spark.createDataFrame([(mark,)], "t timestamp").write.mode("overwrite").parquet(f"{folder}/mark/batch={number}")
+    settled, recent = spark.read.parquet(f"{folder}/settled/batch={number}"), spark.read.parquet(f"{folder}/recent/batch={number}")
     backoff = F.least(F.lit(interval_minutes) * F.pow(F.lit(2), F.col("failures") - 1), F.lit(1440))
-    return stored.withColumn("next_minutes", F.when(F.col("failures") > 0, backoff).otherwise(interval_minutes).cast("int"))
+    out = _carried_on(settled, _since_success(recent))
+    return out.withColumn("next_minutes", F.when(F.col("failures") > 0, backoff).otherwise(interval_minutes).cast("int"))
 
 
 def admissions(batch: DataFrame, number: int, folder: str, cap: int, key: str = "provider", ts: str = "ts") -> DataFrame:
-    """``id, k, allowed`` of a batch of calls: the k-th of a key and day is allowed if k < cap, counted over all batches.
+    """``id, k, allowed`` of a batch of calls, and of stored calls that the batch pushes back: the k-th of a key and day is allowed if k < cap.
 
-    A call's place is its rank in the batch (``quota_admissions``, no group meets
-    in one place) plus the calls of its key and day in the batches before, which
-    are stored as one row per key, day and batch.
+    Calls may come late and mixed up; the ``latest`` place of each is that of the
+    whole table.  Calls are stored by day and only the days of the batch are read.
+    Of a key and day, stored calls before the first new one are counted; only those
+    after it are ranked again with the new ones (``quota_admissions``, no group
+    meets in one place).
     """
     rows = batch.select("id", F.col(key).alias("key"), F.col(ts).alias("ts"))
-    ranked = materialize(quota_admissions(rows, cap, "key").withColumn("day", F.to_date("ts")))
-    counts = f"{folder}/counts"
-    before = _before(batch.sparkSession, counts, number)
-    if before is not None:
-        used = before.groupBy(F.col("key").alias("__key"), F.col("day").alias("__day")).agg(F.sum("n").alias("used"))
-        ranked = ranked.join(used, F.col("key").eqNullSafe(F.col("__key")) & F.col("day").eqNullSafe(F.col("__day")), "left")
-        ranked = ranked.withColumn("k", F.col("k") + F.coalesce("used", F.lit(0)))
-    rows.groupBy("key", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{counts}/batch={number}")
-    return ranked.select("id", F.col("k").cast("int").alias("k"), (F.col("k") < cap).alias("allowed"))
+    stored = _stored_days(rows, F.to_date("ts"), number, folder)
+    at = F.struct("ts", "id")
+    new = stored.where(F.col("batch") == number)
+    first = materialize(new.groupBy(F.col("key").alias("__key"), F.col("day").alias("__day")).agg(F.min(at).alias("first")))
+    low, high = first.agg(F.min("__day"), F.max("__day")).first()  # the days of the batch: folders to read
+    days = F.col("day").between(F.lit(low), F.lit(high)) | (F.col("day").isNull() if not first.where("__day is null").isEmpty() else F.lit(False))
+    touched = stored.where((F.col("batch") < number) & days).join(first, F.col("key").eqNullSafe(F.col("__key")) & F.col("day").eqNullSafe(F.col("__day")))
+    used = touched.where(at < F.col("first")).groupBy("__key", "__day").agg(F.count(F.lit(1)).alias("used"))
+    again = touched.where(at > F.col("first")).select("id", "key", "ts").unionByName(new.select("id", "key", "ts"))
+    ranked = materialize(quota_admissions(again, cap, "key").withColumn("day", F.to_date("ts")))
+    ranked = ranked.join(used, F.col("key").eqNullSafe(F.col("__key")) & F.col("day").eqNullSafe(F.col("__day")), "left")
+    k = F.col("k") + F.coalesce("used", F.lit(0))
+    return ranked.select("id", k.cast("int").alias("k"), (k < cap).alias("allowed"))
 
 
 def _steps(times: np.ndarray, width: int) -> np.ndarray:

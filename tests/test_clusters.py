@@ -111,8 +111,52 @@ def test_arrivals_in_batches_equal_the_whole(spark, sf, parts):
     rows = near(spark, sf).where("id < 120").select("id", "created_at", "image_url", "title", "raw_excerpt")
     want = sorted((r.id, r.best_id, r.accepted) for r in K.parent_edges(rows).collect())
     out = Q.batches(Q.parts_in_order(rows, "id", parts), ST.cluster_arrivals)
-    assert sorted((r.id, r.best_id, r.accepted) for r in out.collect()) == want and want
-    assert out.select("batch").distinct().count() <= parts
+    assert out.count() == rows.count() and out.select("batch").distinct().count() <= parts  # nothing to correct
+    assert sorted((r.id, r.best_id, r.accepted) for r in ST.latest(out).where("best_id is not null").collect()) == want and want
+
+
+def test_late_arrivals_correct_edges(spark, sf, tmp_path):
+    """Batches mixed up at random give the edges of the whole table, taken-back ones too."""
+    rows = near(spark, sf).where("id < 120").select("id", "created_at", "image_url", "title", "raw_excerpt")
+    want = sorted((r.id, r.best_id, r.accepted) for r in K.parent_edges(rows).collect())
+    rng = random.Random(9)
+    part = {i: rng.randrange(3) for i in range(120)}
+    given = {}
+    for n in range(3):
+        ids = [i for i in part if part[i] == n]
+        got = ST.cluster_arrivals(rows.where(F.col("id").isin(ids)), n, str(tmp_path)).collect()
+        given |= {r.id: (r.id, r.best_id, r.accepted) for r in got}
+    assert sorted(e for e in given.values() if e[1] is not None) == want and want
+    assert ST.cluster_arrivals(rows.limit(0), 3, str(tmp_path)).count() == 0
+
+
+def test_late_calls_push_others_back(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["a", "b", None]), None if i % 40 == 39 else f"2024-01-0{1 + rng.randrange(3)} 00:{rng.randrange(60):02d}:00") for i in range(160)]
+    calls = spark.createDataFrame(rows, "id long, provider string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    want = {r.id: (r.k, r.allowed) for r in G.quota_admissions(calls, 4).collect()}
+    got = {}
+    for n in range(4):  # batches in no order of time
+        got |= {r.id: (r.k, r.allowed) for r in ST.admissions(calls.where(F.pmod("id", F.lit(4)) == n), n, str(tmp_path), 4).collect()}
+        got |= {r.id: (r.k, r.allowed) for r in ST.admissions(calls.where(F.pmod("id", F.lit(4)) == n), n, str(tmp_path), 4).collect()}  # a batch that runs twice
+    assert got == want
+
+
+def test_late_log_rows_within_the_watermark(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(i, rng.choice("abc"), rng.choice(["failed", "failed", "success"]), i * 60) for i in range(150)]
+    mixed = sorted(rows, key=lambda r: r[3] + rng.randrange(1700))  # up to half an hour late
+    last, sizes = None, []
+    for n in range(5):
+        part = spark.createDataFrame(mixed[n * 30 : n * 30 + 30], "id long, source_id string, status string, s long").withColumn("started_at", F.timestamp_seconds("s"))
+        for _ in range(2):  # each batch runs twice
+            last = ST.source_state(part, n, str(tmp_path), late_minutes=30).collect()
+        sizes.append(spark.read.parquet(f"{tmp_path}/recent/batch={n}").count())
+    want = {}
+    for _, key, status, _ in rows:
+        want[key] = want.get(key, 0) + 1 if status == "failed" else 0
+    assert {r.source_id: r.failures for r in last} == want
+    assert max(sizes) <= 31  # a row a minute: the state holds no more than the watermark
 
 
 def test_admissions_count_over_batches_and_null_keys(spark, tmp_path):
