@@ -86,9 +86,24 @@ QUERIES = {
     )
 }
 
-_CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"'']?canonical\b[^>]*>"
-_REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"'']?refresh\b[^>]*>"
-_ATTR = r"(?is)\b{}\s*=\s*[\"'']?([^\s\"''>]+)"
+_quoted = lambda p: p.replace("'", "''")
+_TAG = _quoted(r"""(?is)<(?:link|meta|base)[\s/](?:[^>"']|"[^"]*"|'[^']*')*>""")
+_ATTR = _quoted(urlfilter.ATTRIBUTE)
+_REF = urlfilter.REFERENCE
+
+
+def _value(name: str) -> str:
+    return f"list_filter(a, lambda x: x.n = '{name}')[1].v"
+
+
+def _plain(value: str) -> str:
+    """A value with its character references decoded."""
+    point = "CASE WHEN lower(substr(r, 3, 1)) = 'x' THEN ('0x' || substr(r, 4, length(r) - 4))::INT ELSE try_cast(substr(r, 3, length(r) - 3) AS INT) END"
+    char = f"CASE r WHEN '&amp;' THEN '&' WHEN '&lt;' THEN '<' WHEN '&gt;' THEN '>' WHEN '&quot;' THEN '\"' WHEN '&apos;' THEN chr(39) ELSE CASE WHEN {point} BETWEEN 1 AND 55295 OR {point} BETWEEN 57344 AND 1114111 THEN chr({point}) ELSE chr(65533) END END"
+    chars = f"list_transform(regexp_extract_all({value}, '{_REF}'), lambda r: {char})"
+    return f"array_to_string(list_transform(list_zip(string_split_regex({value}, '{_REF}'), {chars}), lambda z: z[1] || coalesce(z[2], '')), '')"
+
+
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
@@ -103,7 +118,7 @@ def _page(u: str) -> str:
 def _seen_from(name: str, rows: str, to: str, base: str) -> str:
     """Tables ``name``: the ``rows`` with column ``u``, the URL that ``to`` means on the page ``base``."""
     scheme = "^[A-Za-z][A-Za-z0-9+.-]*:"
-    return rf"""{name}_1 AS (SELECT *, regexp_replace(replace({to}, '&amp;', '&'), '(?s)#.*$', '') AS t, {_front(base)} AS o, regexp_extract({base}, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS p FROM {rows}),
+    return rf"""{name}_1 AS (SELECT *, regexp_replace({to}, '(?s)#.*$', '') AS t, {_front(base)} AS o, regexp_extract({base}, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS p FROM {rows}),
 {name}_2 AS (SELECT * EXCLUDE (t, o, p), CASE WHEN regexp_matches(t, '{scheme}//') THEN t WHEN regexp_matches(t, '{scheme}') OR t = '' OR o = '' THEN NULL WHEN starts_with(t, '//') THEN split_part(o, '//', 1) || t
     WHEN starts_with(t, '/') THEN o || t WHEN starts_with(t, '?') THEN o || p || t ELSE o || CASE WHEN p = '' THEN '/' ELSE regexp_replace(p, '[^/]*$', '') END || t END AS j FROM {name}_1),
 {name}_3 AS (SELECT *, {_front('j')} AS o, regexp_extract(j, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS p, regexp_extract(j, '(?s)^.*?://[^/?#]*[^?#]*(.*)$', 1) AS q FROM {name}_2),
@@ -116,9 +131,15 @@ ORACLE_SQL = {
 WITH RECURSIVE rules(verdict, rh, rp) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'),
     ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
 raw AS (SELECT page_id, url, {_page('url')} AS bare, html FROM pages),
-tags AS (SELECT url, regexp_extract(regexp_extract(html, '(?is)<base\b[^>]*>', 0), '{_ATTR.format("href")}', 1) AS based, unnest(list_concat(
-    list_transform(regexp_extract_all(html, '{_CANONICAL}'), lambda x: regexp_extract(x, '{_ATTR.format("href")}', 1)),
-    list_transform(regexp_extract_all(html, '{_REFRESH}'), lambda x: regexp_extract(x, '{_ATTR.format("url")}', 1)))) AS dest FROM raw WHERE url IS NOT NULL AND html IS NOT NULL),
+split AS (SELECT url, row_number() OVER () AS n, regexp_extract_all(regexp_replace(html, '{_quoted(urlfilter.HIDDEN)}', ' ', 'g'), '{_TAG}') AS t FROM raw WHERE url IS NOT NULL AND html IS NOT NULL),
+parts_of AS (SELECT n, url, unnest(t) AS t, generate_subscripts(t, 1) AS place FROM split),
+tagged AS (SELECT n, url, place, lower(regexp_extract(t, '^<(\w+)', 1)) AS kind, list_transform(regexp_extract_all(regexp_replace(t, '^<\w+', ''), '{_ATTR}'),
+    lambda m: {{'n': lower(regexp_extract(m, '{_ATTR}', 1)), 'v': regexp_extract(m, '{_ATTR}', 2) || regexp_extract(m, '{_ATTR}', 3) || regexp_extract(m, '{_ATTR}', 4)}}) AS a FROM parts_of),
+href AS (SELECT *, trim({_value('href')}) AS h, {_value('content')} AS c FROM tagged),
+aim AS (SELECT n, url, place, CASE WHEN kind = 'base' THEN {_plain('h')} END AS b,
+    CASE WHEN kind = 'link' AND list_contains(string_split_regex(lower({_value('rel')}), '[\t\n\f\r ]+'), 'canonical') THEN {_plain('h')}
+    WHEN kind = 'meta' AND lower(trim({_value('http-equiv')})) = 'refresh' THEN regexp_extract({_plain('c')}, '{_quoted(urlfilter.REFRESH)}', 1) END AS dest FROM href),
+tags AS (SELECT url, dest, coalesce((SELECT arg_min(x.b, (x.place, x.b)) FROM aim x WHERE x.url = aim.url AND x.b <> ''), '') AS based FROM aim WHERE dest <> ''),
 {_seen_from('bases', 'tags', 'based', 'url')},
 aimed AS (SELECT url, dest, coalesce(u, url) AS base FROM bases WHERE dest <> ''),
 {_seen_from('aims', 'aimed', 'dest', 'base')},

@@ -17,11 +17,14 @@ RULES = (
     ("block", "org", "/es/"),
 )
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-_LINK = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-_META = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-_HREF = r"(?is)\bhref\s*=\s*[\"']?([^\s\"'>]+)"
-_TO = r"(?is)\burl\s*=\s*[\"']?([^\s\"'>]+)"
-_BASE = r"(?is)<base\b[^>]*>"
+#: Comments, scripts and style sheets, in which tags do not count.
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
+_TAG = r"""(?is)<(?:link|meta|base)[\s/](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+#: An attribute with its value in double, in single or without quotes; matched from left to right, so that no value is taken for a name.
+ATTRIBUTE = r"""(?is)([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?"""
+REFRESH = r"""(?is)^\s*[\d.]+\s*[;,\s]\s*(?:url\s*=\s*)?["']?\s*([^"'\s]+)"""
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|amp|lt|gt|quot|apos);"
+NAMED = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'"}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -54,15 +57,57 @@ def page_of(url: Column) -> Column:
     return F.regexp_replace(F.concat(F.translate(front, UPPER, LOWER), F.substr(url, F.length(front) + 1)), r"(?s)#.*$", "")
 
 
+def _character(reference: Column) -> Column:
+    """What a character reference stands for; U+FFFD where there is no such character."""
+    digits = F.regexp_extract(reference, r"^&#[xX]?([0-9a-fA-F]+);$", 1)
+    point = F.conv(digits, 10, 10).cast("int")
+    point = F.when(F.lower(F.substring(reference, 3, 1)) == "x", F.conv(digits, 16, 10).cast("int")).otherwise(point)
+    fits = point.between(1, 0xD7FF) | point.between(0xE000, 0x10FFFF)
+    out = F.decode(F.unhex(F.lpad(F.hex(F.when(fits, point).otherwise(0xFFFD).cast("long")), 8, "0")), "UTF-32")
+    for name, char in NAMED.items():
+        out = F.when(reference == name, char).otherwise(out)
+    return out
+
+
+def plain(value: Column) -> Column:
+    """An attribute's value with its character references decoded once."""
+    found = F.regexp_extract_all(value, F.lit(REFERENCE), F.lit(0))
+    pieces = F.transform(F.split(value, REFERENCE, -1), lambda p, i: F.concat(p, F.coalesce(_character(F.get(found, i)), F.lit(""))))
+    return F.when(F.instr(value, "&") > 0, F.array_join(pieces, "")).otherwise(value)
+
+
+def _attributes(tag: Column) -> Column:
+    """``array<struct<name, value>>`` of a tag, names in lower case."""
+    found = F.regexp_extract_all(F.regexp_replace(tag, r"^<\w+", ""), F.lit(ATTRIBUTE), F.lit(0))
+    value = lambda m: F.concat(*[F.regexp_extract(m, ATTRIBUTE, g) for g in (2, 3, 4)])
+    return F.transform(found, lambda m: F.struct(F.lower(F.regexp_extract(m, ATTRIBUTE, 1)).alias("name"), value(m).alias("value")))
+
+
+def _value(attributes: Column, name: str) -> Column:
+    """The value of the first attribute of a name, or null."""
+    return F.get(F.filter(attributes, lambda a: a["name"] == name), F.lit(0))["value"]
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """``(src, dst)`` from every canonical link and meta refresh of a page; relative targets are resolved on its ``<base>`` or URL."""
-    tags = lambda tag, part: F.transform(F.regexp_extract_all("html", F.lit(tag), F.lit(0)), lambda t: F.regexp_extract(t, part, 1))
-    base = F.regexp_extract(F.regexp_extract("html", _BASE, 0), _HREF, 1)
-    found = F.concat(tags(_LINK, _HREF), tags(_META, _TO))
-    out = pages.where("url is not null and html is not null").select("url", base.alias("base"), F.explode(found).alias("to")).where("`to` <> ''")
-    plain = lambda c: F.replace(F.col(c), F.lit("&amp;"), F.lit("&"))
-    out = out.select("url", "to", F.coalesce(resolved(plain("base"), F.col("url")), "url").alias("base"))
-    out = out.select(page_of(F.col("url")).alias("src"), page_of(resolved(plain("to"), F.col("base"))).alias("dst"))
+    """``(src, dst)`` from every canonical link and meta refresh of a page; relative targets are resolved on its first ``<base>`` or URL.
+
+    Attributes are read whole, ``rel`` is a list of tokens, the first attribute of a
+    name counts, character references are decoded, and tags inside comments, scripts
+    and style sheets do not count.
+    """
+    shown = F.regexp_replace("html", HIDDEN, " ")
+    tags = pages.where("url is not null and html is not null").select("url", F.posexplode(F.regexp_extract_all(shown, F.lit(_TAG), F.lit(0))).alias("at", "tag"))
+    tags = tags.select("url", "at", F.lower(F.regexp_extract("tag", r"^<(\w+)", 1)).alias("kind"), _attributes(F.col("tag")).alias("a"))
+    canonical = (F.col("kind") == "link") & F.array_contains(F.split(F.lower(F.coalesce(_value(F.col("a"), "rel"), F.lit(""))), r"[\t\n\f\r ]+"), "canonical")
+    refresh = (F.col("kind") == "meta") & (F.lower(F.trim(_value(F.col("a"), "http-equiv"))) == "refresh")
+    href = plain(F.trim(_value(F.col("a"), "href")))
+    to = F.when(canonical, href).when(refresh, F.regexp_extract(plain(_value(F.col("a"), "content")), REFRESH, 1))
+    found = tags.select("url", "at", to.alias("to"), F.when(F.col("kind") == "base", href).alias("base"))
+    found = materialize(found.where("coalesce(`to`, '') <> '' or coalesce(base, '') <> ''"))  # links are few; pages are read once
+    based = found.where("base <> ''").groupBy("url").agg(F.min_by("base", F.struct("at", "base")).alias("base"))
+    out = found.where("`to` <> ''").select("url", "to").join(based, "url", "left")
+    out = out.select("url", "to", F.coalesce(resolved(F.col("base"), F.col("url")), "url").alias("base"))
+    out = out.select(page_of(F.col("url")).alias("src"), page_of(resolved(F.col("to"), F.col("base"))).alias("dst"))
     return out.where("dst is not null and src <> dst").distinct()
 
 

@@ -214,3 +214,30 @@ def test_the_sql_twin_agrees_on_linked_pages(spark):
     want = sorted(con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({ORACLE_SQL['op3_urlfilter']})").fetchall(), key=str)
     assert got == want and {v for *_, v in got} == {"allow", "block"}
     assert any(r[3] is None and r[4] == "block" for r in got)  # blocked as an alias
+
+
+LINKED = [  # the tag on a page without a rule of its own, and whether it makes the page an alias of the blocked one
+    ('<link rel="canonical" href="https://bad.com/en/1">', True), ('<LINK HREF=https://bad.com/en/1 REL=Canonical>', True), ('<link data-rel="canonical" rel="next" href="https://bad.com/en/1">', False),
+    ('<link rel="canonical-old" href="https://bad.com/en/1">', False), ('<link rel="alternate  canonical" href="https://bad.com/en/1"/>', True),
+    ('<link data-href="https://bad.com/en/1" rel="canonical" href="https://fine.io/x">', False), ("<link title='rel=\"canonical\"' href='https://bad.com/en/1'>", False),
+    ('<!-- <link rel="canonical" href="https://bad.com/en/1"> -->', False), ("<script>s = '<link rel=canonical href=https://bad.com/en/1>'</script>", False),
+    ('<link rel="canonical" href="https:&#47;&#x2F;bad.com/en&#47;1">', True), ('<link rel="canonical" href="https://bad.com/en/1" href="https://fine.io/">', True),
+    ('<meta http-equiv="Refresh" content="0; url=\'https://bad.com/en/1\'">', True), ('<meta http-equiv=refresh content="5">', False), ('<meta name="refresh" content="0;url=https://bad.com/en/1">', False),
+    ('<meta content="3,https://bad.com/en/1" http-equiv="refresh">', True), ('<base href="https://bad.com/en/"><link rel="canonical" href="1?a&amp;b">', True), ('<a title="x > y" rel="canonical" href="https://bad.com/en/1">', False),
+    ('<link rel="canonical" title="a > b" href="https://bad.com/en/1">', True), ('<link rel="canonical" href="https://bad.com/en/1', False), ("<style>/* <link rel=canonical href=https://bad.com/en/1> */</style>", False),
+]
+
+
+def test_verdicts_of_link_forms_written_by_hand(spark):
+    import duckdb
+
+    from corpusflow.llm import queries
+
+    pages = [(i, f"https://site{i}.io/p", f"<html><head>{tag}</head></html>") for i, (tag, _) in enumerate(LINKED)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict == "block" for r in urlfilter.judge(df).collect()}
+    assert {LINKED[i][0]: v for i, v in got.items()} == dict(LINKED)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", pages)
+    assert {r[0]: r[1] == "block" for r in con.execute(f"SELECT page_id, verdict FROM ({queries.ORACLE_SQL['op3_urlfilter']})").fetchall()} == got
