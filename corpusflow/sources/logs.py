@@ -16,8 +16,8 @@ CUT = "\x01"
 
 
 def read_access_log(spark: SparkSession, glob: str) -> DataFrame:
-    """Log lines of plain, rotated and gzipped files."""
-    return spark.read.text(glob)
+    """Log lines of plain, rotated and gzipped files; of a file that is broken, the lines before the break."""
+    return spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").text(glob)
 
 
 def parse_access_log(lines: DataFrame, internal: tuple[str, ...] = INTERNAL_IPS) -> DataFrame:

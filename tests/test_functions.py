@@ -191,6 +191,19 @@ def test_html_trees_and_structured_data(spark):
     assert jsondocs.balanced_object('x = 1; window.s = {"a":{"b":"}"}}; y', "window.s") == '{"a":{"b":"}"}}'
 
 
+def test_a_broken_log_file_does_not_stop_the_others(spark, tmp_path):
+    import gzip
+
+    line = '10.0.0.{} - - [05/Jan/2024:00:00:01 +0700] "GET /a HTTP/1.1" 200 1 "-" "Mozilla/5.0"\n'
+    (tmp_path / "access.log").write_text(line.format(1))
+    whole = gzip.compress("".join(line.format(i) for i in range(2, 200)).encode())
+    (tmp_path / "access.log.2.gz").write_bytes(whole)
+    (tmp_path / "access.log.3.gz").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "access.log.4.gz").write_bytes(b"no gzip at all")
+    got = logs.parse_access_log(logs.read_access_log(spark, str(tmp_path / "access.log*"))).collect()
+    assert len(got) >= 199 and {r.ip for r in got} == {f"10.0.0.{i}" for i in range(1, 200)}
+
+
 def _ld(*docs):
     return "<html>" + "".join(f'<script type="application/ld+json">{d}</script>' for d in docs) + "</html>"
 
