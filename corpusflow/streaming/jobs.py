@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -167,9 +168,35 @@ def admissions(batch: DataFrame, number: int, folder: str, cap: int, key: str =
     return ranked.select("id", k.cast("int").alias("k"), (k < cap).alias("allowed"))
 
 
-def _steps(times: np.ndarray, width: int) -> np.ndarray:
-    """For each row the first row ``width`` or more after it (the number of rows, if none)."""
-    return np.searchsorted(times, times + width, side="left")
+def _runs(names: pa.Array, slices: np.ndarray) -> np.ndarray:
+    """Where the rows of another key or slice begin, in rows sorted by both."""
+    codes = names.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (slices[1:] != slices[:-1])]) if len(slices) else np.zeros(0, np.int64)
+
+
+def _steps(within: np.ndarray, begins: np.ndarray, width: int, span: int) -> np.ndarray:
+    """For each row the first row of its run at least ``width`` after it, else the end of the run; times count from the start of the slice."""
+    run = np.repeat(np.arange(len(begins)), np.diff(np.r_[begins, len(within)]))
+    line = run * (span + 2 * width) + within  # runs one after the other, too far apart to meet
+    return np.searchsorted(line, line + width, side="left")
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Sorted batches cut anew, so that no run of a key and slice is split."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if not table.num_rows:
+            continue
+        edge = pa.concat_tables([*(h.slice(h.num_rows - 1) for h in held[-1:]), table]).select(["name", "slice"]).combine_chunks()
+        begins = _runs(edge["name"].combine_chunks(), edge["slice"].to_numpy())
+        cut = int(begins[-1]) - (1 if held else 0)  # 0: the whole batch is one run of its own; below 0: it carries the held one on
+        if cut >= 0 and (held or cut):
+            yield pa.concat_tables([*held, table.slice(0, cut)]).combine_chunks()
+            held = []
+        held.append(table.slice(max(cut, 0)))
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
 
 
 def fixed_windows(rows: DataFrame, limit: int, seconds: int = 60, slice_seconds: int = 3600) -> DataFrame:
@@ -179,52 +206,77 @@ def fixed_windows(rows: DataFrame, limit: int, seconds: int = 60, slice_seconds:
     a slice first tells, for every row that could start its first window, where its
     last window would start and how many rows that would hold; these few facts are
     chained over the slices of a key; then each slice is counted from the window it
-    is entered with.  So a task holds the rows of one key and slice only.  Rows of
-    equal time are ordered by id; a null key is a key of its own; rows with a null
-    time are refused.
+    is entered with.  All three are passes over sorted rows, whatever the number of
+    keys and slices; a task holds the times of one slice, a batch of rows or the
+    facts of one slice at once.  Rows of equal time are ordered by id; a null key is
+    a key of its own; rows with a null time are refused.
     """
-    width = seconds * 1_000_000
-    timed = rows.where("ts is not null").select("id", "key", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    timed = timed.withColumn("slice", F.floor(F.col("t") / (slice_seconds * 1_000_000)).cast("long"))
-
-    def facts(frame: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(frame["t"].to_numpy())
-        step, n = _steps(times, width), len(times)
-        last = np.arange(n)
-        for i in range(n - 1, -1, -1):
-            if step[i] < n:
-                last[i] = last[step[i]]
-        first = int(np.searchsorted(times, frame["slice"].iloc[0] * slice_seconds * 1_000_000 + width, side="left"))
-        heads = np.arange(min(n, first + 1))  # one of these starts the first window, unless all rows belong to the one before
-        return pd.DataFrame({"key": [frame["key"].iloc[0]], "slice": [frame["slice"].iloc[0]], "n": [n], "heads": [times[heads]], "starts": [times[last[heads]]], "counts": [n - last[heads]]})
-
-    def chain(frame: pd.DataFrame) -> pd.DataFrame:
-        frame, start, held, out = frame.sort_values("slice"), None, 0, []
-        for n, heads, starts, counts in zip(frame["n"], frame["heads"], frame["starts"], frame["counts"], strict=True):
-            out.append((start, held))
-            at = 0 if start is None else int(np.searchsorted(heads, start + width, side="left"))
-            if at < len(heads):
-                start, held = int(starts[at]), int(counts[at])
-            else:
-                held += int(n)
-        return frame[["key", "slice"]].assign(start=pd.array([s for s, _ in out], "Int64"), held=[h for _, h in out])
-
-    def count(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["t", "id"])
-        times = frame["t"].to_numpy()
-        step, n, start = _steps(times, width), len(times), frame["start"].iloc[0]
-        at = 0 if pd.isna(start) else int(np.searchsorted(times, int(start) + width, side="left"))
-        place = np.arange(n) + 1 + int(frame["held"].iloc[0])
-        while at < n:
-            upto = int(step[at])
-            place[at:upto] = np.arange(upto - at) + 1
-            at = upto
-        return frame[["id"]].assign(allowed=place <= limit)
-
-    kind, id_kind = rows.schema["key"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()
-    told = timed.groupBy("key", "slice").applyInPandas(facts, f"key {kind}, slice long, n long, heads array<long>, starts array<long>, counts array<long>")
-    entered = materialize(told.groupBy("key").applyInPandas(chain, f"key {kind}, slice long, start long, held long"))
-    entered = entered.select(F.col("key").alias("__key"), F.col("slice").alias("__slice"), "start", "held")
-    both = timed.join(entered, F.col("key").eqNullSafe(F.col("__key")) & (F.col("slice") == F.col("__slice"))).drop("__key", "__slice")
-    done = both.groupBy("key", "slice").applyInPandas(count, f"id {id_kind}, allowed boolean")
+    width, span = seconds * 1_000_000, slice_seconds * 1_000_000
+    name = F.col("key").cast("string").alias("name")
+    timed = rows.where("ts is not null").select("id", name, F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    timed = timed.withColumn("slice", F.expr(f"(t - pmod(t, {span}L)) div {span}L"))
+
+    def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_runs(batches):
+            names, slices, times = table["name"].combine_chunks(), table["slice"].to_numpy(), table["t"].to_numpy()
+            begins, n = _runs(names, slices), len(times)
+            sizes = np.diff(np.r_[begins, n])
+            ends = np.repeat(begins + sizes, sizes)
+            step, row = _steps(times - slices * span, begins, width, span), np.arange(n)
+            last = np.where(step < ends, step, row)
+            while not np.array_equal(last, last[last]):
+                last = last[last]
+            late = times - slices * span >= width
+            head = ~late | np.r_[True, ~late[:-1]] | np.isin(row, begins)  # one of these starts the first window, unless all rows belong to the one before
+            heads = np.flatnonzero(head)
+            heads = heads[np.r_[(last[heads][1:] != last[heads][:-1]), True]]  # the last one of those with the same end tells for all
+            offsets = pa.array(np.searchsorted(heads, np.r_[begins, n]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (times[heads], times[last[heads]], (ends - last)[heads])]
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(begins)), pa.array(slices[begins]), pa.array(sizes), *lists], ["name", "slice", "n", "heads", "starts", "counts"])
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, start, held = object(), None, 0
+        for batch in batches:
+            out = []
+            for of, n, heads, starts, counts in zip(*(batch.column(c).to_pylist() for c in ("name", "n", "heads", "starts", "counts")), strict=True):
+                if of != key:
+                    key, start, held = of, None, 0
+                out.append((start, held))
+                at = 0 if start is None else bisect_left(heads, start + width)
+                if at < len(heads):
+                    start, held = starts[at], counts[at]
+                else:
+                    held += n
+            yield pa.RecordBatch.from_arrays([batch.column("name"), batch.column("slice"), pa.array([s for s, _ in out], pa.int64()), pa.array([h for _, h in out], pa.int64())], ["name", "slice", "start", "held"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, held = None, 0  # the window that the next row meets
+        for batch in batches:
+            enters = batch.column("t").is_null().to_numpy(zero_copy_only=False)  # such a row comes first in each slice and tells its start
+            slices, times = batch.column("slice").to_numpy(), batch.column("t").fill_null(0).to_numpy()
+            marks = np.flatnonzero(enters)
+            pieces = [(-1, start, held), *zip(marks.tolist(), batch.column("start").take(pa.array(marks)).to_pylist(), batch.column("held").take(pa.array(marks)).to_pylist(), strict=True)]
+            begins = np.unique(np.r_[0, marks]) if len(times) else marks
+            step = _steps(np.where(enters, -width, times - slices * span), begins, width, span).tolist() if len(times) else []
+            first, before = np.zeros(len(times), np.int64), np.zeros(len(times), np.int64)
+            for (mark, start, held), upto in zip(pieces, [*(m for m, _, _ in pieces[1:]), len(times)], strict=True):
+                low = at = mark + 1
+                if start is not None:
+                    at = low + int(np.searchsorted(times[low:upto], start + width, side="left"))
+                first[low:at], before[low:at] = low, held
+                if at == upto:
+                    held += upto - low
+                while at < upto:
+                    end = step[at]
+                    first[at:end] = at
+                    start, held, at = int(times[at]), end - at, end
+            place = np.arange(len(times)) - first + before + 1
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(place <= limit)], ["id", "allowed"]).filter(pa.array(~enters))
+
+    id_kind = rows.schema["id"].dataType.simpleString()
+    placed = timed.select("name", "slice", "t").repartition("name", "slice").sortWithinPartitions("name", "slice", "t")
+    told = placed.mapInArrow(facts, "name string, slice long, n long, heads array<long>, starts array<long>, counts array<long>")
+    entered = told.repartition("name").sortWithinPartitions("name", "slice").mapInArrow(chain, "name string, slice long, start long, held long")
+    both = timed.unionByName(entered, allowMissingColumns=True).repartition("name", "slice").sortWithinPartitions("name", "slice", F.col("t").asc_nulls_first(), "id")
+    done = both.select("id", "slice", "t", "start", "held").mapInArrow(count, f"id {id_kind}, allowed boolean")
     return done.unionByName(rows.where("ts is null").select("id", F.lit(False).alias("allowed")))
