@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.functions.text import let
 from corpusflow.functions.url import host
 
+#: Lengths of anchors: a rule is found by the longest of these that its literal part holds.
+ANCHORS = (16, 12, 8, 6, 4, 3, 2, 1)
+
 
 def host_suffixes(url: Column) -> Column:
     """A host and all the domains above it."""
@@ -20,30 +24,66 @@ def wildcard(pattern: Column) -> Column:
     return F.concat(F.lit("^"), F.replace(escaped, F.lit("*"), F.lit("[^?#]*")))
 
 
+def _anchored(rules: DataFrame) -> DataFrame:
+    """Path rules with the ``anchor`` they are found by, its ``width``, and ``wild``, whether it may stand anywhere.
+
+    The anchor of a rule with ``*`` is the start of its longest piece between stars,
+    that of another rule its own start; rules of stars only have an empty one.
+    """
+    pieces = F.split("pattern", r"\*")
+    longest = F.reduce(pieces, F.lit(""), lambda best, p: F.when(F.length(p) > F.length(best), p).otherwise(best))
+    out = rules.select("id", "pattern", F.contains("pattern", F.lit("*")).alias("wild"), longest.alias("piece"))
+    fits = [F.when(F.length("piece") >= w, w) for w in ANCHORS]
+    out = out.withColumn("width", F.coalesce(*fits, F.lit(0)))
+    return out.withColumn("anchor", F.col("piece").substr(F.lit(1), F.col("width"))).drop("piece")
+
+
+def _windows(text: Column, widths: list[int]) -> Column:
+    """Every distinct stretch of ``text`` of one of the widths; the text is cut into characters once."""
+
+    def of_width(chars: Column, w: int) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.size(chars) - w + 1), lambda i: F.array_join(F.slice(chars, i, F.lit(w)), ""))
+        return F.when(F.size(chars) >= w, cut).otherwise(F.array().cast("array<string>"))
+
+    return let(F.split(text, ""), lambda chars: F.array_distinct(F.concat(*[of_width(chars, w) for w in widths])))
+
+
 def match(urls: DataFrame, rules: DataFrame, key: str = "url") -> DataFrame:
     """Each distinct URL that a rule hits, with the first rule: domains before paths, then by pattern.
 
-    Domain rules meet the exploded host suffixes in an equi-join.  Path rules begin
-    at a segment of the URL, so they meet its suffixes by their first characters, as
-    many as the shortest rule has, and are then compared in full; rules may be as
-    many as one likes.  Rules that start with ``*`` have no first characters and meet
-    all URLs.
+    Domain rules meet the exploded host suffixes in an equi-join.  A path rule begins
+    at a segment of the URL, a rule with ``*`` at its front only, up to ``?`` or ``#``
+    for each star.  Every path rule has an anchor, a literal of up to 16 characters:
+    plain rules meet the URL's segment starts by it, rules with ``*`` the stretches of
+    the same length of the URL, and then both are compared in full.  Widths differ by
+    rule, so a short rule makes no other one short; only the widths that rules have
+    are cut.  No rule meets all URLs but one of stars only, of which the first
+    pattern counts.  Null URLs, null and empty patterns hit nothing.
     """
     base = urls.select(F.col(key).alias("url")).where("url is not null").distinct()
     domains = rules.where("type = 'domain'").select(F.col("pattern").alias("suffix"), "id", "pattern")
     by_host = base.select("url", F.explode(F.array_distinct(host_suffixes(F.col("url")))).alias("suffix")).join(domains, "suffix").select("url", F.lit(0).alias("kind"), "pattern", "id")
-    wild = F.contains("pattern", F.lit("*"))
-    paths = rules.where("type = 'path' and pattern <> ''").select("id", "pattern", F.regexp_extract("pattern", r"^([^*]*)", 1).alias("front"), wild.alias("wild"))
-    width = min(paths.where("front <> ''").agg(F.min(F.length("front"))).first()[0] or 1, 16)
-    bare = F.regexp_replace(F.lower("url"), r"^https?://(www\.)?", "")
-    whole = base.withColumn("bare", bare)
-    parts = F.split("bare", "/")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
-    at = whole.select("url", F.posexplode(suffixes).alias("place", "rest")).withColumn("start", F.substring("rest", 1, width))
-    indexed = paths.where("front <> ''").withColumn("start", F.substring("front", 1, width))
-    hit = F.when(F.col("wild"), (F.col("place") == 0) & F.regexp_like("rest", wildcard(F.col("pattern")))).otherwise(F.col("rest").startswith(F.col("pattern")))
-    by_path = at.join(indexed, "start").where(hit).select("url", F.lit(1).alias("kind"), "pattern", "id")
-    open_ended = paths.where("front = ''")
-    by_any = whole.join(open_ended, F.regexp_like("bare", wildcard(F.col("pattern")))).select("url", F.lit(1).alias("kind"), "pattern", "id")
-    first = by_host.unionByName(by_path).unionByName(by_any).groupBy("url").agg(F.min(F.struct("kind", "pattern", "id")).alias("m"))
+    paths = _anchored(rules.where("type = 'path' and pattern <> ''"))
+    found = [tuple(r) for r in paths.select("wild", "width").distinct().collect()]  # at most two for each width
+    plain, starred = (sorted(w for is_wild, w in found if is_wild == kind and w) for kind in (False, True))
+    bare = base.select("url", F.regexp_replace(F.lower("url"), r"^https?://(www\.)?", "").alias("bare"))
+    hits = [by_host]
+    if plain:
+        parts = F.split("bare", "/")
+        suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+        at = bare.select("url", F.explode(F.array_distinct(suffixes)).alias("rest"))
+        starts = F.explode(F.array_distinct(F.array(*[F.left("rest", F.lit(w)) for w in plain])))
+        by_path = at.select("url", "rest", starts.alias("anchor")).join(paths.where("not wild"), "anchor").where(F.col("rest").startswith(F.col("pattern")))
+        hits.append(by_path.select("url", F.lit(1).alias("kind"), "pattern", "id"))
+    if starred:
+        at = bare.select("url", "bare", F.explode(_windows(F.col("bare"), starred)).alias("anchor"))
+        by_piece = at.join(paths.where("wild and width > 0"), "anchor").where(F.regexp_like("bare", wildcard(F.col("pattern"))))
+        hits.append(by_piece.select("url", F.lit(1).alias("kind"), "pattern", "id"))
+    if (True, 0) in found:
+        first = paths.where("width = 0").agg(F.min(F.struct("pattern", "id"))).first()[0]
+        hits.append(base.select("url", F.lit(1).alias("kind"), F.lit(first["pattern"]).alias("pattern"), F.lit(first["id"]).alias("id")))
+    every = hits[0]
+    for more in hits[1:]:
+        every = every.unionByName(more)
+    first = every.groupBy("url").agg(F.min(F.struct("kind", "pattern", "id")).alias("m"))
     return first.select("url", "m.id", "m.pattern")

@@ -1,6 +1,7 @@
 """Row cases of the text, URL, date, classifying and source functions."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,6 +131,40 @@ def test_blocklist_rules(spark):
     assert got == {urls[0]: 1, urls[2]: 2, urls[4]: 3, urls[6]: 2}
 
 
+def test_blocklist_rules_of_every_shape_against_a_loop(spark):
+    """Short rules beside long ones, stars in front, in the middle, at the end and alone; no nested loop in the plan."""
+    rng = random.Random(7)
+    words = ["casino", "news", "a", "ads", "sport", "win-big-today-at-the-tables", "tin", "ñandú", "x.y"]
+    urls = ["https://www." + rng.choice(["bbc.com", "m.cnn.com", "t.co"]) + "/" + "/".join(rng.choices(words, k=rng.randint(0, 4))) + rng.choice(["", "?q=casino", "#ads", "/"]) for _ in range(300)]
+    patterns = ["a", "t.co/n", "sport/casino", "*casino", "*/ads*tin", "bbc.com/*sport", "*win-big-today-at-the-tables*a", "*ñan", "x.y", "*x.y*", "*.y/t", "m.cnn.com/*/*", "news/tin/a", "zzz", "*zzz", None, ""]
+    rules = [(i, p, "path") for i, p in enumerate(patterns)] + [(50, "cnn.com", "domain")]
+    schema = "id long, pattern string, type string"
+
+    def loop(rules):
+        want = {}
+        for u in set(urls):
+            host, bare = u.split("/")[2].removeprefix("www."), u.lower().removeprefix("https://").removeprefix("www.")
+            hit = [(0, p, i) for i, p, t in rules if t == "domain" and (host == p or host.endswith("." + p))]
+            for i, p, t in rules:
+                if t == "path" and p:
+                    body = "[^?#]*".join(re.escape(x) for x in p.split("*"))
+                    if re.match(body, bare) if "*" in p else bare.startswith(p) or "/" + p in bare:
+                        hit.append((1, p, i))
+            if hit:
+                want[u] = min(hit)[2]
+        return want
+
+    frame = spark.createDataFrame([(u,) for u in [*urls, None, ""]], "url string")
+    for more in ([], [(60, "**", "path"), (61, "*", "path")]):
+        out = blocklist.match(frame, spark.createDataFrame(rules + more, schema))
+        got = {r.url: r.id for r in out.collect()}
+        if more:
+            assert got.pop("") == 61
+        assert got == loop(rules + more)
+        assert "NestedLoop" not in out._jdf.queryExecution().toString()
+    assert blocklist.match(frame, spark.createDataFrame([], schema)).count() == 0
+
+
 def test_feed_arguments():
     assert (feed.FeedQuery(page=9999, limit=0).page, feed.FeedQuery(page=9999, limit=0).limit) == (500, 1)
     for bad in ({"tab": "x"}, {"sort": "x"}, {"status": "x"}, {"issue": "x"}, {"min_score": 11}, {"date": "today"}):
