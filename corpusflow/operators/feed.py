@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from corpusflow.functions.dates import local_date, local_date_text
 from corpusflow.functions.text import tag_key
+from corpusflow.operators.search import narrowed
 from corpusflow.schemas import SUMMARY_STATUSES
 
 TABS = ("all", "news", "tech", "voz", "reddit", "saved")
@@ -141,11 +142,16 @@ def page_count(articles: DataFrame, sources: DataFrame, q: FeedQuery, as_of: Col
     return total.select("total", F.ceil(F.col("total") / q.limit).cast("long").alias("pages"))
 
 
-def search(articles: DataFrame, sources: DataFrame, text: str, as_of: Column, tab: str | None = None, limit: int = 20) -> DataFrame:
-    """Finished articles whose title, short summary or tldr holds the text; title hits count double."""
+def search(articles: DataFrame, sources: DataFrame, text: str, as_of: Column, tab: str | None = None, limit: int = 20, index: str | None = None) -> DataFrame:
+    """Finished articles whose title, short summary or tldr holds the text; title hits count double.
+
+    With the path of an ``index`` of these three columns only articles that it does not rule out are looked at.
+    """
     if len(text.strip()) < 2:
         raise ValueError("query must have at least 2 characters")
     like = f"%{text.strip()}%"
+    if index:
+        articles = narrowed(articles, index, like)
     title, short, tldr = (F.coalesce(F.col(c).ilike(like), F.lit(False)) for c in ("title", "summary_short", "tldr"))
     relevance = F.when(title, 2).otherwise(0) + F.when(short | tldr, 1).otherwise(0)
     rows = with_sources(articles, sources).where((F.col("summary_status") == "done") & is_fresh(as_of) & (title | short | tldr))

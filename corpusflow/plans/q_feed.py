@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusflow.functions import classify as C
@@ -10,10 +12,11 @@ from corpusflow.functions import text as T
 from corpusflow.functions import url as U
 from corpusflow.operators import blocklist as B
 from corpusflow.operators import feed as O
+from corpusflow.operators import search as SE
 from corpusflow.operators.feed import FeedQuery
 from corpusflow.plans import fixtures as X
 from corpusflow.plans.fixtures import AS_OF_SQL, as_of
-from corpusflow.runtime import global_rank
+from corpusflow.runtime import global_rank, shared_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -105,6 +108,21 @@ for _name, _tab in (("flt08_search", None), ("srt04_search_tab", "news")):
     strftime({PUB}, '%Y-%m-%d %H:%M:%S') AS feed_time {JOIN} WHERE a.summary_status = 'done' AND {FRESH} AND {_hits} {'AND ' + TABS[_tab] if _tab else ''} ORDER BY relevance DESC, {PUB} DESC, a.id DESC LIMIT 20""")(
         lambda s, d, t=_tab: O.search(A(s, d), S(s, d), "there", as_of(), t)
     )
+
+
+def _index(s, rows, columns, key="id"):
+    """An index of the rows in the shared folder."""
+    path = f"{shared_folder(s)}/index-{uuid.uuid4().hex}"
+    SE.add_to_index(rows, path, columns, key=key)
+    return path
+
+
+SQL["flt08_index_search"] = SQL["flt08_search"]
+QUERIES["flt08_index_search"] = lambda s, d: O.search(A(s, d), S(s, d), "there", as_of(), index=_index(s, A(s, d), ["title", "summary_short", "tldr"]))
+for _name, _pattern in (("flt08_index_pattern", "%th_re%ing %"), ("flt08_index_phrase", "%Of the%")):
+    query(_name, f"SELECT doc_id FROM documents WHERE text ILIKE '{_pattern}'")(
+        lambda s, d, p=_pattern: X.read(s, d, "documents").transform(lambda r: SE.like(r, _index(s, r, ["text"], "doc_id"), p, ["text"], "doc_id")).select("doc_id")
+    )
 query("prj02_relevance", "SELECT id, CASE WHEN title ILIKE '%on%' THEN 2 ELSE 0 END + CASE WHEN coalesce(summary_short, '') ILIKE '%on%' THEN 1 ELSE 0 END AS relevance FROM articles")(
     lambda s, d: A(s, d).select("id", (F.when(F.col("title").ilike("%on%"), 2).otherwise(0) + F.when(F.coalesce("summary_short", F.lit("")).ilike("%on%"), 1).otherwise(0)).alias("relevance"))
 )
@@ -237,6 +255,9 @@ def _digests(s, d):
 
 _digests_sql = f"SELECT strftime({LOCAL.format('created_at')}, '%Y-%m-%d') AS digest_date, count(*) AS article_count, max(title) AS title FROM articles GROUP BY 1"
 query("st17_digest_latest", f"SELECT * FROM ({_digests_sql}) ORDER BY digest_date DESC LIMIT 1")(lambda s, d: _digests(s, d).orderBy(F.col("digest_date").desc()).limit(1))
+query("st17_index_search", f"SELECT *, 2 AS relevance FROM ({_digests_sql}) WHERE title ILIKE '%the%' ORDER BY digest_date DESC LIMIT 30")(
+    lambda s, d: SE.like(_digests(s, d), _index(s, _digests(s, d), ["title"], "digest_date"), "%the%", ["title"], "digest_date").withColumn("relevance", F.lit(2)).orderBy(F.col("digest_date").desc()).limit(30)
+)
 query("st17_digest_search", f"SELECT *, 2 AS relevance FROM ({_digests_sql}) WHERE title ILIKE '%th%' ORDER BY digest_date DESC LIMIT 30")(
     lambda s, d: _digests(s, d).where(F.col("title").ilike("%th%")).withColumn("relevance", F.lit(2)).orderBy(F.col("digest_date").desc()).limit(30)
 )
