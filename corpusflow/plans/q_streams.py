@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusflow.operators import sketches as SK
 from corpusflow.plans import fixtures as X
 from corpusflow.plans.q_text import _edges, near
 from corpusflow.runtime import read, shared_folder
+from corpusflow.sources.logs import parse_access_log
 from corpusflow.streaming import jobs as ST
 
 QUERIES: dict = {}
@@ -134,6 +137,23 @@ query("str07_admissions", "SELECT id, k::INT AS k, k < 4 AS allowed FROM (SELECT
 query("str08_visits", "SELECT strftime(date, '%Y-%m-%d') AS date, count(*) FILTER (NOT is_bot) AS humans, count(*) FILTER (is_bot) AS bots FROM visits GROUP BY 1")(
     lambda s, d: finished(ST.visits_by_day(X.access_lines_of(events(s, d))), "complete").select(F.date_format("date", "yyyy-MM-dd").alias("date"), "humans", "bots")
 )
+
+
+def sketched_visits(s, d) -> str:
+    """Log lines in four batches, each stored as sketches of its days; the folder they are in."""
+    folder = _folder(s)
+    e = read(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    lines = X.access_lines_of(parts_in_order(e, "event_id"))
+    ST.run_available(lines, lambda b, n: SK.add_batch(parse_access_log(b), SK.VISITS, folder, n), f"{folder}/progress")
+    return folder
+
+
+query("str08_visit_sketches", "SELECT strftime(date, '%Y-%m-%d') AS date, count(*) AS total, count(*) FILTER (NOT is_bot) AS humans, count(*) FILTER (is_bot) AS bots, count(DISTINCT ip) FILTER (NOT is_bot) AS unique_ips FROM visits GROUP BY 1")(
+    lambda s, d: SK.by_day(s, SK.VISITS, sketched_visits(s, d)).select(F.date_format("day", "yyyy-MM-dd").alias("date"), "total", "humans", "bots", "unique_ips")
+)
+query("agg24_range_sketches", "SELECT count(*) AS total, count(*) FILTER (NOT is_bot) AS humans, count(*) FILTER (is_bot) AS bots, count(DISTINCT ip) FILTER (NOT is_bot) AS unique_ips FROM visits WHERE date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'")(
+    lambda s, d: SK.over_range(s, SK.VISITS, sketched_visits(s, d), date(2024, 1, 5), date(2024, 1, 20))
+)
 query("win07_fixed_windows")(
     lambda s, d: ST.fixed_windows(X.logs(s, d).select("id", F.col("source_id").alias("key"), F.col("started_at").alias("ts")), 10)
 )
