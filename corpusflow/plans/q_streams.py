@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusflow.operators import seen as SN
 from corpusflow.operators import sketches as SK
 from corpusflow.plans import fixtures as X
 from corpusflow.plans.q_text import _edges, near
@@ -110,6 +111,20 @@ def store_new(s, d):
 
 
 query("str02_first_seen", "SELECT DISTINCT user_id FROM events")(lambda s, d: finished(ST.first_seen(events(s, d), "user_id", "ts", "40 days")).select("user_id"))
+
+
+def admitted(df: DataFrame, keys: list[str], order: str, expected: int) -> DataFrame:
+    """What a stream of five batches adds to the keys seen before, without a watermark."""
+    seen = _folder(df.sparkSession)
+    return batches(parts_in_order(df, order, 5), lambda b, n, f: SN.admit_new(b, n, seen, keys, [order], expected, fan=4))
+
+
+query("str02_seen_texts", "SELECT min(doc_id) AS doc_id FROM documents GROUP BY lower(trim(text))")(
+    lambda s, d: admitted(read(s, d, "documents").select("doc_id", F.sha2(F.lower(F.trim("text")).cast("binary"), 256).alias("hash")), ["hash"], "doc_id", 1_000_000).select("doc_id")
+)
+query("str02_seen_pairs", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2")(
+    lambda s, d: admitted(read(s, d, "events").select("user_id", "event_type", "event_id"), ["user_id", "event_type"], "event_id", 1_000_000).select("user_id", "event_type", "event_id")
+)
 query("str03_bounds", "SELECT event_id, strftime(least(date_trunc('second', ts), CASE WHEN ts > TIMESTAMP '2024-01-20 02:00:00' THEN TIMESTAMP '2024-01-20' ELSE date_trunc('second', ts) END), '%Y-%m-%d %H:%M:%S') AS ts FROM events WHERE least(ts, CASE WHEN ts > TIMESTAMP '2024-01-20 02:00:00' THEN TIMESTAMP '2024-01-20' ELSE ts END) >= TIMESTAMP '2024-01-20' - INTERVAL 72 HOUR")(
     lambda s, d: finished(ST.within_bounds(events(s, d).select("event_id", "ts"), "ts", F.lit("2024-01-20 00:00:00").cast("timestamp"), 72)).select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
 )
