@@ -211,6 +211,7 @@ query("src25_captions", f"SELECT id, {SQZ.format('title')} || ' end' AS vtt, tri
 )
 query("fn29_page_metadata")(lambda s, d: HT.page_metadata(P(s, d)))
 query("fn30_page_body")(lambda s, d: HT.page_bodies(P(s, d)))
+query("fn30_dense_body")(lambda s, d: HT.dense_bodies(P(s, d)))
 query("fn31_profile_body")(
     lambda s, d: HT.profile_bodies(P(s, d).where("url is not null"), s.createDataFrame([("cheap-pills.example.com", ["article"], [".ad"]), ("spam-farm.example.org", ["body"], ["nav"])], "domain string, content_selectors array<string>, remove_selectors array<string>"))
 )

@@ -289,6 +289,24 @@ def page_metadata(pages: DataFrame, key: str = "page_id") -> DataFrame:
     return out.select(key, filled("h1", "og_title", "title_tag").alias("title"), filled("image").alias("image_url"), filled("time", "m1", "m2", "m3", "m4").alias("published"))
 
 
+def _placed_body(root: Node, places: list[tuple[str, tuple]]) -> tuple[str, str | None]:
+    """The longest text of the places and its place; the first wins ties, nothing found is an empty text."""
+    first: dict[str, Node] = {}
+    for node in root.walk():  # one walk for all places
+        for selector, chains in places:
+            if selector not in first and node is not root and any(_ends(node, c) for c in chains):
+                first[selector] = node
+    texts: dict[int, str] = {}
+    best, place = "", None
+    for selector, _ in places:
+        if selector in first:
+            node = first[selector]
+            text = texts[id(node)] = texts.get(id(node)) or node.text()
+            if len(text) > len(best):
+                best, place = text, selector
+    return best, place
+
+
 def page_bodies(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """The longest text of the known body places after the noise is removed; the first place wins ties."""
 
@@ -296,20 +314,71 @@ def page_bodies(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
     def rows(root: Node):
         root.remove(NOISE)
-        first: dict[str, Node] = {}
-        for node in root.walk():  # one walk for all places
-            for selector, chains in places:
-                if selector not in first and node is not root and any(_ends(node, c) for c in chains):
-                    first[selector] = node
-        texts: dict[int, str] = {}
-        best, place = "", None
-        for selector in BODIES:
-            if selector in first:
-                node = first[selector]
-                text = texts[id(node)] = texts.get(id(node)) or node.text()
-                if len(text) > len(best):
-                    best, place = text, selector
-        yield (best, place)
+        yield _placed_body(root, places)
+
+    return _scan(pages, key, "html", "body string, extractor string", rows)
+
+
+#: Elements whose text belongs to the block around them.
+INLINE = frozenset("#root a abbr b bdi bdo br cite code del dfn em font i img ins kbd label mark q s samp small span strong sub sup time tt u var wbr".split())
+#: Characters that a block must have beyond twice its linked ones to count for its element, and not against it.
+BLOCK_COST = 20
+
+
+def densest(root: Node) -> Node | None:
+    """The element whose blocks hold the most text that is no link, or None where no block counts for one.
+
+    The text of a block is that in it which no block inside it holds, white space
+    squeezed string by string.  A block of n characters, m of them in links, is worth
+    n - 2 m - ``BLOCK_COST``, so short and linked blocks count against the elements
+    around them; one without text is worth nothing.  An element is worth the sum of
+    the blocks from it downwards, all summed in one pass from the leaves up.  The
+    deepest element of the greatest worth is taken, the first in the page of several.
+    """
+    order = list(root.walk())  # parents before their children
+    block, linked = {id(root): root}, {id(root): False}
+    sizes: dict[int, list[int]] = {}
+    for node in order:
+        if node is not root:
+            block[id(node)] = block[id(node.parent)] if node.tag in INLINE else node
+            linked[id(node)] = node.tag == "a" or linked[id(node.parent)]
+        size = sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
+        if size:
+            own = sizes.setdefault(id(block[id(node)]), [0, 0])
+            own[0] += size
+            own[1] += size if linked[id(node)] else 0
+    worth: dict[int, int] = {}
+    best, most = None, 0
+    for node in reversed(order):  # children before their parents, later ones first
+        size, links = sizes.get(id(node), (0, 0))
+        own = worth[id(node)] = worth.get(id(node), 0) + (size - 2 * links - BLOCK_COST if size else 0)
+        if node.parent is not None:
+            worth[id(node.parent)] = worth.get(id(node.parent), 0) + own
+        if node.tag not in INLINE and (own > most or (own == most and best is not None and not _above(node, best))):
+            best, most = node, own
+    return best
+
+
+def _above(node: Node, other: Node) -> bool:
+    while other is not None and other is not node:
+        other = other.parent
+    return other is node
+
+
+def dense_bodies(pages: DataFrame, least: int = 500, key: str = "page_id") -> DataFrame:
+    """``body, extractor``: the text of the known places if it has ``least`` characters, else the longer of it and the ``densest`` element's.
+
+    The noise is removed before; a page without text has an empty body and no
+    extractor, a null page too.  Pages may be nested as deep as they like.
+    """
+    places = [(selector, compiled(selector)) for selector in BODIES]
+
+    def rows(root: Node):
+        root.remove(NOISE)
+        text, place = _placed_body(root, places)
+        if len(text) < least and (node := densest(root)) is not None and len(dense := node.text()) > len(text):
+            text, place = dense, "density"
+        yield (text, place)
 
     return _scan(pages, key, "html", "body string, extractor string", rows)
 
