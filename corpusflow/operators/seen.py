@@ -8,7 +8,7 @@ there in full, so a filter saves reading but decides nothing.
 Keys and filters of a batch are a run of level 0.  ``FAN`` runs of a level become one
 run of the next, so batch n reads at most ``FAN - 1`` runs a level and a key is written
 once a level.  Runs are named by their numbers and replaced when a batch is repeated.
-Runs that are merged stay until someone drops them; no later batch reads them.
+No later batch reads runs that were merged; ``drop_merged`` deletes them.
 """
 
 from __future__ import annotations
@@ -148,3 +148,17 @@ def admit_new(batch: DataFrame, number: int, path: str, keys: list[str], order:
     new = unseen(batch, path, number, keys, order, expected, fan)
     remember(new, path, number, keys, expected, fan)
     return new
+
+
+def drop_merged(spark: SparkSession, path: str, number: int, fan: int = FAN) -> int:
+    """Delete the runs that neither batch ``number``, should it be repeated, nor a later one reads; the number of folders deleted."""
+    kept = {f"level={level}/run={run}" for n in (number, number + 1) for level, run in runs_before(n, fan)}
+    gone = 0
+    for kind in ("keys", "filters"):
+        pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{kind}/level=*/run=*")
+        files = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+        for found in files.globStatus(pattern):
+            folder = found.getPath()
+            if f"{folder.getParent().getName()}/{folder.getName()}" not in kept:
+                gone += files.delete(folder, True)
+    return gone

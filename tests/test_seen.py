@@ -46,6 +46,10 @@ def test_new_rows_are_those_of_a_set(spark, tmp_path, keys, key, batches):
         rows = spark.createDataFrame(batch, KIND)
         got = SN.admit_new(rows, n, str(tmp_path), keys, ["id"], expected=500, fan=2)
         assert sorted(map(tuple, got.collect())) == want, n
+        SN.drop_merged(spark, str(tmp_path), n, fan=2)  # no later batch misses them
+        stays = {(level, run) for k in (n, n + 1) for level, run in SN.runs_before(k, 2)}
+        for kind in ("keys", "filters"):
+            assert {tuple(int(x.split("=")[1]) for x in p.parts[-2:]) for p in Path(tmp_path, kind).glob("level=*/run=*")} == stays
         if n == 3:  # a batch that is run again gives the same and changes nothing
             again = SN.admit_new(rows, n, str(tmp_path), keys, ["id"], expected=500, fan=2)
             assert sorted(map(tuple, again.collect())) == want
