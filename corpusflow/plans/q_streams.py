@@ -7,6 +7,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from corpusflow.operators import seen as SN
 from corpusflow.operators import sketches as SK
@@ -69,13 +70,21 @@ def batches(df: DataFrame, step) -> DataFrame:
 
 
 def parts_in_order(df: DataFrame, by: str, parts: int = 4) -> DataFrame:
-    """A table written as ``parts`` files, one after the other, of rising values of ``by``, and read as a stream of one file a batch."""
+    """A table as a stream of ``parts`` batches, one after the other, of rising values of ``by``.
+
+    The table is dealt into one folder a part by as many tasks as read it.  The stream
+    itself holds the numbers of the parts, one file each, and is joined with the folders,
+    so a batch is a whole part whatever its number of files.
+    """
     spark, folder = df.sparkSession, _folder(df.sparkSession)
     low, high = df.agg(F.min(by), F.max(by)).first()
     part = F.least(F.floor((F.col(by) - F.lit(low)) * parts / F.lit(max(1, (high or 0) - (low or 0) + 1))), F.lit(parts - 1))
+    df.withColumn("__part", F.when(F.col(by).isNull(), 0).otherwise(part).cast("int")).write.partitionBy("__part").parquet(f"{folder}/parts")
     for i in range(parts):
-        df.where((part == i) if i else (part == i) | F.col(by).isNull()).coalesce(1).write.mode("append").parquet(f"{folder}/parts")
-    return ST.stream_table(spark, f"{folder}/parts", df.schema)
+        spark.range(i, i + 1, 1, 1).select(F.col("id").cast("int").alias("__part")).write.mode("append").parquet(f"{folder}/turns")
+    table = spark.read.schema(StructType([*df.schema.fields, StructField("__part", IntegerType())])).parquet(f"{folder}/parts")
+    turns = ST.stream_table(spark, f"{folder}/turns", StructType([StructField("__part", IntegerType())]))
+    return table.join(F.broadcast(turns), "__part").select(*df.columns)  # one number a batch
 
 
 def events(s, d) -> DataFrame:

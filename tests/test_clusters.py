@@ -115,6 +115,14 @@ def test_arrivals_in_batches_equal_the_whole(spark, sf, parts):
     assert sorted((r.id, r.best_id, r.accepted) for r in ST.latest(out).where("best_id is not null").collect()) == want and want
 
 
+def test_parts_are_written_by_many_tasks_and_arrive_whole(spark):
+    """Every part comes from all tasks that read rows of it; rows without a place are in the first part, once."""
+    rows = spark.range(0, 400, 1, 8).select(F.when(F.col("id") != 7, F.when(F.col("id") < 200, F.col("id")).otherwise(F.col("id") + 200)).alias("at"), F.col("id").alias("v"))
+    out = Q.batches(Q.parts_in_order(rows, "at", 3), lambda b, n, f: b.withColumn("files", F.input_file_name()))
+    got = {r["batch"]: (r.n, r.files, r.low, r.high) for r in out.groupBy("batch").agg(F.count("v").alias("n"), F.count_distinct("files").alias("files"), F.min("at").alias("low"), F.max("at").alias("high")).collect()}
+    assert got == {0: (200, 4, 0, 199), 2: (200, 4, 400, 599)}
+
+
 def test_late_arrivals_correct_edges(spark, sf, tmp_path):
     """Batches mixed up at random give the edges of the whole table, taken-back ones too."""
     rows = near(spark, sf).where("id < 120").select("id", "created_at", "image_url", "title", "raw_excerpt")
