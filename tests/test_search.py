@@ -1,5 +1,6 @@
 """The trigram index against LIKE over all rows."""
 
+import random
 import re
 import shutil
 from pathlib import Path
@@ -79,3 +80,15 @@ def test_feed_search_is_the_same_with_an_index(spark, sf, tmp_path):
     SE.add_to_index(articles, str(tmp_path), ["title", "summary_short", "tldr"])
     for text in ("there", "on", "w_th"):
         assert feed.search(articles, sources, text, X.as_of(), index=str(tmp_path)).collect() == feed.search(articles, sources, text, X.as_of()).collect()
+
+
+def test_grams_are_made_once_and_kept_in_lists(spark, tmp_path):
+    """Wide alphabets, NUL and characters beyond two bytes too."""
+    rng = random.Random(5)
+    own = ["", None, "ab", "a\0b\0", "x\0\0\0", "🙂ß€a🙂", "".join(chr(0x4E00 + i) for i in range(6_000))] + ["".join(rng.choices("abc é€🙂", k=rng.randrange(60))) for _ in range(200)]
+    rows = spark.createDataFrame([(i, t, t and t[::-1]) for i, t in enumerate(own)], "id long, a string, b string").coalesce(1)
+    want = {(x.lower()[i : i + 3], n) for n, t in enumerate(own) if t is not None for x in (t, t[::-1]) for i in range(len(x) - 2)}
+    got = [(r.gram, i) for r in SE.postings(rows, ["a", "b"]).collect() for i in r.ids]
+    assert len(got) == len(set(got)) and set(got) == want
+    SE.add_to_index(rows, str(tmp_path), ["a", "b"])
+    assert spark.read.parquet(str(tmp_path)).count() < len(want) / 1.5  # a row for each list, not for each text
