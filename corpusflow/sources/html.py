@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import html as entities
 import re
 from collections.abc import Iterator
@@ -16,6 +17,7 @@ from pyspark.sql.window import Window
 from corpusflow.functions.classify import comment_score
 from corpusflow.functions.text import squeeze
 from corpusflow.functions.url import is_skipped_page, link_score, public_url
+from corpusflow.runtime import text_batches
 from corpusflow.sources.feeds import absolute
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -149,7 +151,11 @@ def tree(html: str | None) -> Node:
 
 
 def _scan(pages: DataFrame, key: str, column: str, schema: str, rows_of, extra: tuple[str, ...] = ()) -> DataFrame:
-    """One Arrow pass over pages: ``rows_of(tree, *extra values)`` gives the rows of a page."""
+    """One Arrow pass over pages: ``rows_of(tree, *extra values)`` gives the rows of a page.
+
+    Pages come in small batches, and the trees of a batch, whose elements refer to each
+    other, are freed before the next one.
+    """
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,7 +164,10 @@ def _scan(pages: DataFrame, key: str, column: str, schema: str, rows_of, extra:
             for values in zip(frame["key"], frame["html"], *[frame[c] for c in extra], strict=True):
                 out += [(values[0], *row) for row in rows_of(tree(values[1]), *values[2:])]
             yield pd.DataFrame(out, columns=["key", *names], dtype=object)
+            del frame, out
+            gc.collect()
 
+    text_batches(pages.sparkSession)
     kind = pages.schema[key].dataType.simpleString()
     return pages.select(F.col(key).alias("key"), F.col(column).alias("html"), *extra).mapInPandas(run, f"key {kind}, {schema}").withColumnRenamed("key", key)
 

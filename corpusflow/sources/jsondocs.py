@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from corpusflow.functions.classify import comment_score
 from corpusflow.functions.text import html_to_text, squeeze
+from corpusflow.runtime import text_batches
 
 _LEAF = "struct<kind:string,data:struct<author:string,body:string,score:int,replies:string>>"
 MAX_DEPTH = 3
@@ -136,6 +137,7 @@ def embedded_articles(pages: DataFrame, marker: str = "window.blockRenderData",
                 rows += [(page, i, u, t) for i, (u, t) in enumerate(dict.fromkeys(out))]
             yield pd.DataFrame(rows, columns=["key", "pos", "url", "title"])
 
+    text_batches(pages.sparkSession)
     kind = pages.schema[key].dataType.simpleString()
     return pages.select(F.col(key).alias("key"), F.col(column).alias("html")).mapInPandas(run, f"key {kind}, pos int, url string, title string").withColumnRenamed("key", key)
 
@@ -162,6 +164,7 @@ def card_ids(docs: DataFrame, card_type: str, column: str = "json", key: str = "
                     rows += [(doc, i, x.strip()) for i, x in enumerate(str(seed.get("id") or "").split(",")) if x.strip()]
             yield pd.DataFrame(rows, columns=["key", "pos", "article_id"])
 
+    text_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("key"), F.col(column).alias("json")).mapInPandas(run, f"key {kind}, pos int, article_id string").withColumnRenamed("key", key)
 
@@ -191,6 +194,7 @@ def ld_nodes(pages: DataFrame, wanted, column: str, key: str) -> DataFrame:
             found = [(k, s, p, json.dumps(node)) for k, s, text in frame.itertuples(index=False) for p, node in enumerate(_ld_nodes(parsed_json(text.strip()), wanted))]
             yield pd.DataFrame(found, columns=["key", "s", "p", "node"])
 
+    text_batches(pages.sparkSession)
     kind = pages.schema[key].dataType.simpleString()
     found = rows.mapInPandas(run, f"key {kind}, s int, p int, node string")
     return found.select("key", "s", "p", F.try_parse_json("node").alias("v")).where("v is not null")
@@ -276,6 +280,7 @@ def state_bodies(pages: DataFrame, column: str = "html", key: str = "page_id") -
                     out.append((page, max(bodies, key=len)))
             yield pd.DataFrame(out, columns=["key", "body"])
 
+    text_batches(pages.sparkSession)
     kind = pages.schema[key].dataType.simpleString()
     rows = pages.select(F.col(key).alias("key"), state_blobs(F.col(column)).alias("state")).where("size(state) > 0")
     return rows.mapInPandas(run, f"key {kind}, body string").select(F.col("key").alias(key), html_to_text(F.col("body")).alias("body"))

@@ -1,7 +1,11 @@
 """Bodies by text density against a plain recursion, and on pages without a known place."""
 
+import pytest
+
 from corpusflow.plans import fixtures as X
+from corpusflow.runtime import TEXT_ROWS
 from corpusflow.sources import html as HT
+from corpusflow.sources import jsondocs as JS
 
 PROSE = "The council met on Monday and agreed on the plan for the harbour, which had been open for two years. " * 3
 LINKS = "".join(f'<li><a href="/{i}">Another story with a rather long headline number {i}</a></li>' for i in range(30))
@@ -76,3 +80,14 @@ def test_bodies_that_the_places_fill_stay(spark, sf):
     assert places.keys() == dense.keys()
     for k, (body, place) in places.items():
         assert dense[k] == (body, place) if len(body) >= 500 else len(dense[k][0]) >= len(body)
+
+
+@pytest.mark.parametrize("scan", [HT.dense_bodies, HT.anchors, JS.embedded_articles, JS.state_bodies, JS.json_ld_articles])
+def test_pages_come_in_small_batches(spark, scan):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    scan(spark.createDataFrame([(1, "<p>x</p>")], "page_id long, html string"))
+    small = int(spark.conf.get(key)) <= TEXT_ROWS
+    spark.conf.set(key, before)
+    assert small
