@@ -10,6 +10,8 @@ from corpusflow.functions.url import host
 
 #: Lengths of anchors: a rule is found by the longest of these that its literal part holds.
 ANCHORS = (16, 12, 8, 6, 4, 3, 2, 1)
+#: Rules up to this number are broadcast, more are joined by a shuffle.
+FEW_RULES = 200_000
 
 
 def host_suffixes(url: Column) -> Column:
@@ -58,10 +60,16 @@ def match(urls: DataFrame, rules: DataFrame, key: str = "url") -> DataFrame:
     the same length of the URL, and then both are compared in full.  Widths differ by
     rule, so a short rule makes no other one short; only the widths that rules have
     are cut.  No rule meets all URLs but one of stars only, of which the first
-    pattern counts.  Null URLs, null and empty patterns hit nothing.
+    pattern counts.  Null URLs, null and empty patterns hit nothing.  URLs are dealt to
+    a fixed number of tasks, since cutting them costs far more than the bytes that
+    adaptive execution counts, and what is cut from them meets few rules in a broadcast,
+    so that it is neither shuffled nor sorted.
     """
-    base = urls.select(F.col(key).alias("url")).where("url is not null").distinct()
-    domains = rules.where("type = 'domain'").select(F.col("pattern").alias("suffix"), "id", "pattern")
+    tasks = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = urls.select(F.col(key).alias("url")).where("url is not null").distinct().repartition(tasks)
+    few = rules.limit(FEW_RULES + 1).count() <= FEW_RULES
+    small = F.broadcast if few else lambda df: df
+    domains = small(rules.where("type = 'domain'").select(F.col("pattern").alias("suffix"), "id", "pattern"))
     by_host = base.select("url", F.explode(F.array_distinct(host_suffixes(F.col("url")))).alias("suffix")).join(domains, "suffix").select("url", F.lit(0).alias("kind"), "pattern", "id")
     paths = _anchored(rules.where("type = 'path' and pattern <> ''"))
     found = [tuple(r) for r in paths.select("wild", "width").distinct().collect()]  # at most two for each width
@@ -73,11 +81,11 @@ def match(urls: DataFrame, rules: DataFrame, key: str = "url") -> DataFrame:
         suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
         at = bare.select("url", F.explode(F.array_distinct(suffixes)).alias("rest"))
         starts = F.explode(F.array_distinct(F.array(*[F.left("rest", F.lit(w)) for w in plain])))
-        by_path = at.select("url", "rest", starts.alias("anchor")).join(paths.where("not wild"), "anchor").where(F.col("rest").startswith(F.col("pattern")))
+        by_path = at.select("url", "rest", starts.alias("anchor")).join(small(paths.where("not wild")), "anchor").where(F.col("rest").startswith(F.col("pattern")))
         hits.append(by_path.select("url", F.lit(1).alias("kind"), "pattern", "id"))
     if starred:
         at = bare.select("url", "bare", F.explode(_windows(F.col("bare"), starred)).alias("anchor"))
-        by_piece = at.join(paths.where("wild and width > 0"), "anchor").where(F.regexp_like("bare", wildcard(F.col("pattern"))))
+        by_piece = at.join(small(paths.where("wild and width > 0")), "anchor").where(F.regexp_like("bare", wildcard(F.col("pattern"))))
         hits.append(by_piece.select("url", F.lit(1).alias("kind"), "pattern", "id"))
     if (True, 0) in found:
         first = paths.where("width = 0").agg(F.min(F.struct("pattern", "id"))).first()[0]

@@ -282,3 +282,16 @@ def test_fallback_and_longest_text(spark):
     got = df.select(T.snippet_fallback(*args, 11).alias("f"), T.longest_text(F.col("full"), *args, 11).alias("t")).collect()
     assert [r.f for r in got] == ["a  b " * 3, "x" * 12, None, "x" * 12, "x" * 12, None]
     assert [r.t for r in got] == ["a  b " * 3, "x" * 12, "short", "fetched", "content", ""]
+
+
+def test_few_rules_are_broadcast_and_many_shuffled(spark, monkeypatch):
+    """What is cut from URLs is not sorted for few rules; the rows are the same either way."""
+    urls = spark.createDataFrame([(f"https://h{i % 7}.org/{'ab' * (i % 5)}/x/{i}",) for i in range(60)], "url string")
+    rules = spark.createDataFrame([(1, "h1.org", "domain"), (2, "abab/x", "path"), (3, "h3.org/*/x", "path")], "id long, pattern string, type string")
+    joins, rows = {}, {}
+    for most in (blocklist.FEW_RULES, 2):
+        monkeypatch.setattr(blocklist, "FEW_RULES", most)
+        out = blocklist.match(urls, rules)
+        joins[most] = out._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin")
+        rows[most] = sorted(map(tuple, out.collect()))
+    assert joins == {200_000: 0, 2: 3} and rows[2] == rows[200_000] != []
