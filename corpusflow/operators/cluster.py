@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ SETS = ("tw", "tb", "ew", "eb")
 WORD_SETS = ("tw", "ew")
 #: 64-bit words in the sketch of each set, by the sizes that such sets have.
 WORDS = {"tw": 2, "tb": 4, "ew": 4, "eb": 8}
+#: Rows whose pairs are looked for in one call.
+BLOCK_ROWS = 4_000
 
 
 def spread(rows: DataFrame) -> DataFrame:
@@ -97,34 +100,56 @@ def sketches(base: DataFrame, keep: list[str]) -> DataFrame:
     return stored(base.select(*keep, *[c for s in SETS for c in (F.size(s).alias(f"n_{s}"), odd_bits(F.col(s), WORDS[s]).alias(f"bits_{s}"))]))
 
 
-def may_be_similar(a: str, b: str) -> Column:
-    """Whether two sketched rows can reach the threshold: false only if no pair of their sets can.
+def _may_be_similar(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the sketched rows ``a`` and ``b`` can reach the threshold: false only if no pair of their sets can.
 
     Sets of Jaccard similarity s differ in at most (1 - s) / (1 + s) of their summed
     sizes, and two sketches in no more bits than their sets in tokens.
     """
-    same = F.coalesce(F.col(f"{a}.image_url") == F.col(f"{b}.image_url"), F.lit(False))
     reach = lambda t: (1 - t) / (1 + t) + 1e-9
-    share = F.when(same, reach(SIMILARITY - IMAGE_BONUS)).otherwise(reach(SIMILARITY))
-    out = F.lit(False)
+    share = np.where((rows["image"][a] == rows["image"][b]) & rows["pictured"][a] & rows["pictured"][b], reach(SIMILARITY - IMAGE_BONUS), reach(SIMILARITY))
+    out = np.zeros(len(a), bool)
     for s in SETS:
-        x, y = F.col(f"{a}.n_{s}"), F.col(f"{b}.n_{s}")
+        x, y = rows[f"n_{s}"][a], rows[f"n_{s}"][b]
         least = MIN_WORDS_FOR_WORD_SETS if s in WORD_SETS else 1
-        bits = F.zip_with(f"{a}.bits_{s}", f"{b}.bits_{s}", lambda u, v: F.bit_count(u.bitwiseXOR(v)))
-        odd = F.aggregate(bits, F.lit(0), lambda n, w: n + w)  # lambdas keep the generated method small enough for the JIT compiler
-        out = out | ((x >= least) & (y >= least) & (F.abs(x - y) <= share * (x + y)) & (odd <= share * (x + y)))
+        odd = np.bitwise_count(rows[f"bits_{s}"][a] ^ rows[f"bits_{s}"][b]).sum(axis=1, dtype=np.int64)
+        out |= (x >= least) & (y >= least) & (np.abs(x - y) <= share * (x + y)) & (odd <= share * (x + y))
     return out
 
 
 def candidate_pairs(base: DataFrame, among: Column | None = None) -> DataFrame:
     """``(id, other_id, seq)``: of the pairs in the window those whose sketches leave room for the threshold; ``seq`` numbers the other row.
 
-    Only sizes and sketches meet in the window join; the token sets stay where they are.
+    Only rows of which ``among`` is true look back.  Rows are numbered in time order
+    and cut into blocks, each with the ``WINDOW_ROWS`` rows before it; a task holds the
+    sizes and sketches of one block, and the token sets stay where they are.
     """
-    keep = ["id", "created_at", "image_url", *(["is_forum"] if "is_forum" in base.columns else [])]
-    pairs = window_pairs(sketches(base, keep))
-    pairs = pairs if among is None else pairs.where(among)
-    return materialize(pairs.where(may_be_similar("a", "b")).select(F.col("a.id").alias("id"), F.col("b.id").alias("other_id"), F.col("b.seq").alias("seq")))
+    own = base.withColumn("open", F.lit(True) if among is None else F.coalesce(among, F.lit(False)))
+    image = [F.coalesce(F.xxhash64("image_url"), F.lit(0)).alias("image"), F.col("image_url").isNotNull().alias("pictured")]
+    made = sketches(own, ["id", "created_at", "image_url", "open"])
+    ranked = materialize(global_rank(made, [F.col("created_at"), F.col("id")], "seq"))
+    timed = ranked.where("created_at is not null")  # rows without a time are in no window
+    sizes = [f"n_{s}" for s in SETS]
+    block = F.floor(F.col("seq") / BLOCK_ROWS)
+    reached = F.array_distinct(F.array(block, F.floor((F.col("seq") + WINDOW_ROWS) / BLOCK_ROWS)))
+    rows = timed.select("id", "seq", "open", F.unix_timestamp("created_at").alias("at"), *image, *sizes, *[F.get(f"bits_{s}", F.lit(i)).alias(f"bits_{s}_{i}") for s in SETS for i in range(WORDS[s])], F.explode(reached).alias("block"))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("seq")
+        rows = {c: table[c].to_numpy() for c in ("seq", "open", "at", "image", "pictured", "block", *sizes)}
+        rows |= {f"bits_{s}": np.stack([table[f"bits_{s}_{i}"].to_numpy() for i in range(WORDS[s])], axis=1).view(np.uint64) for s in SETS}  # bits of signed numbers are not counted one by one
+        looks = rows["open"] & (rows["seq"] // BLOCK_ROWS == rows["block"])
+        later, earlier = [], []
+        for back in range(1, min(WINDOW_ROWS, len(looks) - 1) + 1):  # rows follow each other without a gap
+            a = np.flatnonzero(looks[back:] & (rows["at"][back:] - rows["at"][:-back] <= WINDOW_HOURS * 3600)) + back
+            a = a[_may_be_similar(rows, a, a - back)]
+            later.append(a)
+            earlier.append(a - back)
+        a, b = (pa.array(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)) for x in (later, earlier))
+        return pa.table({"id": table["id"].take(a), "other_id": table["id"].take(b), "seq": table["seq"].take(b)})
+
+    kind = base.schema["id"].dataType.simpleString()
+    return materialize(rows.groupBy("block").applyInArrow(run, f"id {kind}, other_id {kind}, seq long"))
 
 
 def _scored(base: DataFrame, pairs: DataFrame, keep: list[Column]) -> DataFrame:
@@ -152,7 +177,7 @@ def parent_edges(articles: DataFrame, is_forum: Column | None = None, title: str
     rows = articles.select("id", "created_at", "image_url", title, excerpt, forum.alias("is_forum"))
     base = stored(features(spread(rows), title, excerpt).drop(title, excerpt))
     keep = [F.col("p.id").alias("id"), F.col("p.other_id").alias("best_id"), F.col("p.seq").alias("seq"), F.col("a.kw").alias("own"), F.col("b.kw").alias("theirs")]
-    scored = _scored(base, candidate_pairs(base, ~F.col("a.is_forum")), keep)
+    scored = _scored(base, candidate_pairs(base, ~F.col("is_forum")), keep)
     best = F.max(F.when(F.col("score") >= SIMILARITY, F.struct("score", "seq", "best_id", "title_score", novelty(F.col("own"), F.col("theirs")).alias("novelty"))))
     top = scored.groupBy("id").agg(best.alias("m")).where("m is not null").select("id", "m.best_id", "m.title_score", "m.score", "m.novelty")
     return top.withColumn("accepted", (F.col("title_score") >= TITLE_LOCK) | (F.col("novelty") < NOVELTY))

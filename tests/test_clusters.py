@@ -215,3 +215,18 @@ def test_fixed_windows_follow_each_other(spark, slice_seconds):
     want[5000] = False
     got = {r.id: r.allowed for r in ST.fixed_windows(df, 10, 60, slice_seconds).collect()}
     assert got == want and ST.fixed_windows(df.limit(0), 10).count() == 0
+
+
+def test_candidates_over_blocks_are_those_of_the_window(spark, sf, monkeypatch):
+    """Pairs over the edges of blocks, rows that do not look back and rows without a time; only one row of each pair is moved."""
+    rows = near(spark, sf).where("id < 150").select("id", F.when(F.col("id") != 9, F.col("created_at")).alias("created_at"), "image_url", "title", "raw_excerpt", (F.col("id") % 3 == 0).alias("is_forum"))
+    base = K.features(rows).cache()
+    scored = K.with_scores(K.window_pairs(base), [F.col("a.id").alias("id"), F.col("b.id").alias("other_id"), F.col("a.is_forum").alias("is_forum")])
+    want = {(r.id, r.other_id) for r in scored.where((F.col("score") >= K.SIMILARITY) & ~F.col("is_forum")).collect()}
+    whole = None
+    for size in (4_000, 32):
+        monkeypatch.setattr(K, "BLOCK_ROWS", max(size, K.WINDOW_ROWS))
+        out = [(r.id, r.other_id) for r in K.candidate_pairs(base, ~F.col("is_forum")).collect()]
+        assert len(out) == len(set(out)) and want and want <= set(out) and not any(i % 3 == 0 or 9 in (i, o) for i, o in out)
+        whole = whole or set(out)
+        assert set(out) == whole
