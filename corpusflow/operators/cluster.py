@@ -32,7 +32,7 @@ BLOCK_ROWS = 4_000
 
 def spread(rows: DataFrame) -> DataFrame:
     """Rows dealt evenly by id, since making token sets costs far more than moving titles and excerpts."""
-    return rows.repartition("id")
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")  # a fixed number, as for the pairs
 
 
 def features(rows: DataFrame, title: str = "title", excerpt: str = "raw_excerpt") -> DataFrame:
@@ -149,7 +149,8 @@ def candidate_pairs(base: DataFrame, among: Column | None = None) -> DataFrame:
         return pa.table({"id": table["id"].take(a), "other_id": table["id"].take(b), "seq": table["seq"].take(b)})
 
     kind = base.schema["id"].dataType.simpleString()
-    return materialize(rows.groupBy("block").applyInArrow(run, f"id {kind}, other_id {kind}, seq long"))
+    tasks = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: pairs cost far more than the bytes that adaptive execution counts
+    return materialize(rows.repartition(tasks, "block").groupBy("block").applyInArrow(run, f"id {kind}, other_id {kind}, seq long"))
 
 
 def _scored(base: DataFrame, pairs: DataFrame, keep: list[Column]) -> DataFrame:
