@@ -92,3 +92,21 @@ def test_grams_are_made_once_and_kept_in_lists(spark, tmp_path):
     assert len(got) == len(set(got)) and set(got) == want
     SE.add_to_index(rows, str(tmp_path), ["a", "b"])
     assert spark.read.parquet(str(tmp_path)).count() < len(want) / 1.5  # a row for each list, not for each text
+
+
+@pytest.mark.parametrize("bits", [1 << 6, 1 << 26])
+def test_found_ids_reach_the_texts_in_a_map_of_fixed_size(texts, index, bits, monkeypatch):
+    """No text is shuffled or sorted for the join, however many ids are found, and ids that share bits are compared in full."""
+    monkeypatch.setattr(SE, "MAP_BITS", bits)
+    found = SE.like(texts, index, "%Of the%", ["text"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan and sorted(r.id for r in found.collect()) == sorted(r.id for r in texts.where(F.col("text").ilike("%Of the%")).collect())
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert SE.narrowed(texts, index, "%Of the%").count() >= found.count() > 0
+
+
+def test_ids_are_stored_by_their_differences(index):
+    import pyarrow.parquet as pq
+
+    file = pq.ParquetFile(next(Path(index).glob("batch=0/bucket=*/*.parquet")))
+    assert "DELTA_BINARY_PACKED" in file.metadata.row_group(0).column(1).encodings
