@@ -95,3 +95,16 @@ def match(urls: DataFrame, rules: DataFrame, key: str = "url") -> DataFrame:
         every = every.unionByName(more)
     first = every.groupBy("url").agg(F.min(F.struct("kind", "pattern", "id")).alias("m"))
     return first.select("url", "m.id", "m.pattern")
+
+
+def hits(urls: DataFrame, rules: DataFrame, key: str = "url") -> DataFrame:
+    """``id, hits``: the rows whose URL each rule is the first to hit; rules without any are left out.
+
+    Rows are counted by URL where they are read, so that the join meets each distinct
+    URL once, however often it comes, in a fixed number of tasks: bytes shrink too well
+    in a shuffle for adaptive execution to tell how many rows a task would hold.
+    """
+    tasks = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = urls.select(F.col(key).alias("url")).where("url is not null").groupBy("url").agg(F.count(F.lit(1)).alias("n"))
+    matched = match(urls, rules, key).select("url", "id")
+    return counts.repartition(tasks, "url").join(matched.repartition(tasks, "url"), "url").groupBy("id").agg(F.sum("n").alias("hits"))

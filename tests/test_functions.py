@@ -295,3 +295,13 @@ def test_few_rules_are_broadcast_and_many_shuffled(spark, monkeypatch):
         joins[most] = out._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin")
         rows[most] = sorted(map(tuple, out.collect()))
     assert joins == {200_000: 0, 2: 3} and rows[2] == rows[200_000] != []
+
+
+def test_hits_of_rules_count_rows_but_join_each_url_once(spark):
+    rules = spark.createDataFrame([(1, "a.com", "domain"), (2, "x/", "path"), (3, "none.org", "domain")], "id long, pattern string, type string")
+    urls = [("http://a.com/x/1",)] * 500 + [("http://b.com/x/1",)] * 3 + [("http://b.com/x/2",), ("http://c.com/",), (None,)]
+    out = blocklist.hits(spark.createDataFrame(urls, "url string").repartition(2), rules)
+    assert sorted((r.id, r.hits) for r in out.collect()) == [(1, 500), (2, 4)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[plan.index("Join Inner, (url"):]
+    assert "Aggregate [url" in join.split("RepartitionByExpression [url")[1]  # counted by URL before the rows are dealt to the join
