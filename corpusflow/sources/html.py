@@ -56,6 +56,14 @@ class Node:
                 stack += reversed(node.children)
         return " ".join(" ".join(out).split())
 
+    def free(self) -> None:
+        """Take the tree apart, so that its elements go without a search for cycles; parts that were removed from it wait for one."""
+        stack = [self]
+        while stack:
+            node = stack.pop()
+            stack += [c for c in node.children if isinstance(c, Node)]
+            node.parent, node.children = None, []
+
     def select(self, selector: str) -> list[Node]:
         """Elements that match a comma list of descendant selectors, in document order."""
         chains = compiled(selector)
@@ -153,8 +161,8 @@ def tree(html: str | None) -> Node:
 def _scan(pages: DataFrame, key: str, column: str, schema: str, rows_of, extra: tuple[str, ...] = ()) -> DataFrame:
     """One Arrow pass over pages: ``rows_of(tree, *extra values)`` gives the rows of a page.
 
-    Pages come in small batches, and the trees of a batch, whose elements refer to each
-    other, are freed before the next one.
+    Pages come in small batches, and each tree, whose elements refer to each other, is
+    taken apart after its page, so that a worker holds one tree at a time.
     """
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
@@ -162,7 +170,9 @@ def _scan(pages: DataFrame, key: str, column: str, schema: str, rows_of, extra:
         for frame in batches:
             out = []
             for values in zip(frame["key"], frame["html"], *[frame[c] for c in extra], strict=True):
-                out += [(values[0], *row) for row in rows_of(tree(values[1]), *values[2:])]
+                root = tree(values[1])
+                out += [(values[0], *row) for row in rows_of(root, *values[2:])]
+                root.free()
             yield pd.DataFrame(out, columns=["key", *names], dtype=object)
             del frame, out
             gc.collect()

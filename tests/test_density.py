@@ -91,3 +91,49 @@ def test_pages_come_in_small_batches(spark, scan):
     small = int(spark.conf.get(key)) <= TEXT_ROWS
     spark.conf.set(key, before)
     assert small
+
+
+def test_one_tree_is_held_at_a_time():
+    """A tree that was taken apart goes by itself, without a search for cycles."""
+    import gc
+    import weakref
+
+    from corpusflow.sources import html as HT
+
+    class Watched(HT.Node):
+        __slots__ = ("__weakref__",)
+
+    gc.collect()
+    gc.disable()
+    try:
+        root = Watched("#root")
+        seen = [weakref.ref(root)]
+        at = root
+        for _ in range(5_000):
+            child = Watched("div", (), at)
+            at.children += ["text", child]
+            seen.append(weakref.ref(child))
+            at = child
+        root.free()
+        del root, at, child
+        assert not any(ref() for ref in seen)
+    finally:
+        gc.enable()
+
+
+def test_long_pages_come_in_batches_of_few_bytes(spark):
+    from pyspark.sql import functions as F
+
+    from corpusflow.runtime import text_batches
+
+    text_batches(spark)
+    pages = spark.range(0, 60, 1, 1).select(F.repeat(F.lit("x"), 1_000_000).alias("html"))  # 60 MB in one part
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    got = [r.n for r in pages.mapInArrow(sizes, "n long").collect()]
+    assert sum(got) == 60 and max(got) <= 18
