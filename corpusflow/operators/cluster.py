@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import insort
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +26,8 @@ SETS = ("tw", "tb", "ew", "eb")
 WORD_SETS = ("tw", "ew")
 #: 64-bit words in the sketch of each set, by the sizes that such sets have.
 WORDS = {"tw": 2, "tb": 4, "ew": 4, "eb": 8}
+#: Where the words of each set begin among those of all.
+FIRST_WORDS = np.cumsum([0, *[WORDS[s] for s in SETS[:-1]]])
 #: Rows whose pairs are looked for in one call.
 BLOCK_ROWS = 4_000
 
@@ -210,7 +212,9 @@ class _Article:
         self.place = (row.created, row.id)
         self.image, self.forum = row.image_url, row.forum
         self.sets = [frozenset(getattr(row, s).tolist()) for s in SETS]
-        self.sketch = [int.from_bytes(np.packbits(np.bincount(getattr(row, s) & (64 * WORDS[s] - 1), minlength=64 * WORDS[s]) & 1).tobytes()) for s in SETS]
+        packed = [np.packbits(np.bincount(getattr(row, s) & (64 * WORDS[s] - 1), minlength=64 * WORDS[s]) & 1) for s in SETS]
+        self.sketch = [int.from_bytes(p.tobytes()) for p in packed]
+        self.words = np.concatenate(packed).view(np.uint64)
         self.keywords = frozenset(row.kw.tolist())
 
     def __lt__(self, other: _Article) -> bool:
@@ -231,17 +235,48 @@ class _Article:
         return min(1.0, max(title, excerpt, title * 0.6 + excerpt * 0.4) + (IMAGE_BONUS if same else 0.0)), title
 
 
+class _Leaders:
+    """The ``most`` newest leaders in order of time, with their sketches in arrays beside them."""
+
+    def __init__(self, start: Iterator, most: int):
+        self.most, self.all = most, []
+        self.words = np.zeros((most + 1, sum(WORDS.values())), np.uint64)
+        self.sizes = np.zeros((most + 1, len(SETS)), np.int64)
+        self.images = np.zeros(most + 1, np.int64)
+        for row in start:
+            self.add(_Article(row))
+
+    def add(self, own: _Article) -> None:
+        n, at = len(self.all), bisect_right(self.all, own)
+        self.all.insert(at, own)
+        for name, value in (("words", own.words), ("sizes", [len(s) for s in own.sets]), ("images", hash(own.image))):
+            held = getattr(self, name)
+            held[at + 1 : n + 1] = held[at:n].copy()
+            held[at] = value
+            if n == self.most:
+                held[:n] = held[1:].copy()
+        del self.all[: -self.most]
+
+    def like(self, own: _Article, since: int) -> list[_Article]:
+        """The leaders since a time whose sketches leave room for the threshold, the newest first; the test is that of ``_Article.scores``."""
+        low, n = bisect_left(self.all, since, key=lambda a: a.place[0]), len(self.all)
+        if low == n:
+            return []
+        share = [(1 - t) / (1 + t) + 1e-9 for t in (SIMILARITY, SIMILARITY - IMAGE_BONUS)]
+        share = np.where(self.images[low:n] == hash(own.image), share[1], share[0]) if own.image else np.full(n - low, share[0])
+        odd = np.add.reduceat(np.bitwise_count(self.words[low:n] ^ own.words), FIRST_WORDS, axis=1, dtype=np.int64)
+        room = (odd <= share[:, None] * (self.sizes[low:n] + [len(s) for s in own.sets])).any(axis=1)
+        return [self.all[low + i] for i in np.flatnonzero(room)[::-1].tolist()]
+
+
 def _swept(rows: Iterator, start: Iterator, most: int, hours: int) -> tuple[dict, list[_Article]]:
     """Parents of ``rows``, taken in order from the leaders ``start``, and the ``most`` newest leaders after them."""
-    leads = sorted(_Article(r) for r in start)
+    leads = _Leaders(start, most)
     parents = {}
     for row in rows:
         own, best = _Article(row), None
         if not own.forum:
-            since = row.at - hours * 3_600_000_000
-            for other in reversed(leads):  # the newest first: of equal scores it wins
-                if other.place[0] < since:
-                    break
+            for other in leads.like(own, row.at - hours * 3_600_000_000):  # the newest first: of equal scores it wins
                 if not other.forum and (found := own.scores(other)) and found[0] >= SIMILARITY and (best is None or found[0] > best[0][0]):
                     best = found, other
         if best:
@@ -250,9 +285,8 @@ def _swept(rows: Iterator, start: Iterator, most: int, hours: int) -> tuple[dict
                 parents[row.id] = best[1].place[1]
                 continue
         if not pd.isna(row.created):
-            insort(leads, own)
-            del leads[:-most]
-    return parents, leads
+            leads.add(own)
+    return parents, leads.all
 
 
 def settled_parents(rows: DataFrame, most: int = WINDOW_LEADERS, hours: int = WINDOW_HOURS, slice_rows: int = 20_000, warm_rows: int = 2_000) -> DataFrame:

@@ -230,3 +230,29 @@ def test_candidates_over_blocks_are_those_of_the_window(spark, sf, monkeypatch):
         assert len(out) == len(set(out)) and want and want <= set(out) and not any(i % 3 == 0 or 9 in (i, o) for i, o in out)
         whole = whole or set(out)
         assert set(out) == whole
+
+
+def test_leaders_are_filtered_as_pair_by_pair():
+    """The sketches of all leaders are compared at once, with the outcome of one comparison a leader."""
+    from collections import namedtuple
+
+    import numpy as np
+
+    from corpusflow.operators import cluster as K
+
+    row, rng = namedtuple("row", "id created image_url forum tw tb ew eb kw"), np.random.default_rng(3)
+    near = [np.arange(100, 100 + n) * 7919 for n in (6, 20, 30, 90)]
+
+    def article(i):
+        sets = [np.where(rng.random(len(s)) < rng.choice([0, 0.2, 0.4]), rng.integers(-(2**62), 2**62, len(s)), s) for s in near]
+        return row(i, float(rng.integers(0, 1000)), [None, "", "a", "b"][i % 4], False, *sets, sets[0])
+
+    most, rows = 30, [article(i) for i in range(80)]
+    leads, plain = K._Leaders(iter(()), most), []
+    for r in rows:
+        own = K._Article(r)
+        want = [o for o in reversed(plain) if o.place[0] >= 300 and own.scores(o)]
+        assert [o.place for o in leads.like(own, 300)] == [o.place for o in want]
+        leads.add(own)
+        plain = sorted([*plain, own])[-most:]
+        assert [o.place for o in leads.all] == [o.place for o in plain]
