@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusflow.functions.text import let, strip_markup, tldr_from_summary
+from corpusflow.functions.text import let, strip_markup, tldr_from_summary, trimmed
 
 # Converted amounts and time zones whose repetition marks a bad summary.
 AMOUNT = (
@@ -15,6 +15,8 @@ AMOUNT = (
 )
 ZONE = r"(?iu)giờ\s+Việt\s+Nam"
 ZONE_NOTE = r"(?iu)\([^)]*(?:tức|khoảng)[^)]*giờ\s+Việt\s+Nam[^)]*\)"
+# The names of an output's article.
+ARTICLE_KEYS = ("editorial_markdown", "editorialMarkdown", "editorialmarkdown")
 
 
 def _text(*cols: Column) -> Column:
@@ -27,7 +29,12 @@ def enough_text(markdown: Column) -> Column:
 
 
 def parse_output(raw: Column, allowed_tags: list[str]) -> Column:
-    """A summary's fields from JSON (fenced, bare or embedded), else from the legacy ``<tldr>`` form."""
+    """A summary's fields from JSON (fenced, bare or embedded), else from the legacy ``<tldr>`` form.
+
+    The first object that names an article counts.  If its article is blank, the
+    score and the tags stay, the tldr becomes empty, and it is not usable; it is
+    not read as a legacy form, which would take the JSON itself for the article.
+    """
     canon = F.create_map(*[F.lit(x) for t in allowed_tags for x in (t.lower(), t)])
     none = F.array().cast("array<string>")
     is_json = lambda t: t.startswith("{") & F.try_parse_json(F.nullif(t, F.lit(""))).isNotNull()
@@ -35,24 +42,27 @@ def parse_output(raw: Column, allowed_tags: list[str]) -> Column:
     def candidates(r: Column) -> Column:
         text = F.trim(r)
         forms = F.array(F.trim(F.regexp_extract(text, r"(?is)```(?:json)?\s*(.*?)```", 1)), text, F.regexp_extract(text, r"(?s)(\{.*\})", 1))
-        return F.from_json(F.try_element_at(F.filter(forms, is_json), F.lit(1)), "map<string,string>")
+        objects = F.transform(F.filter(F.array_distinct(forms), is_json), lambda t: F.from_json(t, "map<string,string>"))
+        return F.try_element_at(F.filter(objects, lambda m: F.exists(F.map_keys(m), lambda k: k.isin(*ARTICLE_KEYS))), F.lit(1))
 
     def fields(v: Column) -> Column:
         parsed, r = v["parsed"], v["raw"]
         score = F.coalesce(parsed["hot_score"], parsed["hotScore"]).try_cast("double")
         score = F.least(F.lit(10), F.greatest(F.lit(1), F.floor(score + F.lit(0.5)))).cast("int")
         tags = F.transform(F.coalesce(F.from_json(parsed["tags"], "array<string>"), none), lambda t: F.try_element_at(canon, F.lower(F.trim(t))))
+        articles = [trimmed(parsed[k]) for k in ARTICLE_KEYS]
+        body = F.coalesce(*[F.nullif(a, F.lit("")) for a in articles], *articles)
         return F.struct(
-            r.alias("raw"), _text(parsed["editorial_markdown"], parsed["editorialMarkdown"], parsed["editorialmarkdown"]).alias("body"), score.alias("score"),
+            r.alias("raw"), parsed.isNotNull().alias("ok"), body.alias("body"), score.alias("score"),
             F.slice(F.array_distinct(F.filter(tags, lambda t: t.isNotNull())), 1, 3).alias("tags"), _text(parsed["tldr"]).alias("tldr"),
             F.nullif(_text(parsed["summary_short"], parsed["summaryShort"]), F.lit("")).alias("short"),
             F.nullif(_text(parsed["translated_title"], parsed["translatedTitle"]), F.lit("")).alias("title"),
         )
 
     def choose(v: Column) -> Column:
-        ok = F.coalesce(v["body"] != "", F.lit(False))
-        tldr = F.when(ok, v["tldr"]).otherwise(F.trim(F.regexp_extract(v["raw"], r"(?is)<tldr>(.*?)</tldr>", 1)))
-        markdown = F.when(ok, v["body"]).otherwise(F.trim(F.regexp_replace(v["raw"], r"(?is)<tldr>.*?</tldr>", "")))
+        ok = v["ok"]
+        tldr = F.when(ok, F.when(v["body"] == "", "").otherwise(v["tldr"])).otherwise(F.trim(F.regexp_extract(v["raw"], r"(?is)<tldr>(.*?)</tldr>", 1)))
+        markdown = F.when(ok, v["body"]).otherwise(trimmed(F.regexp_replace(v["raw"], r"(?is)\A(.*?)<tldr>.*?</tldr>", "$1")))
         return F.struct(
             tldr.alias("tldr"), F.when(ok, v["short"]).alias("summary_short"), F.when(ok, v["score"]).alias("hot_score"), F.when(ok, v["tags"]).otherwise(none).alias("tags"),
             markdown.alias("editorial_markdown"), ok.alias("structured"), ((tldr != "") & enough_text(markdown)).alias("usable"), F.when(ok, v["title"]).alias("translated_title"),
