@@ -183,7 +183,8 @@ query("src17_comment_list", f"""SELECT thread, pos, author, body, score FROM (SE
 
 def state_pages(s, d):
     obj = F.to_json(F.struct(F.array(F.struct(F.struct(F.concat(F.lit("//m.example.com/a/"), c("id").cast("string")).alias("url"), F.concat(F.lit("A headline no "), c("id").cast("string")).alias("title")).alias("x"))).alias("list"), F.struct(c("raw_excerpt").alias("articleBody")).alias("story")))
-    ld = F.to_json(F.struct(F.array(F.struct(F.lit("NewsArticle").alias("@type"), c("title").alias("headline"), c("raw_excerpt").alias("articleBody"), F.date_format("created_at", "yyyy-MM-dd").alias("datePublished"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("description"), F.lit(None).cast("struct<contentUrl:string>").alias("caption")), F.struct(F.lit("VideoObject").alias("@type"), F.lit(None).cast("string").alias("headline"), F.lit(None).cast("string").alias("articleBody"), F.lit(None).cast("string").alias("datePublished"), c("source_id").alias("name"), c("title").alias("description"), F.when(c("image_url").isNotNull(), F.struct(c("image_url").alias("contentUrl"))).alias("caption"))).alias("@graph")))
+    ld = F.to_json(F.struct(F.array(F.struct(F.lit("NewsArticle").alias("@type"), c("title").alias("headline"), F.coalesce("raw_excerpt", F.lit("")).alias("articleBody"), F.date_format("created_at", "yyyy-MM-dd").alias("datePublished"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("description"), F.lit(None).cast("struct<contentUrl:string>").alias("caption")), F.struct(F.lit("VideoObject").alias("@type"), F.lit(None).cast("string").alias("headline"), F.lit(None).cast("string").alias("articleBody"), F.lit(None).cast("string").alias("datePublished"), c("source_id").alias("name"), c("title").alias("description"), F.when(c("image_url").isNotNull(), F.struct(c("image_url").alias("contentUrl"))).alias("caption"))).alias("@graph")))
+    obj, ld = (F.replace(x, F.lit("</"), F.lit("<\\/")) for x in (obj, ld))  # else a text could close its script
     return A(s, d).select(c("id").alias("page_id"), F.concat(F.lit("<html><script>window.blockRenderData = "), obj, F.lit('; f({"a":1});</script><script type="application/ld+json">'), ld, F.lit('</script><script>window.__INITIAL_STATE__ = '), obj, F.lit(";</script></html>")).alias("html"))
 
 

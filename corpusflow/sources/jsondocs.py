@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusflow.functions.classify import comment_score
-from corpusflow.functions.text import html_to_text, squeeze
+from corpusflow.functions.text import html_to_text, squeeze, trimmed
 from corpusflow.runtime import text_batches
 
 _LEAF = "struct<kind:string,data:struct<author:string,body:string,score:int,replies:string>>"
@@ -203,7 +203,7 @@ def ld_nodes(pages: DataFrame, wanted, column: str, key: str) -> DataFrame:
 def _text_at(value: str | Column, path: str) -> Column:
     """The trimmed string at a path of a variant; null if it is blank or no string."""
     there = F.try_variant_get(value, path, "variant")
-    return F.when(F.schema_of_variant(there) == "STRING", F.nullif(F.trim(F.try_variant_get(value, path, "string")), F.lit("")))
+    return F.when(F.schema_of_variant(there) == "STRING", F.nullif(trimmed(F.try_variant_get(value, path, "string")), F.lit("")))
 
 
 def _named(types: tuple[str, ...]) -> Column:
@@ -221,14 +221,16 @@ VIDEO_TYPES = ("videoobject",)
 
 
 def json_ld_articles(pages: DataFrame, column: str = "html", key: str = "page_id") -> DataFrame:
-    """The best JSON-LD article of each page: the longest body, a known type counting one more, the first of equals."""
+    """The best JSON-LD article of each page: the longest body, a known type counting one more, the first of equals.
+
+    An article whose body is blank keeps its title, date and image; its ``body`` is empty.
+    """
     nodes = ld_nodes(pages, lambda node: isinstance(node.get("articleBody"), str | list), column, key)
     get = lambda *names: F.coalesce(*[_text_at("v", f"$.{n}") for n in names])
     paragraphs = F.try_variant_get("v", "$.articleBody", "array<string>")
     body = F.coalesce(F.array_join(F.transform(paragraphs, lambda x: html_to_text(x)), "\n\n"), html_to_text(F.try_variant_get("v", "$.articleBody", "string")))
     image = F.coalesce(*[_text_at("v", p) for p in ("$.image", "$.image[0]", "$.image.url", "$.image.contentUrl", "$.image[0].url", "$.image[0].contentUrl")])
     found = nodes.select("key", "s", "p", body.alias("body"), _named(ARTICLE_TYPES).alias("known"), get("headline", "name").alias("title"), get("datePublished", "dateCreated", "dateModified").alias("published"), image.alias("image_url"))
-    found = found.where("body <> ''")
     best = F.max_by(F.struct("body", "title", "published", "image_url"), F.struct(F.length("body") + F.col("known").cast("int"), -F.col("s"), -F.col("p")))
     return found.groupBy(F.col("key").alias(key)).agg(best.alias("b")).select(key, "b.*")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions import summary as SM
 from corpusflow.plans import catalogue
+from corpusflow.sources import jsondocs
 
 LONG = "Some words of a text that goes on for long enough to be counted as one, with more words in it, and more, and yet more of them here. "
 TEXTS = (
@@ -29,7 +30,7 @@ def odd(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["fn25_summary_parse"])
+@pytest.mark.parametrize("name", ["fn25_summary_parse", "fn26_json_ld"])
 def test_odd_texts(name, spark, odd):
     df = catalogue.queries()[name](spark, odd)
     columns = sorted(df.columns)
@@ -49,3 +50,10 @@ def test_blank_articles_of_summaries(spark):
     assert (got.tldr, got.structured, got.editorial_markdown) == ("t", True, "second name")
     got = parse("<tldr>t</tldr>text with {} in it")
     assert (got.tldr, got.structured, got.editorial_markdown) == ("t", False, "text with {} in it")
+
+
+def test_blank_bodies_of_pages(spark):
+    page = '<script type="application/ld+json">[{"articleBody": " ", "headline": "\u00a0kept\u00a0"}, {"articleBody": "x", "headline": "with a body"}, {"headline": "none"}]</script>'
+    pages = [(1, page), (2, page.replace('"x"', '""')), (3, page.replace("articleBody", "other"))]
+    got = jsondocs.json_ld_articles(spark.createDataFrame(pages, "page_id long, html string")).collect()
+    assert {r.page_id: (r.body, r.title) for r in got} == {1: ("x", "with a body"), 2: ("", "kept")}
