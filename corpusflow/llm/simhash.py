@@ -176,18 +176,31 @@ def least_difference(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(folded ^ np.frombuffer(short, np.uint8)).sum())
 
 
-def limited(rows: DataFrame, keys: DataFrame, on: list[str], most: int) -> DataFrame:
-    """``rows`` whose ``on`` columns hash like those of some row of ``keys``: a filter before a join.
+#: Bits of the map that ``marked`` broadcasts, and bits of one of its rows (those of ``bitmap_construct_agg``).
+MAP_BITS, ROW_BITS = 1 << 25, 1 << 15
+
+
+def _place(on: list[str]) -> tuple:
+    """The row and the bit of the map that the ``on`` columns hash to."""
+    place = F.pmod(F.xxhash64(*on), F.lit(MAP_BITS))
+    return F.floor(place / ROW_BITS).cast("int"), place % ROW_BITS
 
-    Only up to ``most`` keys are broadcast, as 8 bytes each; with more of them all rows pass.
-    """
-    hashed = keys.select(F.xxhash64(*on).alias("__h")).distinct()
-    if hashed.count() > most:
-        return rows
-    return rows.withColumn("__h", F.xxhash64(*on)).join(F.broadcast(hashed), "__h", "left_semi").drop("__h")  # at most ``most`` longs
 
+def key_map(keys: DataFrame, on: list[str]) -> DataFrame:
+    """``(__part, __bits)``: a map of ``MAP_BITS`` bits, 4 MB at most whatever the number of keys, in which those of all keys are set."""
+    part, bit = _place(on)
+    return keys.groupBy(part.alias("__part")).agg(F.bitmap_construct_agg(bit).alias("__bits"))
 
-BROADCAST_KEYS, BROADCAST_ROWS = 1_000_000, 100_000
+
+def marked(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` with ``__maybe``, which is true where the ``on`` columns hash to the place of some row of ``keys``: a filter before a join.
+
+    No match is lost; with more keys more other rows pass.
+    """
+    part, bit = _place(on)
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    placed = rows.withColumns({"__part": part, "__bit": bit}).join(F.broadcast(key_map(keys, on)), "__part", "left")
+    return placed.withColumn("__maybe", F.coalesce(F.getbit(byte, F.col("__bit") % 8) == 1, F.lit(False))).drop("__part", "__bit", "__bits")
 
 
 def verified(rows: DataFrame, sketches: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
@@ -208,7 +221,7 @@ def verified(rows: DataFrame, sketches: DataFrame, pairs: DataFrame, words: int,
     near = materialize(sized.select("a", "b", "n_a", "n_b", "p_a", "p_b").mapInArrow(close, "a long, b long"))
     needed = sketches.select("node", "id", "digest").join(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
     needed = materialize(needed)
-    some = limited(rows, needed, ["id", "digest"], BROADCAST_KEYS).select(F.col("id").alias("id_"), F.col("digest").alias("digest_"), "text")
+    some = marked(rows, needed, ["id", "digest"]).where("__maybe").select(F.col("id").alias("id_"), F.col("digest").alias("digest_"), "text")
     texts = some.join(needed, F.col("id").eqNullSafe(F.col("id_")) & (F.col("digest") == F.col("digest_"))).groupBy("node").agg(F.min("text").alias("text"))
     left = near.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
@@ -249,13 +262,14 @@ def similar_links(rows: DataFrame, sketches: DataFrame, words: int, least: float
     return verified(rows, sketches, pairs, words, least)
 
 
-HOT_DOCS, HOT_SEEN = 20_000, 20
+HOT_DOCS, HOT_SEEN, HOT_MOST = 20_000, 20, 100_000
 
 
 def hot_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles, sorted, that ``HOT_SEEN`` or more of about ``HOT_DOCS`` documents hold, and how many hold them.
 
-    They only order the shingles of a set; any order finds the same pairs.
+    Of more than ``HOT_MOST`` the more frequent ones.  They only order the
+    shingles of a set; any order finds the same pairs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +279,14 @@ def hot_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
     step = max(1, -(-rows.count() // HOT_DOCS))
     some = rows.where(F.pmod(F.xxhash64("id", "digest"), F.lit(step)) == 0).select("text")
-    found = some.mapInArrow(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_SEEN).toArrow()
+    found = materialize(some.mapInArrow(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_SEEN))
+    least, kept = float("inf"), 0
+    for n, held in sorted(found.groupBy("n").count().collect(), reverse=True):  # n is bounded by the sample
+        kept += held
+        if kept > HOT_MOST:
+            break
+        least = n
+    found = found.where(F.col("n") >= F.lit(least)).toArrow()
     keys = found.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     return keys[order], found.column("n").to_numpy()[order]
@@ -362,9 +383,10 @@ def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     smallest = groups.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("stays"))
     other = ~(F.col("id").eqNullSafe(F.col("stays.id")) & (F.col("digest") == F.col("stays.digest")))
     gone = materialize(groups.join(smallest, "component").where(other).select(F.col("id").alias("__id"), F.col("digest").alias("__digest")).distinct())
-    kept = docs.withColumn("__own", digest)
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest"))
-    kept = kept.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, same, "left_anti")
+    told = marked(docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("__id"), digest.alias("__digest")), gone, ["__id", "__digest"])
+    told = told.select("__row.*", F.col("__digest").alias("__own"), "__maybe")
+    kept = told.where("not __maybe").unionByName(told.where("__maybe").join(gone, same, "left_anti")).drop("__maybe")
     twice = materialize(sketches.groupBy("id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("__id"), F.col("digest").alias("__digest")))
     if not twice.isEmpty():
         one = Window.partitionBy("doc_id", "__own").orderBy(F.col("text").asc_nulls_first())

@@ -1,6 +1,7 @@
 import random
 
 import xxhash
+from pyspark.sql import functions as F
 
 from corpusflow.llm import simhash as S
 
@@ -162,3 +163,32 @@ def test_repeated_ids_with_different_texts_stay(spark):
     rows = [(1, a), (2, a + " end"), (2, b), (3, b + " end"), (3, c), (3, c), (4, c + " end"), (None, a), (None, "alone")]
     got = sorted(map(tuple, S.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert got == sorted([(1, a), (2, b), (3, c), (None, "alone")], key=str)
+
+
+def test_what_is_broadcast_does_not_grow(spark, monkeypatch):
+    """A map of bits of fixed size stands for any number of keys, and loses none of them."""
+    text = lambda n: F.sha2(n.cast("string"), 256).cast("binary")
+    keys = spark.range(200_000).select(F.when(F.col("id") > 0, F.col("id")).alias("id"), text(F.col("id")).alias("digest"))
+    others = spark.range(10_000_000, 10_100_000).select("id", text(F.col("id")).alias("digest"))
+    monkeypatch.setattr(S, "MAP_BITS", 1 << 22)
+    found = S.key_map(keys, ["id", "digest"]).agg(F.count("*").alias("n"), F.max(F.length("__bits")).alias("size")).first()
+    assert found.n * found.size <= S.MAP_BITS // 8
+    assert S.marked(keys, keys, ["id", "digest"]).where("__maybe").count() == 200_000
+    told = S.marked(others, keys, ["id", "digest"])
+    assert told.columns == ["id", "digest", "__maybe"] and told.count() == 100_000 and told.where("__maybe").count() < 6_000
+    assert S.marked(others, keys.limit(0), ["id", "digest"]).where("__maybe").count() == 0
+
+
+def test_frequent_shingles_are_bounded(spark, monkeypatch):
+    rng = random.Random(13)
+    shared = [[f"s{g}w{i}" for i in range(30)] for g in range(3)]  # passages of 30, 60 and 90 documents
+    texts = [" ".join(shared[g] + [f"f{rng.getrandbits(60)}" for _ in range(60)]) for g in range(3) for _ in range(30 * (g + 1))]
+    rows = spark.createDataFrame([(i, b"", t) for i, t in enumerate(texts)], "id long, digest binary, text string")
+    assert len(S.hot_shingles(rows, 5)[0]) == 3 * 26
+    docs = rows.select(F.col("id").alias("doc_id"), "text")
+    kept = sorted(r.doc_id for r in S.keep_one(docs).collect())
+    for most, want in ((60, [60] * 26 + [90] * 26), (26, [90] * 26), (25, [])):
+        monkeypatch.setattr(S, "HOT_MOST", most)
+        keys, n = S.hot_shingles(rows, 5)
+        assert sorted(n.tolist()) == want and keys.tolist() == sorted(keys.tolist())
+    assert sorted(r.doc_id for r in S.keep_one(docs).collect()) == kept
