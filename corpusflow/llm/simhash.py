@@ -177,7 +177,7 @@ def least_difference(a: bytes, b: bytes) -> int:
 
 
 #: Bits of the map that ``marked`` broadcasts, and bits of one of its rows (those of ``bitmap_construct_agg``).
-MAP_BITS, ROW_BITS = 1 << 25, 1 << 15
+MAP_BITS, ROW_BITS = 1 << 23, 1 << 15
 
 
 def _place(on: list[str]) -> tuple:
@@ -187,7 +187,7 @@ def _place(on: list[str]) -> tuple:
 
 
 def key_map(keys: DataFrame, on: list[str]) -> DataFrame:
-    """``(__part, __bits)``: a map of ``MAP_BITS`` bits, 4 MB at most whatever the number of keys, in which those of all keys are set."""
+    """``(__part, __bits)``: a map of ``MAP_BITS`` bits, 1 MB at most whatever the number of keys, in which those of all keys are set."""
     part, bit = _place(on)
     return keys.groupBy(part.alias("__part")).agg(F.bitmap_construct_agg(bit).alias("__bits"))
 
